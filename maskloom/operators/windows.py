@@ -27,6 +27,20 @@ def dense_ids(df: DataFrame, order: list, out: str = "id", base: int = 1) -> Dat
             .withColumn(out, F.col("_start") + offset + F.lit(base)).drop("_part", "_start", "_mid"))
 
 
+def rank_within(df: DataFrame, keys: list[str], order: list, out: str = "rank") -> DataFrame:
+    """Position of every row inside its key, in ``order`` (unique per key), for keys of any size.
+
+    One global sort by key and order spreads a hot key over many partitions; the rank is the dense
+    position less the first position of the key.
+    """
+    numbered = dense_ids(df, [*[F.asc_nulls_first(k) for k in keys], *order], "_pos", base=0)
+    first = numbered.groupBy(*keys).agg(F.min("_pos").alias("_first"))
+    names = [F.col(k).alias(f"_{k}") for k in keys]
+    first = first.select(*names, "_first")
+    same = [numbered[k].eqNullSafe(first[f"_{k}"]) for k in keys]
+    return numbered.join(first, same).withColumn(out, F.expr("_pos - _first + 1")).drop("_pos", "_first", *[f"_{k}" for k in keys])
+
+
 def class_index(classes: DataFrame, base: int = 0) -> DataFrame:
     """Contiguous index of active classes by their order.
 
