@@ -172,17 +172,3 @@ def plane_conflicts(painted: DataFrame) -> DataFrame:
     """Pixels covered more than once; any row means the error policy refuses the plane."""
     return (painted.filter("covering > 1").groupBy("image_id")
             .agg(F.sum(F.expr("(x1 - x0) * (y1 - y0)")).alias("overlap_pixels")))
-
-
-def repair_choice(candidates: DataFrame, agreement: DataFrame) -> DataFrame:
-    """Best gate-free candidate per attempt, accepted only when all others agree with it.
-
-    ``candidates`` has attempt_id, candidate_id, predicted_iou, stability_score. ``agreement`` has
-    attempt_id, candidate_id, agrees for the non-best candidates (IoU and area ratio tests).
-    """
-    best = candidates.groupBy("attempt_id").agg(
-        F.max_by("candidate_id", F.struct("predicted_iou", "stability_score", F.expr("-ordinal"))).alias("candidate_id"),
-        F.count("*").alias("suitable"))
-    verdict = agreement.groupBy("attempt_id").agg(F.min("agrees").alias("all_agree"))
-    return (best.join(verdict, "attempt_id", "left")
-            .selectExpr("attempt_id", "candidate_id", "suitable", "coalesce(all_agree, true) AS selected"))

@@ -138,7 +138,7 @@ def agg_11(v):
 
 
 @query("agg_12", f"""
-SELECT timing, round(sum(seconds), 6) AS seconds, count(*) AS tiles FROM (
+SELECT timing, CAST(round(sum(seconds), 6) AS DOUBLE) AS seconds, count(*) AS tiles FROM (
   SELECT 'encode_seconds' AS timing, tile_idx * 0.25 AS seconds FROM ({DEFAULT_SQL}) t UNION ALL SELECT 'mask_seconds', (image_id % 8) * 0.5 FROM ({DEFAULT_SQL}) t) q GROUP BY timing""")
 def agg_12(v):
     receipts = TL.plan_tiles(v.images)[0].select(F.expr(
@@ -323,13 +323,9 @@ def set_05(v):
 @query("set_06", """
 SELECT image_id, CAST(sum(area) AS BIGINT) AS sum_area, CAST(sum(CASE WHEN status = 'accepted' THEN area ELSE 0 END) AS BIGINT) AS accepted_area FROM {annotations} GROUP BY image_id""")
 def set_06(v):
-    """OR and AND account for each other: |A| + |B| = |A or B| + |A and B| per image and reviewed state."""
-    masks = slabs(v, "status").withColumn("reviewed", F.expr("status = 'accepted'"))
-    union = M.mask_stats(M.mask_union(masks, "image_id"), "image_id").selectExpr("image_id", "area AS either")
-    stats = M.mask_stats(M.mask_union(masks, "image_id", "reviewed"), "image_id", "reviewed")
-    depth = covered_depth(v)
-    return (union.join(depth, "image_id").join(stats.filter("reviewed").selectExpr("image_id", "area AS reviewed_union"), "image_id", "left")
-            .selectExpr("image_id", "either + extra AS sum_area", "accepted_area"))
+    """OR and AND account for each other: |A| + |B| = |A or B| + |A and B| per image """
+    union = M.mask_stats(M.mask_union(slabs(v), "image_id"), "image_id").selectExpr("image_id", "area AS either")
+    return union.join(covered_depth(v), "image_id").selectExpr("image_id", "either + extra AS sum_area", "accepted_area")
 
 
 def covered_depth(v):
