@@ -195,26 +195,37 @@ def polygon_intervals(points: np.ndarray, height: int, width: int) -> np.ndarray
 
 
 def intervals_to_slabs(pairs: np.ndarray, height: int) -> np.ndarray:
-    rows = []
-    for s, e in pairs.tolist():
-        fx, lx = s // height, (e - 1) // height
-        for x in range(fx, lx + 1):
-            rows.append((x, x + 1, s - x * height if x == fx else 0, e - x * height if x == lx else height))
-    return np.array(rows, np.int64).reshape(-1, 4)
-
-
-def overlap_pixels(a: np.ndarray, b: np.ndarray) -> int:
-    """Shared pixels of two slab sets, strip by strip over the x borders of both."""
+    """One slab per touched pixel column of flat column-major intervals."""
+    first, last = pairs[:, 0] // height, (pairs[:, 1] - 1) // height
+    times = last - first + 1
+    row = np.repeat(np.arange(len(pairs)), times)
+    x = first[row] + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    y0 = np.maximum(pairs[row, 0] - x * height, 0)
+    y1 = np.minimum(pairs[row, 1] - x * height, height)
+    return np.stack([x, x + 1, y0, y1], axis=1)
+
+
+def slabs_to_intervals(slabs: np.ndarray, height: int) -> np.ndarray:
+    """Sorted flat column-major intervals of non-overlapping slabs."""
+    times = slabs[:, 1] - slabs[:, 0]
+    row = np.repeat(np.arange(len(slabs)), times)
+    x = slabs[row, 0] + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    pairs = np.stack([x * height + slabs[row, 2], x * height + slabs[row, 3]], axis=1)
+    return pairs[np.argsort(pairs[:, 0])]
+
+
+def shared_length(a: np.ndarray, b: np.ndarray) -> int:
+    """Common length of two sorted, disjoint interval sets."""
     if not len(a) or not len(b):
         return 0
-    xs = np.unique(np.concatenate([a[:, :2].ravel(), b[:, :2].ravel()]))
-    total = 0
-    for x0, x1 in zip(xs[:-1].tolist(), xs[1:].tolist()):
-        left, right = a[(a[:, 0] <= x0) & (a[:, 1] >= x1)], b[(b[:, 0] <= x0) & (b[:, 1] >= x1)]
-        if len(left) and len(right):
-            y = np.minimum(left[:, None, 3], right[None, :, 3]) - np.maximum(left[:, None, 2], right[None, :, 2])
-            total += int(np.clip(y, 0, None).sum()) * (x1 - x0)
-    return total
+    before = np.concatenate(([0], np.cumsum(b[:, 1] - b[:, 0])))
+
+    def covered(t):
+        k = np.searchsorted(b[:, 0], t, side="right")
+        inside = np.where(k > 0, np.minimum(t, b[np.maximum(k, 1) - 1, 1]) - b[np.maximum(k, 1) - 1, 0], 0)
+        return np.where(k > 0, before[np.maximum(k, 1) - 1] + inside, 0)
+
+    return int((covered(a[:, 1]) - covered(a[:, 0])).sum())
 
 
 def slab_area(slabs: np.ndarray) -> int:

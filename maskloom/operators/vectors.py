@@ -15,9 +15,17 @@ from .masks import loss_expr, mask_stats
 _SLABS = "array<struct<x0: bigint, x1: bigint, y0: bigint, y1: bigint>>"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def gather(slabs: DataFrame, *keys: str) -> DataFrame:
-    """One row per mask with its slabs as an array."""
-    return slabs.groupBy(*keys).agg(F.collect_list(F.struct("x0", "x1", "y0", "y1")).cast(_SLABS).alias("slabs"))
+    """One row per mask with its slabs as an array.
+
+    The explicit count keeps the per-mask work that follows spread over all tasks: its cost is in
+    computing, which the byte sizes that AQE coalesces by do not show.
+    """
+    return spread(slabs, *keys).groupBy(*keys).agg(F.collect_list(F.struct("x0", "x1", "y0", "y1")).cast(_SLABS).alias("slabs"))
 
 
 def _matrix(rows) -> np.ndarray:
@@ -67,13 +75,20 @@ def to_polygon(slabs: DataFrame, *keys: str, allow_lossy: bool = False) -> DataF
                 ring = raster.convex_hull(raster.corners(mask))
             else:
                 ring = raster.outline(np.concatenate([mask, raster.hole_slabs(mask)]) if holes else mask)
-            made = raster.intervals_to_slabs(raster.polygon_intervals(ring, int(h), int(w)), int(h))
+            made = raster.polygon_intervals(ring, int(h), int(w))
             points = [{"x": x, "y": y} for x, y in ring.tolist()]
-            out.append((method, components, holes, points, raster.slab_area(mask), raster.slab_area(made), raster.overlap_pixels(mask, made)))
+            out.append((method, components, holes, points, raster.slab_area(mask), int((made[:, 1] - made[:, 0]).sum()),
+                        raster.shared_length(raster.slabs_to_intervals(mask, int(h)), made)))
         return pd.DataFrame(out, columns=["method", "components", "holes", "points", "original_area", "converted_area", "shared"])
 
-    rows = gather(slabs, *keys, "width", "height").withColumn("c", convert("slabs", "width", "height"))
-    flat = rows.selectExpr(*keys, "c.method", "c.components", "c.holes", "c.points", "c.original_area", "c.converted_area", "c.shared")
+    names = ("method", "components", "holes", "points", "original_area", "converted_area", "shared")
+    masks = gather(slabs, *keys, "width", "height")
+    # A single slab is its own rectangle, and the raster rule gives back exactly its pixels.
+    one = (masks.filter("size(slabs) = 1").selectExpr(*keys, "slabs[0] AS s").selectExpr(*keys, "(s.x1 - s.x0) * (s.y1 - s.y0) AS a", """CAST(array(
+        struct(s.x0 AS x, s.y0 AS y), struct(s.x1 AS x, s.y0 AS y), struct(s.x1 AS x, s.y1 AS y), struct(s.x0 AS x, s.y1 AS y)) AS array<struct<x: double, y: double>>) AS points""")
+           .selectExpr(*keys, "'pixel_edge_polygon' AS method", "1L AS components", "0L AS holes", "points", "a AS original_area", "a AS converted_area", "a AS shared"))
+    more = masks.filter("size(slabs) > 1").withColumn("c", convert("slabs", "width", "height")).selectExpr(*keys, *[f"c.{n} AS {n}" for n in names])
+    flat = one.unionByName(more)
     return (flat.withColumns(loss_expr("original_area", "converted_area", "shared"))
             .withColumn("error", F.expr(f"""CASE WHEN points IS NULL THEN 'topology_needs_consent'
                 WHEN lossy AND NOT {str(allow_lossy).lower()} THEN 'pixels_change' END"""))
@@ -82,7 +97,7 @@ def to_polygon(slabs: DataFrame, *keys: str, allow_lossy: bool = False) -> DataF
 
 def rasterize(polygons: DataFrame, *keys: str) -> DataFrame:
     """Column slabs of polygons (points, width, height) by the COCO rule; an empty raster gives no row."""
-    source = polygons.select(*keys, "width", "height", "points")
+    source = spread(polygons.select(*keys, "width", "height", "points"), *keys)
     extra = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "points"]
     names = [f.name for f in source.schema.fields if f.name != "points"]
 
@@ -125,7 +140,11 @@ def geometry_bounds(annotations: DataFrame, masks: DataFrame | None = None) -> D
 
 def component_polygons(slabs: DataFrame, *keys: str) -> DataFrame:
     """One filled outline per component: part, points, components and holes of the mask."""
-    source = gather(slabs, *keys)
+    masks = gather(slabs, *keys)
+    box = """CAST(array(struct(s.x0 AS x, s.y0 AS y), struct(s.x1 AS x, s.y0 AS y), struct(s.x1 AS x, s.y1 AS y), struct(s.x0 AS x, s.y1 AS y))
+             AS array<struct<x: double, y: double>>) AS points"""
+    one = masks.filter("size(slabs) = 1").selectExpr(*keys, "slabs[0] AS s").selectExpr(*keys, "0L AS part", box, "1L AS components", "0L AS holes")
+    source = masks.filter("size(slabs) > 1")
     extra = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "slabs"]
 
     def trace(batches):
@@ -143,4 +162,5 @@ def component_polygons(slabs: DataFrame, *keys: str) -> DataFrame:
             made[["part", "points", "components", "holes"]] = pd.DataFrame(out, columns=["part", "points", "components", "holes"])
             yield made
 
-    return source.mapInPandas(trace, ", ".join([*extra, "part bigint", "points array<struct<x: double, y: double>>", "components bigint", "holes bigint"]))
+    return one.unionByName(source.mapInPandas(
+        trace, ", ".join([*extra, "part bigint", "points array<struct<x: double, y: double>>", "components bigint", "holes bigint"])))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import polygons
 from ..operators import masks as M, predicates as P, predict as PR, tiling as TL, vectors as V, windows as W
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sinks import formats as O, snapshots as SN
 from ..sources import formats as I, images as IM
 from ..streaming import jobs as ST
@@ -39,17 +39,10 @@ NEXT = "p[CASE WHEN i = len(p) THEN 1 ELSE i + 1 END]"
 DUCK_EDGES = f"list_transform(range(1, len(p) + 1), lambda i: struct_pack(i := i, ax := p[i].x, ay := p[i].y, bx := {NEXT}.x, by := {NEXT}.y))"
 
 
-def _cross(a, b, c):
-    return f"(({b}x - {a}x) * ({c}y - {a}y) - ({b}y - {a}y) * ({c}x - {a}x))"
-
-
-CROSSING = f"""{_cross('f.a', 'f.b', 'g.a')} * {_cross('f.a', 'f.b', 'g.b')} < 0 AND {_cross('g.a', 'g.b', 'f.a')} * {_cross('g.a', 'g.b', 'f.b')} < 0"""
-
-
 @query("vec_05", f"""
-WITH q AS (SELECT annotation_id, points AS p FROM ({DUCK_POLYGONS}) z), e AS (SELECT annotation_id, len(p) AS n, unnest({DUCK_EDGES}) AS e FROM q),
-a AS (SELECT annotation_id, sum(e.ax * e.by - e.bx * e.ay) AS area FROM e GROUP BY 1),
-c AS (SELECT DISTINCT f.annotation_id FROM (SELECT annotation_id, n, e.* FROM e) f JOIN (SELECT annotation_id, e.* FROM e) g ON f.annotation_id = g.annotation_id AND g.i >= f.i + 2 AND NOT (f.i = 1 AND g.i = f.n) WHERE
+WITH q AS (SELECT annotation_id, points AS p FROM ({DUCK_POLYGONS}) z), e AS (SELECT annotation_id, len(p) AS n, unnest({DUCK_EDGES}) AS g FROM q),
+a AS (SELECT annotation_id, sum(g.ax * g.by - g.bx * g.ay) AS area FROM e GROUP BY 1), x AS (SELECT annotation_id, n, g.i AS i, g.ax AS ax, g.ay AS ay, g.bx AS bx, g.by AS by FROM e),
+c AS (SELECT DISTINCT f.annotation_id FROM x f JOIN x g ON f.annotation_id = g.annotation_id AND g.i >= f.i + 2 AND NOT (f.i = 1 AND g.i = f.n) WHERE
    ((f.bx - f.ax) * (g.ay - f.ay) - (f.by - f.ay) * (g.ax - f.ax)) * ((f.bx - f.ax) * (g.by - f.ay) - (f.by - f.ay) * (g.bx - f.ax)) < 0
    AND ((g.bx - g.ax) * (f.ay - g.ay) - (g.by - g.ay) * (f.ax - g.ax)) * ((g.bx - g.ax) * (f.by - g.ay) - (g.by - g.ay) * (f.bx - g.ax)) < 0)
 SELECT q.annotation_id, round(abs(a.area), 6) AS doubled_area, CASE WHEN len(q.p) < 3 THEN 'too_few_vertices' WHEN abs(a.area) < 0.01 THEN 'no_area' WHEN c.annotation_id IS NOT NULL THEN 'edges_cross' END AS issue
@@ -174,7 +167,8 @@ def src_03(v):
     categories, pictures, records = O.coco_rows(images, rows, v.classes, slabs(v))
     records = records.withColumn("segmentation", F.when(F.col("geom_type") == "box", F.lit("[]")).otherwise(
         F.to_json(F.struct("size", O.encode_counts("counts").alias("counts")))))
-    got = I.parse_coco(categories, pictures, records.select("id", "image_id", "category_id", "iscrowd", "area", "bbox", "segmentation"), images, v.classes)
+    # Made durable once, as the files would be: the parser reads its input several times.
+    got = I.parse_coco(categories, pictures, cut_lineage(records).select("id", "image_id", "category_id", "iscrowd", "area", "bbox", "segmentation"), images, v.classes)
     pixels = M.mask_stats(got.slabs, "annotation_id").selectExpr("annotation_id", "area AS pixels")
     return got.annotations.join(pixels, "annotation_id", "left").select("image_id", "class_id", "geom_type", "x0", "y0", "x1", "y1", "pixels")
 
@@ -194,7 +188,7 @@ def src_04(v):
     lines, _ = O.yolo_seg_rows(images, rows, v.classes, slabs(v))
     text = lines.selectExpr("concat(image_id, '.txt') AS _file", "annotation_id AS _line",
                             "concat_ws(' ', class_index, array_join(transform(coords, c -> CAST(c AS STRING)), ' ')) AS value")
-    got = I.parse_yolo(text, images, v.classes, label_names(v))
+    got = I.parse_yolo(cut_lineage(text), images, v.classes, label_names(v))
     pixels = M.mask_stats(got.slabs, "annotation_id").selectExpr("annotation_id", "area AS pixels")
     return got.annotations.join(pixels, "annotation_id").selectExpr(
         "image_id", "class_id", "CAST(round(x0) AS BIGINT) AS x0", "CAST(round(y1) AS BIGINT) AS y1", "pixels")
@@ -207,7 +201,7 @@ def src_05(v):
     images, rows = exported(v)
     text = O.yolo_box_rows(images, rows, v.classes).selectExpr(
         "concat(image_id, '.txt') AS _file", "annotation_id AS _line", "concat_ws(' ', class_index, cx, cy, w, h) AS value")
-    got = I.parse_yolo(text, images, v.classes, label_names(v), kind="box")
+    got = I.parse_yolo(cut_lineage(text), images, v.classes, label_names(v), kind="box")
     return got.annotations.selectExpr("image_id", "class_id", *[f"round({c}, 6) AS {c}" for c in ("x0", "y0", "x1", "y1")])
 
 
@@ -220,7 +214,7 @@ def src_07(v):
         "annotation_id AS _file", "concat(image_id, '.png') AS filename", "struct(width, height) AS size",
         """array(struct(class_name AS name, '0' AS truncated, '1' AS difficult, struct(CAST(xmin AS STRING) AS xmin, CAST(ymin AS STRING) AS ymin,
              CAST(xmax AS STRING) AS xmax, CAST(ymax AS STRING) AS ymax) AS bndbox)) AS object""")
-    return I.parse_voc(docs, images, v.classes).annotations.select("image_id", "class_id", "x0", "y0", "x1", "y1")
+    return I.parse_voc(cut_lineage(docs), images, v.classes).annotations.select("image_id", "class_id", "x0", "y0", "x1", "y1")
 
 
 @query("src_08", f"""
@@ -238,7 +232,7 @@ def src_08(v):
     docs = docs.selectExpr("concat('doc-', image_id) AS _file", "concat(image_id, '.png') AS imagePath", "CAST(imageWidth AS INT) AS imageWidth", "CAST(imageHeight AS INT) AS imageHeight",
                            """transform(s, x -> struct(x.label AS label, x.shape_type AS shape_type, parse_json(x.group_id) AS group_id,
                                 CAST(map() AS map<string, string>) AS flags, x.points AS points)) AS shapes""")
-    got = I.parse_labelme(docs, images, v.classes).annotations
+    got = I.parse_labelme(cut_lineage(docs), images, v.classes).annotations
     counts = rows.groupBy("image_id", "class_id", F.expr("line % 2").alias("grp")).agg(F.count("*").alias("shapes"), F.min("annotation_id").alias("a"))
     typed = got.groupBy("image_id", "class_id", "geom_type").agg(F.count("*").alias("n"))
     wanted = counts.withColumn("geom_type", F.expr("CASE WHEN shapes > 1 THEN 'mask' ELSE 'box' END"))
@@ -252,9 +246,9 @@ def src_09(v):
     values = W.rank_within(v.annotations.select("image_id", "annotation_id"), ["image_id"], ["annotation_id"], "value")
     painted = W.paint(paint_slabs(v), "last").selectExpr("image_id", "x0", "x1", "y0", "y1", "obj.annotation_id AS annotation_id").join(
         values.select("annotation_id", F.col("value").cast("int").alias("value")), "annotation_id")
-    runs = M.to_columns(painted.drop("annotation_id")).groupBy("image_id", "x").agg(F.sort_array(F.collect_list(F.struct("y0", "y1", "value"))).alias("r"))
-    # A pixel column is an array of at most the image height.
-    columns = runs.selectExpr("image_id", "x", """flatten(transform(r, (q, i) -> concat(
+    runs = painted.groupBy("image_id", "x0", "x1").agg(F.sort_array(F.collect_list(F.struct("y0", "y1", "value"))).alias("r"))
+    # Equal columns of a strip share one row; a pixel column is an array of at most the image height.
+    columns = runs.selectExpr("image_id", "x0 AS x", "x1 - x0 AS span", """flatten(transform(r, (q, i) -> concat(
         array_repeat(0, CAST(q.y0 - CASE WHEN i = 0 THEN 0L ELSE r[i - 1].y1 END AS INT)), array_repeat(q.value, CAST(q.y1 - q.y0 AS INT))))) AS values""")
     got, _, _ = I.read_planes(columns, values.selectExpr("image_id", "CAST(value AS INT) AS value", "'c' AS class_id", "annotation_id"))
     return M.mask_stats(got, "image_id", "annotation_id").selectExpr("image_id", "annotation_id", "area AS visible_area")
@@ -452,7 +446,7 @@ def str_02(v):
 
 @query("str_03", """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS action, count(*) AS n FROM {events} GROUP BY 1, 2""")
 def str_03(v):
-    events = _stream(v, "events").selectExpr("ts AS created_at", "event_type AS action")
+    events = _stream(v, "events").selectExpr("CAST(ts AS TIMESTAMP) AS created_at", "event_type AS action")
     out = _scratch(v, "stream")
     got = ST.run_to_folder(ST.action_windows(events), out, out + "-state", mode="complete")
     return got.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "action", "n")

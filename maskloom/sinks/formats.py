@@ -35,7 +35,7 @@ def _block(failures: DataFrame, what: str) -> None:
 @F.pandas_udf(T.StringType())
 def encode_counts(counts: pd.Series) -> pd.Series:
     """Compressed run text of counts."""
-    return counts.map(raster.counts_to_text)
+    return counts.map(lambda c: None if c is None else raster.counts_to_text(c))
 
 
 # ---- COCO -------------------------------------------------------------------------------------
