@@ -38,7 +38,7 @@ def issue(points: str) -> str:
 
 def strict_issue(points: str, width: str, height: str) -> str:
     """Import rule: also no vertex outside the image and no repeated vertex (a closing one is allowed)."""
-    ring = f"CASE WHEN size({points}) > 1 AND {points}[0] = element_at({points}, -1) THEN slice({points}, 1, size({points}) - 1) ELSE {points} END"
+    ring = f"CASE WHEN size({points}) > 1 AND get({points}, 0) = get({points}, size({points}) - 1) THEN slice({points}, 1, size({points}) - 1) ELSE {points} END"
     outside = f"exists({points}, p -> NOT (p.x BETWEEN 0 AND {width} AND p.y BETWEEN 0 AND {height}))"
     return (f"CASE WHEN coalesce(size({ring}), 0) < 3 THEN 'too_few_vertices' WHEN {outside} THEN 'outside_image' "
             f"WHEN size(array_distinct({ring})) < size({ring}) THEN 'repeated_vertex' ELSE {issue(ring)} END")

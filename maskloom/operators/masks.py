@@ -115,7 +115,7 @@ def slabs_to_rle(slabs: DataFrame, *keys: str, overlapping: bool = False) -> Dat
     """Canonical background-first counts per key; needs width and height columns.
 
     A key is one mask, bounded by the image size. Only its slabs are shuffled; the runs of its
-    pixel columns are formed inside the row, where touching runs merge. Pass ``overlapping`` when
+    pixel columns are formed after that, for a whole Arrow batch at once. Pass ``overlapping`` when
     slabs of a key may overlap, to unite them first.
     """
     group = [*dict.fromkeys([*keys, "width", "height"])]
@@ -123,17 +123,74 @@ def slabs_to_rle(slabs: DataFrame, *keys: str, overlapping: bool = False) -> Dat
         slabs = mask_union(slabs, *group)
     # A fixed count: the rows are small before the expansion below, which AQE cannot foresee.
     parts = int(slabs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    masks = slabs.repartition(parts, *keys).groupBy(*group).agg(F.collect_list(F.struct("x0", "x1", "y0", "y1")).alias("_slabs"))
-    runs = """sort_array(flatten(transform(_slabs, s -> transform(sequence(s.x0, s.x1 - 1),
-                x -> struct(x * height + s.y0 AS s, x * height + s.y1 AS e)))))"""
-    return (masks.withColumns({"_r": F.expr(runs), "_total": F.expr("CAST(width AS BIGINT) * height")})
-            .withColumns({
-                "_starts": F.expr("transform(filter(_r, (r, i) -> i = 0 OR r.s > _r[i - 1].e), r -> r.s)"),
-                "_ends": F.expr("transform(filter(_r, (r, i) -> i = size(_r) - 1 OR _r[i + 1].s > r.e), r -> r.e)")})
-            .withColumn("_c", F.expr("""flatten(transform(_starts, (s, i) ->
-                array(s - CASE WHEN i = 0 THEN 0L ELSE _ends[i - 1] END, _ends[i] - s)))"""))
-            .selectExpr(*keys, """CASE WHEN element_at(_ends, -1) < _total
-                THEN array_append(_c, _total - element_at(_ends, -1)) ELSE _c END AS counts"""))
+    masks = (slabs.repartition(parts, *keys).groupBy(*group)
+             .agg(F.collect_list(F.expr("struct(x0, x1, y0, y1)")).cast("array<struct<x0: bigint, x1: bigint, y0: bigint, y1: bigint>>").alias("_slabs"))
+             .select(*keys, F.col("width").cast("bigint").alias("_w"), F.col("height").cast("bigint").alias("_h"), "_slabs"))
+    fields = [masks.schema[k] for k in keys]
+    return masks.mapInArrow(_encode_batches(list(keys)), T.StructType([*fields, T.StructField("counts", T.ArrayType(T.LongType()))]))
+
+
+ENCODE_COLUMNS = 20_000_000
+
+
+def _slices(table):
+    """Cut a batch so that the pixel columns expanded at once stay bounded (a single mask is never cut)."""
+    lists = table.column("_slabs").combine_chunks()
+    flat = lists.flatten()
+    columns = np.asarray(flat.field(1), np.int64) - np.asarray(flat.field(0), np.int64)
+    sizes = np.asarray(lists.value_lengths(), np.int64)
+    total = np.concatenate(([0], np.cumsum(columns)))[np.cumsum(sizes)]
+    start = 0
+    for stop in [*(np.flatnonzero(np.diff(total // ENCODE_COLUMNS)) + 1).tolist(), len(table)]:
+        if stop > start:
+            yield table.slice(start, stop - start)
+        start = stop
+
+
+def _encode_batches(keys: list[str]):
+    """Counts of many masks at once: expand columns, sort, merge touching runs, difference."""
+    def run(batches):
+        import pyarrow as pa
+        for table in (piece for batch in batches for piece in _slices(pa.Table.from_batches([batch]))):
+            lists = table.column("_slabs").combine_chunks()
+            flat = lists.flatten()
+            x0, x1, y0, y1 = (np.asarray(flat.field(i), np.int64) for i in range(4))
+            height, width = (np.asarray(table.column(c), np.int64) for c in ("_h", "_w"))
+            mask = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths(), np.int64))
+            times = x1 - x0
+            slab = np.repeat(np.arange(len(times)), times)
+            x = x0[slab] + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            mask = mask[slab]
+            start = x * height[mask] + y0[slab]
+            stop = start + (y1 - y0)[slab]
+            order = np.lexsort((start, mask))
+            mask, start, stop = mask[order], start[order], stop[order]
+            # The runs of a mask do not overlap, so only neighbours can touch.
+            fresh = np.ones(len(mask), bool)
+            fresh[1:] = (mask[1:] != mask[:-1]) | (start[1:] > stop[:-1])
+            head = np.flatnonzero(fresh)
+            mask, start, stop = mask[head], start[head], stop[np.append(head[1:], len(stop)) - 1]
+            first = np.ones(len(mask), bool)
+            first[1:] = mask[1:] != mask[:-1]
+            gap = start.copy()
+            gap[1:] -= np.where(first[1:], 0, stop[:-1])
+            last = np.append(first[1:], True)
+            total = height * width
+            tail = total[mask[last]] - stop[last]
+            runs = np.bincount(mask, minlength=len(lists))
+            sizes = 2 * runs
+            sizes[mask[last]] += tail > 0
+            offsets = np.concatenate(([0], np.cumsum(sizes)))
+            values = np.empty(offsets[-1], np.int64)
+            inside = np.arange(len(mask)) - np.repeat(np.cumsum(runs) - runs, runs)
+            place = offsets[mask] + 2 * inside
+            values[place], values[place + 1] = gap, stop - start
+            ends = offsets[mask[last] + 1] - 1
+            values[ends[tail > 0]] = tail[tail > 0]
+            counts = pa.LargeListArray.from_arrays(offsets, values).cast(pa.list_(pa.int64()))
+            yield from table.select(keys).append_column("counts", counts).to_batches()
+
+    return run
 
 
 def signature_expr(height: str, width: str, counts: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..model import MAX_PROPOSALS, MAX_PROPOSALS_LIMIT
+from .windows import rank_within
 
 
 def append_unreviewed(current: DataFrame, rows: DataFrame, status: str = "draft") -> DataFrame:
@@ -33,8 +34,8 @@ def not_subset(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def rank_proposals(rows: DataFrame, key: str) -> DataFrame:
-    """Stable score order inside a bounded key: score descending, ties by arrival."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "ordinal")).cast("bigint"))
+    """Stable score order inside a key of any size: score descending, ties by arrival."""
+    return rank_within(rows, [key], [F.desc("score"), F.asc("ordinal")])
 
 
 def split_best(rows: DataFrame, key: str) -> DataFrame:

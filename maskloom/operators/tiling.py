@@ -181,28 +181,33 @@ def tiles_hit(boxes: DataFrame, tiling: Tiling = DEFAULT) -> DataFrame:
     Candidate tile indices are arithmetic in the box coordinates, so neither a join with the
     tile table nor a shuffle is needed. Expects x0, y0, x1, y1, width and height.
     """
-    def axis(lo, hi, length, size, stride, out):
-        far, n = _far(length, size), _axis_count(length, size, stride)
-        first = f"greatest(0L, least({n} - 1, CAST(floor(({lo} - {size}) / {stride}) AS BIGINT) + 1))"
-        last = f"least({n} - 1, greatest({first}, CAST(ceil({hi} / {stride}) AS BIGINT) - 1))"
-        # The last tile is pulled back to the image edge, so it may reach boxes before its index.
-        return f"""filter(transform(array_distinct(array_append(sequence({first}, {last}), {n} - 1)),
-                    i -> struct(i AS i, least(i * {stride}, {far}) AS o)),
-                    t -> t.o < {hi} AND t.o + {size} > {lo}) AS {out}"""
+    def axis(lo, hi, length, size, stride, p):
+        """First and last index of the tiles that meet [lo, hi); they are always consecutive.
+
+        All tiles but the last start at index * stride. The last one starts at ``far``, and a box
+        that reaches past ``far`` also reaches the tile before it, unless it starts behind that one.
+        """
+        n, far = f"{p}_n", f"{p}_far"
+        return {
+            f"{p}_first": f"least({n} - 1, greatest(0L, CAST(floor(({lo} - {size}) / {stride}) AS BIGINT) + 1))",
+            f"{p}_last": f"CASE WHEN {far} < {hi} AND {far} + {size} > {lo} THEN {n} - 1 "
+                         f"ELSE least({n} - 2, CAST(ceil({hi} / {stride}) AS BIGINT) - 1) END"}
 
     if tiling.mode == "whole":
         return boxes.withColumns({"tile_idx": F.lit(0).cast("bigint"), "tile_x0": F.lit(0).cast("bigint"),
                                   "tile_y0": F.lit(0).cast("bigint"), "tile_x1": F.expr("CAST(width AS BIGINT)"),
                                   "tile_y1": F.expr("CAST(height AS BIGINT)")})
-    nx = _axis_count("width", tiling.width, tiling.stride_x)
-    hits = boxes.selectExpr("*", axis("x0", "x1", "width", tiling.width, tiling.stride_x, "_xs"),
-                            axis("y0", "y1", "height", tiling.height, tiling.stride_y, "_ys"))
-    return (hits.selectExpr("*", "explode(_xs) AS _tx").selectExpr("*", "explode(_ys) AS _ty")
-            .withColumns({"tile_idx": F.expr(f"_ty.i * {nx} + _tx.i"),
-                          "tile_x0": F.col("_tx.o"), "tile_y0": F.col("_ty.o"),
-                          "tile_x1": F.expr(f"least(_tx.o + {tiling.width}, width)"),
-                          "tile_y1": F.expr(f"least(_ty.o + {tiling.height}, height)")})
-            .drop("_xs", "_ys", "_tx", "_ty"))
+    hits = boxes.withColumns({
+        "_x_n": F.expr(_axis_count("width", tiling.width, tiling.stride_x)), "_x_far": F.expr(_far("width", tiling.width)),
+        "_y_n": F.expr(_axis_count("height", tiling.height, tiling.stride_y)), "_y_far": F.expr(_far("height", tiling.height))})
+    bounds = {**axis("x0", "x1", "width", tiling.width, tiling.stride_x, "_x"), **axis("y0", "y1", "height", tiling.height, tiling.stride_y, "_y")}
+    hits = (hits.withColumns({k: F.expr(e) for k, e in bounds.items()}).filter("_x_first <= _x_last AND _y_first <= _y_last")
+            .withColumn("_ix", F.explode(F.expr("sequence(_x_first, _x_last)")))
+            .withColumn("_iy", F.explode(F.expr("sequence(_y_first, _y_last)"))))
+    return (hits.withColumns({"tile_idx": F.expr("_iy * _x_n + _ix"), "tile_x0": F.expr(f"least(_ix * {tiling.stride_x}, _x_far)"),
+                              "tile_y0": F.expr(f"least(_iy * {tiling.stride_y}, _y_far)")})
+            .withColumns({"tile_x1": F.expr(f"least(tile_x0 + {tiling.width}, width)"), "tile_y1": F.expr(f"least(tile_y0 + {tiling.height}, height)")})
+            .drop("_ix", "_iy", *[f"_{a}_{k}" for a in "xy" for k in ("n", "far", "first", "last")]))
 
 
 def tile_coverage(tiles: DataFrame) -> DataFrame:

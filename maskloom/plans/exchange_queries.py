@@ -224,15 +224,11 @@ ON a.image_id = g.image_id AND a.class_id = g.class_id AND a.grp = g.grp""")
 def src_08(v):
     """LabelMe rectangles grouped by class and group id: groups of several shapes unite to one mask."""
     images, rows = exported(v)
-    shapes = (rows.join(v.classes.selectExpr("class_id", "name AS _label"), "class_id").join(images.select("image_id", F.col("width").alias("_w"), F.col("height").alias("_h")), "image_id"))
-    # One document per image; the fixture's groups stay well inside the documented document size.
-    shape = F.expr("""struct(annotation_id AS k, _label AS label, 'rectangle' AS shape_type, CAST(line % 2 AS STRING) AS group_id,
-        array(array(CAST(x0 AS DOUBLE), CAST(y0 AS DOUBLE)), array(CAST(x1 AS DOUBLE), CAST(y1 AS DOUBLE))) AS points)""")
-    docs = shapes.groupBy("image_id").agg(F.max("_w").alias("imageWidth"), F.max("_h").alias("imageHeight"), F.sort_array(F.collect_list(shape)).alias("s"))
-    docs = docs.selectExpr("concat('doc-', image_id) AS _file", "concat(image_id, '.png') AS imagePath", "CAST(imageWidth AS INT) AS imageWidth", "CAST(imageHeight AS INT) AS imageHeight",
-                           """transform(s, x -> struct(x.label AS label, x.shape_type AS shape_type, parse_json(x.group_id) AS group_id,
-                                CAST(map() AS map<string, string>) AS flags, x.points AS points)) AS shapes""")
-    got = I.parse_labelme(cut_lineage(docs), images, v.classes).annotations
+    shapes = (rows.join(v.classes.selectExpr("class_id", "name AS _label"), "class_id").join(images.select("image_id", F.col("width").alias("_w"), F.col("height").alias("_h")), "image_id")
+              .selectExpr("concat('doc-', image_id) AS _file", "concat(image_id, '.png') AS imagePath", "CAST(_w AS INT) AS imageWidth", "CAST(_h AS INT) AS imageHeight", "annotation_id AS _i",
+                          """struct(_label AS label, 'rectangle' AS shape_type, parse_json(CAST(line % 2 AS STRING)) AS group_id, CAST(map() AS map<string, string>) AS flags,
+                             array(array(CAST(x0 AS DOUBLE), CAST(y0 AS DOUBLE)), array(CAST(x1 AS DOUBLE), CAST(y1 AS DOUBLE))) AS points) AS s"""))
+    got = I.parse_labelme(shapes, images, v.classes).annotations
     counts = rows.groupBy("image_id", "class_id", F.expr("line % 2").alias("grp")).agg(F.count("*").alias("shapes"), F.min("annotation_id").alias("a"))
     typed = got.groupBy("image_id", "class_id", "geom_type").agg(F.count("*").alias("n"))
     wanted = counts.withColumn("geom_type", F.expr("CASE WHEN shapes > 1 THEN 'mask' ELSE 'box' END"))

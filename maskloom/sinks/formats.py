@@ -16,6 +16,7 @@ from ..operators.masks import loss_expr, mask_stats, slabs_to_rle
 from ..operators.predicates import export_split
 from ..operators.vectors import component_polygons, to_polygon
 from ..operators.windows import class_index, dense_ids, paint, plane_conflicts
+from ..session import cut_lineage
 
 
 class ExportBlocked(ValueError):
@@ -135,6 +136,18 @@ def write_yolo(images: DataFrame, annotations: DataFrame, classes: DataFrame, sl
     images.sparkSession.createDataFrame([(body,)], "value STRING").coalesce(1).write.mode("errorifexists").text(f"{path}/class_map")
 
 
+DOCUMENT_OBJECTS = 100_000
+
+
+def _documents(rows: DataFrame, limit: int) -> DataFrame:
+    """Add ``doc``: a crowded image is spread over several documents of bounded size.
+
+    All rows of one annotation stay in one document, so grouped shapes stay together.
+    """
+    sizes = rows.groupBy("image_id").agg(F.ceil(F.count("*") / limit).alias("_docs"))
+    return rows.join(sizes, "image_id").withColumn("doc", F.expr("pmod(xxhash64(annotation_id), _docs)")).drop("_docs")
+
+
 # ---- VOC --------------------------------------------------------------------------------------
 
 def voc_rows(annotations: DataFrame, classes: DataFrame) -> DataFrame:
@@ -145,18 +158,14 @@ def voc_rows(annotations: DataFrame, classes: DataFrame) -> DataFrame:
         "geom_type <> 'box' OR floor(x0) <> x0 OR floor(y0) <> y0 OR ceil(x1) <> x1 OR ceil(y1) <> y1 AS lossy"))
 
 
-def write_voc(images: DataFrame, annotations: DataFrame, classes: DataFrame, path: str, allow_lossy: bool = False) -> None:
-    """XML documents with one <annotation> per image, many per file.
-
-    The objects of one image form one document, as the format demands. An image whose objects are
-    too many for one document is refused rather than cut.
-    """
+def write_voc(images: DataFrame, annotations: DataFrame, classes: DataFrame, path: str, allow_lossy: bool = False,
+              document_objects: int = DOCUMENT_OBJECTS) -> None:
+    """XML documents with one <annotation> per image, many per file; a crowded image gets several."""
     rows = voc_rows(annotations, classes)
     if not allow_lossy:
         _block(rows.filter("lossy").select("annotation_id"), "VOC export without allow_lossy")
     _block(classes.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1"), "VOC export with repeated class names")
-    _block(_too_many(rows), "VOC export of crowded images")
-    objects = rows.groupBy("image_id").agg(F.sort_array(F.collect_list(F.expr(
+    objects = _documents(rows, document_objects).groupBy("image_id", "doc").agg(F.sort_array(F.collect_list(F.expr(
         "struct(annotation_id, class_name AS name, '0' AS truncated, '0' AS difficult, struct(xmin, ymin, xmax, ymax) AS bndbox)"))).alias("o"))
     docs = (images.join(objects, "image_id", "left").selectExpr(
         "'images' AS folder", "concat(image_id, '.png') AS filename", "struct(width, height, 3 AS depth) AS size", "'0' AS segmented",
@@ -164,14 +173,6 @@ def write_voc(images: DataFrame, annotations: DataFrame, classes: DataFrame, pat
     docs.write.format("xml").option("rootTag", "annotations").option("rowTag", "annotation").mode("errorifexists").save(path)
 
 
-DOCUMENT_OBJECTS = 1_000_000
-
-
-def _too_many(rows: DataFrame) -> DataFrame:
-    """Images beyond what one document row can hold; they are reported, and nothing is written."""
-    return rows.groupBy("image_id").agg(F.count("*").alias("objects")).filter(F.col("objects") > DOCUMENT_OBJECTS)
-
-
 # ---- LabelMe ----------------------------------------------------------------------------------
 
 def labelme_shapes(images: DataFrame, annotations: DataFrame, classes: DataFrame, slabs: DataFrame, allow_lossy: bool = False):
@@ -187,7 +188,8 @@ def labelme_shapes(images: DataFrame, annotations: DataFrame, classes: DataFrame
         "image_id", "annotation_id", "label", "group_id", "'rectangle' AS shape_type", "0L AS part",
         "CAST(array(struct(x0 AS x, y0 AS y), struct(x1 AS x, y1 AS y)) AS array<struct<x: double, y: double>>) AS points")
     sized = (slabs.join(rows.filter("geom_type <> 'box'").select("annotation_id"), "annotation_id", "left_semi"))
-    parts = component_polygons(sized, "annotation_id")
+    # Traced once: numbering, the hole check and the shapes all read it.
+    parts = cut_lineage(component_polygons(sized, "annotation_id"))
     made = rows.filter("geom_type <> 'box'").select("image_id", "annotation_id", "label", "group_id").join(parts, "annotation_id")
     failures = made.filter("part = 0 AND holes > 0").selectExpr("image_id", "annotation_id", "'has_holes' AS reason")
     if allow_lossy:
@@ -203,12 +205,12 @@ def labelme_shapes(images: DataFrame, annotations: DataFrame, classes: DataFrame
     return boxes.unionByName(polygons), failures
 
 
-def write_labelme(images: DataFrame, annotations: DataFrame, classes: DataFrame, slabs: DataFrame, path: str, allow_lossy: bool = False) -> None:
-    """One JSON document per image, as JSON lines."""
+def write_labelme(images: DataFrame, annotations: DataFrame, classes: DataFrame, slabs: DataFrame, path: str, allow_lossy: bool = False,
+                   document_objects: int = DOCUMENT_OBJECTS) -> None:
+    """One JSON document per image, as JSON lines; a crowded image gets several."""
     shapes, failures = labelme_shapes(images, annotations, classes, slabs, allow_lossy)
     _block(failures, "LabelMe export")
-    _block(_too_many(shapes), "LabelMe export of crowded images")
-    lists = shapes.groupBy("image_id").agg(F.sort_array(F.collect_list(F.expr(
+    lists = _documents(shapes, document_objects).groupBy("image_id", "doc").agg(F.sort_array(F.collect_list(F.expr(
         "struct(annotation_id, part, label, group_id, shape_type, transform(points, p -> array(p.x, p.y)) AS points)"))).alias("s"))
     (images.join(lists, "image_id", "left").selectExpr(
         "'5.0.1' AS version", "concat(image_id, '.png') AS imagePath", "height AS imageHeight", "width AS imageWidth",
