@@ -227,6 +227,7 @@ def touches_seam(x0="x0", y0="y0", x1="x1", y1="y1", tx0="tx0", ty0="ty0", tx1="
 
 
 def review_label() -> str:
+    # The texts users see.
     return """CASE status
         WHEN 'accepted' THEN CASE WHEN review_actor = 'automated_qa' THEN 'Accepted · automated QA' ELSE 'Accepted' END
         WHEN 'rejected' THEN 'Rejected'

@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..model import MAX_PIXELS, MAX_TILES
 
+# Presets and the policy names that enter plan identities.
 PRESETS = {"256": 256, "512": 512, "1024": 1024}
+PLAN_POLICY = "edge_aligned_no_padding/v1"
+PADDED_POLICY = "tiles512_constant_bottom_right/v1"
 
 
 @dataclass(frozen=True)
@@ -135,9 +138,9 @@ def plan_hash_expr(tiling: Tiling, padded: bool = False, sha256: str | None = No
     config = json.dumps(tiling.canonical(), sort_keys=True, separators=(",", ":"))
     head = f"""'{{"config":{config},"image":' || {_image_identity(sha256)}"""
     if padded:
-        tail = """ || ',"processing_policy":"tiles512_constant_bottom_right/v1"}'"""
+        tail = f""" || ',"processing_policy":"{PADDED_POLICY}"}}'"""
     else:
-        tail = """ || ',"policy":"edge_aligned_no_padding/v1","schema_version":1}'"""
+        tail = f""" || ',"policy":"{PLAN_POLICY}","schema_version":1}}'"""
     return f"sha2({head}{tail}, 256)"
 
 
