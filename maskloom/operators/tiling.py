@@ -112,8 +112,7 @@ def _far(length: str, size: int) -> str:
 
 
 def _axis_count(length: str, size: int, stride: int) -> str:
-    far = _far(length, size)
-    return f"({far} div {stride} + 1 + CASE WHEN {far} % {stride} <> 0 THEN 1 ELSE 0 END)"
+    return f"(({_far(length, size)} + {stride - 1}) div {stride} + 1)"
 
 
 def tile_count(images: DataFrame, tiling: Tiling = DEFAULT) -> DataFrame:
@@ -192,17 +191,17 @@ def tiles_hit(boxes: DataFrame, tiling: Tiling = DEFAULT) -> DataFrame:
         """
         n, far = f"{p}_n", f"{p}_far"
         return {
-            f"{p}_first": f"least({n} - 1, greatest(0L, CAST(floor(({lo} - {size}) / {stride}) AS BIGINT) + 1))",
+            f"{p}_first": f"least({n} - 1, floor(greatest(0, {lo} - {size - stride}) / {stride}))",
             f"{p}_last": f"CASE WHEN {far} < {hi} AND {far} + {size} > {lo} THEN {n} - 1 "
-                         f"ELSE least({n} - 2, CAST(ceil({hi} / {stride}) AS BIGINT) - 1) END"}
+                         f"ELSE least({n} - 2, ceil({hi} / {stride}) - 1) END"}
 
     if tiling.mode == "whole":
         return boxes.withColumns({"tile_idx": F.lit(0).cast("bigint"), "tile_x0": F.lit(0).cast("bigint"),
                                   "tile_y0": F.lit(0).cast("bigint"), "tile_x1": F.expr("CAST(width AS BIGINT)"),
                                   "tile_y1": F.expr("CAST(height AS BIGINT)")})
-    hits = boxes.withColumns({
-        "_x_n": F.expr(_axis_count("width", tiling.width, tiling.stride_x)), "_x_far": F.expr(_far("width", tiling.width)),
-        "_y_n": F.expr(_axis_count("height", tiling.height, tiling.stride_y)), "_y_far": F.expr(_far("height", tiling.height))})
+    hits = boxes.withColumns({"_x_far": F.expr(_far("width", tiling.width)), "_y_far": F.expr(_far("height", tiling.height))}).withColumns({
+        "_x_n": F.expr(f"(_x_far + {tiling.stride_x - 1}) div {tiling.stride_x} + 1"),
+        "_y_n": F.expr(f"(_y_far + {tiling.stride_y - 1}) div {tiling.stride_y} + 1")})
     bounds = {**axis("x0", "x1", "width", tiling.width, tiling.stride_x, "_x"), **axis("y0", "y1", "height", tiling.height, tiling.stride_y, "_y")}
     hits = (hits.withColumns({k: F.expr(e) for k, e in bounds.items()}).filter("_x_first <= _x_last AND _y_first <= _y_last")
             .withColumn("_ix", F.explode(F.expr("sequence(_x_first, _x_last)")))

@@ -13,6 +13,8 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Methods beyond this size are never compiled by the JVM: such stages run faster as split expressions.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
