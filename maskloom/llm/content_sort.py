@@ -1,7 +1,7 @@
 """Exact document dedup by content sort.
 
 Normalised texts (white space deleted) are range-partitioned by splitters that Spark samples from
-them, sorted externally inside each partition, and compared with their neighbours; of each run of
+their first characters and a hash (so that many texts with one beginning spread), sorted externally inside each partition, and compared with their neighbours; of each run of
 equals one row stays. Only built-in SQL functions run.
 
 A text that fills a large share of the rows or bytes would end in one range. Such texts (at most a
@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import cut_lineage
 from .common import shuffle_partitions, stage, text_or_empty
 
+PREFIX = 64
+
 
 def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
@@ -39,10 +41,12 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
 
     best = [F.col("len").desc(), F.col("id").asc_nulls_last()]
-    run = Window.partitionBy("norm", "salt")
+    # Splitters are sampled from a bounded prefix and a hash, never from whole texts; equals agree in both.
+    rows = rows.withColumn("prefix", F.substring("norm", 1, PREFIX))
+    run = Window.partitionBy("prefix", "mark", "salt", "norm")
     first = run.orderBy(*best)
     every = first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    local = (rows.repartitionByRange(parts, "norm", "salt")
+    local = (rows.repartitionByRange(parts, "prefix", "mark", "salt")
              .select("id", "len", "norm", "hot", "salt", F.row_number().over(first).alias("place"),
                      F.first("id").over(every).alias("head"), F.count("*").over(every).alias("size"))
              .select("id", "len", "hot", "salt", "place", "head", "size", F.sha2("norm", 256).alias("sha"),
@@ -51,9 +55,9 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     single = local.filter(~F.col("hot")).select("id", F.col("head").alias("keep_id"), F.col("size").alias("group_size"),
                                                 (F.col("place") == 1).alias("kept"), "sha")
-    over = Window.partitionBy("norm")
+    over = Window.partitionBy("prefix", "norm")
     ahead = over.orderBy(*best, "salt")
-    heads = (local.filter(F.col("hot") & (F.col("place") == 1)).repartitionByRange(parts, "norm")
+    heads = (local.filter(F.col("hot") & (F.col("place") == 1)).withColumn("prefix", F.substring("norm", 1, PREFIX)).repartitionByRange(parts, "prefix")
              .select("sha", "salt", F.first("id").over(ahead).alias("keep_id"), F.sum("size").over(over).alias("group_size"),
                      (F.row_number().over(ahead) == 1).alias("leads")))
     spread = (local.filter("hot").select("id", "sha", "salt", "place").join(heads, ["sha", "salt"])

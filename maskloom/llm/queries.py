@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, content_sort, mixing
+from . import chat_format, content_sort, line_chunks, minhash, mixing, toxicity
 from .common import table
 
 QUERIES: dict = {}
@@ -56,3 +56,34 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = F.array_join(F.transform("turns", lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
                        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query()
+def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+LINE_HASH = "CAST('0x' || substr(md5(l), 1, 7) AS BIGINT)"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+x AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) - 1 AS i FROM d),
+h AS (SELECT doc_id, i, l, {LINE_HASH} AS h FROM x),
+b AS (SELECT doc_id, i, l, CASE WHEN i = 0 OR ((lag(h) OVER w * 31 + h) % 65521) % 3 = 0 THEN 1 ELSE 0 END AS s FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, i, l, sum(s) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM b),
+g AS (SELECT doc_id, k, min(i) AS start, count(*) AS n, string_agg(l, chr(10) ORDER BY i) AS t FROM c GROUP BY doc_id, k),
+r AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY t, n > 1 ORDER BY doc_id, start) > 1 AS gone FROM g)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN gone THEN n ELSE 0 END) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(CASE WHEN NOT gone THEN t END, chr(10) ORDER BY start), '')) AS kept_sha256
+FROM r GROUP BY doc_id""")
+def op4_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_chunks.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query()
+def op6_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.learn(docs, labels))
+    return scored.select("doc_id", (toxicity.fold_of("doc_id") == 2).alias("held_out"), "score", "predicted")
