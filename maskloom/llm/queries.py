@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, content_sort, line_chunks, minhash, mixing, toxicity
+from . import chat_format, content_sort, line_chunks, minhash, mixing, topk, toxicity
 from .common import table
 
 QUERIES: dict = {}
@@ -87,3 +87,15 @@ def op6_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity.score(docs.select("doc_id", "text"), toxicity.learn(docs, labels))
     return scored.select("doc_id", (toxicity.fold_of("doc_id") == 2).alias("held_out"), "score", "predicted")
+
+
+@query("""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+def op2_norm_bucket_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.scaled(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(rows, rows.filter("id % 50 = 0"))
