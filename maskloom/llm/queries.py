@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, content_sort, line_chunks, minhash, mixing, topk, toxicity
-from .common import table
+from . import chat_format, content_sort, huffman_ids, line_chunks, minhash, mixing, pieces, topk, toxicity
+from .common import scratch, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,21 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 def op2_norm_bucket_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = topk.scaled(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.top_k(rows, rows.filter("id % 50 = 0"))
+
+
+@query()
+def op1_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    path = scratch(spark, "id-files")
+    huffman_ids.encode_and_write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return huffman_ids.read_ids(spark, path, digest_only=True)
+
+
+@query()
+def op5_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    back = pieces.decode(coded, model)
+    return back.select("doc_id", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), F.sha2("decoded", 256).alias("decoded_sha256"),
+                       F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False)).alias("exact"))
