@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BASE = 0x9E3779B97F4A7C15 | 1
-_powers: list[np.ndarray] = []
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,24 +21,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power_tables(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i for i < n; kept per process, grown when a longer text comes."""
-    if not _powers or len(_powers[0]) < n:
+    if which not in _powers or len(_powers[which][0]) < n:
         size = max(n, 1 << 16)
         grown = []
-        for base in (BASE, pow(BASE, -1, 1 << 64)):
+        for base in (BASES[which], pow(BASES[which], -1, 1 << 64)):
             out = np.full(size, base, U)
             out[0] = 1
             grown.append(np.multiply.accumulate(out))
-        _powers[:] = grown
-    return _powers[0], _powers[1]
+        _powers[which] = grown[0], grown[1]
+    return _powers[which]
 
 
 class Rolling:
     """Hashes of arbitrary slices of one byte buffer."""
 
-    def __init__(self, data: np.ndarray):
-        up, self.down = _power_tables(len(data) + 1)
+    def __init__(self, data: np.ndarray, which: int = 0):
+        up, self.down = _power_tables(len(data) + 1, which)
         self.sums = np.zeros(len(data) + 1, U)
         np.cumsum((data.astype(U) + U(1)) * up[:len(data)], out=self.sums[1:])
 

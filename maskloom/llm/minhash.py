@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 from .bytehash import Rolling, U, mix, pieces
@@ -212,3 +212,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
            .select("id", F.col("n").alias("n_shingles"), F.coalesce(label, "id").alias("component_id")))
     plain = lambda c: F.when(F.col(c) != LAST, F.col(c))
     return out.select(plain("id").alias(id_col), "n_shingles", plain("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+    """Rows of ``docs`` that stay: one document of each component, one row of each id, same columns."""
+    kept = near_duplicates(docs, id_col, **settings).filter("kept").select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id"))
+    one = Window.partitionBy("_id").orderBy("row")
+    rows = rows.join(kept, "_id").withColumn("_place", F.row_number().over(one)).filter("_place = 1")
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, content_sort, huffman_ids, line_chunks, minhash, mixing, pieces, topk, toxicity
+from . import chat_format, content_sort, huffman_ids, line_chunks, minhash, mixing, pieces, prefix_free, topk, toxicity
 from .common import scratch, table
 
 QUERIES: dict = {}
@@ -117,3 +117,8 @@ def op5_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = pieces.decode(coded, model)
     return back.select("doc_id", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), F.sha2("decoded", 256).alias("decoded_sha256"),
                        F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False)).alias("exact"))
+
+
+@query()
+def op3_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_free.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False)

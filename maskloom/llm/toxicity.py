@@ -28,8 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage
-from .common import text_or_empty
+from .common import broadcast_if_small, stage, text_or_empty
 
 WORD = regex.compile(r"[\p{L}\p{N}\p{M}'*@$]+")
 QUOTES = frozenset("\"'“”„«»‘’‹›`")
@@ -155,7 +154,7 @@ def fold_of(id_col: str):
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
     marks = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty().alias("text"))
-    return texts.join(marks, "id").withColumn("fold", F.crc32(F.col("id").cast("string").cast("binary")) % 4).filter("fold <> 2")
+    return texts.join(broadcast_if_small(marks, 1_000_000), "id").withColumn("fold", F.crc32(F.col("id").cast("string").cast("binary")) % 4).filter("fold <> 2")
 
 
 def count_terms(rows: DataFrame, terms: int, support: int = 4) -> dict[str, float]:
@@ -198,7 +197,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) ->
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", terms: int = 2000, sample: int = 20_000) -> Model:
-    rows = cut_lineage(_labelled(docs, labels, id_col).dropDuplicates(["text", "toxic"]))
+    rows = stage(_labelled(docs, labels, id_col).dropDuplicates(["text", "toxic"]), "labelled")
     first = count_terms(rows.filter("fold < 2"), terms)
     chosen = rows.filter("fold = 3").orderBy(F.xxhash64("id"), "id").limit(sample)
     evidence = chosen.select("text", "toxic").mapInArrow(_evidence(first), "x array<double>, toxic int").collect()  # a few numbers a row, at most `sample` rows
