@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 from .bytehash import Rolling, U, mix, pieces
@@ -177,23 +177,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = cut_lineage(member.select("id").distinct())
     sets = stage(texts.join(broadcast_if_small(wanted, 1_000_000), "id", "left_semi").mapInArrow(_sets(width), "id long, keys array<long>"), "sets")
 
+    # Shingles that no other candidate holds can be in no intersection: u of them bound every link of a document.
+    single = sets.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("id")).filter("m = 1")
+    alone = single.groupBy("id").agg(F.count("*").alias("u"))
+    member = member.join(alone, "id", "left").select("band", "size", "id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("most"))
+    member = cut_lineage(member.filter(F.col("most") * 100 >= F.col("n") * percent))
+
+    def may_link() -> Column:
+        """The exact upper bound of the Jaccard index reaches the threshold."""
+        common = F.least("most", "most_a")
+        return common * 100 >= (F.col("n") + F.col("na") - common) * percent
+
     comp = member.select("id", F.col("id").alias("comp")).distinct()
     edges, tested, turn = None, None, 0
     while True:
         now = member.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        split = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("id").alias("least")).filter("low < high")
+        split = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
+                                       F.min(F.struct(((F.col("n") - F.col("most")) / F.col("n")).alias("odd"), "id", "n", "most")).alias("mid")).filter("low < high")
         if turn == 0:
-            # Each document meets one leader first: that closes most buckets.
-            first = member.join(split, "band").filter("id > least").groupBy("id", "n").agg(F.min("least").alias("a"))
-            size = member.select(F.col("id").alias("a"), F.col("n").alias("na")).distinct()
-            pairs = first.join(size, "a").filter(F.least("n", "na") * 100 >= F.greatest("n", "na") * percent).select("a", F.col("id").alias("b"))
+            # Each document first meets one leader, the one with the fewest shingles of its own: that closes most buckets.
+            first = member.join(split.select("band", "mid"), "band").filter(F.col("id") != F.col("mid.id")).groupBy("id", "n", "most").agg(F.min("mid").alias("mid"))
+            pairs = (first.select("id", "n", "most", F.col("mid.id").alias("a"), F.col("mid.n").alias("na"), F.col("mid.most").alias("most_a")).filter(may_link())
+                     .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
         else:
-            live = now.join(split, "band")
+            live = now.join(split.select("band"), "band")
             # Leaders by a hash below turn-wise growing bounds: all members of a small bucket, some of a large one.
             draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("size")
             low, high = (0 if turn == 1 else leaders * 8 ** (turn - 2)), leaders * 8 ** (turn - 1)
-            lead = live.filter((draw >= low) & (draw < high)).select("band", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            pairs = (lead.join(live, "band").filter((F.col("ca") != F.col("comp")) & (F.least("n", "na") * 100 >= F.greatest("n", "na") * percent))
+            lead = live.filter((draw >= low) & (draw < high)).select("band", F.col("id").alias("a"), F.col("n").alias("na"), F.col("most").alias("most_a"), F.col("comp").alias("ca"))
+            pairs = (lead.join(live, "band").filter((F.col("ca") != F.col("comp")) & may_link())
                      .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         left, right = sets.select(F.col("id").alias("a"), F.col("keys").alias("ka")), sets.select(F.col("id").alias("b"), F.col("keys").alias("kb"))
