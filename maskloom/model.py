@@ -20,7 +20,7 @@ MAX_PROPOSALS = 5_000
 MAX_PROPOSALS_LIMIT = 20_000
 MAX_PLANE_VALUE = 65_535
 
-# Seam repair policy.
+# Seam repair policy, names and numbers.
 REPAIR_POLICY = {
     "crop_sizes": (512, 1024, 1536),
     "context_margin": 32,

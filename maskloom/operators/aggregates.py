@@ -9,7 +9,7 @@ from ..model import EXPORT_FORMATS, ROLES, SPLITS, STATUSES
 from .joins import leaking_groups
 from .predicates import (LIVE, annotation_issues, countable_instances, export_disposition, export_split, exported,
                          training_disposition, training_rows, training_split)
-from .tiling import TRAINING, tile_count
+from .tiling import TRAINING, plan_tiles, tile_count
 
 
 def _union(parts):
@@ -78,6 +78,11 @@ def export_gates(summary: DataFrame, fmt: str, mode: str = "reviewed", allow_los
     return facts.selectExpr(f"inline(filter(array({found}), r -> r IS NOT NULL))")
 
 
+def tileable(images: DataFrame) -> DataFrame:
+    """Images that have a training plan; :func:`readiness` reports the others as errors."""
+    return images.join(plan_tiles(images, TRAINING, padded=True)[1].select("image_id"), "image_id", "left_anti")
+
+
 def readiness(images: DataFrame, annotations: DataFrame, classes: DataFrame, round_images: DataFrame | None = None,
               qa_smoke: bool = False, fragments: DataFrame | None = None, conversion: DataFrame | None = None) -> DataFrame:
     """Training readiness as (metric, key, value).
@@ -115,7 +120,10 @@ def readiness(images: DataFrame, annotations: DataFrame, classes: DataFrame, rou
         _metric(per_class_train.filter("n = 0"), "warning_class_without_training_instance", "class_id", "1"),
         _metric(annotations.filter("coalesce(training_excluded, false)").agg(F.count("*").alias("n")), "excluded_annotations"),
     ]
-    tiles = tile_count(included, TRAINING).groupBy("split").agg(F.sum("tile_count").alias("n"))
+    # An image that cannot be tiled is an error, never silently absent from the snapshot.
+    refused = plan_tiles(included, TRAINING, padded=True)[1].groupBy("reason").agg(F.count("*").alias("n"))
+    parts.append(_metric(refused, "error", "concat('image_cannot_be_tiled:', reason)"))
+    tiles = tile_count(tileable(included), TRAINING).groupBy("split").agg(F.sum("tile_count").alias("n"))
     parts.append(_metric(split_keys.join(tiles, "split", "left"), "tiles", "split", "coalesce(n, 0)"))
     if fragments is not None:
         made = fragments.join(included.select("image_id", "split"), "image_id").groupBy("split").agg(F.count("*").alias("n"))

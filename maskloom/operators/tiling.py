@@ -6,7 +6,6 @@ so a plan is one narrow ``explode`` per image: no sort, no window and no shuffle
 from __future__ import annotations
 
 import json
-import math
 from dataclasses import dataclass
 from decimal import Decimal
 from numbers import Real
@@ -51,50 +50,53 @@ class Tiling:
         }
 
 
-def _whole_number(value) -> bool:
-    return isinstance(value, int) and not isinstance(value, bool)
+def _is_count(value) -> bool:
+    return type(value) is int
+
+
+def _as_pixels(size: int, overlap: int):
+    """A pixel overlap: (requested, pixels), or the complaint about it."""
+    return (overlap, overlap) if _is_count(overlap) and 0 <= overlap < size else "must be an integer in [0, tile size)"
+
+
+def _as_percent(size: int, overlap):
+    """A percentage of the tile: (requested, pixels rounded down in decimal), or the complaint about it."""
+    if isinstance(overlap, bool) or not isinstance(overlap, Real) or not (0 <= overlap < 100):  # NaN compares false
+        return "must be a percentage in [0, 100)"
+    requested = int(overlap) if overlap == int(overlap) else float(overlap)
+    return requested, int(Decimal(str(requested)) * size // 100)
+
+
+OVERLAPS = {"percent": (_as_percent, 25), "pixels": (_as_pixels, 0)}
 
 
 def resolve_tiling(mode="tiled", preset="512", width=None, height=None,
                    overlap_mode="percent", overlap_x=None, overlap_y=None) -> Tiling:
-    """Check tile settings and turn percentages into pixels (decimal floor)."""
-    problems: dict[str, str] = {}
-    if mode not in ("tiled", "whole"):
-        problems["mode"] = "must be tiled or whole"
-    if preset not in (*PRESETS, "custom"):
-        problems["preset"] = "must be 256, 512, 1024 or custom"
-    sizes = {}
-    for name, given in (("width", width), ("height", height)):
-        size = PRESETS.get(preset, 512) if given is None else given
-        if not _whole_number(size) or size <= 0:
-            problems[name] = "must be a positive integer"
-        elif preset in PRESETS and size != PRESETS[preset]:
-            problems[name] = "must match the preset"
-        sizes[name] = size
-    if not problems and sizes["width"] * sizes["height"] > MAX_PIXELS:
-        problems["width"] = f"tile exceeds {MAX_PIXELS} pixels"
-    if overlap_mode not in ("percent", "pixels"):
-        problems["overlap.mode"] = "must be percent or pixels"
-    requested, resolved = [], []
-    for axis, size, given in (("x", sizes["width"], overlap_x), ("y", sizes["height"], overlap_y)):
-        value = (25 if overlap_mode == "percent" else 0) if given is None else given
-        if overlap_mode == "pixels":
-            if not _whole_number(value) or value < 0 or (_whole_number(size) and value >= size):
-                problems[f"overlap.{axis}"] = "must be an integer in [0, tile size)"
-                continue
-            pixels = value
-        else:
-            usable = isinstance(value, Real) and not isinstance(value, bool) and math.isfinite(value)
-            if not usable or not 0 <= value < 100:
-                problems[f"overlap.{axis}"] = "must be a percentage in [0, 100)"
-                continue
-            value = int(value) if float(value).is_integer() else float(value)
-            pixels = int(Decimal(size) * Decimal(str(value)) // 100) if _whole_number(size) else 0
-        requested.append(value)
-        resolved.append(pixels)
-    if problems:
-        raise ValueError("; ".join(f"{k}: {v}" for k, v in sorted(problems.items())))
-    return Tiling(mode, preset, sizes["width"], sizes["height"], overlap_mode, tuple(requested), *resolved)
+    """Settings with overlaps in pixels; one error that lists every complaint."""
+    complaints = []
+
+    def ask(holds: bool, complaint: str) -> None:
+        if not holds:
+            complaints.append(complaint)
+
+    ask(mode in ("tiled", "whole"), "mode: must be tiled or whole")
+    ask(preset == "custom" or preset in PRESETS, "preset: must be 256, 512, 1024 or custom")
+    ask(overlap_mode in OVERLAPS, "overlap.mode: must be percent or pixels")
+    fixed = PRESETS.get(preset)
+    size = {"x": (fixed or 512) if width is None else width, "y": (fixed or 512) if height is None else height}
+    for axis, name in (("x", "width"), ("y", "height")):
+        ask(_is_count(size[axis]) and size[axis] > 0, f"{name}: must be a positive integer")
+        ask(fixed in (None, size[axis]), f"{name}: must match the preset")
+    if not complaints:
+        ask(size["x"] * size["y"] <= MAX_PIXELS, f"width: tile exceeds {MAX_PIXELS} pixels")
+        convert, usual = OVERLAPS[overlap_mode]
+        overlaps = {axis: convert(size[axis], usual if given is None else given) for axis, given in (("x", overlap_x), ("y", overlap_y))}
+        for axis, found in overlaps.items():
+            ask(isinstance(found, tuple), f"overlap.{axis}: {found}")
+    if complaints:
+        raise ValueError("; ".join(complaints))
+    (ask_x, pixels_x), (ask_y, pixels_y) = overlaps["x"], overlaps["y"]
+    return Tiling(mode, preset, size["x"], size["y"], overlap_mode, (ask_x, ask_y), pixels_x, pixels_y)
 
 
 DEFAULT = resolve_tiling()
@@ -177,6 +179,14 @@ def plan_tiles(images: DataFrame, tiling: Tiling = DEFAULT, padded: bool = False
     return tiles, rejects
 
 
+def all_tiles(images: DataFrame, tiling: Tiling = DEFAULT, padded: bool = False, **settings) -> DataFrame:
+    """The tiles of :func:`plan_tiles` for callers that cannot carry rejects: the job fails if there are any."""
+    tiles, rejects = plan_tiles(images, tiling, padded, **settings)
+    refused = rejects.agg(F.count("*").alias("n"), F.min("image_id").alias("image_id")).filter("n > 0").select(
+        F.raise_error(F.format_string("%d images cannot be tiled, the first is %s", "n", F.col("image_id").cast("string"))).alias("image_id"))
+    return tiles.unionByName(refused.select(F.col("image_id").cast(tiles.schema["image_id"].dataType)), allowMissingColumns=True)
+
+
 def tiles_hit(boxes: DataFrame, tiling: Tiling = DEFAULT) -> DataFrame:
     """Every (box, tile) pair that strictly intersects.
 

@@ -408,7 +408,7 @@ def snk_10(v):
 SELECT image_id, tile_idx, x0 + 2 AS bx0, y0 + 2 AS by0, x0 + 10 AS bx1, y0 + 10 AS by1, CAST(64 AS BIGINT) AS area FROM ({TRAINING_SQL}) t""")
 def udf_01(v):
     """The stand-in predictor over all training tiles, mapped to image coordinates."""
-    tiles = TL.plan_tiles(v.images, TL.TRAINING)[0]
+    tiles = TL.all_tiles(v.images, TL.TRAINING)
     local = PR.predict(tiles.select("image_id", "tile_idx", "tile_id"), PR.rectangle_predictor)
     placed = local.join(tiles.selectExpr("image_id", "tile_idx", "x0 AS tile_x0", "y0 AS tile_y0", "x1 AS tile_x1", "y1 AS tile_y1"), ["image_id", "tile_idx"])
     return M.mask_stats(M.map_to_image(placed), "image_id", "tile_idx")

@@ -133,7 +133,7 @@ def agg_09(v):
 SELECT image_id, count(*) AS total_tiles, count(*) FILTER (WHERE done) AS completed_tiles, CASE WHEN bool_and(done) THEN 'complete' WHEN NOT bool_or(done) THEN 'running' ELSE 'partial' END AS status
 FROM (SELECT image_id, image_id % 3 <> 0 OR tile_idx % 2 = 0 AS done FROM ({DEFAULT_SQL}) t) q GROUP BY image_id""")
 def agg_11(v):
-    tiles = TL.plan_tiles(v.images)[0]
+    tiles = TL.all_tiles(v.images)
     return A.layer_coverage(tiles, tiles.filter("image_id % 3 <> 0 OR tile_idx % 2 = 0"))
 
 
@@ -141,7 +141,7 @@ def agg_11(v):
 SELECT timing, CAST(round(sum(seconds), 6) AS DOUBLE) AS seconds, count(*) AS tiles FROM (
   SELECT 'encode_seconds' AS timing, tile_idx * 0.25 AS seconds FROM ({DEFAULT_SQL}) t UNION ALL SELECT 'mask_seconds', (image_id % 8) * 0.5 FROM ({DEFAULT_SQL}) t) q GROUP BY timing""")
 def agg_12(v):
-    receipts = TL.plan_tiles(v.images)[0].select(F.expr(
+    receipts = TL.all_tiles(v.images).select(F.expr(
         "map('encode_seconds', CAST(tile_idx * 0.25 AS DOUBLE), 'mask_seconds', CAST((image_id % 8) * 0.5 AS DOUBLE), 'cold_loads', 1.0D)").alias("timings"))
     return A.timing_rollup(receipts).withColumn("seconds", F.round("seconds", 6))
 
@@ -205,7 +205,7 @@ def win_03(v):
 
 @query("win_04", f"SELECT image_id, max(tile_idx) AS last_idx, arg_max(x0, tile_idx) AS x0, arg_max(y0, tile_idx) AS y0 FROM ({DEFAULT_SQL}) t GROUP BY image_id")
 def win_04(v):
-    return TL.plan_tiles(v.images)[0].groupBy("image_id").agg(
+    return TL.all_tiles(v.images).groupBy("image_id").agg(
         F.max("tile_idx").alias("last_idx"), F.max_by("x0", "tile_idx").alias("x0"), F.max_by("y0", "tile_idx").alias("y0"))
 
 
@@ -304,7 +304,7 @@ def set_02(v):
 
 @query("set_03", f"SELECT image_id, tile_idx FROM ({DEFAULT_SQL}) t WHERE NOT (image_id % 3 <> 0 OR tile_idx % 2 = 0)")
 def set_03(v):
-    tiles = TL.plan_tiles(v.images)[0].select("image_id", "tile_idx")
+    tiles = TL.all_tiles(v.images).select("image_id", "tile_idx")
     return S.missing(tiles, tiles.filter("image_id % 3 <> 0 OR tile_idx % 2 = 0"), ["image_id", "tile_idx"])
 
 

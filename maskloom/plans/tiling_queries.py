@@ -28,7 +28,7 @@ BOX = ("image_id", "tile_idx", "x0", "y0", "x1", "y1")
 
 @query("tile_01", f"SELECT image_id, tile_idx, x0, y0, x1, y1 FROM ({DEFAULT_SQL}) t")
 def tile_01(v):
-    return TL.plan_tiles(v.images)[0].select(*BOX)
+    return TL.all_tiles(v.images).select(*BOX)
 
 
 @query("tile_02", f"""
@@ -42,7 +42,7 @@ def tile_02(v):
              "whole": TL.resolve_tiling(mode="whole")}
     out = None
     for name, tiling in plans.items():
-        part = TL.plan_tiles(v.images, tiling)[0].agg(
+        part = TL.all_tiles(v.images, tiling).agg(
             F.lit(name).alias("plan"), F.count("*").alias("tiles"),
             F.sum(F.expr("x1 - x0")).alias("sum_w"), F.sum(F.expr("y1 - y0")).alias("sum_h"))
         out = part if out is None else out.unionByName(part)
@@ -60,13 +60,13 @@ def tile_03(v):
 
 @query("tile_04", f"SELECT image_id, tile_idx, x0, y0, x1, y1 FROM ({plan_sql(1024, 896)}) t")
 def tile_04(v):
-    return TL.plan_tiles(v.images, TL.square_tiling())[0].select(*BOX)
+    return TL.all_tiles(v.images, TL.square_tiling()).select(*BOX)
 
 
 @query("tile_05", f"""
 SELECT image_id, tile_idx, x0, y0, 512 - (x1 - x0) AS pad_right, 512 - (y1 - y0) AS pad_bottom FROM ({TRAINING_SQL}) t""")
 def tile_05(v):
-    return TL.plan_tiles(v.images, TL.TRAINING, padded=True)[0].select("image_id", "tile_idx", "x0", "y0", "pad_right", "pad_bottom")
+    return TL.all_tiles(v.images, TL.TRAINING, padded=True).select("image_id", "tile_idx", "x0", "y0", "pad_right", "pad_bottom")
 
 
 _CONFIG = json.dumps(TL.DEFAULT.canonical(), sort_keys=True, separators=(",", ":"))
@@ -106,7 +106,7 @@ JOIN (SELECT image_id, sum(cx) FILTER (WHERE k = 'x') * sum(cx) FILTER (WHERE k
         FROM (SELECT DISTINCT image_id, y0, y1 FROM ({DEFAULT_SQL}) q) d) g GROUP BY image_id) c ON c.image_id = t.image_id
 GROUP BY t.image_id""")
 def tile_07(v):
-    return TL.tile_coverage(TL.plan_tiles(v.images)[0])
+    return TL.tile_coverage(TL.all_tiles(v.images))
 
 
 HITS = f"""

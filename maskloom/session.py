@@ -28,13 +28,15 @@ def get_spark(master: str | None = None, app: str = "maskloom", **conf) -> Spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names; a temporary one only when none is set."""
+    """The shared folder the cluster names; a temporary one only in a single-machine session."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="maskloom-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()

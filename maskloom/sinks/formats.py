@@ -136,18 +136,6 @@ def write_yolo(images: DataFrame, annotations: DataFrame, classes: DataFrame, sl
     images.sparkSession.createDataFrame([(body,)], "value STRING").coalesce(1).write.mode("errorifexists").text(f"{path}/class_map")
 
 
-DOCUMENT_OBJECTS = 100_000
-
-
-def _documents(rows: DataFrame, limit: int) -> DataFrame:
-    """Add ``doc``: a crowded image is spread over several documents of bounded size.
-
-    All rows of one annotation stay in one document, so grouped shapes stay together.
-    """
-    sizes = rows.groupBy("image_id").agg(F.ceil(F.count("*") / limit).alias("_docs"))
-    return rows.join(sizes, "image_id").withColumn("doc", F.expr("pmod(xxhash64(annotation_id), _docs)")).drop("_docs")
-
-
 # ---- VOC --------------------------------------------------------------------------------------
 
 def voc_rows(annotations: DataFrame, classes: DataFrame) -> DataFrame:
@@ -158,14 +146,13 @@ def voc_rows(annotations: DataFrame, classes: DataFrame) -> DataFrame:
         "geom_type <> 'box' OR floor(x0) <> x0 OR floor(y0) <> y0 OR ceil(x1) <> x1 OR ceil(y1) <> y1 AS lossy"))
 
 
-def write_voc(images: DataFrame, annotations: DataFrame, classes: DataFrame, path: str, allow_lossy: bool = False,
-              document_objects: int = DOCUMENT_OBJECTS) -> None:
-    """XML documents with one <annotation> per image, many per file; a crowded image gets several."""
+def write_voc(images: DataFrame, annotations: DataFrame, classes: DataFrame, path: str, allow_lossy: bool = False) -> None:
+    """XML documents: one <annotation> per image, whatever its size, many per file."""
     rows = voc_rows(annotations, classes)
     if not allow_lossy:
         _block(rows.filter("lossy").select("annotation_id"), "VOC export without allow_lossy")
     _block(classes.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1"), "VOC export with repeated class names")
-    objects = _documents(rows, document_objects).groupBy("image_id", "doc").agg(F.sort_array(F.collect_list(F.expr(
+    objects = rows.groupBy("image_id").agg(F.sort_array(F.collect_list(F.expr(
         "struct(annotation_id, class_name AS name, '0' AS truncated, '0' AS difficult, struct(xmin, ymin, xmax, ymax) AS bndbox)"))).alias("o"))
     docs = (images.join(objects, "image_id", "left").selectExpr(
         "'images' AS folder", "concat(image_id, '.png') AS filename", "struct(width, height, 3 AS depth) AS size", "'0' AS segmented",
@@ -205,12 +192,11 @@ def labelme_shapes(images: DataFrame, annotations: DataFrame, classes: DataFrame
     return boxes.unionByName(polygons), failures
 
 
-def write_labelme(images: DataFrame, annotations: DataFrame, classes: DataFrame, slabs: DataFrame, path: str, allow_lossy: bool = False,
-                   document_objects: int = DOCUMENT_OBJECTS) -> None:
-    """One JSON document per image, as JSON lines; a crowded image gets several."""
+def write_labelme(images: DataFrame, annotations: DataFrame, classes: DataFrame, slabs: DataFrame, path: str, allow_lossy: bool = False) -> None:
+    """One JSON document per image, whatever its size, as JSON lines."""
     shapes, failures = labelme_shapes(images, annotations, classes, slabs, allow_lossy)
     _block(failures, "LabelMe export")
-    lists = _documents(shapes, document_objects).groupBy("image_id", "doc").agg(F.sort_array(F.collect_list(F.expr(
+    lists = shapes.groupBy("image_id").agg(F.sort_array(F.collect_list(F.expr(
         "struct(annotation_id, part, label, group_id, shape_type, transform(points, p -> array(p.x, p.y)) AS points)"))).alias("s"))
     (images.join(lists, "image_id", "left").selectExpr(
         "'5.0.1' AS version", "concat(image_id, '.png') AS imagePath", "height AS imageHeight", "width AS imageWidth",

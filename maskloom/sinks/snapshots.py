@@ -3,10 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.aggregates import readiness
+from ..operators.aggregates import readiness, tileable
 from ..operators.masks import crop, mask_stats
 from ..operators.predicates import countable_instances, training_disposition, training_rows, training_split
-from ..operators.tiling import TRAINING, plan_tiles, tiles_hit
+from ..operators.tiling import TRAINING, all_tiles, tiles_hit
 from ..operators.windows import class_index
 
 
@@ -54,16 +54,18 @@ def build_snapshot(images: DataFrame, annotations: DataFrame, classes: DataFrame
     labels = tile_labels(rows, slabs, images, classes).persist()
     try:
         report = readiness(images, annotations, classes, round_images, qa_smoke, fragments=labels.select("image_id", "tile_idx"))
+        # Published first and whole: the exception only names the report.
+        report.write.mode("errorifexists").parquet(f"{path}/readiness")
+        report = images.sparkSession.read.parquet(f"{path}/readiness")
         if require_ready:
-            errors = report.filter("metric = 'error'").limit(20).collect()
+            errors = report.filter("metric = 'error'").count()
             if errors:
-                raise ValueError(f"training data not ready: {[(r['key'], r['value']) for r in errors]}")
+                raise ValueError(f"training data not ready: {errors} kinds of errors, listed in {path}/readiness")
         included, versions = snapshot_rows(images, annotations, classes, round_images, qa_smoke)
-        tiles = plan_tiles(images.join(included.select("image_id"), "image_id", "left_semi"), TRAINING, padded=True)[0].drop("width", "height")
+        tiles = all_tiles(tileable(images.join(included.select("image_id"), "image_id", "left_semi")), TRAINING, padded=True).drop("width", "height")
         parts = {"images": included, "versions": versions, "labels": labels, "tiles": tiles, "classes": class_index(classes, 0)}
         for name, df in parts.items():
             df.write.mode("errorifexists").parquet(f"{path}/{name}")
-        report.write.mode("errorifexists").parquet(f"{path}/readiness")
     finally:
         labels.unpersist()
     spark = images.sparkSession

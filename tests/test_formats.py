@@ -16,13 +16,13 @@ SLABS = "image_id BIGINT, annotation_id STRING, x0 BIGINT, x1 BIGINT, y0 BIGINT,
 
 @pytest.fixture(scope="module")
 def scene(spark):
-    classes = spark.createDataFrame([("c1", "cell <α>", 1, False), ("c2", "other", 2, False), ("c3", "old", 3, True)], "class_id STRING, name STRING, ord BIGINT, archived BOOLEAN")
-    images = spark.createDataFrame([(i, f"n{i}.png", 37, 31, r, True, f"g{i}", f"sha{i}", False, False, None, "human", 0) for i, r in
+    classes = spark.createDataFrame([("c1", "leaf & <β>", 1, False), ("c2", "stem", 2, False), ("c3", "old", 3, True)], "class_id STRING, name STRING, ord BIGINT, archived BOOLEAN")
+    images = spark.createDataFrame([(i, f"n{i}.png", 53, 44, r, True, f"g{i}", f"sha{i}", False, False, None, "human", 0) for i, r in
                                     ((1, "train"), (2, "validation"), (3, "test"), (4, "pool"))],
                                    "image_id BIGINT, name STRING, width BIGINT, height BIGINT, role STRING, complete BOOLEAN, group_id STRING, sha256 STRING, removed BOOLEAN, training_excluded BOOLEAN, missing STRING, review_actor STRING, revision BIGINT")
-    # Square; square with a 7 x 7 hole; hole and a detached 4 x 5 block; plain box.
-    hole = [(2, 8, 2, 21), (8, 15, 2, 8), (8, 15, 15, 21), (15, 21, 2, 21)]
-    shapes = {("a", 1): [(2, 17, 2, 19)], ("b", 2): hole, ("c", 3): [*hole, (25, 29, 4, 9)], ("d", 1): [(5, 20, 20, 30)]}
+    # An L; a frame; a slim frame and a staircase beside it; a plain box.
+    frame, slim = [(6, 12, 10, 34), (12, 20, 10, 16), (12, 20, 26, 34), (20, 30, 10, 34)], [(3, 8, 20, 40), (8, 14, 20, 24), (8, 14, 33, 40), (14, 19, 20, 40)]
+    shapes = {("a", 1): [(4, 10, 5, 33), (10, 24, 25, 33)], ("b", 2): frame, ("c", 3): [*slim, (30, 34, 5, 9), (34, 38, 5, 13)], ("d", 1): [(28, 45, 3, 21)]}
     slabs = spark.createDataFrame([(i, a, *s) for (a, i), ss in shapes.items() for s in ss], SLABS)
     stats = M.mask_stats(slabs, "annotation_id").selectExpr("annotation_id", "bx0 AS x0", "by0 AS y0", "bx1 AS x1", "by1 AS y1", "area")
     base = spark.createDataFrame([(a, i, c, g, "accepted", 1, "human", False) for a, i, c, g in
@@ -49,16 +49,16 @@ def test_coco(spark, scene, tmp_path):
 
 
 def test_coco_document(spark, scene, tmp_path):
-    square = [2, 2, 17, 2, 17, 19, 2, 19]
-    body = {"categories": [{"id": 1, "name": "cell <α>"}, {"id": 2, "name": "brand new"}],
-            "images": [{"id": 10, "file_name": "n1.png", "width": 37, "height": 31}, {"id": 11, "file_name": "../n2.png", "width": 37, "height": 31}],
+    plate = [7, 4, 27, 4, 27, 16, 7, 16]
+    body = {"categories": [{"id": 1, "name": "leaf & <β>"}, {"id": 2, "name": "bark"}],
+            "images": [{"id": 10, "file_name": "n1.png", "width": 53, "height": 44}, {"id": 11, "file_name": "../n2.png", "width": 53, "height": 44}],
             "annotations": [
-                {"id": 1, "image_id": 10, "category_id": 1, "segmentation": [square], "area": 255},
-                {"id": 2, "image_id": 10, "category_id": 2, "segmentation": [square, [20, 20, 30, 20, 30, 30, 20, 30]], "area": 1},
-                {"id": 3, "image_id": 10, "category_id": 1, "segmentation": {"size": [31, 37], "counts": [5, 4, 1138]}},
-                {"id": 4, "image_id": 10, "category_id": 1, "bbox": [1, 2, 3, 4]},
-                {"id": 5, "image_id": 99, "category_id": 1, "bbox": [1, 2, 3, 4]},
-                {"id": 6, "image_id": 10, "category_id": 1, "segmentation": {"size": [31, 37], "counts": [5, 4, 7]}},
+                {"id": 1, "image_id": 10, "category_id": 1, "segmentation": [plate], "area": 240},
+                {"id": 2, "image_id": 10, "category_id": 2, "segmentation": [plate, [30, 20, 40, 20, 40, 30, 30, 30]], "area": 1},
+                {"id": 3, "image_id": 10, "category_id": 1, "segmentation": {"size": [44, 53], "counts": [9, 6, 2317]}},
+                {"id": 4, "image_id": 10, "category_id": 1, "bbox": [2, 3, 5, 6]},
+                {"id": 5, "image_id": 99, "category_id": 1, "bbox": [2, 3, 5, 6]},
+                {"id": 6, "image_id": 10, "category_id": 1, "segmentation": {"size": [44, 53], "counts": [9, 6, 7]}},
                 {"id": 7, "image_id": 10, "category_id": 1, "segmentation": [[0, 0, 5, 5, 5, 0, 0, 6]]},
                 {"id": 8, "image_id": 10, "category_id": 1, "bbox": [30, 2, 30, 4]}]}
     (tmp_path / "a.json").write_text(json.dumps(body))
@@ -69,7 +69,7 @@ def test_coco_document(spark, scene, tmp_path):
     assert {r["id"]: r["reason"] for r in got.rejects.collect() if r["kind"] == "annotation"} == {
         "5": "unknown_image", "6": "bad_rle", "7": "bad_polygon", "8": "bad_box"}
     assert [r["reason"] for r in got.losses.collect()] == ["area_recomputed_from_segmentation"] and got.losses.first()["lossy"] is False
-    assert {r["annotation_id"]: r["area"] for r in M.mask_stats(got.slabs, "annotation_id").collect()}[rows["2"]["annotation_id"]] == 255 + 100
+    assert {r["annotation_id"]: r["area"] for r in M.mask_stats(got.slabs, "annotation_id").collect()}[rows["2"]["annotation_id"]] == 240 + 100
 
 
 def test_yolo_seg(spark, scene, tmp_path):
@@ -82,7 +82,7 @@ def test_yolo_seg(spark, scene, tmp_path):
     got = I.read_yolo(spark, f"{path}/labels", scene["images"], scene["classes"], I.class_names(spark, f"{path}/class_map"))
     assert got.rejects.count() == 0
     areas = {r["image_id"]: r["area"] for r in M.mask_stats(got.slabs, "image_id", "annotation_id").collect()}
-    assert areas[1] == 255 and areas[2] == 361 and areas[3] > 361
+    assert areas[1] == 280 and areas[2] == 576 and areas[3] > 320 + 48
     files = spark.read.option("recursiveFileLookup", "true").text(f"{path}/labels").select("_metadata.file_path").distinct().collect()
     assert any("image_id=4" in r[0] for r in files)  # a negative has its own empty label
 
@@ -92,10 +92,10 @@ def test_yolo_box_and_rejects(spark, scene, tmp_path):
     with pytest.raises(O.ExportBlocked):
         O.write_yolo(scene["images"], scene["annotations"], scene["classes"], scene["slabs"], path, kind="box")
     O.write_yolo(scene["images"], scene["annotations"], scene["classes"], scene["slabs"], path, kind="box", allow_lossy=True)
-    names = I.class_names(spark, names=["cell <α>", "other"])
+    names = I.class_names(spark, names=["leaf & <β>", "stem"])
     got = I.read_yolo(spark, f"{path}/labels", scene["images"], scene["classes"], names, kind="box")
     boxes = sorted(tuple(round(r[c], 6) for c in ("x0", "y0", "x1", "y1")) for r in got.annotations.collect())
-    assert boxes == sorted([(2, 2, 17, 19), (2, 2, 21, 21), (2, 2, 29, 21), (5, 20, 20, 30)])
+    assert boxes == sorted([(4, 5, 24, 33), (6, 10, 30, 34), (3, 5, 38, 40), (28, 3, 45, 21)])
     (tmp_path / "bad").mkdir()
     (tmp_path / "bad" / "n1.txt").write_text("0 0.5 0.5 0.2\n9 .5 .5 .1 .1\n0 1.5 .5 .1 .1\n-1 .5 .5 .1 .1\n\n0 .5 .5 .1 .1\n")
     (tmp_path / "bad" / "zz.txt").write_text("0 .5 .5 .1 .1\n")
@@ -119,12 +119,15 @@ def test_voc(spark, scene, tmp_path):
     O.write_voc(scene["images"], scene["annotations"], scene["classes"], path, allow_lossy=True)
     got = I.read_voc(spark, path, scene["images"], scene["classes"])
     boxes = sorted((r["image_id"], r["class_id"], r["x0"], r["y1"]) for r in got.annotations.collect())
-    assert boxes == [(1, "c1", 2, 19), (1, "c2", 5, 30), (2, "c2", 2, 21), (3, "c1", 2, 21)]
+    assert boxes == [(1, "c1", 4, 33), (1, "c2", 28, 21), (2, "c2", 6, 34), (3, "c1", 3, 40)]
     assert got.rejects.count() == 0
-    # A crowded image is spread over several documents and read back whole.
-    O.write_voc(scene["images"], scene["annotations"], scene["classes"], path + "2", allow_lossy=True, document_objects=1)
-    again = I.read_voc(spark, path + "2", scene["images"], scene["classes"])
-    assert sorted((r["image_id"], r["class_id"], r["x0"], r["y1"]) for r in again.annotations.collect()) == boxes
+    again = I.read_voc(spark, path, scene["images"], scene["classes"])
+    assert {r["annotation_id"] for r in again.annotations.collect()} == {r["annotation_id"] for r in got.annotations.collect()}
+    # One document per image: with a second one neither counts.
+    for part in "xy":
+        O.write_voc(scene["images"].filter("image_id < 3"), scene["annotations"].filter(f"image_id = {1 if part == 'x' else 2} OR image_id = 1"), scene["classes"], f"{path}2/{part}", allow_lossy=True)
+    twice = I.read_voc(spark, path + "2", scene["images"], scene["classes"])
+    assert twice.annotations.count() == 0 and {r["reason"] for r in twice.rejects.collect()} == {"several_files_for_one_image"}
 
 
 def test_labelme(spark, scene, tmp_path):
@@ -136,15 +139,15 @@ def test_labelme(spark, scene, tmp_path):
     kinds = sorted((r["image_id"], r["geom_type"]) for r in got.annotations.collect())
     assert kinds == [(1, "box"), (1, "polygon"), (2, "polygon"), (3, "mask")] and got.rejects.count() == 0
     areas = {r["image_id"]: r["area"] for r in M.mask_stats(got.slabs, "image_id").collect()}
-    assert areas == {1: 255, 2: 361, 3: 361 + 20}
+    assert areas == {1: 280, 2: 576, 3: 320 + 48}
 
 
 def test_labelme_groups(spark, scene, tmp_path):
     tri = lambda x: [[x, 2], [x + 5, 2], [x + 5, 9]]
-    shapes = [dict(label="other", points=tri(1), group_id=7, shape_type="polygon", flags={"a": True}), dict(label="other", points=tri(10), group_id=7, shape_type="polygon", flags={}),
-              dict(label="other", points=tri(20), group_id="7", shape_type="polygon", flags={}), dict(label="other", points=[[3, 3]], shape_type="circle"),
-              dict(label="other", points=[[9, 9], [3, 3]], shape_type="rectangle", group_id=None)]
-    (tmp_path / "n1.json").write_text(json.dumps({"imagePath": "n1.png", "imageWidth": 37, "imageHeight": 31, "shapes": shapes}))
+    shapes = [dict(label="stem", points=tri(1), group_id=7, shape_type="polygon", flags={"a": True}), dict(label="stem", points=tri(10), group_id=7, shape_type="polygon", flags={}),
+              dict(label="stem", points=tri(20), group_id="7", shape_type="polygon", flags={}), dict(label="stem", points=[[3, 3]], shape_type="circle"),
+              dict(label="stem", points=[[9, 9], [3, 3]], shape_type="rectangle", group_id=None)]
+    (tmp_path / "n1.json").write_text(json.dumps({"imagePath": "n1.png", "imageWidth": 53, "imageHeight": 44, "shapes": shapes}))
     strict = I.read_labelme(spark, str(tmp_path), scene["images"], scene["classes"])
     assert [r["reason"] for r in strict.rejects.collect()] == ["unsupported_shape"]
     got = I.read_labelme(spark, str(tmp_path), scene["images"], scene["classes"], allow_lossy=True)
@@ -194,12 +197,12 @@ def test_dedup(spark):
 
 def test_plane_policies(spark, scene):
     rows = spark.createDataFrame([("o0", 1, "c1"), ("o1", 1, "c1")], "annotation_id STRING, image_id BIGINT, class_id STRING")
-    slabs = spark.createDataFrame([(1, a, 2, 17, 2, 19) for a in ("o0", "o1")], SLABS)
+    slabs = spark.createDataFrame([(1, a, 5, 14, 3, 20) for a in ("o0", "o1")], SLABS)
     with pytest.raises(O.ExportBlocked):
         O.label_plane(rows, scene["classes"], slabs, "instance_id", "error")
     for policy, hidden in (("first", "o1"), ("last", "o0")):
         _, losses = O.label_plane(rows, scene["classes"], slabs, "instance_id", policy)
-        assert [(r["annotation_id"], r["removed_pixels"]) for r in losses.collect()] == [(hidden, 255)]
+        assert [(r["annotation_id"], r["removed_pixels"]) for r in losses.collect()] == [(hidden, 153)]
     _, losses = O.label_plane(rows, scene["classes"], slabs, "semantic", "last")
     assert [r["reason"] for r in losses.collect()] == ["instances_merged:2"]
 
