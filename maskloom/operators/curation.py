@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..model import MAX_MERGE_PARENTS, MAX_SELECTION, ROLES
 from .aggregates import merge_preview
-from .masks import mask_stats, mask_union
+from .masks import box_signature_text, mask_stats, mask_union
 from .predicates import LIVE, is_assist
 
 ACTIONS = ("assign", "accept", "assign_accept", "assist_assign_accept", "reject", "delete")
@@ -31,6 +31,7 @@ class Outcome:
     classes: DataFrame | None = None
     slabs: DataFrame | None = None
     proposals: DataFrame | None = None
+    parents: DataFrame | None = None
 
 
 def _first_reason(tests: list[tuple[str, str]]) -> str:
@@ -63,7 +64,8 @@ def _conflicts(verdict: DataFrame) -> DataFrame:
 
 
 def _tombstones(rows: DataFrame, reason: str) -> DataFrame:
-    signature = "concat_ws(',', x0, y0, x1, y1)"
+    """The signature a mask was generated with; a generated box has it in closed form."""
+    signature = "generation_signature" if "generation_signature" in rows.columns else box_signature_text()
     return rows.filter("layer_id IS NOT NULL").selectExpr(
         "image_id", "layer_id", f"{signature} AS signature", "annotation_id", f"{reason} AS reason")
 
@@ -126,6 +128,16 @@ def apply_selection(annotations: DataFrame, images: DataFrame, classes: DataFram
     return Outcome(after, _reopen(images, won), _conflicts(verdict), log, tombs)
 
 
+def _supersede(annotations: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Mark rows named in ``pairs`` (annotation_id, _by); marks of earlier merges and repairs stay."""
+    if "superseded_by" not in annotations.columns:
+        annotations = annotations.withColumn("superseded_by", F.lit(None).cast("string"))
+    return annotations.join(pairs, "annotation_id", "left").withColumns({
+        "superseded_by": F.coalesce("_by", "superseded_by"),
+        "status": F.expr("CASE WHEN _by IS NULL THEN status ELSE 'superseded' END"),
+        "revision": F.expr("revision + CASE WHEN _by IS NULL THEN 0 ELSE 1 END")}).drop("_by")
+
+
 def merge_selected(annotations: DataFrame, slabs: DataFrame, images: DataFrame, classes: DataFrame, requests: DataFrame) -> Outcome:
     """Exact-union merge (CUR-02). ``requests``: request_id, image_id, annotation_id, expected_revision,
     class_given, class_id, accept, confirm, actor. Parents are superseded by the child."""
@@ -152,17 +164,19 @@ def merge_selected(annotations: DataFrame, slabs: DataFrame, images: DataFrame,
     child_slabs = mask_union(slabs.join(parents.select("annotation_id", "child_id"), "annotation_id").drop("annotation_id"),
                              "image_id", "child_id").withColumnRenamed("child_id", "annotation_id")
     stats = mask_stats(child_slabs, "annotation_id")
-    children = (won.join(stats.withColumnRenamed("annotation_id", "child_id"), "child_id").selectExpr(
-        "child_id AS annotation_id", "image_id", "class_id", "CASE WHEN accept THEN 'accepted' ELSE 'draft' END AS status",
+    sized = images.select("image_id", "width", "height")
+    children = (won.join(stats.withColumnRenamed("annotation_id", "child_id"), "child_id").join(sized, "image_id").selectExpr(
+        "child_id AS annotation_id", "image_id", "width", "height", "class_id", "CASE WHEN accept THEN 'accepted' ELSE 'draft' END AS status",
         "CASE WHEN accept THEN actor END AS review_actor", "CAST(1 AS BIGINT) AS revision", "area",
         "bx0 AS x0", "by0 AS y0", "bx1 AS x1", "by1 AS y1", "'mask' AS geom_type", "false AS training_excluded",
         "'manual' AS source_kind", "'exact_pixel_union' AS operation", "false AS manually_edited"))
-    marked = annotations.join(parents.select("annotation_id", F.col("child_id").alias("superseded_by")), "annotation_id", "left").withColumns({
-        "status": F.expr("CASE WHEN superseded_by IS NULL THEN status ELSE 'superseded' END"),
-        "revision": F.expr("revision + CASE WHEN superseded_by IS NULL THEN 0 ELSE 1 END")})
+    # What each child came from, with the parents' class and revision at that time.
+    record = parents.join(annotations.select("annotation_id", "image_id", "class_id", "revision"), "annotation_id").selectExpr(
+        "child_id", "annotation_id AS parent_id", "image_id", "class_id", "revision", "request_id")
+    marked = _supersede(annotations, parents.select("annotation_id", F.col("child_id").alias("_by")))
     log = won.selectExpr("request_id", "image_id", "'merge_instances' AS action", "actor", "n AS objects")
     return Outcome(marked.unionByName(children, allowMissingColumns=True), _reopen(images, won), _conflicts(verdict), log,
-                   slabs=slabs.unionByName(child_slabs, allowMissingColumns=True))
+                   slabs=slabs.unionByName(child_slabs, allowMissingColumns=True), parents=record)
 
 
 def class_name_conflicts(classes: DataFrame) -> DataFrame:
@@ -188,14 +202,18 @@ def change_classes(classes: DataFrame, changes: DataFrame) -> Outcome:
         F.max(F.expr("CASE WHEN action = 'update' THEN trim(name) END")).alias("_name"),
         F.max(F.expr("action = 'archive'")).alias("_archive"))
     start = classes.agg(F.coalesce(F.max("ord"), F.lit(0)).alias("_top")).first()[0]
-    fresh = good.filter("action = 'create'").selectExpr("class_id", "trim(name) AS name", f"CAST({start} AS BIGINT) + 1 AS ord", "false AS archived")
+    # A batch of class changes is a vocabulary edit: its new classes follow each other in request order.
+    turn = F.row_number().over(Window.orderBy("request_id"))
+    fresh = good.filter("action = 'create'").withColumn("_turn", turn).selectExpr("class_id", "trim(name) AS name", f"CAST({start} AS BIGINT) + _turn AS ord", "false AS archived")
     after = (classes.join(edits, "class_id", "left").selectExpr(
         "class_id", "coalesce(_name, name) AS name", "ord", "archived OR coalesce(_archive, false) AS archived").unionByName(fresh))
     clash = class_name_conflicts(after)
     conflicts = judged.filter("reason IS NOT NULL").select("request_id", "reason").unionByName(
         after.filter("NOT archived").withColumn("folded", F.lower("name")).join(clash, "folded", "left_semi")
         .join(good.select("request_id", "class_id"), "class_id").select("request_id", F.lit("name_taken").alias("reason")))
-    return Outcome(classes=after, conflicts=conflicts)
+    # All or nothing: with a clash no change of the batch stands.
+    stands = F.lit(clash.limit(1).count() == 0)
+    return Outcome(classes=after.filter(stands).unionByName(classes.select(*after.columns).filter(~stands)), conflicts=conflicts)
 
 
 def remap_classes(annotations: DataFrame, images: DataFrame, classes: DataFrame, moves: DataFrame) -> Outcome:
@@ -441,6 +459,8 @@ def review_repairs(annotations: DataFrame, images: DataFrame, classes: DataFrame
     target = accepted.selectExpr("annotation_id", "nx0", "ny0", "nx1", "ny1", "coalesce(_assigned, false) AS _assigned", "actor AS _actor")
     partner = (matched.select("proposal_id", "annotation_id").join(accepted.selectExpr("proposal_id", "annotation_id AS _into"), "proposal_id")
                .groupBy("annotation_id").agg(F.min("_into").alias("_into")))
+    if "superseded_by" not in annotations.columns:
+        annotations = annotations.withColumn("superseded_by", F.lit(None).cast("string"))
     hit = annotations.join(target, "annotation_id", "left").join(partner, "annotation_id", "left")
     tombs = _tombstones(hit.filter("_actor IS NOT NULL OR _into IS NOT NULL"),
                         "CASE WHEN _actor IS NOT NULL THEN 'repair_accept' ELSE 'repair_merge_accept' END")
@@ -448,7 +468,7 @@ def review_repairs(annotations: DataFrame, images: DataFrame, classes: DataFrame
         "status": F.expr("CASE WHEN _actor IS NOT NULL THEN CASE WHEN _assigned THEN 'accepted' ELSE 'draft' END WHEN _into IS NOT NULL THEN 'superseded' ELSE status END"),
         "review_actor": F.expr("CASE WHEN _actor IS NOT NULL THEN CASE WHEN _assigned THEN _actor END ELSE review_actor END"),
         "revision": F.expr("revision + CASE WHEN _actor IS NULL AND _into IS NULL THEN 0 ELSE 1 END"),
-        "superseded_by": F.col("_into"), "manually_edited": F.expr("manually_edited OR _actor IS NOT NULL"),
+        "superseded_by": F.coalesce("_into", "superseded_by"), "manually_edited": F.expr("manually_edited OR _actor IS NOT NULL"),
         "x0": F.expr("coalesce(nx0, x0)"), "y0": F.expr("coalesce(ny0, y0)"), "x1": F.expr("coalesce(nx1, x1)"), "y1": F.expr("coalesce(ny1, y1)")})
     after = after.withColumn("area", F.expr("CASE WHEN nx0 IS NULL THEN area ELSE (x1 - x0) * (y1 - y0) END")).drop(
         "nx0", "ny0", "nx1", "ny1", "_assigned", "_actor", "_into")

@@ -225,15 +225,30 @@ def lineage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                             "NOT done AS cyclic")
 
 
-def lineage_issues(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Merge records that break a rule: fewer than two parents, another image, or a live parent."""
+def lineage_issues(nodes: DataFrame, edges: DataFrame, slabs: DataFrame | None = None) -> DataFrame:
+    """Merge records that break a rule: fewer than two distinct parents, another image, a live parent, a parent
+    that also went into another child, or a child on a cycle. Give ``slabs`` to have unions compared too."""
     parent = nodes.selectExpr("annotation_id AS parent_id", "image_id AS parent_image", "status AS parent_status")
     child = nodes.selectExpr("annotation_id AS child_id", "image_id AS child_image")
-    rows = edges.join(parent, "parent_id", "left").join(child, "child_id", "left")
-    return (rows.groupBy("child_id").agg(
+    forks = edges.groupBy("parent_id").agg((F.count_distinct("child_id") > 1).alias("_forked"))
+    rows = edges.distinct().join(parent, "parent_id", "left").join(child, "child_id", "left").join(forks, "parent_id")
+    loops = lineage(nodes, edges).filter("cyclic").select(F.col("annotation_id").alias("child_id"), F.lit(True).alias("cyclic"))
+    found = (rows.groupBy("child_id").agg(
         F.count("*").alias("parents"), F.count_if(F.expr("parent_image IS NULL OR parent_image <> child_image")).alias("foreign"),
-        F.count_if(F.expr("parent_status IS NULL OR parent_status <> 'superseded'")).alias("live_parents"))
-        .filter("parents < 2 OR foreign > 0 OR live_parents > 0"))
+        F.count_if(F.expr("parent_status IS NULL OR parent_status <> 'superseded'")).alias("live_parents"),
+        F.count_if("_forked").alias("shared_parents")).join(loops, "child_id", "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False))))
+    broken = "parents < 2 OR foreign > 0 OR live_parents > 0 OR shared_parents > 0 OR cyclic"
+    if slabs is None:
+        return found.filter(broken)
+    from .masks import mask_union, pair_intersections
+    united = mask_union(slabs.join(edges.selectExpr("parent_id AS annotation_id", "child_id").distinct(), "annotation_id").drop("annotation_id"), "child_id")
+    area = lambda df, name: df.groupBy("child_id").agg(F.sum(F.expr("(x1 - x0) * (y1 - y0)")).alias(name))
+    own = slabs.withColumnRenamed("annotation_id", "child_id").join(edges.select("child_id").distinct(), "child_id")
+    shared = pair_intersections(united.selectExpr("child_id AS k", "child_id AS a_id", "x0", "x1", "y0", "y1"), own.selectExpr("child_id AS k", "child_id AS b_id", "x0", "x1", "y0", "y1"),
+                                "a_id", "b_id", ["k"]).selectExpr("k AS child_id", "intersection")
+    same = area(united, "_want").join(area(own, "_have"), "child_id", "full").join(shared, "child_id", "left").selectExpr(
+        "child_id", "coalesce(_want = _have AND intersection = _have, false) AS union_equal")
+    return found.join(same, "child_id", "left").withColumn("union_equal", F.coalesce("union_equal", F.lit(False))).filter(broken + " OR NOT union_equal")
 
 
 def cumulative(images: DataFrame, rounds: DataFrame, upto: int) -> DataFrame:

@@ -199,6 +199,24 @@ def signature_expr(height: str, width: str, counts: str) -> str:
             f""" || CAST({height} AS STRING) || ',' || CAST({width} AS STRING) || ']}},"type":"mask"}}', 256)""")
 
 
+def mask_signatures(slabs: DataFrame, *keys: str, out: str = "signature") -> DataFrame:
+    """The identity of every mask, from its canonical runs: how its pixels were cut into slabs, or whether
+    the slabs overlap, does not matter. ``slabs`` needs width and height columns."""
+    runs = slabs_to_rle(slabs, *dict.fromkeys([*keys, "width", "height"]), overlapping=True)
+    return runs.selectExpr(*keys, f"{signature_expr('height', 'width', 'counts')} AS {out}")
+
+
+def box_signature_text(sha: str = "sha2({}, 256)") -> str:
+    """The same identity for an integer box x0..y1 in a width x height image, in closed form and plain SQL."""
+    open_, shut = "chr(123)", "chr(125)"  # braces would be read as names of tables
+    body = f"""{open_} || '"rle":' || {open_} || '"counts":[' || CAST(x0 * height + y0 AS STRING) || ',' ||
+        CASE WHEN y1 - y0 = height THEN CAST((x1 - x0) * height AS STRING)
+             ELSE CAST(y1 - y0 AS STRING) || repeat(',' || CAST(height - y1 + y0 AS STRING) || ',' || CAST(y1 - y0 AS STRING), CAST(x1 - x0 - 1 AS INT)) END ||
+        CASE WHEN width * height - (x1 - 1) * height - y1 > 0 THEN ',' || CAST(width * height - (x1 - 1) * height - y1 AS STRING) ELSE '' END ||
+        '],"size":[' || CAST(height AS STRING) || ',' || CAST(width AS STRING) || ']' || {shut} || ',"type":"mask"' || {shut}"""
+    return sha.format(body)
+
+
 def blocks(slabs: DataFrame, size: int = OVERLAP_BLOCK) -> DataFrame:
     """Cut slabs at a block grid. Every piece lies in exactly one block (bx, by)."""
     cut = slabs.selectExpr("*", f"explode(sequence(x0 div {size}, (x1 - 1) div {size})) AS bx") \

@@ -88,14 +88,25 @@ SELECT n_nationkey AS request_id, CASE n_nationkey % 3 WHEN 0 THEN 'create' WHEN
   CASE WHEN n_nationkey = 6 THEN ' ' WHEN n_nationkey = 9 THEN 'BRAND#4' ELSE n_name END AS name, CAST(n_nationkey % 2 AS BIGINT) AS used, n_nationkey <> 5 AS confirm FROM {nation}"""
 
 
+SOUND_CHANGES = CLASS_CHANGES.replace("'BRAND#4'", "'Fresh'")
+
+
 @query("cur_03", f"""
-WITH c AS ({CLASS_CHANGES}), j AS (SELECT c.*, CASE WHEN action <> 'create' AND k.class_id IS NULL THEN 'unknown_class' WHEN action <> 'archive' AND trim(c.name) = '' THEN 'bad_name'
+WITH c AS ({SOUND_CHANGES}), j AS (SELECT c.*, CASE WHEN action <> 'create' AND k.class_id IS NULL THEN 'unknown_class' WHEN action <> 'archive' AND trim(c.name) = '' THEN 'bad_name'
      WHEN action = 'archive' AND used > 0 AND NOT confirm THEN 'confirm_needed' END AS reason FROM c LEFT JOIN {{classes}} k ON k.class_id = c.class_id)
-SELECT k.class_id, coalesce(CASE WHEN j.action = 'update' THEN j.name END, k.name) AS name, k.archived OR coalesce(j.action = 'archive', false) AS archived
+SELECT k.class_id, coalesce(CASE WHEN j.action = 'update' THEN j.name END, k.name) AS name, k.ord, k.archived OR coalesce(j.action = 'archive', false) AS archived
 FROM {{classes}} k LEFT JOIN (SELECT * FROM j WHERE reason IS NULL AND action <> 'create') j ON j.class_id = k.class_id
-UNION ALL SELECT class_id, name, false FROM j WHERE reason IS NULL AND action = 'create'""")
+UNION ALL SELECT class_id, name, (SELECT max(ord) FROM {{classes}}) + row_number() OVER (ORDER BY request_id), false FROM j WHERE reason IS NULL AND action = 'create'""")
 def cur_03(v):
-    return C.change_classes(v.classes, v.sql(CLASS_CHANGES)).classes.select("class_id", "name", "archived")
+    return C.change_classes(v.classes, v.sql(SOUND_CHANGES)).classes.select("class_id", "name", "ord", "archived")
+
+
+@query("cur_03_clash", "SELECT class_id, name, ord, archived, true AS refused FROM {classes}")
+def cur_03_clash(v):
+    """A batch that would leave two active classes with one name changes nothing."""
+    out = C.change_classes(v.classes, v.sql(CLASS_CHANGES))
+    refused = out.conflicts.filter("reason = 'name_taken'").limit(1).select(F.lit(True).alias("refused"), F.lit(1).alias("one"))
+    return out.classes.select("class_id", "name", "ord", "archived", F.lit(1).alias("one")).join(refused, "one", "left").drop("one")
 
 
 MOVES = "SELECT class_id, 'Brand#' || CAST((1000 - ord) % 25 + 1 AS STRING) AS target_id, ord % 5 <> 0 AS confirm FROM {classes} WHERE ord % 3 = 0"

@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import polygons
-from ..operators import masks as M, predicates as P, predict as PR, tiling as TL, vectors as V, windows as W
+from ..operators import curation as CU, masks as M, nms as N, predicates as P, predict as PR, tiling as TL, vectors as V, windows as W
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sinks import formats as O, snapshots as SN
 from ..sources import formats as I, images as IM
@@ -208,12 +208,13 @@ def src_05(v):
 @query("src_07", f"""
 SELECT image_id, class_id, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1 FROM ({IMPORTED}) o""")
 def src_07(v):
-    """VOC documents, one per object, parsed back to zero-based boxes."""
+    """VOC documents, one per image, parsed back to zero-based boxes."""
     images, rows = exported(v)
-    docs = O.voc_rows(rows, v.classes).join(images.select("image_id", "width", "height"), "image_id").selectExpr(
-        "annotation_id AS _file", "concat(image_id, '.png') AS filename", "struct(width, height) AS size",
-        """array(struct(class_name AS name, '0' AS truncated, '1' AS difficult, struct(CAST(xmin AS STRING) AS xmin, CAST(ymin AS STRING) AS ymin,
-             CAST(xmax AS STRING) AS xmax, CAST(ymax AS STRING) AS ymax) AS bndbox)) AS object""")
+    objects = O.voc_rows(rows, v.classes).groupBy("image_id").agg(F.collect_list(F.expr(
+        """struct(class_name AS name, '0' AS truncated, '1' AS difficult, struct(CAST(xmin AS STRING) AS xmin, CAST(ymin AS STRING) AS ymin,
+             CAST(xmax AS STRING) AS xmax, CAST(ymax AS STRING) AS ymax) AS bndbox)""")).alias("object"))
+    docs = objects.join(images.select("image_id", "width", "height"), "image_id").selectExpr(
+        "CAST(image_id AS STRING) AS _file", "concat(image_id, '.png') AS filename", "struct(width, height) AS size", "object")
     return I.parse_voc(cut_lineage(docs), images, v.classes).annotations.select("image_id", "class_id", "x0", "y0", "x1", "y1")
 
 
@@ -414,6 +415,37 @@ def udf_01(v):
     return M.mask_stats(M.map_to_image(placed), "image_id", "tile_idx")
 
 
+@query("udf_02_regenerate", f"""
+SELECT image_id, tile_idx FROM ({TRAINING_SQL}) t WHERE tile_idx % 3 <> 0""")
+def udf_02_regenerate(v):
+    """Predict, delete some proposals, predict again: deleted masks stay away, by their canonical signature."""
+    tiles = TL.all_tiles(v.images, TL.TRAINING)
+    none = v.spark.createDataFrame([], "image_id BIGINT, layer_id BIGINT, signature STRING")
+    proposals, origins, _ = PR.generate_proposals(tiles, PR.rectangle_predictor, none, 3)
+    rows = (proposals.join(origins.selectExpr("annotation_id AS proposal_id", "tile_idx"), "proposal_id").selectExpr(
+        "proposal_id AS annotation_id", "tile_idx", "image_id", "layer_id", "signature AS generation_signature", "'proposal' AS status", "0L AS revision",
+        "CAST(NULL AS STRING) AS class_id", "'mask' AS geom_type", "'sam2' AS source_kind", "'automatic_mask_generation' AS operation", "CAST(NULL AS STRING) AS review_actor"))
+    requests = rows.filter("tile_idx % 3 = 0").selectExpr(
+        "image_id AS request_id", "image_id", "annotation_id", "CAST(NULL AS BIGINT) AS expected_revision", "'delete' AS action", "CAST(NULL AS STRING) AS class_id", "true AS confirm", "'human' AS actor")
+    gone = CU.apply_selection(rows.drop("tile_idx"), v.images.withColumn("removed", F.lit(False)), v.classes, requests).tombstones
+    again, kept, _ = PR.generate_proposals(tiles, PR.rectangle_predictor, gone, 3)
+    return again.join(kept.selectExpr("annotation_id AS proposal_id", "tile_idx"), "proposal_id").select("image_id", "tile_idx")
+
+
+@query("nms_03_cuts", """
+SELECT image_id, CAST(2 * count(DISTINCT (x0, y0, x1, y1)) AS BIGINT) AS proposals, CAST(3 * count(*) AS BIGINT) AS origins FROM {annotations} GROUP BY image_id""")
+def nms_03_cuts(v):
+    """Each box whole, the same box in four slabs, and an L in the same bounds: the first two are one mask, the L is another."""
+    base = v.annotations.selectExpr("annotation_id AS a", "image_id", "width", "height", "x0", "y0", "x1", "y1", "(x0 + x1) div 2 AS mx", "(y0 + y1) div 2 AS my")
+    whole, cut = "struct(x0 AS x0, x1 AS x1, y0 AS y0, y1 AS y1)", ["struct(x0 AS x0, mx AS x1, y0 AS y0, my AS y1)", "struct(mx AS x0, x1 AS x1, y0 AS y0, my AS y1)",
+                                                                       "struct(x0 AS x0, mx AS x1, my AS y0, y1 AS y1)", "struct(mx AS x0, x1 AS x1, my AS y0, y1 AS y1)"]
+    made = base.selectExpr("image_id", "width", "height", f"""inline(array(struct(concat(a, '/1') AS annotation_id, array({whole}) AS s),
+        struct(concat(a, '/2') AS annotation_id, array({', '.join(cut)}) AS s), struct(concat(a, '/3') AS annotation_id, array({', '.join(cut[:3])}) AS s)))""")
+    masks = M.mask_signatures(made.selectExpr("image_id", "width", "height", "annotation_id", "inline(s)"), "image_id", "annotation_id")
+    proposals, _ = N.collapse_identical(masks.withColumn("layer_id", F.lit(0)))
+    return proposals.groupBy("image_id").agg(F.count("*").alias("proposals"), F.sum("origins").alias("origins"))
+
+
 # ---- streams ----------------------------------------------------------------------------------
 
 def _stream(v, table):

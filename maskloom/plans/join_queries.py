@@ -169,7 +169,8 @@ def join_14(v):
 
 
 @query("join_14_rules", f"""
-SELECT e.child_id, count(*) AS parents, CAST(0 AS BIGINT) AS "foreign", count(*) FILTER (WHERE p.status <> 'superseded') AS live_parents
+SELECT e.child_id, count(*) AS parents, CAST(0 AS BIGINT) AS "foreign", count(*) FILTER (WHERE p.status <> 'superseded') AS live_parents,
+  CAST(0 AS BIGINT) AS shared_parents, false AS cyclic
 FROM ({EDGES}) e JOIN {{annotations}} p ON p.annotation_id = e.parent_id GROUP BY e.child_id
 HAVING count(*) < 2 OR count(*) FILTER (WHERE p.status <> 'superseded') > 0""")
 def join_14_rules(v):

@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.masks import box_signature_text
+
 TABLES = (
     "region nation customer supplier part orders lineitem events "
     "documents embeddings pages benchmark labels conversations"
@@ -16,6 +18,9 @@ TABLES = (
 
 VIEWS: dict[str, str] = {}
 
+# The canonical mask signature of a box.
+BOX_SIGNATURE = box_signature_text("SHA<<{}>>")
+
 VIEWS["images"] = """
 SELECT o_orderkey AS image_id,
        600 + (o_custkey * 37) % 1500 AS width,
@@ -109,16 +114,16 @@ FROM {images} WHERE role = 'pool' AND image_id % 10 < 8
 
 VIEWS["tombstones"] = """
 SELECT DISTINCT image_id, CAST(0 AS BIGINT) AS layer_id,
-       CAST(x0 AS STRING) || ',' || CAST(y0 AS STRING) || ',' || CAST(x1 AS STRING) || ',' || CAST(y1 AS STRING) AS signature
+       <<SIGNATURE>> AS signature
 FROM {annotations} WHERE status = 'rejected'
-"""
+""".replace("<<SIGNATURE>>", BOX_SIGNATURE)
 
 VIEWS["candidates"] = """
 SELECT annotation_id, image_id, layer_id, score, x0, y0, x1, y1,
-       CAST(x0 AS STRING) || ',' || CAST(y0 AS STRING) || ',' || CAST(x1 AS STRING) || ',' || CAST(y1 AS STRING) AS signature
-FROM (SELECT annotation_id, image_id, CAST(s_key % 2 AS BIGINT) AS layer_id, score, x0, y0, x1, y1
+       <<SIGNATURE>> AS signature
+FROM (SELECT annotation_id, image_id, CAST(s_key % 2 AS BIGINT) AS layer_id, score, x0, y0, x1, y1, width, height
       FROM {annotations} WHERE status <> 'rejected') q
-"""
+""".replace("<<SIGNATURE>>", BOX_SIGNATURE)
 
 # One request per image: the action and its arguments follow from the image key.
 VIEWS["decisions"] = """
