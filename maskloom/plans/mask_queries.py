@@ -187,3 +187,48 @@ def win_10(v):
 def win_10_last(v):
     """Painter sweep with the last object on top."""
     return painted_areas(W.paint(paint_slabs(v), "last"))
+
+
+# ---- masks that are no boxes ------------------------------------------------------------------
+
+SHAPE_SEGMENTS = "SELECT image_id, annotation_id, width, height, unnest(range(x0, x1)) AS x, y0, y1 FROM {shapes}"
+SHAPE_RLE = RLE_LISTS.replace(SEGMENTS, SHAPE_SEGMENTS)
+
+
+@query("mask_02_shapes", f"SELECT annotation_id, array_to_string(counts, ',') AS counts FROM ({SHAPE_RLE}) r")
+def mask_02_shapes(v):
+    return M.slabs_to_rle(v.shapes, "annotation_id").selectExpr("annotation_id", "array_join(transform(counts, c -> CAST(c AS STRING)), ',') AS counts")
+
+
+@query("mask_01_shapes", f"SELECT image_id, annotation_id, x, y0, y1 FROM ({SHAPE_SEGMENTS}) s")
+def mask_01_shapes(v):
+    """Counts back to runs: every pixel column of every shape."""
+    back = M.rle_to_slabs(M.slabs_to_rle(v.shapes, "image_id", "annotation_id", "height"), "image_id", "annotation_id")
+    return M.to_columns(back).select("image_id", "annotation_id", "x", "y0", "y1")
+
+
+@query("mask_03_shapes", f"""
+SELECT image_id, CAST(sum(y1 - y0) AS BIGINT) AS area, min(x) AS bx0, min(y0) AS by0, max(x) + 1 AS bx1, max(y1) AS by1
+FROM ({UNION_RUNS.replace(SEGMENTS, SHAPE_SEGMENTS)}) r GROUP BY image_id""")
+def mask_03_shapes(v):
+    return M.mask_stats(M.mask_union(v.shapes, "image_id"), "image_id")
+
+
+@query("mask_04_shapes", f"""
+SELECT annotation_id, CAST(sum(y1 - y0) AS BIGINT) AS area, min(x) AS bx0, min(y0) AS by0, max(x) + 1 AS bx1, max(y1) AS by1 FROM ({SHAPE_SEGMENTS}) s GROUP BY annotation_id""")
+def mask_04_shapes(v):
+    return M.mask_stats(v.shapes, "annotation_id")
+
+
+@query("mask_05_shapes", f"""
+SELECT image_id, a.annotation_id AS a_id, b.annotation_id AS b_id, CAST(sum(least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS BIGINT) AS intersection
+FROM ({SHAPE_SEGMENTS}) a JOIN ({SHAPE_SEGMENTS}) b USING (image_id, x) WHERE a.annotation_id < b.annotation_id AND a.y0 < b.y1 AND b.y0 < a.y1 GROUP BY 1, 2, 3""")
+def mask_05_shapes(v):
+    return M.self_intersections(v.shapes.select("image_id", "annotation_id", "x0", "x1", "y0", "y1"))
+
+
+@query("mask_12_shapes", f"""
+SELECT annotation_id, sha256(concat(chr(123), '"rle":', chr(123), '"counts":[', array_to_string(counts, ','), '],"size":[', height, ',', width, ']', chr(125), ',"type":"mask"', chr(125))) AS signature
+FROM ({SHAPE_RLE}) r""")
+def mask_12_shapes(v):
+    return M.mask_signatures(v.shapes, "annotation_id")

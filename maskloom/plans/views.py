@@ -92,6 +92,23 @@ FROM (SELECT p_brand AS class_id, CAST(replace(p_brand, 'Brand#', '') AS BIGINT)
       FROM {part} GROUP BY p_brand) q
 """
 
+# Masks that are no boxes, as slabs: an L, a frame, a staircase and two parts, by s_key.
+VIEWS["shapes"] = """
+WITH b AS (SELECT annotation_id, image_id, width, height, s_key % 4 AS kind, x0, y0, x1, y1,
+                  CAST(floor((x0 + x1) / 2) AS BIGINT) AS mx, CAST(floor((y0 + y1) / 2) AS BIGINT) AS my FROM {annotations})
+SELECT annotation_id, image_id, width, height, x0, mx AS x1, y0, y1 FROM b WHERE kind = 0
+UNION ALL SELECT annotation_id, image_id, width, height, mx, x1, y0, my FROM b WHERE kind = 0
+UNION ALL SELECT annotation_id, image_id, width, height, x0, x0 + 10, y0, y1 FROM b WHERE kind = 1
+UNION ALL SELECT annotation_id, image_id, width, height, x0 + 10, x1 - 10, y0, y0 + 10 FROM b WHERE kind = 1
+UNION ALL SELECT annotation_id, image_id, width, height, x0 + 10, x1 - 10, y1 - 10, y1 FROM b WHERE kind = 1
+UNION ALL SELECT annotation_id, image_id, width, height, x1 - 10, x1, y0, y1 FROM b WHERE kind = 1
+UNION ALL SELECT annotation_id, image_id, width, height, x0, x0 + 12, y0, y0 + 15 FROM b WHERE kind = 2
+UNION ALL SELECT annotation_id, image_id, width, height, x0 + 12, x0 + 24, y0 + 9, y0 + 30 FROM b WHERE kind = 2
+UNION ALL SELECT annotation_id, image_id, width, height, x0 + 24, x1, y0 + 20, y1 FROM b WHERE kind = 2
+UNION ALL SELECT annotation_id, image_id, width, height, x0, x0 + 11, y0, y1 FROM b WHERE kind = 3
+UNION ALL SELECT annotation_id, image_id, width, height, x1 - 13, x1, y0 + 5, y1 - 3 FROM b WHERE kind = 3
+"""
+
 VIEWS["edit_log"] = """
 SELECT event_id AS seq, CAST(user_id AS BIGINT) AS image_id,
        CASE event_type WHEN 'click' THEN 'edit' WHEN 'purchase' THEN 'edit' WHEN 'view' THEN 'undo'

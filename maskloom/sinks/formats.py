@@ -152,8 +152,11 @@ def write_voc(images: DataFrame, annotations: DataFrame, classes: DataFrame, pat
     if not allow_lossy:
         _block(rows.filter("lossy").select("annotation_id"), "VOC export without allow_lossy")
     _block(classes.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1"), "VOC export with repeated class names")
+    if "flags" in annotations.columns:
+        rows = rows.join(annotations.select("annotation_id", "flags"), "annotation_id")
+    mark = (lambda name: f"CASE WHEN try_cast(flags['{name}'] AS BOOLEAN) THEN '1' ELSE '0' END") if "flags" in rows.columns else (lambda name: "'0'")
     objects = rows.groupBy("image_id").agg(F.sort_array(F.collect_list(F.expr(
-        "struct(annotation_id, class_name AS name, '0' AS truncated, '0' AS difficult, struct(xmin, ymin, xmax, ymax) AS bndbox)"))).alias("o"))
+        f"struct(annotation_id, class_name AS name, {mark('truncated')} AS truncated, {mark('difficult')} AS difficult, struct(xmin, ymin, xmax, ymax) AS bndbox)"))).alias("o"))
     docs = (images.join(objects, "image_id", "left").selectExpr(
         "'images' AS folder", "concat(image_id, '.png') AS filename", "struct(width, height, 3 AS depth) AS size", "'0' AS segmented",
         "transform(o, x -> struct(x.name AS name, x.truncated AS truncated, x.difficult AS difficult, x.bndbox AS bndbox)) AS object"))

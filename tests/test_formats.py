@@ -121,6 +121,11 @@ def test_voc(spark, scene, tmp_path):
     boxes = sorted((r["image_id"], r["class_id"], r["x0"], r["y1"]) for r in got.annotations.collect())
     assert boxes == [(1, "c1", 4, 33), (1, "c2", 28, 21), (2, "c2", 6, 34), (3, "c1", 3, 40)]
     assert got.rejects.count() == 0
+    # Flags survive export and import.
+    flagged = scene["annotations"].withColumn("flags", F.expr("map('difficult', CAST(annotation_id = 'a' AS STRING), 'truncated', CAST(annotation_id = 'c' AS STRING))"))
+    O.write_voc(scene["images"], flagged, scene["classes"], path + "-flags", allow_lossy=True)
+    marks = {(r["image_id"], r["x0"]): r["flags"] for r in I.read_voc(spark, path + "-flags", scene["images"], scene["classes"]).annotations.collect()}
+    assert marks[1, 4] == {"difficult": "true", "truncated": "false"} and marks[3, 3] == {"difficult": "false", "truncated": "true"}
     again = I.read_voc(spark, path, scene["images"], scene["classes"])
     assert {r["annotation_id"] for r in again.annotations.collect()} == {r["annotation_id"] for r in got.annotations.collect()}
     # One document per image: with a second one neither counts.
