@@ -56,6 +56,30 @@ def _merge_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
     return islands.groupBy(*keys, "_island").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1")).drop("_island")
 
 
+# Which pixels a combination keeps, from how many slabs of either side cover them.
+COMBINE = {"or": "_l > 0 OR _r > 0", "and": "_l > 0 AND _r > 0", "xor": "(_l > 0) <> (_r > 0)", "minus": "_l > 0 AND _r = 0"}
+
+
+def mask_combine(left: DataFrame, right: DataFrame, how: str, *keys: str) -> DataFrame:
+    """Pixels of ``left`` how ``right`` per key, as non-overlapping slabs; slabs of one side may overlap.
+
+    Strips between the x breakpoints of a key; inside a strip the starts and ends of both sides are summed
+    up by y before the shuffle, so a window has at most one row per pixel row of the image.
+    """
+    both = left.select(*keys, "x0", "x1", "y0", "y1", F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(
+        right.select(*keys, "x0", "x1", "y0", "y1", F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    cuts = (both.groupBy(*keys).agg(F.array_sort(F.expr("array_union(collect_set(x0), collect_set(x1))")).alias("c"))
+            .select(*keys, F.expr("zip_with(c, slice(c, 2, size(c)), (a, b) -> struct(a AS x0, b AS x1))").alias("_strips")))
+    strips = both.join(cuts, list(keys)).select(
+        *keys, "y0", "y1", "_l", "_r", F.explode(F.expr("filter(_strips, s -> s.x1 IS NOT NULL AND s.x0 >= x0 AND s.x1 <= x1)")).alias("s"))
+    strip = [*keys, "x0", "x1"]
+    edges = strips.select(*keys, "s.x0", "s.x1", F.expr("inline(array(struct(y0 AS y, _l AS _l, _r AS _r), struct(y1 AS y, -_l AS _l, -_r AS _r)))"))
+    down = Window.partitionBy(*strip).orderBy("y")
+    level = (edges.groupBy(*strip, "y").agg(F.sum("_l").alias("dl"), F.sum("_r").alias("dr"))
+             .select(*strip, F.col("y").alias("y0"), F.lead("y").over(down).alias("y1"), F.sum("dl").over(down).alias("_l"), F.sum("dr").over(down).alias("_r")))
+    return _merge_runs(level.filter(f"y1 IS NOT NULL AND ({COMBINE[how]})").select(*strip, "y0", "y1"), strip)
+
+
 def merge_columns(columns: DataFrame, *keys: str) -> DataFrame:
     """Union in the per-column form (x, y0, y1)."""
     return _merge_runs(columns, [*keys, "x"])

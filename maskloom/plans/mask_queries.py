@@ -227,6 +227,28 @@ def mask_05_shapes(v):
     return M.self_intersections(v.shapes.select("image_id", "annotation_id", "x0", "x1", "y0", "y1"))
 
 
+def _union_area(test: str) -> str:
+    runs = UNION_RUNS.replace(SEGMENTS, SHAPE_SEGMENTS + f" WHERE {test}")
+    return f"SELECT image_id, sum(y1 - y0) AS area FROM ({runs}) r GROUP BY image_id"
+
+
+ODD = "length(annotation_id) % 2 = 1"
+
+
+@query("set_06_pixels", f"""
+SELECT u.image_id, CAST(u.area AS BIGINT) AS px_or, CAST(coalesce(a.area, 0) + coalesce(b.area, 0) - u.area AS BIGINT) AS px_and,
+       CAST(2 * u.area - coalesce(a.area, 0) - coalesce(b.area, 0) AS BIGINT) AS px_xor, CAST(u.area - coalesce(b.area, 0) AS BIGINT) AS px_minus
+FROM ({_union_area('true')}) u LEFT JOIN ({_union_area(ODD)}) a ON a.image_id = u.image_id LEFT JOIN ({_union_area('NOT ' + ODD)}) b ON b.image_id = u.image_id""")
+def set_06_pixels(v):
+    """Masks of two halves of an image's shapes combined pixel by pixel in all four ways."""
+    left, right = v.shapes.filter(ODD), v.shapes.filter(f"NOT {ODD}")
+    out = v.shapes.select("image_id").distinct()
+    for how in M.COMBINE:
+        area = M.mask_combine(left, right, how, "image_id").groupBy("image_id").agg(F.sum(F.expr("(x1 - x0) * (y1 - y0)")).alias(f"px_{how}"))
+        out = out.join(area, "image_id", "left")
+    return out.na.fill(0)
+
+
 @query("mask_12_shapes", f"""
 SELECT annotation_id, sha256(concat(chr(123), '"rle":', chr(123), '"counts":[', array_to_string(counts, ','), '],"size":[', height, ',', width, ']', chr(125), ',"type":"mask"', chr(125))) AS signature
 FROM ({SHAPE_RLE}) r""")
