@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions import polygons
 from ..session import cut_lineage
 from .masks import blocks
 from .predicates import LIVE, export_split
@@ -143,6 +144,16 @@ def objects_at(points: DataFrame, slabs: DataFrame, block: int = 128) -> DataFra
             .filter("x0 <= px AND px < x1 AND y0 <= py AND py < y1").drop("bx", "by", "x0", "x1", "y0", "y1"))
 
 
+def polygons_at(points: DataFrame, shapes: DataFrame, block: int = 128) -> DataFrame:
+    """Objects whose polygon holds a point, by the even-odd rule. ``points``: point_id, image_id, px, py (any
+    numbers); ``shapes``: image_id, annotation_id, points. Candidates come from the blocks of the bounds."""
+    placed = points.withColumns({"bx": F.expr(f"CAST(floor(px / {block}) AS BIGINT)"), "by": F.expr(f"CAST(floor(py / {block}) AS BIGINT)")})
+    bounds = shapes.selectExpr("image_id", "annotation_id", "points", *polygons.bbox_columns("points"))
+    cells = (bounds.withColumn("bx", F.explode(F.expr(f"sequence(CAST(floor(x0 / {block}) AS BIGINT), CAST(floor(x1 / {block}) AS BIGINT))")))
+             .withColumn("by", F.explode(F.expr(f"sequence(CAST(floor(y0 / {block}) AS BIGINT), CAST(floor(y1 / {block}) AS BIGINT))"))))
+    return placed.join(cells, ["image_id", "bx", "by"]).filter(F.expr(polygons.contains("points", "px", "py"))).select("point_id", "annotation_id")
+
+
 def top_object(hits: DataFrame) -> DataFrame:
     """Topmost hit per point (latest in drawing order) and how many lie under the point."""
     return hits.groupBy("point_id").agg(F.max("annotation_id").alias("top_id"), F.count("*").alias("hits"))

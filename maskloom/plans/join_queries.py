@@ -90,6 +90,18 @@ def join_07(v):
     return J.top_object(J.objects_at(v.sql(POINTS), masks))
 
 
+@query("join_07_polygons", f"""
+SELECT point_id, max(annotation_id) AS top_id, count(*) AS hits FROM (
+  SELECT p.point_id, p.px + 0.5 AS x, p.py + 0.5 AS y, a.annotation_id, a.x0, a.y0, a.x1, a.y1 FROM ({POINTS}) p JOIN {{annotations}} a ON a.image_id = p.image_id WHERE a.{LIVE}) q
+WHERE x > x0 AND y > y0 AND y < y1 AND x < CAST(x0 - x1 AS DOUBLE) * (y - y0) / (y1 - y0) + x1 GROUP BY point_id""")
+def join_07_polygons(v):
+    """Pixel centres inside right triangles that fill the upper left half of each box."""
+    corners = "CAST(array(struct(x0 AS x, y0 AS y), struct(x1 AS x, y0 AS y), struct(x0 AS x, y1 AS y)) AS array<struct<x: double, y: double>>) AS points"
+    shapes = v.annotations.filter(P.LIVE).selectExpr("image_id", "annotation_id", corners)
+    centres = v.sql(POINTS).withColumns({"px": F.expr("CAST(px + 0.5 AS DOUBLE)"), "py": F.expr("CAST(py + 0.5 AS DOUBLE)")})
+    return J.top_object(J.polygons_at(centres, shapes))
+
+
 @query("join_08", """
 SELECT c.layer_id, count(*) FILTER (WHERE t.signature IS NULL) AS kept, count(*) FILTER (WHERE t.signature IS NOT NULL) AS suppressed
 FROM {candidates} c LEFT JOIN {tombstones} t ON c.image_id = t.image_id AND c.layer_id = t.layer_id AND c.signature = t.signature GROUP BY 1""")
