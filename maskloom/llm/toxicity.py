@@ -1,11 +1,10 @@
 """Toxicity from a learned lexicon, met through Levenshtein automata, with context windows.
 
 A lexicon of terms and log-odds weights is counted from labelled documents with Spark. The terms
-form a trie. Each distinct word of a batch runs through the trie as a Levenshtein automaton (one
-row of edit costs per trie node, cut as soon as the row exceeds the term's allowance), so misspelled
-terms are caught. Every hit is then read in a window of words around it: quotation marks and
-reporting marks count it as quotation, other hits nearby as abuse. A logistic model over these few sums
-gives the score.
+form a trie. Each distinct word of a batch runs through the trie as a Levenshtein automaton (its
+states are letters read and edits spent, paired with trie nodes), so misspelled terms are caught.
+Every hit is then read in a window of words around it: quotation marks on both sides count it as
+quotation, other hits nearby as abuse. A logistic model over these few sums gives the score.
 
 The lexicon and the model come from labelled rows only, and only where crc32(id) mod 4 is not 2.
 The lexicon for the model's own fit is counted on remainders 0 and 1 and the model is fitted on
@@ -60,31 +59,36 @@ class Trie:
         self.seen: dict[str, tuple[float, int]] = {}
 
     def find(self, word: str) -> tuple[float, int] | None:
-        """(weight, distance) of the nearest term, heaviest on ties."""
-        allow = edits(len(word))
-        if not allow:
-            node = self.root
-            for ch in word:
-                node = node.get(ch)
-                if node is None:
-                    return None
-            return (node[""][1], 0) if "" in node else None
+        """(weight, distance) of the nearest term, heaviest on ties.
+
+        States of the automaton are (letters read, edits spent); each is paired with a trie node. A
+        state without edits left can only follow the word's own letters.
+        """
+        allow, end = edits(len(word)), len(word)
         best: tuple[int, float] | None = None
-        stack = [(self.root, tuple(range(len(word) + 1)))]
+        stack = [(self.root, 0, 0)]
         while stack:
-            node, row = stack.pop()
+            node, i, spent = stack.pop()
+            if spent == allow:
+                while i < end and node is not None:
+                    node = node.get(word[i])
+                    i += 1
+                if node is None:
+                    continue
+            if i == end and "" in node:
+                term, weight = node[""]
+                if spent <= edits(len(term)) and (best is None or (spent, -weight) < best):
+                    best = (spent, -weight)
+            if spent == allow:
+                continue
+            if i < end:
+                stack.append((node, i + 1, spent + 1))  # a letter too many
             for ch, below in node.items():
                 if ch == "":
-                    term, weight = below
-                    far = row[-1]
-                    if far <= min(allow, edits(len(term))) and (best is None or (far, -weight) < best):
-                        best = (far, -weight)
                     continue
-                cost = [row[0] + 1]
-                for i, own in enumerate(word):
-                    cost.append(min(cost[-1] + 1, row[i + 1] + 1, row[i] + (own != ch)))
-                if min(cost) <= allow:
-                    stack.append((below, tuple(cost)))
+                stack.append((below, i, spent + 1))  # a letter too few
+                if i < end:
+                    stack.append((below, i + 1, spent + (ch != word[i])))
         return None if best is None else (-best[1], best[0])
 
 
@@ -104,14 +108,27 @@ class Matcher:
 
     def __init__(self, weights: dict[str, float]):
         self.trie = Trie(weights)
-        self.forms = {hash(form) for term in weights for form in (_deletions(term) if edits(len(term)) else (term,))}
+        self.forms = {form for term in weights for form in (_deletions(term) if edits(len(term)) else (term,))}
+        # One edit leaves the first two letters or the last three of a term as they are.
+        self.heads, self.tails = {term[:2] for term in weights}, {term[-3:] for term in weights}
+        self.longest = max(map(len, weights), default=0)
         self.known: dict[str, tuple[float, int] | None] = {}
 
+    def near(self, word: str) -> bool:
+        forms = self.forms
+        if word in forms:
+            return True
+        if not edits(len(word)) or len(word) > self.longest + 1 or not (word[:2] in self.heads or word[-3:] in self.tails):
+            return False
+        for i in range(len(word)):
+            if word[:i] + word[i + 1:] in forms:
+                return True
+        return False
+
     def __call__(self, word: str) -> tuple[float, int] | None:
         if word in self.known:
             return self.known[word]
-        near = hash(word) in self.forms or (edits(len(word)) and any(hash(form) in self.forms for form in _deletions(word)))
-        found = self.trie.find(word) if near else None
+        found = self.trie.find(word) if self.near(word) else None
         if len(self.known) > 200_000:
             self.known.clear()
         self.known[word] = found
@@ -199,7 +216,8 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) ->
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", terms: int = 2000, sample: int = 20_000) -> Model:
     rows = stage(_labelled(docs, labels, id_col).dropDuplicates(["text", "toxic"]), "labelled")
     first = count_terms(rows.filter("fold < 2"), terms)
-    chosen = rows.filter("fold = 3").orderBy(F.xxhash64("id"), "id").limit(sample)
+    picked = rows.filter("fold = 3").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)  # ids only, at most `sample`
+    chosen = rows.filter("fold = 3").join(F.broadcast(picked), "id", "left_semi")
     evidence = chosen.select("text", "toxic").mapInArrow(_evidence(first), "x array<double>, toxic int").collect()  # a few numbers a row, at most `sample` rows
     if not first or len({r.toxic for r in evidence}) < 2:
         return Model({})
