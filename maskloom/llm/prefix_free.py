@@ -300,36 +300,47 @@ def _suffixes(match: int, buckets: int, step: int = 200_000):
     return run
 
 
-def _cut(keep_bytes: bool):
+def _cut(keep_bytes: bool, step: int = 8 << 20):
     def run(texts: pa.Table, gone: pa.Table) -> pa.Table:
         held = Texts(texts)
-        many, total = texts.num_rows, len(held.data)
-        change = np.zeros(total + 1, np.int64)
+        row, start, end = (np.zeros(0, np.int64),) * 3
         if gone.num_rows:
             columns, _ = unpack(gone.column("payload").to_pylist(), GONE)
             left, right = held.rows(columns), held.rows(columns, "right")
-            while (live := left < right).any():  # once, but for rows alike in id and text
-                base = held.offsets[held.order[left[live]]]
-                np.add.at(change, base + columns["start"][live], 1)
-                np.add.at(change, base + columns["end"][live], -1)
-                left = left + live
-        out = np.cumsum(change[:total]) > 0
-        opens = out.copy()
-        opens[1:] &= ~out[:-1]
-        heads = held.offsets[:-1][held.offsets[:-1] < held.offsets[1:]]
-        opens[heads] = out[heads]
-        sums = [np.concatenate([[0], np.cumsum(x)]) for x in (out, opens)]
-        removed, spans = (s[held.offsets[1:]] - s[held.offsets[:-1]] for s in sums)
-        kept = [held.data[lo:hi][~out[lo:hi]].tobytes() for lo, hi in zip(held.offsets[:-1].tolist(), held.offsets[1:].tolist())]
-        return pa.table({"doc": held.doc, "n_bytes": np.diff(held.offsets), "n_removed": removed.astype(np.int64), "n_spans": spans.astype(np.int64),
-                         "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
-                         "kept": pa.array(kept if keep_bytes else [b""] * many, pa.binary())})
+            each = np.repeat(np.arange(len(left)), right - left)  # rows alike in id and text are cut alike
+            place = left[each] + np.arange(len(each)) - np.repeat(np.cumsum(right - left) - (right - left), right - left)
+            row, start, end = held.order[place], columns["start"][each].astype(np.int64), columns["end"][each].astype(np.int64)
+            order = np.argsort(row, kind="stable")
+            row, start, end = row[order], start[order], end[order]
+        removed, spans, digests, kept = [], [], [], []
+        lo = 0
+        while lo < texts.num_rows:  # some texts at a time, or one long text
+            hi = max(lo + 1, int(np.searchsorted(held.offsets, held.offsets[lo] + step, "right")) - 1)
+            own, data = held.offsets[lo:hi + 1] - held.offsets[lo], held.data[held.offsets[lo]:held.offsets[hi]]
+            first, last = np.searchsorted(row, [lo, hi])
+            base = own[row[first:last] - lo]
+            change = np.bincount(base + start[first:last], minlength=len(data) + 1).astype(np.int32)
+            change -= np.bincount(base + end[first:last], minlength=len(data) + 1).astype(np.int32)
+            out = np.cumsum(change[:-1], out=change[:-1]) > 0
+            opens = out.copy()
+            opens[1:] &= ~out[:-1]
+            heads = own[:-1][own[:-1] < own[1:]]
+            opens[heads] = out[heads]
+            for x, y in zip(own[:-1].tolist(), own[1:].tolist()):
+                rest = data[x:y][~out[x:y]].tobytes()
+                removed.append(y - x - len(rest))
+                spans.append(int(np.count_nonzero(opens[x:y])))
+                digests.append(hashlib.sha256(rest).hexdigest())
+                kept.append(rest if keep_bytes else b"")
+            lo = hi
+        return pa.table({"doc": held.doc, "n_bytes": np.diff(held.offsets), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()),
+                         "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(kept, pa.binary())})
     return run
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, gram: int = GRAM, keep_bytes: bool = True) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]), one row per row of ``docs``."""
-    buckets = 8 * shuffle_partitions(docs.sparkSession)
+    buckets = shuffle_partitions(docs.sparkSession)  # a bucket sends at most one row to each other bucket
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # `tie` orders rows that share an id: 31 bits of a hash of the text.
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), text.alias("text"))
