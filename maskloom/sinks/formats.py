@@ -39,18 +39,32 @@ def encode_counts(counts: pd.Series) -> pd.Series:
     return counts.map(lambda c: None if c is None else raster.counts_to_text(c))
 
 
+AUTHORED = "array<struct<x: double, y: double>>"
+
+
+def _carried(annotations: DataFrame) -> DataFrame:
+    """Annotations with ``points`` and ``flags``: an authored polygon keeps its vertices through every export."""
+    if "points" not in annotations.columns:
+        annotations = annotations.withColumn("points", F.expr(f"CAST(NULL AS {AUTHORED})"))
+    if "flags" not in annotations.columns:
+        annotations = annotations.withColumn("flags", F.expr("CAST(NULL AS map<string, string>)"))
+    return annotations.withColumn("points", F.expr("CASE WHEN geom_type = 'polygon' AND size(points) >= 3 THEN points END"))
+
+
 # ---- COCO -------------------------------------------------------------------------------------
 
 def coco_rows(images: DataFrame, annotations: DataFrame, classes: DataFrame, slabs: DataFrame):
     """Returns (categories, images, annotations) with dense 1-based ids in document order.
 
-    Boxes keep bbox and no segmentation; masks carry compressed runs, exact area and xywh bounds.
+    Boxes keep bbox and no segmentation; authored polygons keep their vertices; other masks carry
+    compressed runs. Area and xywh bounds are those of the pixels.
     """
+    annotations = _carried(annotations)
     categories = class_index(classes, 1).selectExpr("class_index AS id", "name", "class_id AS source_id")
     pictures = dense_ids(images.select("image_id", "width", "height"), ["image_id"], "id").selectExpr(
         "id", "concat('images/', image_id, '.png') AS file_name", "width", "height", "CAST(image_id AS STRING) AS source_id", "image_id AS _image")
-    numbered = dense_ids(annotations.select("image_id", "annotation_id", "class_id", "geom_type", "x0", "y0", "x1", "y1"),
-                         ["image_id", "annotation_id"], "id")
+    numbered = dense_ids(annotations.select("image_id", "annotation_id", "class_id", "geom_type", "x0", "y0", "x1", "y1", "points",
+                                            F.expr("coalesce(try_cast(flags['iscrowd'] AS INT), 0)").alias("iscrowd")), ["image_id", "annotation_id"], "id")
     masks = slabs.join(numbered.filter("geom_type <> 'box'").select("annotation_id"), "annotation_id", "left_semi")
     sized = masks.join(images.select("image_id", F.col("width").cast("bigint").alias("width"), F.col("height").cast("bigint").alias("height")), "image_id")
     runs = slabs_to_rle(sized, "annotation_id", "height", "width").selectExpr("annotation_id", "counts", "array(height, width) AS size")
@@ -58,10 +72,10 @@ def coco_rows(images: DataFrame, annotations: DataFrame, classes: DataFrame, sla
     rows = (numbered.join(shapes, "annotation_id", "left").join(pictures.selectExpr("_image AS image_id", "id AS coco_image"), "image_id")
             .join(categories.selectExpr("source_id AS class_id", "id AS category_id"), "class_id"))
     rows = rows.selectExpr(
-        "id", "coco_image AS image_id", "category_id", "0 AS iscrowd", "annotation_id AS source_id", "geom_type",
+        "id", "coco_image AS image_id", "category_id", "iscrowd", "annotation_id AS source_id", "geom_type",
         "CAST(CASE WHEN geom_type = 'box' THEN (x1 - x0) * (y1 - y0) ELSE area END AS DOUBLE) AS area",
         "CAST(CASE WHEN geom_type = 'box' THEN array(x0, y0, x1 - x0, y1 - y0) ELSE array(bx0, by0, bx1 - bx0, by1 - by0) END AS array<double>) AS bbox",
-        "counts", "size")
+        "counts", "size", "points")
     return categories, pictures.drop("_image"), rows
 
 
@@ -69,7 +83,8 @@ def write_coco(images: DataFrame, annotations: DataFrame, classes: DataFrame, sl
     """Three JSON-lines folders: categories, images, annotations."""
     categories, pictures, rows = coco_rows(images, annotations, classes, slabs)
     _block(rows.filter("geom_type <> 'box' AND coalesce(area, 0) = 0").select("source_id"), "COCO export of empty masks")
-    rows = rows.withColumn("segmentation", F.when(F.col("geom_type") == "box", F.lit("[]")).otherwise(
+    rows = rows.withColumn("segmentation", F.when(F.col("geom_type") == "box", F.lit("[]"))
+                           .when(F.col("points").isNotNull(), F.to_json(F.array(F.expr("flatten(transform(points, p -> array(p.x, p.y)))")))).otherwise(
         F.to_json(F.struct("size", encode_counts("counts").alias("counts")))))
     categories.write.mode("errorifexists").json(f"{path}/categories")
     pictures.write.mode("errorifexists").json(f"{path}/images")
@@ -91,8 +106,12 @@ def yolo_box_rows(images: DataFrame, annotations: DataFrame, classes: DataFrame)
 
 def yolo_seg_rows(images: DataFrame, annotations: DataFrame, classes: DataFrame, slabs: DataFrame, allow_lossy: bool = False):
     """Returns (rows, failures): normalised polygons per object, and objects that cannot be written."""
-    sized = slabs.join(images.select("image_id", F.col("width").cast("bigint").alias("width"), F.col("height").cast("bigint").alias("height")), "image_id")
-    converted = to_polygon(sized, "annotation_id", allow_lossy=allow_lossy)
+    annotations = _carried(annotations)
+    authored = annotations.filter("points IS NOT NULL").selectExpr(
+        "annotation_id", "'authored_polygon' AS method", "points", "CAST(0 AS BIGINT) AS changed_pixels", "false AS lossy", "CAST(NULL AS STRING) AS error")
+    traced = slabs.join(authored.select("annotation_id"), "annotation_id", "left_anti")
+    sized = traced.join(images.select("image_id", F.col("width").cast("bigint").alias("width"), F.col("height").cast("bigint").alias("height")), "image_id")
+    converted = to_polygon(sized, "annotation_id", allow_lossy=allow_lossy).select(*authored.columns).unionByName(authored)
     rows = (annotations.select("image_id", "annotation_id", "class_id", "geom_type").join(converted, "annotation_id", "left")
             .join(class_index(classes, 0).select("class_id", "class_index"), "class_id")
             .join(images.select("image_id", F.col("width").alias("_w"), F.col("height").alias("_h"), F.expr(export_split()).alias("split")), "image_id")
@@ -171,13 +190,15 @@ def labelme_shapes(images: DataFrame, annotations: DataFrame, classes: DataFrame
 
     ``annotations`` may carry a ``group_id`` BIGINT of an earlier import.
     """
+    annotations = _carried(annotations)
     if "group_id" not in annotations.columns:
         annotations = annotations.withColumn("group_id", F.lit(None).cast("bigint"))
     rows = annotations.join(classes.select("class_id", F.col("name").alias("label")), "class_id")
     boxes = rows.filter("geom_type = 'box'").selectExpr(
         "image_id", "annotation_id", "label", "group_id", "'rectangle' AS shape_type", "0L AS part",
         "CAST(array(struct(x0 AS x, y0 AS y), struct(x1 AS x, y1 AS y)) AS array<struct<x: double, y: double>>) AS points")
-    sized = (slabs.join(rows.filter("geom_type <> 'box'").select("annotation_id"), "annotation_id", "left_semi"))
+    authored = rows.filter("points IS NOT NULL").selectExpr("image_id", "annotation_id", "label", "group_id", "'polygon' AS shape_type", "0L AS part", "points")
+    sized = slabs.join(rows.filter("geom_type <> 'box' AND points IS NULL").select("annotation_id"), "annotation_id", "left_semi")
     # Traced once: numbering, the hole check and the shapes all read it.
     parts = cut_lineage(component_polygons(sized, "annotation_id"))
     made = rows.filter("geom_type <> 'box'").select("image_id", "annotation_id", "label", "group_id").join(parts, "annotation_id")
@@ -192,18 +213,20 @@ def labelme_shapes(images: DataFrame, annotations: DataFrame, classes: DataFrame
     fresh = numbered.join(used, "image_id").selectExpr("annotation_id", "top + rank AS fresh_group")
     polygons = made.join(fresh, "annotation_id", "left").selectExpr(
         "image_id", "annotation_id", "label", "coalesce(group_id, fresh_group) AS group_id", "'polygon' AS shape_type", "part", "points")
-    return boxes.unionByName(polygons), failures
+    return boxes.unionByName(authored).unionByName(polygons), failures
 
 
 def write_labelme(images: DataFrame, annotations: DataFrame, classes: DataFrame, slabs: DataFrame, path: str, allow_lossy: bool = False) -> None:
     """One JSON document per image, whatever its size, as JSON lines."""
+    _block(classes.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1"), "LabelMe export with repeated class names")
     shapes, failures = labelme_shapes(images, annotations, classes, slabs, allow_lossy)
     _block(failures, "LabelMe export")
+    shapes = shapes.join(_carried(annotations).select("annotation_id", F.expr("coalesce(transform_values(flags, (k, f) -> try_cast(f AS BOOLEAN)), map())").alias("flags")), "annotation_id")
     lists = shapes.groupBy("image_id").agg(F.sort_array(F.collect_list(F.expr(
-        "struct(annotation_id, part, label, group_id, shape_type, transform(points, p -> array(p.x, p.y)) AS points)"))).alias("s"))
+        "struct(annotation_id, part, label, group_id, shape_type, transform(points, p -> array(p.x, p.y)) AS points, to_json(flags) AS flags)"))).alias("s"))
     (images.join(lists, "image_id", "left").selectExpr(
         "'5.0.1' AS version", "concat(image_id, '.png') AS imagePath", "height AS imageHeight", "width AS imageWidth",
-        "coalesce(transform(s, x -> struct(x.label AS label, x.points AS points, x.group_id AS group_id, x.shape_type AS shape_type)), array()) AS shapes")
+        "coalesce(transform(s, x -> struct(x.label AS label, x.points AS points, x.group_id AS group_id, x.shape_type AS shape_type, from_json(x.flags, 'map<string, boolean>') AS flags)), array()) AS shapes")
         .write.mode("errorifexists").json(path))
 
 

@@ -160,6 +160,27 @@ def test_labelme_groups(spark, scene, tmp_path):
     assert sorted(r["reason"] for r in got.losses.collect()) == ["grouped_shapes_differ_in_flags", "unsupported_shape_skipped:circle"]
 
 
+def test_authored_polygons_survive(spark, scene, tmp_path):
+    """Import, export, import: vertices, crowd marks and flags stay what the author wrote."""
+    kite = [6.5, 3.25, 30.0, 9.5, 20.25, 31.0, 4.0, 17.75]
+    body = {"categories": [{"id": 4, "name": "stem"}], "images": [{"id": 9, "file_name": "n1.png", "width": 53, "height": 44}],
+            "annotations": [{"id": 1, "image_id": 9, "category_id": 4, "segmentation": [kite], "iscrowd": 1}]}
+    (tmp_path / "k.json").write_text(json.dumps(body))
+    first = I.read_coco(spark, str(tmp_path / "k.json"), scene["images"], scene["classes"])
+    rows, slabs = first.annotations.cache(), first.slabs.cache()
+    corners = [(p["x"], p["y"]) for p in rows.first()["points"]]
+    assert corners == list(zip(kite[::2], kite[1::2]))
+    O.write_coco(scene["images"], rows, scene["classes"], slabs, str(tmp_path / "c"))
+    back = I.read_coco(spark, str(tmp_path / "c"), scene["images"], scene["classes"], sharded=True).annotations.first()
+    assert [(p["x"], p["y"]) for p in back["points"]] == corners and back["flags"] == {"iscrowd": "1"}
+    yolo, failures = O.yolo_seg_rows(scene["images"], rows, scene["classes"], slabs)
+    line = yolo.first()
+    assert failures.count() == 0 and line["method"] == "authored_polygon" and len(line["coords"]) == 8
+    O.write_labelme(scene["images"], rows.withColumn("flags", F.expr("map('occluded', 'true')")), scene["classes"], slabs, str(tmp_path / "l"))
+    shape = I.read_labelme(spark, str(tmp_path / "l"), scene["images"], scene["classes"], lines=True).annotations.first()
+    assert [(p["x"], p["y"]) for p in shape["points"]] == corners and shape["flags"] == {"occluded": "true"}
+
+
 def png(rows):
     height, width = len(rows), len(rows[0])
     raw = b"".join(b"\0" + bytes(r) for r in rows)
