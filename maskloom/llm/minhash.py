@@ -5,11 +5,12 @@ universe of 2^22 places, the second is read at place + k (shifted circularly) fo
 Groups of four coordinates are the bands. Documents with the same set are one class from the start;
 classes that share a band are candidates; a link needs an exact Jaccard of at least ``percent``.
 
-No bucket lists its pairs. In each round, a bucket that still holds several components picks some
-leaders and compares them with its members of other components; confirmed links merge components
-and most buckets close. The number of leaders grows by the round, so a bucket of any size is worked
-off completely; the pairs tested are those between members and outliers, not all. Components, links
-and candidates stay distributed.
+No bucket lists its pairs. Each document is compared with one leader of its buckets, the most central
+one, which joins most copies of a group. Only documents left outside the largest component of
+their cluster (documents connected through bands) are compared with the cluster, block by block
+inside tasks of bounded size; a task returns at most one link of a document with a component. Documents
+whose own unique shingles rule out every link take no part. Components, links and candidates stay
+distributed. The work left is outsiders times cluster, which an exact answer needs.
 
 Defined cases: a null or empty text has no shingles and is linked with nothing; a text of fewer
 words is one shingle; rows that share an id count as one document with several texts; rows with a
@@ -30,6 +31,7 @@ from .common import broadcast_if_small, stage
 
 UNIVERSE_BITS = 22
 BANDS, ROWS = 24, 4
+BLOCK_WEIGHT, DOC_WEIGHT = 500_000, 250  # shingles of a block; what a document counts beside its own
 LAST = (1 << 63) - 1
 _second: dict[tuple[int, int], np.ndarray] = {}
 
@@ -146,6 +148,67 @@ def _sets(width: int):
     return run
 
 
+def overlaps(keys_a: np.ndarray, at_a: np.ndarray, keys_b: np.ndarray, at_b: np.ndarray, common: int = 256) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets. Keys that many sets share are counted by a matrix
+    product, rare ones pair by pair of their holders."""
+    out = np.zeros((len(at_a) - 1, len(at_b) - 1), np.float32)
+    own_a, own_b = (np.repeat(np.arange(len(at) - 1), np.diff(at)) for at in (at_a, at_b))
+    shared = np.intersect1d(keys_a, keys_b)
+    if not len(shared):
+        return out
+    place_a, place_b = (np.minimum(np.searchsorted(shared, k), len(shared) - 1) for k in (keys_a, keys_b))
+    in_a, in_b = shared[place_a] == keys_a, shared[place_b] == keys_b
+    place_a, own_a, place_b, own_b = place_a[in_a], own_a[in_a], place_b[in_b], own_b[in_b]
+    held_a, held_b = np.bincount(place_a, minlength=len(shared)), np.bincount(place_b, minlength=len(shared))
+    often = np.flatnonzero(held_a * held_b > common)
+    rank = np.full(len(shared), -1)
+    rank[often] = np.arange(len(often))
+    for lo in range(0, len(often), 512):
+        wide = min(512, len(often) - lo)
+        dense = []
+        for place, own, many in ((place_a, own_a, out.shape[0]), (place_b, own_b, out.shape[1])):
+            hit = (rank[place] >= lo) & (rank[place] < lo + wide)
+            side = np.zeros((many, wide), np.float32)
+            side[own[hit], rank[place[hit]] - lo] = 1
+            dense.append(side)
+        out += dense[0] @ dense[1].T
+    rare_a, rare_b = rank[place_a] < 0, rank[place_b] < 0
+    place_a, own_a, place_b, own_b = place_a[rare_a], own_a[rare_a], place_b[rare_b], own_b[rare_b]
+    order = np.argsort(place_b, kind="stable")
+    place_b, own_b = place_b[order], own_b[order]
+    begin = np.searchsorted(place_b, place_a, "left")
+    times = np.searchsorted(place_b, place_a, "right") - begin
+    for lo in range(0, len(place_a), 50_000):
+        t = times[lo:lo + 50_000]
+        each = np.repeat(np.arange(len(t)), t)
+        step = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+        cell = own_a[lo:lo + 50_000][each] * out.shape[1] + own_b[begin[lo:lo + 50_000][each] + step]
+        cell, n = np.unique(cell, return_counts=True)
+        out.ravel()[cell] += n
+    return out
+
+
+def _links(percent: int):
+    """One link of each left document with each component of right documents that it reaches."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        sides = []
+        for table in (left, right):
+            lists = table.column("keys").combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            offsets = np.asarray(lists.offsets).astype(np.int64)
+            sides.append((np.asarray(lists.values)[offsets[0]:offsets[-1]], offsets - offsets[0], np.asarray(table.column("id")), np.asarray(table.column("comp"))))
+        (keys_a, at_a, id_a, comp_a), (keys_b, at_b, id_b, comp_b) = sides
+        both = overlaps(keys_a, at_a, keys_b, at_b).astype(np.int64)
+        union = np.diff(at_a)[:, None] + np.diff(at_b)[None, :] - both
+        a, b = np.nonzero((both * 100 >= union * percent) & (comp_a[:, None] != comp_b[None, :]))
+        _, once = np.unique(np.stack([a, comp_b[b]]), axis=1, return_index=True)
+        a, b = id_a[a[once]], id_b[b[once]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp): the smallest id reachable over ``edges`` (a, b); only ids that have an edge.
 
@@ -164,7 +227,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80, seed: int = 11, leaders: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80, seed: int = 11) -> DataFrame:
     """(id, n_shingles, component_id, kept), one row per row of ``docs``."""
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
     told = stage(texts.mapInArrow(_describe(width, seed), "id long, n long, s1 long, s2 long, bands array<long>"), "minhash")
@@ -188,37 +251,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         common = F.least("most", "most_a")
         return common * 100 >= (F.col("n") + F.col("na") - common) * percent
 
-    comp = member.select("id", F.col("id").alias("comp")).distinct()
-    edges, tested, turn = None, None, 0
-    while True:
-        now = member.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        split = now.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
-                                       F.min(F.struct(((F.col("n") - F.col("most")) / F.col("n")).alias("odd"), "id", "n", "most")).alias("mid")).filter("low < high")
-        if turn == 0:
-            # Each document first meets one leader, the one with the fewest shingles of its own: that closes most buckets.
-            first = member.join(split.select("band", "mid"), "band").filter(F.col("id") != F.col("mid.id")).groupBy("id", "n", "most").agg(F.min("mid").alias("mid"))
-            pairs = (first.select("id", "n", "most", F.col("mid.id").alias("a"), F.col("mid.n").alias("na"), F.col("mid.most").alias("most_a")).filter(may_link())
-                     .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
-        else:
-            live = now.join(split.select("band"), "band")
-            # Leaders by a hash below turn-wise growing bounds: all members of a small bucket, some of a large one.
-            draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("size")
-            low, high = (0 if turn == 1 else leaders * 8 ** (turn - 2)), leaders * 8 ** (turn - 1)
-            lead = live.filter((draw >= low) & (draw < high)).select("band", F.col("id").alias("a"), F.col("n").alias("na"), F.col("most").alias("most_a"), F.col("comp").alias("ca"))
-            pairs = (lead.join(live, "band").filter((F.col("ca") != F.col("comp")) & may_link())
-                     .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        left, right = sets.select(F.col("id").alias("a"), F.col("keys").alias("ka")), sets.select(F.col("id").alias("b"), F.col("keys").alias("kb"))
-        both = F.size(F.array_intersect("ka", "kb"))
-        union = F.size("ka") + F.size("kb") - both
-        pairs = cut_lineage(pairs.join(right, "b").join(left, "a").select("a", "b", (both * 100 >= union * percent).alias("linked")))
-        found = pairs.filter("linked").select("a", "b")
-        edges = found if edges is None else edges.unionByName(found)
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        comp = components(edges)
-        turn += 1
-        if turn > 1 and not split.filter("true").join(member, "band").filter(F.col("size") >= high).limit(1).count():
-            break
+    # Documents that share bands, directly or through others, are one cluster; no link leaves a cluster.
+    middle = F.min(F.struct(((F.col("n") - F.col("most")) / F.col("n")).alias("odd"), "id", "n", "most")).alias("mid")
+    meets = cut_lineage(member.join(member.groupBy("band").agg(middle), "band").filter(F.col("id") != F.col("mid.id")).select("id", "n", "most", "mid").distinct())
+    clusters = components(meets.select("id", F.col("mid.id").alias("other")).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")))
+
+    # Each document first meets one leader, the one with the fewest shingles of its own: most clusters close.
+    first = meets.groupBy("id", "n", "most").agg(F.min("mid").alias("mid"))
+    pairs = (first.select("id", "n", "most", F.col("mid.id").alias("a"), F.col("mid.n").alias("na"), F.col("mid.most").alias("most_a")).filter(may_link())
+             .select("a", F.col("id").alias("b")))
+    left, right = sets.select(F.col("id").alias("a"), F.col("keys").alias("ka")), sets.select(F.col("id").alias("b"), F.col("keys").alias("kb"))
+    both = F.size(F.array_intersect("ka", "kb"))
+    linked = pairs.join(right, "b").join(left, "a").filter(both * 100 >= (F.size("ka") + F.size("kb") - both) * percent)
+    edges = cut_lineage(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    comp = components(edges)
+
+    # What is outside the largest component of its cluster meets the whole cluster, in blocks of bounded size.
+    placed = member.select("id", "n", "most").distinct().join(clusters.withColumnRenamed("comp", "cluster"), "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    placed = cut_lineage(placed)
+    parts = placed.groupBy("cluster", "comp").agg(F.count("*").alias("rows"), F.sum(F.col("n") + DOC_WEIGHT).alias("weight"))
+    shape = parts.groupBy("cluster").agg(F.max(F.struct("rows", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("weight").alias("weight")).filter("comps > 1")
+    shape = shape.select("cluster", F.col("main.comp").alias("main"), F.ceil(F.col("weight") / BLOCK_WEIGHT).alias("blocks"))
+    rows = placed.join(shape, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(sets, "id")
+    rows = stage(rows.select("cluster", "main", "blocks", "block", "id", "comp", "keys"), "blocks")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    outside = rows.filter("comp <> main").withColumn("other", every).select("cluster", F.col("block").alias("l"), F.col("other").alias("r"), "id", "comp", "keys").toDF("cluster", "l", "r", "id", "comp", "keys")
+    inside = rows.withColumn("other", every).select("cluster", F.col("other").alias("l"), F.col("block").alias("r"), "id", "comp", "keys").toDF("c", "i", "j", "id", "comp", "keys")
+    by = ["cluster", "l", "r"]
+    found = outside.groupBy(*by).cogroup(inside.groupBy("c", "i", "j")).applyInArrow(_links(percent), "a long, b long")
+    comp = components(edges.unionByName(found))
     label = F.coalesce("comp", "rep")
     out = (told.join(classes.select(*same, "rep"), same, "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
            .select("id", F.col("n").alias("n_shingles"), F.coalesce(label, "id").alias("component_id")))
