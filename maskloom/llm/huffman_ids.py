@@ -30,12 +30,20 @@ from .common import shuffle_partitions, stage, text_or_empty
 
 RUN = 128
 BLOCK = 1 << 18
-KEEP = 400_000
+KEEP = 600_000
 SCHEMA_BLOCKS = "part int, seq int, doc_ids array<bigint>, counts array<bigint>, total bigint, runs binary, payload binary"
 
 
 class WordTokenizer:
-    """The library's ids of whole texts, one library call for each distinct word."""
+    """The library's ids of whole texts, one encoding for each distinct word; kept by the process over its tasks."""
+
+    _kept: dict[tuple[str, str], WordTokenizer] = {}
+
+    @classmethod
+    def of(cls, path: str, pattern: str) -> WordTokenizer:
+        if (path, pattern) not in cls._kept:
+            cls._kept[path, pattern] = cls(path, pattern)
+        return cls._kept[path, pattern]
 
     def __init__(self, path: str, pattern: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -44,24 +52,55 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words = regex.compile(pattern)
+        self.kind = id_type(self.tokenizer.get_vocab_size())
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that begin with a space
+        self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         self.known: dict[str, bytes] = {}
 
+    def _learn(self, words: list[str], ids: list[list[int]]) -> None:
+        for w, own in zip(words, ids):
+            self.known[w] = np.array(own, self.kind).tobytes()
+
+    def _together(self, words: list[str]) -> bool:
+        """A space and letters stay a word of their own in a row of such words: one call encodes them all."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        cuts = np.flatnonzero(self.opens[ids])
+        if len(cuts) != len(words) or (len(cuts) and cuts[0]):
+            return False
+        raw, ends = ids.tobytes(), [*(cuts[1:] * ids.itemsize).tolist(), ids.nbytes]
+        at = 0
+        for w, end in zip(words, ends):
+            self.known[w] = raw[at:end]
+            at = end
+        return True
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > KEEP:
             self.known.clear()
+        known = self.known
         split = [self.words.findall(t) for t in texts]
-        fresh = list({w for words in split for w in words if w not in self.known})
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([self.known[w] for w in words]) for words in split]
+        fresh = list({w for words in split for w in words if w not in known})
+        plain = [w for w in fresh if w[0] == " " and w[1:].isalpha()]
+        other = [w for w in fresh if not (w[0] == " " and w[1:].isalpha())]
+        for at in range(0, len(plain), 2000):
+            if not self._together(plain[at:at + 2000]):
+                other += plain[at:at + 2000]
+        self._learn(other, [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)])
+        return [b"".join([known[w] for w in words]) for words in split]
+
+
+def id_type(size: int) -> str:
+    """The narrowest little-endian type for ids below ``size``."""
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
 def token_ids(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
-    """(doc_id, ids): little-endian 32-bit ids of every text, the end id last."""
-    end = np.array([end_id], "<u4").tobytes()
+    """(doc_id, ids): ids of every text as little-endian integers of ``id_type``, the end id last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path, pattern)
+        tokenizer = WordTokenizer.of(path, pattern)
+        end = np.array([end_id], tokenizer.kind).tobytes()
         for batch in batches:
             texts, at = batch.column("text").to_pylist(), 0
             while at < len(texts):
@@ -76,13 +115,13 @@ def token_ids(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def id_counts(ids: DataFrame) -> DataFrame:
+def id_counts(ids: DataFrame, kind: str = "<u4") -> DataFrame:
     """(id, n) over all documents; each task sends one row per id it met."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for row in batch.column(0):
-                n = np.bincount(np.frombuffer(row.as_py(), "<u4"), minlength=len(total))
+                n = np.bincount(np.frombuffer(row.as_py(), kind), minlength=len(total))
                 n[:len(total)] += total
                 total = n
         met = np.flatnonzero(total)
@@ -174,10 +213,10 @@ def unpack(payload: bytes, runs: bytes, total: int, ids: np.ndarray, lengths: np
     return out.T.ravel()[:total]
 
 
-def write_ids(ids: DataFrame, path: str, limit: int = 16) -> None:
-    """Write (doc_id, ids) as a file set in ascending doc_id order."""
+def write_ids(ids: DataFrame, path: str, limit: int = 16, kind: str = "<u4") -> None:
+    """Write (doc_id, ids) as a file set in ascending doc_id order; ``kind`` is the type of the ids."""
     spark = ids.sparkSession
-    counts = id_counts(ids).toArrow()  # one row per id of the vocabulary
+    counts = id_counts(ids, kind).toArrow()  # one row per id of the vocabulary
     symbols, n = np.asarray(counts.column("id")), np.asarray(counts.column("n"))
     limit = max(limit, int(np.ceil(np.log2(max(2, len(symbols))))) + 1)
     if limit > 25:
@@ -199,7 +238,7 @@ def write_ids(ids: DataFrame, path: str, limit: int = 16) -> None:
 
         for batch in batches:
             for name, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                own = np.frombuffer(raw.as_py(), "<u4").astype(np.int64)
+                own = np.frombuffer(raw.as_py(), kind).astype(np.int64)
                 if size and size + len(own) > BLOCK:
                     yield block()
                     seq, held, names, size = seq + 1, [], [], 0
@@ -246,4 +285,5 @@ def read_ids(spark: SparkSession, path: str, digest_only: bool = False) -> DataF
 
 
 def encode_and_write(docs: DataFrame, path: str, tokenizer: str, pattern: str, **columns) -> None:
-    write_ids(stage(token_ids(docs, tokenizer, pattern, **columns), "token-ids"), path)
+    kind = WordTokenizer.of(tokenizer, pattern).kind
+    write_ids(stage(token_ids(docs, tokenizer, pattern, **columns), "token-ids"), path, kind=kind)
