@@ -30,7 +30,7 @@ from .common import shuffle_partitions, stage, text_or_empty
 
 RUN = 128
 BLOCK = 1 << 18
-KEEP = 600_000
+KEEP = 900_000
 SCHEMA_BLOCKS = "part int, seq int, doc_ids array<bigint>, counts array<bigint>, total bigint, runs binary, payload binary"
 
 
