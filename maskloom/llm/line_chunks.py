@@ -10,13 +10,21 @@ Defined cases: a null text counts as empty, an empty text is one empty line; sin
 never removed; a null id sorts last; rows that share an id are ordered by a hash of their text, and
 rows alike in id and text stand at the same place, so all of them keep it; an empty table gives no
 rows. Only the id and the text column are read.
+
+``dedup_lines`` removes whole chunks only, so a repeated passage can keep its head and tail.
+``dedup_runs`` removes every repeated run in full: its chunks are all pairs of neighbouring lines that
+are not blank (with the blank lines between them) and all single lines of more than ``passage`` words. A run
+of several lines is repeated exactly if each of its pairs is, so nothing has to be grown. The
+first place of a line is in no pair that came before, so every distinct line stays somewhere.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import broadcast_if_small, text_or_empty
+from .common import broadcast_if_small, text_or_empty, word_count
 
 SEP = "\n"
 
@@ -42,18 +50,41 @@ def _chunks(docs: DataFrame, rate: int) -> DataFrame:
     return cut.select("far", "id", "mark", F.explode(texts).alias("chunk")).select("far", "id", "mark", "chunk.*").withColumn("key", F.xxhash64("text"))
 
 
+def _windows(docs: DataFrame, passage: int) -> DataFrame:
+    """(far, id, mark, chunk): pairs of neighbouring lines and long single lines, as (start, size, text)."""
+    split = docs.select("far", "id", "mark", F.split("text", SEP).alias("lines"))
+    split = split.withColumn("solid", F.filter(F.transform("lines", lambda v, i: F.when(v.rlike(r"\S"), i)), lambda i: i.isNotNull()))
+    pairs = F.zip_with(F.slice("solid", 1, F.greatest(F.size("solid") - 1, F.lit(0))), F.slice("solid", 2, F.size("solid")),
+                       lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("size")))
+    line = lambda i: F.get("lines", i)
+    # Only a line of more than twice as many characters can hold that many words.
+    long = F.filter("solid", lambda i: (F.length(line(i)) > 2 * passage) & (word_count(line(i)) > passage))
+    spans = F.concat(pairs, F.transform(long, lambda i: F.struct(i.alias("start"), F.lit(1).alias("size"))))
+    texts = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size"), F.array_join(F.slice("lines", s["start"] + 1, s["size"]), SEP).alias("text")))
+    return split.select("far", "id", "mark", F.explode(texts).alias("chunk")).select("far", "id", "mark", "chunk.*").withColumn("key", F.xxhash64("text"))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: int = 3) -> DataFrame:
     """All columns of ``docs`` with the text deduplicated, and n_lines, n_removed (lines)."""
+    return _dedup(docs, id_col, text_col, lambda base: _chunks(base, rate))
+
+
+def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = 50) -> DataFrame:
+    """As ``dedup_lines``, but every repeated run of lines, and every repeated line of more than ``passage`` words, goes in full."""
+    return _dedup(docs, id_col, text_col, lambda base: _windows(base, passage))
+
+
+def _dedup(docs: DataFrame, id_col: str, text_col: str, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     text = text_or_empty(text_col)
     base = docs.select(F.col(id_col).isNull().alias("far"), F.coalesce(F.col(id_col), F.lit(0)).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    chunks = _chunks(base, rate)
+    chunks = cut(base)
     again = cut_lineage(chunks.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
     seen = chunks.join(broadcast_if_small(again, 500_000), "key", "left_semi")
     place = F.struct("far", "id", "mark", "start")
     firsts = seen.groupBy("key", "text").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "text", "first")
     # Equal keys and equal bytes; the first place keeps the chunk.
     gone = seen.join(firsts, ["key", "text"]).filter(place != F.col("first")).select("far", "id", "mark", "start", "size")
-    gone = gone.distinct().groupBy("far", "id", "mark").agg(F.flatten(F.collect_list(F.expr("sequence(start, start + size - 1)"))).alias("gone"))
+    gone = gone.distinct().groupBy("far", "id", "mark").agg(F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(start, start + size - 1)")))).alias("gone"))
 
     key = [F.col(id_col).isNull(), F.coalesce(F.col(id_col), F.lit(0)), F.xxhash64(text)]
     keyed = docs.select(F.struct(*docs.columns).alias("row"), key[0].alias("far"), key[1].alias("id"), key[2].alias("mark"))

@@ -82,6 +82,23 @@ def op4_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query(r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+x AS (SELECT doc_id, ls, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM d),
+s AS (SELECT doc_id, ls, l, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM x WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+w AS (SELECT doc_id, i, j, array_to_string(ls[i:j], chr(10)) AS t FROM s WHERE j IS NOT NULL
+  UNION ALL SELECT doc_id, i, i, l FROM s WHERE len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) > 50),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS place FROM w) WHERE place > 1),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(i, j)) AS i FROM r)
+SELECT x.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
+  sha256(coalesce(string_agg(CASE WHEN g.i IS NULL THEN l END, chr(10) ORDER BY x.i), '')) AS kept_sha256
+FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.i = x.i GROUP BY x.doc_id""")
+def op4_line_runs_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line dedup of the pipeline; the query before is held to whole chunks by its SQL."""
+    out = line_chunks.dedup_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query()
 def op6_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")

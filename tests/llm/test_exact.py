@@ -147,6 +147,35 @@ def test_line_chunks(spark):
     assert line_chunks.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_runs_go_in_full(spark):
+    rng = random.Random(8)
+    passage, alone = [f"passage line {i} of it" for i in range(7)], " ".join(f"word{i}" for i in range(51))
+    rows = []
+    for i in range(40):
+        lines = [f"own {i} {j}" for j in range(6)]
+        at = rng.randrange(7)
+        lines[at:at] = [passage, passage[2:5], ["", passage[0], "", passage[1], ""], [alone], [alone[:-7]], ["", ""], ["x", "x", "x"]][i % 7]
+        rows.append((i, "\n".join(lines)))
+    rows += [(90, None), (91, ""), (92, "\n\n"), (93, alone), (None, "\n".join(passage))]
+    seen, want, first = set(), {}, set()
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        lines = (t or "").split("\n")
+        solid = [i for i, x in enumerate(lines) if x.strip()]
+        gone = set()
+        for lo, hi in [*zip(solid, solid[1:]), *((i, i) for i in solid if len(lines[i].split()) > 50)]:
+            window = tuple(lines[lo:hi + 1])
+            gone |= set(range(lo, hi + 1)) if window in seen else set()
+            seen.add(window)
+        assert not any(lines[i] not in first for i in gone if lines[i] and not any(lines[i] == lines[k] for k in range(i)))
+        first |= set(lines)
+        want[d] = ("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else t, len(lines), len(gone))
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_chunks.dedup_runs(frame(spark, rows, "more")).collect()}
+    assert got == want
+    # Head and tail of the passage go with it, and the long line that repeats alone.
+    assert all(got[i][2] == 7 for i in range(7, 40, 7)) and all(got[i][2] == 1 for i in (10, 17, 24)) and got[None] == ("", 7, 7)
+    assert line_chunks.dedup_runs(empty(spark)).count() == 0
+
+
 def test_pivotal_mixing(spark):
     rng = random.Random(1)
     rows = [(i, " ".join("w" for _ in range(rng.randrange(0, 60))) if i % 50 else None, None if i % 40 == 3 else f"s{i % 7}") for i in range(6000)]
