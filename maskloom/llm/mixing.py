@@ -6,9 +6,13 @@ in words, moves from one to the other with the chance that keeps both expectatio
 or 1; so the words taken stay exactly on target but for the one fraction that is left.
 
 Blocks of bounded size (a source of any size is cut into blocks by a hash of its rows) settle in
-parallel; the fraction left by each block goes up a reduction tree of the same fan-in. Larger documents
-are paired first, so what is left in the end is a small one. Chance comes from a seeded hash of ids:
-reruns agree whatever the partitioning.
+parallel; the fraction left by each block goes up a reduction tree of the same fan-in. Of a pair the smaller
+document settles and the larger stays open. So documents of more than 1 / fan-in of their source (fewer
+than fan-in, one group) come first, in classes of halved size: the fraction that a class leaves is rounded and the
+rate of all smaller documents is aimed anew at what is left of the target, as long as it then stays between 0
+and the limit; the expectation of every document holds. What is left in the end is a small
+document, unless a source has too few small ones to make up for a large one. Chance comes from a seeded
+hash of ids: reruns agree whatever the partitioning.
 
 Defined cases: a null text has size 0 and nothing is taken from it; sources are ordered by code
 point, null is a source of its own and the last; rows alike in every column are one item and share their copies; an empty
@@ -76,6 +80,31 @@ def settle(rows: pd.DataFrame, seed: int) -> pd.DataFrame:
     return rows.assign(x=[float(v) for v in x])
 
 
+def settle_large(rows: pd.DataFrame, seed: int, limit: int) -> pd.DataFrame:
+    """Large documents of one source settled by falling size; ``rate`` is what its other documents are to be taken at."""
+    rows = rows.sort_values(["size", "tag"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    rest, left = int(rows["source_size"].iloc[0]), float(rows["target"].iloc[0])
+    rate, done, open_rows = left / rest, [], rows.iloc[:0]
+    for _, own in rows.groupby(rows["size"].map(lambda w: -int(w).bit_length())):
+        rate = float(round(rate)) if abs(rate - round(rate)) < 1e-9 else rate
+        own = own.assign(base=int(rate), x=rate - int(rate))
+        words = int(own["size"].sum())
+        rest, left = rest - words, left - rate * words
+        block = settle(pd.concat([open_rows, own]) if len(open_rows) else own, seed)
+        fraction = (block["x"] > 0) & (block["x"] < 1)
+        done.append(block[~fraction])
+        open_rows = block[fraction]
+        if rest and len(open_rows):
+            x, w, tag = (open_rows[c].iloc[0] for c in ("x", "size", "tag"))
+            # Whichever way the fraction falls, the smaller documents must be able to make up for it.
+            if left >= (1 - x) * w and left + x * w <= limit * rest:
+                hit = float(_chance(seed, int(tag)) < x)
+                done.append(open_rows.assign(x=hit))
+                left, open_rows = left - (hit - x) * w, open_rows.iloc[:0]
+                rate = left / rest
+    return pd.concat([part for part in (*done, open_rows) if len(part)]).assign(rate=rate)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", seed: int = 7, fan_in: int = 4096, weights: tuple[int, ...] = (1, 2, 3), limit: int = LIMIT) -> DataFrame:
     """(id, source, row_hash, rows, size, source_size, target, copies, taken); ``rows`` is 1 but for rows alike in every column."""
     rows = docs.select(F.col(id_col).alias("id"), F.col("source").cast("string").alias("source"), word_count(text_or_empty()).alias("words"),
@@ -86,10 +115,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", seed: int = 7, fan_in: int = 40
     goals = source_targets(rows, weights, limit)
     rows = rows.join(broadcast_if_small(goals), rows["source"].eqNullSafe(goals["source"])).drop(goals["source"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = (rows.withColumn("rate", rate).withColumn("base", F.floor("rate").cast("int"))
-            .withColumn("x", F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(F.lit(0.0)))
-            .withColumn("tag", F.xxhash64("id", "row_hash", F.lit(seed)))
-            .withColumn("block", F.pmod("tag", F.ceil(F.col("source_rows") / fan_in)).cast("long")).drop("rate", "source_rows"))
+    rows = rows.withColumn("tag", F.xxhash64("id", "row_hash", F.lit(seed)))
+    rows = rows.withColumn("block", F.pmod("tag", F.ceil(F.col("source_rows") / fan_in)).cast("long")).drop("source_rows")
+    rows = rows.withColumn("base", F.lit(0)).withColumn("x", F.lit(0.0)).withColumn("rate", rate)
+    is_large = F.col("size") * fan_in > F.col("source_size")
+    large = rows.filter(is_large)
+    large = cut_lineage(large.groupBy("source").applyInPandas(lambda pdf: settle_large(pdf, seed, limit), large.schema))
+    aims = large.groupBy(F.col("source").alias("aimed")).agg(F.max("rate").alias("aim"))
+    small = rows.filter(~is_large).join(broadcast_if_small(aims), F.col("source").eqNullSafe(F.col("aimed")), "left")
+    small = small.withColumn("rate", F.coalesce("aim", "rate")).drop("aimed", "aim").withColumn("base", F.floor("rate").cast("int"))
+    small = small.withColumn("x", F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(F.lit(0.0)))
+    rows = large.unionByName(small).drop("rate")
     open_rows, done = rows, []
     # Every level cuts the number of fractions per source by the fan-in; the widest source sets the depth.
     blocks = rows.agg(F.max("block")).first()[0] or 0

@@ -206,6 +206,35 @@ def test_pivotal_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_meets_targets_beside_a_very_long_text(spark):
+    rng = random.Random(4)
+    rows = [(s * 1000 + i, " ".join(["w"] * rng.randrange(1, 60)), f"s{s}") for s in range(6) for i in range(300)]
+    rows += [(s * 1000 + 900, " ".join(["w"] * 1000), f"s{s}") for s in range(6)] + [(9000, "w " * 500, "two"), (9001, "w", "two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    for seed in range(2):
+        taken, target = defaultdict(int), {}
+        for r in mixing.mix(docs, seed=seed, fan_in=64 if seed % 2 else 4096).collect():
+            assert 0 <= r.copies <= 3
+            taken[r.source] += r.taken
+            target[r.source] = r.target
+        # The texts beside the long one have below 60 words; a source of two texts cannot meet its target.
+        assert all(abs(taken[s] - target[s]) < (60 if seed % 2 else 4) for s in target if s != "two")
+
+
+def test_large_documents_keep_target_and_expectation():
+    import pandas as pd
+    sizes = [1000, 900, *[30] * 100, *[3] * 50]
+    rows = pd.DataFrame({"tag": range(len(sizes)), "size": sizes, "x": 0.0, "base": 0, "source_size": sum(sizes) + 400, "target": 1.3 * (sum(sizes) + 400)})
+    total, rates = np.zeros(len(sizes)), []
+    for seed in range(1500):
+        out = mixing.settle_large(rows, seed, 3).sort_values("tag")
+        assert ((out["x"] > 0) & (out["x"] < 1)).sum() <= 1 and out["rate"].nunique() == 1 and 0 <= out["rate"].iloc[0] <= 3
+        assert abs(((out["base"] + out["x"]) * out["size"]).sum() + out["rate"].iloc[0] * 400 - rows["target"].iloc[0]) < 1e-6
+        total += (out["base"] + out["x"]).to_numpy()
+        rates.append(out["rate"].iloc[0])
+    assert np.abs(total / 1500 - 1.3).max() < 0.08 and abs(np.mean(rates) - 1.3) < 0.02
+
+
 def test_pivotal_steps_keep_the_weighted_sum_and_expectation():
     import pandas as pd
     total = np.zeros(40)
