@@ -13,9 +13,9 @@ whose own unique shingles rule out every link take no part. Components, links an
 distributed. The work left is outsiders times cluster, which an exact answer needs.
 
 Defined cases: a null or empty text has no shingles and is linked with nothing; a text of fewer
-words is one shingle; rows that share an id count as one document with several texts; rows with a
-null id count as one document that sorts last; an empty table gives no rows. Only the id and the
-text column are read.
+words is one shingle; the work is done by text, so rows that share an id, or have none, are linked
+each by its own text; a null id sorts last, and texts of one id stand in the order of a hash; an empty table gives
+no rows. Only the id and the text column are read.
 """
 from __future__ import annotations
 
@@ -133,9 +133,9 @@ def _describe(width: int, seed: int):
             s1, s2 = (s[at[1:]] - s[at[:-1]] for s in sums)
             flat = pa.array(bands.view(np.int64).ravel())
             yield pa.RecordBatch.from_arrays(
-                [rows.column("id"), pa.array(count), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
+                [rows.column("id"), rows.column("mark"), pa.array(count), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
                  pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat)],
-                names=["id", "n", "s1", "s2", "bands"])
+                names=["id", "mark", "n", "s1", "s2", "bands"])
     return run
 
 
@@ -227,18 +227,36 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80, seed: int = 11) -> DataFrame:
-    """(id, n_shingles, component_id, kept), one row per row of ``docs``."""
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    told = stage(texts.mapInArrow(_describe(width, seed), "id long, n long, s1 long, s2 long, bands array<long>"), "minhash")
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """id and mark: the place of a row among all rows; rows alike in id and text share it."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("mark")]
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, seed: int) -> DataFrame:
+    """(id, mark, n, first), one row per row of ``docs``; first is the smallest (id, mark) of its component."""
+    texts = docs.select(*_keyed(docs, id_col, text_col), F.col(text_col).cast("string").alias("text"))
+    told = stage(texts.mapInArrow(_describe(width, seed), "id long, mark long, n long, s1 long, s2 long, bands array<long>"), "minhash")
     same = ["n", "s1", "s2"]
-    classes = stage(told.filter("n > 0").groupBy(*same).agg(F.min(F.struct("id", "bands")).alias("rep")).select(*same, F.col("rep.id").alias("rep"), "rep.bands"), "classes")
+    # From here to the components a class is known by a key of its set, whatever the ids of its rows.
+    classes = told.filter("n > 0").groupBy(*same).agg(F.min(F.struct("id", "mark", "bands")).alias("rep"))
+    classes = stage(classes.select(F.xxhash64(*same).alias("key"), "n", F.struct("rep.id", "rep.mark").alias("rep"), "rep.bands"), "classes")
 
-    member = classes.select("rep", "n", F.explode("bands").alias("band"))
+    member = classes.select("key", "n", F.explode("bands").alias("band"))
     wide = member.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-    member = cut_lineage(member.join(wide, "band").select("band", "size", F.col("rep").alias("id"), "n"))
-    wanted = cut_lineage(member.select("id").distinct())
-    sets = stage(texts.join(broadcast_if_small(wanted, 1_000_000), "id", "left_semi").mapInArrow(_sets(width), "id long, keys array<long>"), "sets")
+    member = cut_lineage(member.join(wide, "band").select("band", "size", F.col("key").alias("id"), "n"))
+    wanted = classes.join(member.select(F.col("id").alias("key")).distinct(), "key", "left_semi").select("key", F.col("rep.id").alias("id"), F.col("rep.mark").alias("mark"))
+    # One text stands for a class; the few places that several rows share give one of them.
+    twice = cut_lineage(told.filter("n > 0").groupBy("id", "mark").agg(F.count("*").alias("times")).filter("times > 1").select("id", "mark"))
+    wanted = cut_lineage(wanted.join(twice.withColumn("again", F.lit(True)), ["id", "mark"], "left").withColumn("again", F.coalesce("again", F.lit(False))))
+
+    def chosen(again: bool) -> DataFrame:
+        part = broadcast_if_small(wanted.filter(F.col("again") == again).drop("again"), 1_000_000)
+        return texts.join(part, ["id", "mark"]).select(F.col("key").alias("id"), "text")
+
+    one = chosen(False)
+    if twice.limit(1).count():
+        one = one.unionByName(chosen(True).groupBy("id").agg(F.min("text").alias("text")))
+    sets = stage(one.mapInArrow(_sets(width), "id long, keys array<long>"), "sets")
 
     # Shingles that no other candidate holds can be in no intersection: u of them bound every link of a document.
     single = sets.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("id")).filter("m = 1")
@@ -280,17 +298,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by = ["cluster", "l", "r"]
     found = outside.groupBy(*by).cogroup(inside.groupBy("c", "i", "j")).applyInArrow(_links(percent), "a long, b long")
     comp = components(edges.unionByName(found))
-    label = F.coalesce("comp", "rep")
-    out = (told.join(classes.select(*same, "rep"), same, "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-           .select("id", F.col("n").alias("n_shingles"), F.coalesce(label, "id").alias("component_id")))
-    plain = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    return out.select(plain("id").alias(id_col), "n_shingles", plain("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
+    joined = cut_lineage(classes.select(F.col("key").alias("id"), "rep").join(comp, "id"))
+    heads = joined.join(joined.groupBy("comp").agg(F.min("rep").alias("head")), "comp").select(F.col("id").alias("key"), "head")
+    heads = classes.select("key", "rep").join(heads, "key", "left").select("key", F.coalesce("head", "rep").alias("first"))
+    key = F.when(F.col("n") > 0, F.xxhash64(*same)).otherwise(F.xxhash64("id", "mark"))
+    out = told.select("id", "mark", "n", key.alias("key")).join(heads, "key", "left")
+    own = F.struct("id", "mark")
+    return out.select("id", "mark", "n", F.when(F.col("n") > 0, F.col("first")).otherwise(own).alias("first"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """Rows of ``docs`` that stay: one document of each component, one row of each id, same columns."""
-    kept = near_duplicates(docs, id_col, **settings).filter("kept").select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id"))
-    one = Window.partitionBy("_id").orderBy("row")
-    rows = rows.join(kept, "_id").withColumn("_place", F.row_number().over(one)).filter("_place = 1")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80, seed: int = 11) -> DataFrame:
+    """(id, n_shingles, component_id, kept), one row per row of ``docs``."""
+    out = _linked(docs, id_col, text_col, width, percent, seed)
+    plain = lambda c: F.when(F.col(c) != LAST, F.col(c))
+    return out.select(plain("id").alias(id_col), F.col("n").alias("n_shingles"), plain("first.id").alias("component_id"), (F.struct("id", "mark") == F.col("first")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80, seed: int = 11) -> DataFrame:
+    """Rows of ``docs`` that stay: the first of each component and every text without words, same columns."""
+    kept = _linked(docs, id_col, text_col, width, percent, seed).filter(F.struct("id", "mark") == F.col("first"))
+    kept = kept.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), (F.col("n") == 0).alias("_bare")).distinct()
+    key = _keyed(docs, id_col, text_col)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key[0].alias("_id"), key[1].alias("_mark")).join(kept, ["_id", "_mark"])
+    # Of rows alike in id and text one stays; texts without words are dealt out, they are copies of nothing.
+    one = Window.partitionBy("_id", "_mark", F.when(F.col("_bare"), F.xxhash64("row"))).orderBy("row")
+    rows = rows.withColumn("_place", F.row_number().over(one)).filter("_place = 1 OR _bare")
     return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -124,6 +124,21 @@ def test_circulant_minhash(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_without_own_ids(spark):
+    word = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    a, b, c, d, e = map(word, "abcde")
+    rows = [(None, a), (None, b), (1, a + " x"), (2, b + " y"), (None, c), (7, d), (7, e), (8, e + " z"), (9, d + " z"), (9, d + " z"), (7, d + " q"), (None, None), (None, ""), (10, "")]
+    out = {}
+    for r in minhash.near_duplicates(frame(spark, rows, "more")).collect():
+        out.setdefault(r.doc_id, []).append((r.n_shingles, r.component_id))
+    assert sorted(out[None], key=str) == sorted([(57, 1), (57, 2), (57, None), (0, None), (0, None)], key=str)
+    assert sorted(out[7]) == [(57, 7), (57, 7), (58, 7)] and out[1] == [(58, 1)] and out[8] == [(58, 7)] and out[9] == [(58, 7)] * 2
+    kept = [(r.doc_id, r.text) for r in minhash.keep_one(frame(spark, rows)).collect()]
+    first = [x for x in kept if x[0] == 7 and x[1].startswith("d")]
+    assert len(first) == 1 and first[0] in rows
+    assert sorted(kept, key=str) == sorted([(1, a + " x"), (2, b + " y"), (None, c), (7, e), *first, (None, None), (None, ""), (10, "")], key=str)
+
+
 def test_line_chunks(spark):
     block = [f"shared line {i}" for i in range(12)]
     rows = [(i, "\n".join([f"own {i} {j}" for j in range(i % 4)] + block + [f"end {i}"])) for i in range(30)] + [(90, None), (91, ""), (92, "\n"), (93, "shared line 1"), (None, "\n".join(block))]
