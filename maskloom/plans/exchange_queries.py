@@ -137,6 +137,14 @@ def mask_09_polygons(v):
     return M.mask_stats(made, "annotation_id").select("annotation_id", "area")
 
 
+@query("mask_09_every_polygon")
+def mask_09_every_polygon(v):
+    """All polygons of the view, fractional and crossing ones too; an empty raster has area 0."""
+    rows = v.sql(SPARK_POLYGONS)
+    area = M.mask_stats(V.rasterize(rows, "annotation_id"), "annotation_id").select("annotation_id", "area")
+    return rows.select("annotation_id").join(area, "annotation_id", "left").select("annotation_id", F.coalesce("area", F.lit(0).cast("long")).alias("area"))
+
+
 # ---- sources ----------------------------------------------------------------------------------
 
 KNOWN_FILES = "SELECT sha256, doc_id % 2 = 0 AS removed FROM {files} WHERE doc_id % 5 = 0"
