@@ -42,8 +42,8 @@ FLUSH = 400_000
 LAST = (1 << 63) - 1
 SAMPLE, COMMON = 20_000, 100   # texts looked at for common triggers, and texts that make one common
 
-PHRASE = {"trig": "<u8", "phr": "<u8", "doc": "<i8", "tie": "<i8", "a": "<u4", "n": "u1", "off": "u1"}
-ASK = {"trig": "<u8", "doc": "<i8", "tie": "<i8", "a": "<u4", "n": "u1"}
+PHRASE = {"trig": "<u8", "phr": "<u8", "doc": "<i8", "tie": "<i8", "a": "<u4", "n": "<u4", "off": "<u4"}
+ASK = {"trig": "<u8", "doc": "<i8", "tie": "<i8", "a": "<u4", "n": "<u4"}
 GONE = {"doc": "<i8", "tie": "<i8", "start": "<u4", "end": "<u4"}
 PACKED = "kind int, key long, payload binary"
 

@@ -77,6 +77,16 @@ def test_prefix_free(spark, monkeypatch, common):
     assert got == repeats(rows)
 
 
+def test_prefix_free_phrases_of_many_windows(spark):
+    rng = random.Random(6)
+    shared = "".join(rng.choice("abcdefghij") for _ in range(6000))
+    data = np.frombuffer(shared.encode(), np.uint8)
+    assert prefix_free.phrases(data, np.array([0, len(data)]), 600, 32)["n"].max() > 255
+    rows = [(1, "one " + shared + " end"), (2, "two " + shared[500:] + " end"), (3, shared[:599]), (4, "x" + shared[:600])]
+    got = {r[0]: tuple(r[1:5]) for r in prefix_free.remove_repeats(frame(spark, rows), match=600).collect()}
+    assert got == repeats(rows, 600)
+
+
 def test_prefix_free_defined_cases(spark):
     text = "0123456789" * 3 + "".join(map(chr, range(0x400, 0x450)))
     rows = [(1, text), (1, text), (None, text), (2, None)]
