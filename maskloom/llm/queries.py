@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, content_sort, huffman_ids, line_chunks, minhash, mixing, pieces, prefix_free, topk, toxicity
+from . import chat_format, content_sort, huffman_ids, line_chunks, minhash, mixing, pieces, prefix_free, topk, toxicity, warc_store
 from .common import scratch, table
 
 QUERIES: dict = {}
@@ -139,3 +139,14 @@ def op5_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_free.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, CAST(strlen(coalesce(html, '')) AS BIGINT) AS b FROM pages),
+k AS (SELECT *, b >= 1000 AND page_id IS DISTINCT FROM max(page_id) OVER (PARTITION BY h) AS again, max(page_id) OVER (PARTITION BY h) AS keeper FROM p)
+SELECT page_id, b AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN keeper END AS refers_to, true AS intact FROM k""")
+def op11_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc_store.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc_store.described(warc_store.read_archive(spark, path))
