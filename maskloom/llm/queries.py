@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, content_sort, huffman_ids, line_chunks, minhash, mixing, pieces, prefix_free, topk, toxicity, warc_store
+from . import chat_format, content_sort, huffman_ids, line_chunks, minhash, mixing, periodic_runs, pieces, prefix_free, topk, toxicity, warc_store
 from .common import scratch, table
 
 QUERIES: dict = {}
@@ -150,3 +150,26 @@ def op11_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc_store.write_archive(table(spark, sf_dir, "pages"), path)
     return warc_store.described(warc_store.read_archive(spark, path))
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Texts of ids whose crc32 is divisible by ten repeat their words from the a-th on with period p."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    rows = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("words"))
+    rows = rows.withColumn("a", F.when(F.size("words") > 0, F.col("g") % F.size("words")))
+    rows = rows.withColumn("p", 1 + F.floor((F.size("words") - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform(F.sequence(F.col("a"), F.size("words") - 1), lambda i: F.col("words")[(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")])
+    periodic = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), again), " ")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), periodic).otherwise(F.col("text")).alias("text"))
+
+
+@query()
+def op13_lcp_kruskal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    best = F.expr("array_max(transform(runs, r -> named_struct('length', r.length, 'start', -r.start, 'period', -r.period)))")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return (found.withColumn("best", best)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+                    (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+                    F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
