@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, content_sort, huffman_ids, line_chunks, minhash, mixing, periodic_runs, pieces, prefix_free, topk, toxicity, warc_store
+from . import chat_format, collocations, content_sort, huffman_ids, line_chunks, minhash, mixing, periodic_runs, pieces, prefix_free, topk, toxicity, warc_store
 from .common import scratch, table
 
 QUERIES: dict = {}
@@ -173,3 +173,27 @@ def op13_lcp_kruskal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
                     (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
                     F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
+@query(r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3, 4]) AS m)),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY lang, m, phrase HAVING count(*) >= 30),
+n AS (SELECT lang, count(*) AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+k AS (SELECT lang, phrase, m, a, ws, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, k.m, k.a, k.k, x.a AS l, y.a AS r, CAST(CAST(2000000 AS HUGEINT) * k.a // (x.a + y.a) AS BIGINT) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(ws[:k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(ws[k + 1:], ' ')),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM s) WHERE place = 1),
+h AS (SELECT lang, unnest(flatten(list_transform(range(2, m), lambda z: list_transform(range(1, m - z + 2), lambda i: array_to_string(ws[i:i + z - 1], ' '))))) AS phrase, a
+  FROM c WHERE m > 2),
+o AS (SELECT lang, phrase, max(a) AS held FROM h GROUP BY lang, phrase),
+q AS (SELECT b.*, n.n FROM b JOIN n USING (lang) LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase
+  WHERE held IS NULL OR CAST(100 AS HUGEINT) * held < CAST(80 AS HUGEINT) * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM q) WHERE rank <= 2000""")
+def op12_era_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
