@@ -1,138 +1,36 @@
-"""Small numpy helpers for single masks: strips, topology, outlines and polygon rasters.
+"""Helpers for a single mask: one-mask forms of :mod:`shapes`, and the convex hull.
 
-Everything here works on one mask at a time, inside tasks. A mask is bounded by the image limit.
+A mask is bounded by the image limit.
 """
 from __future__ import annotations
 
 import numpy as np
 
+from . import shapes
 
-def strips(slabs: np.ndarray):
-    """Cut slabs (x0, x1, y0, y1) at all x borders; returns xs, strip, y0, y1 with touching runs merged."""
-    xs = np.unique(slabs[:, :2])
-    lo, hi = np.searchsorted(xs, slabs[:, 0]), np.searchsorted(xs, slabs[:, 1])
-    times = hi - lo
-    strip = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    y0, y1 = np.repeat(slabs[:, 2], times), np.repeat(slabs[:, 3], times)
-    order = np.lexsort((y0, strip))
-    strip, y0, y1 = strip[order], y0[order], y1[order]
-    # Runs of one mask do not overlap, so a run can only touch the one before it.
-    fresh = np.ones(len(strip), bool)
-    fresh[1:] = (strip[1:] != strip[:-1]) | (y0[1:] > y1[:-1])
-    start = np.flatnonzero(fresh)
-    stop = np.append(start[1:], len(strip)) - 1
-    return xs, strip[start], y0[start], y1[stop]
-
-
-def _label(strip, y0, y1):
-    """Component label per run; runs of neighbouring strips join where they overlap in y."""
-    parent = list(range(len(strip)))
-
-    def find(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    bounds = np.searchsorted(strip, np.arange(strip.max() + 2)) if len(strip) else np.zeros(1, int)
-    for s in range(len(bounds) - 2):
-        i, j, i_end, j_end = bounds[s], bounds[s + 1], bounds[s + 1], bounds[s + 2]
-        while i < i_end and j < j_end:
-            if y0[i] < y1[j] and y0[j] < y1[i]:
-                parent[find(int(i))] = find(int(j))
-            if y1[i] < y1[j]:
-                i += 1
-            else:
-                j += 1
-    return np.array([find(i) for i in range(len(strip))])
-
-
-def _background(xs, strip, y0, y1):
-    """Gaps of every strip, inside a frame one pixel larger than the mask on all sides."""
-    top, bottom, count = y0.min() - 1, y1.max() + 1, len(xs) - 1
-    rows = [(0, top, bottom)]
-    bounds = np.searchsorted(strip, np.arange(count + 1))
-    for s in range(count):
-        edge = top
-        for i in range(bounds[s], bounds[s + 1]):
-            if y0[i] > edge:
-                rows.append((s + 1, edge, y0[i]))
-            edge = y1[i]
-        if bottom > edge:
-            rows.append((s + 1, edge, bottom))
-    rows.append((count + 1, top, bottom))
-    gaps = np.array(rows)
-    return gaps[:, 0], gaps[:, 1], gaps[:, 2]
+
+def _one(slabs: np.ndarray) -> np.ndarray:
+    return np.zeros(len(slabs), np.int64)
 
 
 def topology(slabs: np.ndarray):
     """(4-connected components, holes). Holes are background parts that do not reach the outside."""
-    xs, strip, y0, y1 = strips(slabs)
-    components = len(np.unique(_label(strip, y0, y1)))
-    return components, len(np.unique(_label(*_background(xs, strip, y0, y1)))) - 1
+    components, holes = shapes.topology(_one(slabs), slabs, 1)
+    return int(components[0]), int(holes[0])
 
 
 def hole_slabs(slabs: np.ndarray) -> np.ndarray:
-    xs, strip, y0, y1 = strips(slabs)
-    gs, g0, g1 = _background(xs, strip, y0, y1)
-    label = _label(gs, g0, g1)
-    inner = label != label[0]
-    left = gs[inner] - 1
-    return np.stack([xs[left], xs[left + 1], g0[inner], g1[inner]], axis=1)
+    return shapes.holes(_one(slabs), slabs)[1]
 
 
 def component_slabs(slabs: np.ndarray) -> list[np.ndarray]:
-    xs, strip, y0, y1 = strips(slabs)
-    label = _label(strip, y0, y1)
-    rows = np.stack([xs[strip], xs[strip + 1], y0, y1], axis=1)
-    return [rows[label == part] for part in dict.fromkeys(label.tolist())]
-
-
-def _minus(a, b):
-    """Parts of the sorted runs ``a`` that no run of ``b`` covers."""
-    out = []
-    for lo, hi in a:
-        for c, d in b:
-            if d <= lo or c >= hi:
-                continue
-            if c > lo:
-                out.append((lo, c))
-            lo = max(lo, d)
-        if lo < hi:
-            out.append((lo, hi))
-    return out
+    _, part, rows = shapes.components(_one(slabs), slabs)
+    return [rows[part == k] for k in range(int(part.max()) + 1)]
 
 
 def outline(slabs: np.ndarray) -> np.ndarray:
     """Pixel-edge ring of a mask with one component and no hole, without collinear points."""
-    xs, strip, y0, y1 = strips(slabs)
-    runs = [[] for _ in range(len(xs) + 1)]
-    follow = {}
-    for s, lo, hi in zip(strip.tolist(), y0.tolist(), y1.tolist()):
-        runs[s + 1].append((lo, hi))
-        xa, xb = int(xs[s]), int(xs[s + 1])
-        follow[(xa, lo, "h")] = (xb, lo)
-        follow[(xb, hi, "h")] = (xa, hi)
-    for i, x in enumerate(xs.tolist()):
-        for lo, hi in _minus(runs[i + 1], runs[i]):
-            follow[(x, hi, "v")] = (x, lo)
-        for lo, hi in _minus(runs[i], runs[i + 1]):
-            follow[(x, lo, "v")] = (x, hi)
-    start = min((x, y) for x, y, _ in follow)
-    ring, here = [], start
-    while True:
-        ring.append(here)
-        # A corner leaves on the other axis; a border between strips goes straight on.
-        kind = "v" if (*here, "v") in follow else "h"
-        if len(ring) > 1 and (*here, "v") in follow and (*here, "h") in follow:
-            kind = "h" if ring[-2][0] == here[0] else "v"
-        here = follow[(*here, kind)]
-        if here == start:
-            break
-    points = np.array(ring, float)
-    before, after = np.roll(points, 1, axis=0), np.roll(points, -1, axis=0)
-    bend = (points[:, 0] - before[:, 0]) * (after[:, 1] - points[:, 1]) != (points[:, 1] - before[:, 1]) * (after[:, 0] - points[:, 0])
-    return points[bend]
+    return shapes.outlines(_one(slabs), slabs)[1].astype(float)
 
 
 def convex_hull(points: np.ndarray) -> np.ndarray:
@@ -154,120 +52,38 @@ def corners(slabs: np.ndarray) -> np.ndarray:
     return np.concatenate([np.stack(p, axis=1) for p in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))])
 
 
-# Fixed value: the COCO polygon rule samples edges on a grid five times finer than pixels.
-COCO_SCALE = 5
-
-
 def polygon_intervals(points: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Foreground [start, end) in column-major order, by the published COCO polygon rule.
-
-    Every edge is walked on the fine grid along its longer axis, from its lower end. Where the walk
-    steps into a new fine column that is the middle of a pixel column, a crossing is noted; sorted
-    crossings toggle the mask.
-    """
-    fine = (COCO_SCALE * np.asarray(points, float) + 0.5).astype(np.int64)
-    us, vs = [], []
-    for (xs, ys), (xe, ye) in zip(fine.tolist(), np.roll(fine, -1, axis=0).tolist()):
-        dx, dy = abs(xe - xs), abs(ye - ys)
-        wide = dx >= dy
-        flip = xs > xe if wide else ys > ye
-        if flip:
-            xs, xe, ys, ye = xe, xs, ye, ys
-        steps = np.arange(max(dx, dy) + 1)
-        t = steps[::-1] if flip else steps
-        if wide:
-            slope = (ye - ys) / dx if dx else 0.0
-            us.append(t + xs)
-            vs.append((ys + slope * t + 0.5).astype(np.int64))
-        else:
-            us.append((xs + (xe - xs) / dy * t + 0.5).astype(np.int64))
-            vs.append(t + ys)
-    u, v = np.concatenate(us), np.concatenate(vs)
-    moved = u[1:] != u[:-1]
-    column = (np.where(u[1:] < u[:-1], u[1:], u[1:] - 1)[moved] + 0.5) / COCO_SCALE - 0.5
-    row = np.ceil(np.clip((np.minimum(v[1:], v[:-1])[moved] + 0.5) / COCO_SCALE - 0.5, 0, height))
-    usable = (np.floor(column) == column) & (column >= 0) & (column <= width - 1)
-    marks = np.sort((column[usable] * height + row[usable]).astype(np.int64))
-    if len(marks) % 2:
-        marks = np.append(marks, height * width)
-    pairs = marks.reshape(-1, 2)
-    return pairs[pairs[:, 0] < pairs[:, 1]]
+    """Foreground [start, end) in column-major order, by the published COCO polygon rule."""
+    return shapes.polygon_intervals(_one(points), np.asarray(points, float), np.array([height]), np.array([width]))[1]
 
 
 def intervals_to_slabs(pairs: np.ndarray, height: int) -> np.ndarray:
     """One slab per touched pixel column of flat column-major intervals."""
-    first, last = pairs[:, 0] // height, (pairs[:, 1] - 1) // height
-    times = last - first + 1
-    row = np.repeat(np.arange(len(pairs)), times)
-    x = first[row] + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    y0 = np.maximum(pairs[row, 0] - x * height, 0)
-    y1 = np.minimum(pairs[row, 1] - x * height, height)
-    return np.stack([x, x + 1, y0, y1], axis=1)
+    return shapes.intervals_to_slabs(_one(pairs), pairs, np.array([height]))[1]
 
 
 def slabs_to_intervals(slabs: np.ndarray, height: int) -> np.ndarray:
     """Sorted flat column-major intervals of non-overlapping slabs."""
-    times = slabs[:, 1] - slabs[:, 0]
-    row = np.repeat(np.arange(len(slabs)), times)
-    x = slabs[row, 0] + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    pairs = np.stack([x * height + slabs[row, 2], x * height + slabs[row, 3]], axis=1)
-    return pairs[np.argsort(pairs[:, 0])]
+    return shapes.slabs_to_intervals(_one(slabs), slabs, np.array([height]))[1]
 
 
 def shared_length(a: np.ndarray, b: np.ndarray) -> int:
     """Common length of two sorted, disjoint interval sets."""
-    if not len(a) or not len(b):
-        return 0
-    before = np.concatenate(([0], np.cumsum(b[:, 1] - b[:, 0])))
-
-    def covered(t):
-        k = np.searchsorted(b[:, 0], t, side="right")
-        inside = np.where(k > 0, np.minimum(t, b[np.maximum(k, 1) - 1, 1]) - b[np.maximum(k, 1) - 1, 0], 0)
-        return np.where(k > 0, before[np.maximum(k, 1) - 1] + inside, 0)
-
-    return int((covered(a[:, 1]) - covered(a[:, 0])).sum())
+    size = max(int(a.max()) if len(a) else 0, int(b.max()) if len(b) else 0)
+    return int(shapes.shared_length(_one(a), a, _one(b), b, 1, size)[0])
 
 
 def slab_area(slabs: np.ndarray) -> int:
     return int(((slabs[:, 1] - slabs[:, 0]) * (slabs[:, 3] - slabs[:, 2])).sum()) if len(slabs) else 0
 
 
-# The alphabet of COCO's compressed run text (6 bits per character, from code 48).
-TEXT_BASE, MORE, SIGN = 48, 32, 16
-
-
 def counts_to_text(counts) -> str:
-    """Signed variable-length text of run counts; from the fourth on, differences two runs back."""
-    out = []
-    for i, count in enumerate(counts):
-        value = int(count) - (int(counts[i - 2]) if i > 2 else 0)
-        while True:
-            low, value = value & 31, value >> 5
-            done = value == (-1 if low & SIGN else 0)
-            out.append(chr(TEXT_BASE + (low if done else low | MORE)))
-            if done:
-                break
-    return "".join(out)
+    """Compressed run text of one list of counts."""
+    return shapes.counts_to_text(np.asarray(counts, np.int64), np.array([0, len(counts)]))[0].tobytes().decode("ascii")
 
 
 def text_to_counts(text: str, total: int):
     """Counts of a compressed run text, or None when it is malformed or exceeds ``total`` pixels."""
-    counts, value, shift, seen = [], 0, 0, 0
-    for code in text.encode("utf-8", "replace"):
-        code -= TEXT_BASE
-        if not 0 <= code < 64 or shift > 35:
-            return None
-        value |= (code & 31) << shift
-        shift += 5
-        if code & MORE:
-            continue
-        if code & SIGN:
-            value -= 1 << shift
-        if len(counts) > 2:
-            value += counts[-2]
-        seen += value
-        if value < 0 or seen > total or len(counts) > 2 * total:
-            return None
-        counts.append(value)
-        value, shift = 0, 0
-    return counts if shift == 0 and counts else None
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    counts, _, valid = shapes.text_to_counts(raw, np.array([0, len(raw)]), np.array([total]))
+    return counts.tolist() if valid[0] else None

@@ -84,12 +84,16 @@ def tileable(images: DataFrame) -> DataFrame:
 
 
 def readiness(images: DataFrame, annotations: DataFrame, classes: DataFrame, round_images: DataFrame | None = None,
-              qa_smoke: bool = False, fragments: DataFrame | None = None, conversion: DataFrame | None = None) -> DataFrame:
+              qa_smoke: bool = False, fragments: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
     """Training readiness as (metric, key, value).
 
-    ``fragments`` (image_id, tile_idx) and ``conversion`` (annotation_id, reason) come from the tile
-    label compile, so the check and the frozen snapshot share it.
+    ``labels`` is the label compile (:func:`~.training.compile_labels`) that the frozen snapshot holds too: its valid
+    rows are the tile instances, its refused rows are errors. ``fragments`` (image_id, tile_idx) counts instances alone.
     """
+    conversion = None
+    if labels is not None:
+        fragments = labels.filter("error IS NULL").select("image_id", "tile_idx")
+        conversion = labels.filter("error IS NOT NULL").select("annotation_id", F.col("error").alias("reason"))
     disposed = training_disposition(images, annotations, round_images, qa_smoke)
     included = disposed.filter("reason IS NULL").withColumn("split", F.expr(training_split()))
     rows = training_rows(images, annotations, classes, round_images, qa_smoke)

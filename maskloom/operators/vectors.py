@@ -1,18 +1,20 @@
-"""Topology, outlines, rasters and box conversion of single masks.
+"""Topology, outlines, rasters and box conversion of masks.
 
-SQL settles what it can (a one-slab mask is one component without holes). The rest is done per
-mask, in Arrow batches: a mask is bounded by the image limit, and masks spread over all tasks.
+SQL settles what it can (a one-slab mask is one component without holes). The rest is done for whole
+Arrow batches of masks at once: a mask is bounded by the image limit, and masks spread over all tasks.
 """
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions import raster
+from ..functions import raster, shapes
 from .masks import loss_expr, mask_stats
 
 _SLABS = "array<struct<x0: bigint, x1: bigint, y0: bigint, y1: bigint>>"
+POINTS = "array<struct<x: double, y: double>>"
+SLICE = 200_000  # slabs (or vertices) worked on at once; a single mask is never cut
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -28,19 +30,56 @@ def gather(slabs: DataFrame, *keys: str) -> DataFrame:
     return spread(slabs, *keys).groupBy(*keys).agg(F.collect_list(F.struct("x0", "x1", "y0", "y1")).cast(_SLABS).alias("slabs"))
 
 
-def _matrix(rows) -> np.ndarray:
-    return np.array([(r["x0"], r["x1"], r["y0"], r["y1"]) for r in rows], np.int64).reshape(-1, 4)
+def per_batch(df: DataFrame, lists: str, keys: list[str], made: str, work) -> DataFrame:
+    """``keys`` of ``df`` and the columns ``made``, by ``work`` on slices of bounded size.
+
+    ``work(owner, fields, table)`` gets the flattened structs of the array column ``lists`` as one matrix with
+    the row each belongs to, and the slice; it returns the arrays of ``made`` and, where that is not one row for
+    each row of the slice, the row each result belongs to.
+    """
+    fields = T.StructType([*[df.schema[k] for k in keys], *T.StructType.fromDDL(made).fields])
+    kinds = T.StructType.fromDDL(made)
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+        for batch in batches:
+            whole = pa.Table.from_batches([batch])
+            sizes = np.asarray(whole.column(lists).combine_chunks().value_lengths().fill_null(0), np.int64)
+            filled = np.concatenate([[0], np.cumsum(sizes)])
+            start = 0
+            while start < len(sizes):
+                stop = max(start + 1, int(np.searchsorted(filled, filled[start] + SLICE, "right")) - 1)
+                table = whole.slice(start, stop - start)
+                flat = table.column(lists).combine_chunks().flatten()
+                values = np.stack([np.asarray(flat.field(i)) for i in range(flat.type.num_fields)], axis=1)
+                arrays, *rows = work(np.repeat(np.arange(stop - start), sizes[start:stop]), values, table)
+                own = table.select(keys) if not rows else table.select(keys).take(pa.array(rows[0]))
+                for field, array in zip(kinds.fields, arrays):
+                    kind = to_arrow_type(field.dataType)
+                    own = own.append_column(field.name, array.cast(kind) if isinstance(array, pa.Array) else pa.array(array, kind))
+                yield from own.to_batches()
+                start = stop
+
+    return df.mapInArrow(run, fields)
+
+
+def point_lists(owner: np.ndarray, points: np.ndarray, count: int, null: np.ndarray | None = None) -> pa.Array:
+    """Vertices, sorted by owner, as one list per owner; null where ``null`` says so."""
+    offsets = np.searchsorted(owner, np.arange(count + 1)).astype(np.int32)
+    each = pa.StructArray.from_arrays([pa.array(points[:, 0].astype(float)), pa.array(points[:, 1].astype(float))], names=["x", "y"])
+    return pa.ListArray.from_arrays(pa.array(offsets), each, mask=None if null is None else pa.array(null))
+
+
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return np.asarray(table.column(name), np.int64)
 
 
 def topology(slabs: DataFrame, *keys: str) -> DataFrame:
     """Components and holes per mask."""
-    @F.pandas_udf("components bigint, holes bigint")
-    def label(column: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([raster.topology(_matrix(rows)) for rows in column], columns=["components", "holes"])
-
     masks = gather(slabs, *keys)
     one = masks.filter("size(slabs) = 1").selectExpr(*keys, "1L AS components", "0L AS holes")
-    more = masks.filter("size(slabs) > 1").withColumn("t", label("slabs")).selectExpr(*keys, "t.components AS components", "t.holes AS holes")
+    more = per_batch(masks.filter("size(slabs) > 1"), "slabs", list(keys), "components bigint, holes bigint",
+                     lambda owner, matrix, table: (shapes.topology(owner, matrix, len(table)),))
     return one.unionByName(more)
 
 
@@ -50,8 +89,64 @@ def polygon_gate(shape: DataFrame) -> DataFrame:
         WHEN components = 1 AND holes = 0 THEN 'exact' WHEN components = 1 THEN 'needs_fill_holes' ELSE 'needs_convex_hull' END"""))
 
 
-_CONVERTED = """method string, components bigint, holes bigint, points array<struct<x: double, y: double>>, original_area bigint,
+_CONVERTED = f"""method string, components bigint, holes bigint, points {POINTS}, original_area bigint,
                 converted_area bigint, shared bigint"""
+METHODS = ("pixel_edge_polygon", "fill_holes", "all_components_convex_hull")
+
+
+def _by(owner: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
+    out = np.zeros(count, np.int64)
+    np.add.at(out, owner, values)
+    return out
+
+
+def _convert(allow_lossy: bool):
+    def work(owner, matrix, table):
+        count, width, height = len(table), _column(table, "width"), _column(table, "height")
+        area = _by(owner, (matrix[:, 1] - matrix[:, 0]) * (matrix[:, 3] - matrix[:, 2]), count)
+        # A single slab is its own rectangle, and the raster rule gives back exactly its pixels.
+        single = (np.bincount(owner, minlength=count) == 1)[owner]
+        x0, x1, y0, y1 = matrix[single].T
+        corners = np.stack([x0, y0, x1, y0, x1, y1, x0, y1], axis=1).reshape(-1, 2).astype(float)
+        square, owner, matrix = owner[single], owner[~single], matrix[~single]
+        components, holes = shapes.topology(owner, matrix, count)
+        components[square] = 1
+        method = np.where(components > 1, 2, np.where(holes > 0, 1, 0))
+        refused = (method > 0) & (not allow_lossy)
+        # Rings of single components, their holes filled.
+        traced = (components == 1) & ~refused
+        part, rows = owner[traced[owner]], matrix[traced[owner]]
+        ring, points = part, np.zeros((0, 2), np.int64)
+        if len(part):
+            hole_owner, hole_rows = shapes.holes(part, rows)
+            ring, points = shapes.outlines(np.concatenate([part, hole_owner]), np.concatenate([rows, hole_rows]))
+        hulls = [(k, raster.convex_hull(raster.corners(matrix[owner == k]))) for k in np.flatnonzero((components > 1) & ~refused).tolist()]
+        ring = np.concatenate([ring, *[np.full(len(h), k) for k, h in hulls]])
+        points = np.concatenate([points.astype(float), *[h for _, h in hulls]])
+        order = np.argsort(ring, kind="stable")
+        ring, points = ring[order], points[order]
+        made_owner, made = shapes.polygon_intervals(ring, points, height, width)
+        own_owner, own = shapes.slabs_to_intervals(owner, matrix, height)
+        shared = shapes.shared_length(own_owner, own, made_owner, made, count, int((width * height).max()))
+        converted = _by(made_owner, made[:, 1] - made[:, 0], count)
+        shared[square] = converted[square] = area[square]
+        ring, points = np.concatenate([ring, np.repeat(square, 4)]), np.concatenate([points, corners])
+        order = np.argsort(ring, kind="stable")
+        return ([METHODS[m] for m in method.tolist()], components, holes, point_lists(ring[order], points[order], count, refused), area,
+                pa.array(converted, mask=refused), pa.array(shared, mask=refused)),
+    return work
+
+
+def _with_loss(flat: DataFrame, allow_lossy: bool) -> DataFrame:
+    return (flat.withColumns(loss_expr("original_area", "converted_area", "shared"))
+            .withColumn("error", F.expr(f"""CASE WHEN points IS NULL THEN 'topology_needs_consent'
+                WHEN lossy AND NOT {str(allow_lossy).lower()} THEN 'pixels_change' END"""))
+            .withColumn("points", F.expr("CASE WHEN error IS NULL THEN points END")).drop("shared"))
+
+
+def convert_masks(masks: DataFrame, keys: list[str], allow_lossy: bool = False) -> DataFrame:
+    """:func:`to_polygon` for masks that are gathered already: ``keys`` (with width and height) and the array ``slabs``."""
+    return _with_loss(per_batch(masks.withColumn("slabs", F.col("slabs").cast(_SLABS)), "slabs", keys, _CONVERTED, _convert(allow_lossy)), allow_lossy)
 
 
 def to_polygon(slabs: DataFrame, *keys: str, allow_lossy: bool = False) -> DataFrame:
@@ -61,61 +156,25 @@ def to_polygon(slabs: DataFrame, *keys: str, allow_lossy: bool = False) -> DataF
     or, for several components, the convex hull of all of them is used. Without consent such masks
     come back with ``error`` and no points.
     """
-    @F.pandas_udf(_CONVERTED)
-    def convert(column: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
-        out = []
-        for rows, w, h in zip(column, width, height):
-            mask = _matrix(rows)
-            components, holes = raster.topology(mask)
-            method = "pixel_edge_polygon" if components == 1 and not holes else "fill_holes" if components == 1 else "all_components_convex_hull"
-            if method != "pixel_edge_polygon" and not allow_lossy:
-                out.append((method, components, holes, None, raster.slab_area(mask), None, None))
-                continue
-            if components > 1:
-                ring = raster.convex_hull(raster.corners(mask))
-            else:
-                ring = raster.outline(np.concatenate([mask, raster.hole_slabs(mask)]) if holes else mask)
-            made = raster.polygon_intervals(ring, int(h), int(w))
-            points = [{"x": x, "y": y} for x, y in ring.tolist()]
-            out.append((method, components, holes, points, raster.slab_area(mask), int((made[:, 1] - made[:, 0]).sum()),
-                        raster.shared_length(raster.slabs_to_intervals(mask, int(h)), made)))
-        return pd.DataFrame(out, columns=["method", "components", "holes", "points", "original_area", "converted_area", "shared"])
-
-    names = ("method", "components", "holes", "points", "original_area", "converted_area", "shared")
     masks = gather(slabs, *keys, "width", "height")
-    # A single slab is its own rectangle, and the raster rule gives back exactly its pixels.
-    one = (masks.filter("size(slabs) = 1").selectExpr(*keys, "slabs[0] AS s").selectExpr(*keys, "(s.x1 - s.x0) * (s.y1 - s.y0) AS a", """CAST(array(
-        struct(s.x0 AS x, s.y0 AS y), struct(s.x1 AS x, s.y0 AS y), struct(s.x1 AS x, s.y1 AS y), struct(s.x0 AS x, s.y1 AS y)) AS array<struct<x: double, y: double>>) AS points""")
+    # Single slabs need no Python at all.
+    one = (masks.filter("size(slabs) = 1").selectExpr(*keys, "slabs[0] AS s").selectExpr(*keys, "(s.x1 - s.x0) * (s.y1 - s.y0) AS a", f"""CAST(array(
+        struct(s.x0 AS x, s.y0 AS y), struct(s.x1 AS x, s.y0 AS y), struct(s.x1 AS x, s.y1 AS y), struct(s.x0 AS x, s.y1 AS y)) AS {POINTS}) AS points""")
            .selectExpr(*keys, "'pixel_edge_polygon' AS method", "1L AS components", "0L AS holes", "points", "a AS original_area", "a AS converted_area", "a AS shared"))
-    more = masks.filter("size(slabs) > 1").withColumn("c", convert("slabs", "width", "height")).selectExpr(*keys, *[f"c.{n} AS {n}" for n in names])
-    flat = one.unionByName(more)
-    return (flat.withColumns(loss_expr("original_area", "converted_area", "shared"))
-            .withColumn("error", F.expr(f"""CASE WHEN points IS NULL THEN 'topology_needs_consent'
-                WHEN lossy AND NOT {str(allow_lossy).lower()} THEN 'pixels_change' END"""))
-            .withColumn("points", F.expr("CASE WHEN error IS NULL THEN points END")).drop("shared"))
+    more = per_batch(masks.filter("size(slabs) > 1"), "slabs", list(keys), _CONVERTED, _convert(allow_lossy))
+    return _with_loss(one.unionByName(more), allow_lossy)
 
 
 def rasterize(polygons: DataFrame, *keys: str) -> DataFrame:
     """Column slabs of polygons (points, width, height) by the COCO rule; an empty raster gives no row."""
-    source = spread(polygons.select(*keys, "width", "height", "points"), *keys)
-    extra = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "points"]
-    names = [f.name for f in source.schema.fields if f.name != "points"]
+    source = spread(polygons.select(*keys, "width", "height", F.col("points").cast(POINTS).alias("points")), *keys)
 
-    def run(batches):
-        for batch in batches:
-            parts = []
-            for i, (points, w, h) in enumerate(zip(batch["points"], batch["width"], batch["height"])):
-                ring = np.array([(p["x"], p["y"]) for p in points], float)
-                made = raster.intervals_to_slabs(raster.polygon_intervals(ring, int(h), int(w)), int(h))
-                if len(made):
-                    parts.append((i, made))
-            if parts:
-                index = np.concatenate([np.full(len(m), i) for i, m in parts])
-                out = batch[names].iloc[index].reset_index(drop=True)
-                out[["x0", "x1", "y0", "y1"]] = np.concatenate([m for _, m in parts])
-                yield out
+    def work(owner, points, table):
+        height = _column(table, "height")
+        rows, slabs = shapes.intervals_to_slabs(*shapes.polygon_intervals(owner, points, height, _column(table, "width")), height)
+        return slabs.T, rows
 
-    return source.mapInPandas(run, ", ".join([*extra, "x0 bigint", "x1 bigint", "y0 bigint", "y1 bigint"]))
+    return per_batch(source, "points", [f.name for f in source.schema.fields if f.name != "points"], "x0 bigint, x1 bigint, y0 bigint, y1 bigint", work)
 
 
 def to_box(slabs: DataFrame, *keys: str) -> DataFrame:
@@ -144,23 +203,16 @@ def component_polygons(slabs: DataFrame, *keys: str) -> DataFrame:
     box = """CAST(array(struct(s.x0 AS x, s.y0 AS y), struct(s.x1 AS x, s.y0 AS y), struct(s.x1 AS x, s.y1 AS y), struct(s.x0 AS x, s.y1 AS y))
              AS array<struct<x: double, y: double>>) AS points"""
     one = masks.filter("size(slabs) = 1").selectExpr(*keys, "slabs[0] AS s").selectExpr(*keys, "0L AS part", box, "1L AS components", "0L AS holes")
-    source = masks.filter("size(slabs) > 1")
-    extra = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "slabs"]
 
-    def trace(batches):
-        for batch in batches:
-            index, out = [], []
-            for i, rows in enumerate(batch["slabs"]):
-                mask = _matrix(rows)
-                parts = raster.component_slabs(mask)
-                holes = raster.topology(mask)[1]
-                for k, part in enumerate(parts):
-                    filled = np.concatenate([part, raster.hole_slabs(part)])
-                    index.append(i)
-                    out.append((k, [{"x": x, "y": y} for x, y in raster.outline(filled).tolist()], len(parts), holes))
-            made = batch[list(keys)].iloc[index].reset_index(drop=True)
-            made[["part", "points", "components", "holes"]] = pd.DataFrame(out, columns=["part", "points", "components", "holes"])
-            yield made
-
-    return one.unionByName(source.mapInPandas(
-        trace, ", ".join([*extra, "part bigint", "points array<struct<x: double, y: double>>", "components bigint", "holes bigint"])))
+    def work(owner, matrix, table):
+        components, holes = shapes.topology(owner, matrix, len(table))
+        mask, part, rows = shapes.components(owner, matrix)
+        first = np.concatenate([[0], np.cumsum(components)])[:-1]
+        number = first[mask] + part  # components of the slice, numbered through
+        hole_number, hole_rows = shapes.holes(number, rows)
+        ring, points = shapes.outlines(np.concatenate([number, hole_number]), np.concatenate([rows, hole_rows]))
+        row, part = shapes.spans(np.zeros(len(table), np.int64), components)
+        return (part, point_lists(ring, points, len(row)), components[row], holes[row]), row
+
+    more = per_batch(masks.filter("size(slabs) > 1"), "slabs", list(keys), f"part bigint, points {POINTS}, components bigint, holes bigint", work)
+    return one.unionByName(more)

@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import polygons
-from ..operators import curation as CU, masks as M, nms as N, predicates as P, predict as PR, tiling as TL, vectors as V, windows as W
+from ..operators import curation as CU, masks as M, nms as N, predicates as P, predict as PR, tiling as TL, training as TR, vectors as V, windows as W
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sinks import formats as O, snapshots as SN
 from ..sources import formats as I, images as IM
@@ -383,8 +383,8 @@ SELECT t.annotation_id, h.tile_idx, c.k AS class_index, CASE WHEN t.role = 'vali
 FROM ({TRAINING_ROWS}) t JOIN ({HITS % TRAINING_SQL}) h ON h.annotation_id = t.annotation_id JOIN {LABEL_CLASS} c ON c.class_id = t.class_id WHERE t.class_ok AND t.geom_type <> 'box'""")
 def snk_09_labels(v):
     rows = P.training_rows(v.images, v.annotations, v.classes, round_members(v))
-    out = SN.tile_labels(rows, slabs(v), v.images, v.classes)
-    return out.select("annotation_id", "tile_idx", "class_index", "split", "area", "clipped")
+    out = TR.compile_labels(rows, slabs(v), v.images, v.classes)
+    return out.select("annotation_id", "tile_idx", "class_index", "split", F.col("original_area").alias("area"), "clipped")
 
 
 def _scratch(v, name):

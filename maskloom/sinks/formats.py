@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions import raster
+from ..functions import shapes
 from ..operators.masks import loss_expr, mask_stats, slabs_to_rle
 from ..operators.predicates import export_split
 from ..operators.vectors import component_polygons, to_polygon
@@ -33,10 +36,12 @@ def _block(failures: DataFrame, what: str) -> None:
         raise ExportBlocked(f"{what} blocked, for example: {[r.asDict() for r in first]}", failures)
 
 
-@F.pandas_udf(T.StringType())
-def encode_counts(counts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def encode_counts(counts: pa.Array) -> pa.Array:
     """Compressed run text of counts."""
-    return counts.map(lambda c: None if c is None else raster.counts_to_text(c))
+    text, offsets = shapes.counts_to_text(np.asarray(counts.flatten(), np.int64), np.concatenate([[0], np.cumsum(np.asarray(counts.value_lengths().fill_null(0), np.int64))]))
+    made = pa.Array.from_buffers(pa.string(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(text)])
+    return pc.if_else(counts.is_valid(), made, pa.scalar(None, pa.string()))
 
 
 AUTHORED = "array<struct<x: double, y: double>>"

@@ -1,31 +1,16 @@
 """Frozen training snapshots and their verified reading."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.aggregates import readiness, tileable
-from ..operators.masks import crop, mask_stats
-from ..operators.predicates import countable_instances, training_disposition, training_rows, training_split
-from ..operators.tiling import TRAINING, all_tiles, tiles_hit
+from ..operators.predicates import training_disposition, training_rows, training_split
+from ..operators.tiling import TRAINING, all_tiles
+from ..operators.training import WHOLE, compile_labels, label_files
 from ..operators.windows import class_index
-
-
-def tile_labels(rows: DataFrame, slabs: DataFrame, images: DataFrame, classes: DataFrame) -> DataFrame:
-    """Label fragments of training rows on padded 512-px tiles, shared by readiness and snapshot.
-
-    A fragment whose bounds hit a tile but whose pixels do not is skipped. ``clipped`` compares the
-    object bounds with the tile, even where another tile holds the object whole.
-    """
-    shaped = slabs.join(countable_instances(rows).select("annotation_id", "class_id", "role"), "annotation_id")
-    bounds = mask_stats(shaped, "annotation_id").select("annotation_id", "bx0", "by0", "bx1", "by1")
-    sized = shaped.join(images.select("image_id", F.col("width").cast("bigint").alias("width"), F.col("height").cast("bigint").alias("height")), "image_id")
-    pieces = crop(tiles_hit(sized, TRAINING))
-    keys = ["image_id", "annotation_id", "class_id", "role", "tile_idx", "tile_x0", "tile_y0", "tile_x1", "tile_y1"]
-    return (mask_stats(pieces, *keys).withColumnsRenamed({"bx0": "fx0", "by0": "fy0", "bx1": "fx1", "by1": "fy1"})
-            .join(bounds, "annotation_id").withColumns({
-                "clipped": F.expr("bx0 < tile_x0 OR by0 < tile_y0 OR bx1 > tile_x1 OR by1 > tile_y1"),
-                "split": F.expr(training_split())})
-            .join(class_index(classes, 0).select("class_id", "class_index"), "class_id"))
+from ..session import ensure_checkpoint_dir
 
 
 def snapshot_rows(images: DataFrame, annotations: DataFrame, classes: DataFrame, round_images: DataFrame | None = None, qa_smoke: bool = False):
@@ -48,27 +33,30 @@ def content_hash(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def build_snapshot(images: DataFrame, annotations: DataFrame, classes: DataFrame, slabs: DataFrame, path: str,
-                   round_images: DataFrame | None = None, qa_smoke: bool = False, require_ready: bool = True) -> DataFrame:
-    """Write an immutable snapshot: images, versions, tile labels and a receipt with table digests."""
-    rows = training_rows(images, annotations, classes, round_images, qa_smoke)
-    labels = tile_labels(rows, slabs, images, classes).persist()
-    try:
-        report = readiness(images, annotations, classes, round_images, qa_smoke, fragments=labels.select("image_id", "tile_idx"))
-        # Published first and whole: the exception only names the report.
-        report.write.mode("errorifexists").parquet(f"{path}/readiness")
-        report = images.sparkSession.read.parquet(f"{path}/readiness")
-        if require_ready:
-            errors = report.filter("metric = 'error'").count()
-            if errors:
-                raise ValueError(f"training data not ready: {errors} kinds of errors, listed in {path}/readiness")
-        included, versions = snapshot_rows(images, annotations, classes, round_images, qa_smoke)
-        tiles = all_tiles(tileable(images.join(included.select("image_id"), "image_id", "left_semi")), TRAINING, padded=True).drop("width", "height")
-        parts = {"images": included, "versions": versions, "labels": labels, "tiles": tiles, "classes": class_index(classes, 0)}
-        for name, df in parts.items():
-            df.write.mode("errorifexists").parquet(f"{path}/{name}")
-    finally:
-        labels.unpersist()
+                   round_images: DataFrame | None = None, qa_smoke: bool = False, require_ready: bool = True,
+                   layout: str = "tiles_512", allow_lossy: bool = False, imgsz: int = 512) -> DataFrame:
+    """Write an immutable snapshot: images, versions, label rows, label files by tile, and a receipt with table digests.
+
+    The labels are compiled once, into the shared scratch folder; the readiness report and the snapshot read that table.
+    """
+    if layout == "tiles_512" and imgsz != 512:
+        raise ValueError("training on 512-px tiles needs an image size of 512")
     spark = images.sparkSession
+    rows = training_rows(images, annotations, classes, round_images, qa_smoke)
+    compiled = f"{ensure_checkpoint_dir(spark).rstrip('/')}/labels-{uuid.uuid4().hex}"
+    compile_labels(rows, slabs, images, classes, layout, allow_lossy).write.parquet(compiled)
+    labels = spark.read.parquet(compiled)
+    # Published first and whole: the exception only names the report.
+    readiness(images, annotations, classes, round_images, qa_smoke, labels=labels).write.mode("errorifexists").parquet(f"{path}/readiness")
+    errors = spark.read.parquet(f"{path}/readiness").filter("metric = 'error'").count()
+    if require_ready and errors:
+        raise ValueError(f"training data not ready: {errors} kinds of errors, listed in {path}/readiness")
+    included, versions = snapshot_rows(images, annotations, classes, round_images, qa_smoke)
+    framed = tileable(images.join(included.select("image_id"), "image_id", "left_semi"))
+    tiles = all_tiles(framed, TRAINING if layout == "tiles_512" else WHOLE, padded=layout == "tiles_512").drop("width", "height")
+    parts = {"images": included, "versions": versions, "labels": labels, "tiles": label_files(labels, tiles), "classes": class_index(classes, 0)}
+    for name, df in parts.items():
+        df.write.mode("errorifexists").parquet(f"{path}/{name}")
     receipt = None
     for name in parts:
         stored = spark.read.parquet(f"{path}/{name}")
