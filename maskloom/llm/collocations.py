@@ -1,6 +1,8 @@
 """Phrase collocations from a suffix tree of words, built in independent parts that fit in memory.
 
-1. Words are counted per language.
+1. Words are counted per language. A phrase of ``least`` occurrences has no rarer word, so rare words end
+   suffixes like the end of a piece. Tasks know them by a bit table of word hashes (2 bits a distinct
+   word, 16 MB at most), whose bits stand for sums: a word passes if all words of its bit together are not rare.
 2. Vertical partitioning. Suffixes are cut into parts by their first words. A prefix that more than
    ``budget`` suffixes share is made longer by a word (up to ``depth``), the others are packed, in order
    of their hash, into groups of at most twice the budget. Only group limits and long-prefix hashes
@@ -56,32 +58,72 @@ class Lexicon:
         return len(self.number)
 
     def hashes(self) -> np.ndarray:
-        """Hash by number; Spark's ``xxhash64`` of language, tab and word. 0 for no word."""
-        return np.array([0, *(xxhash.xxh64_intdigest(e, 42) for e in self.number)], U)
+        """Hash by number; 0 for no word."""
+        return np.concatenate([np.zeros(1, U), hashed(self.number)])
 
 
-def numbered(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of several texts in order, and the number of the piece each stands in."""
+def hashed(entries) -> np.ndarray:
+    """Spark's ``xxhash64`` of language, tab and word."""
+    return np.fromiter((xxhash.xxh64_intdigest(e, 42) for e in entries), U, len(entries))
+
+
+def numbered(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon, often: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of several texts in order, and the number of the piece each stands in.
+
+    With a bit table ``often``, words whose bit is not set are left out and end a piece.
+    """
     count = len(offsets) - 1
     spaced = np.full(len(data) + count, 0x0A, np.uint8)  # a text ends its last piece
-    spaced[np.arange(len(data)) + np.repeat(np.arange(count), np.diff(offsets))] = _LOWER[data]
+    ends = offsets[1:] + np.arange(count)
+    own = np.ones(len(spaced), bool)
+    own[ends] = False
+    spaced[own] = _LOWER[data]
     edge = np.flatnonzero(np.diff(_GAP[spaced], prepend=True, append=True))
     if not len(edge):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     start = edge[::2]
     both = pa.Array.from_buffers(pa.large_binary(), len(edge) - 1, [None, pa.py_buffer(edge.astype(np.int64).tobytes()), pa.py_buffer(spaced)]).dictionary_encode()
-    code = np.asarray(both.indices)[::2].astype(np.int64)
     langs = rows.column("lang").dictionary_encode()
-    lang = np.asarray(langs.indices).astype(np.int64)[np.searchsorted(offsets + np.arange(count + 1), start, "right") - 1]
     width = len(both.dictionary)
+    # Words of a text lie between two text ends: its language is repeated for them.
+    first = np.concatenate([[0], np.searchsorted(start, ends)])
+    code = np.asarray(both.indices)[::2] + np.repeat(np.asarray(langs.indices).astype(np.int64) * width, np.diff(first))
     used = np.zeros(width * len(langs.dictionary), bool)
-    used[lang * width + code] = True
+    used[code] = True
     used = np.flatnonzero(used)
     names = [f"{x}{TAB}".encode() for x in langs.dictionary.to_pylist()]
     values = both.dictionary.take(pa.array(used % width)).to_pylist()
+    entries = [names[g] + v for g, v in zip((used // width).tolist(), values)]
+    piece = np.cumsum(_CUT[spaced], dtype=np.int32)[start]
     number = np.zeros(width * len(langs.dictionary), np.int64)
-    number[used] = lexicon.of([names[g] + v for g, v in zip((used // width).tolist(), values)])
-    return number[lang * width + code], np.cumsum(_CUT[spaced])[start]
+    if often is None:
+        number[used] = lexicon.of(entries)
+        return number[code], piece
+    bit = hashed(entries) & U(8 * len(often) - 1)
+    kept = np.flatnonzero(often[bit >> U(3)] >> (bit & U(7)).astype(np.uint8) & 1)
+    number[used[kept]] = lexicon.of([entries[i] for i in kept.tolist()])
+    number = number[code]
+    kept = number > 0
+    return number[kept], (piece + np.cumsum(~kept))[kept]
+
+
+def often_table(words: DataFrame, least: int) -> np.ndarray:
+    """Bits of word hashes whose words occur at least ``least`` times together."""
+    distinct = words.count()
+    bits = min(27, max(16, (2 * distinct).bit_length()))
+    part, place = F.expr(f"shiftright(hash & {(1 << bits) - 1}L, 16)"), F.expr("CAST(hash & 65535L AS INT)")
+    sums = words.groupBy(part.alias("part"), place.alias("place")).agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+
+    def run(table: pa.Table) -> pa.Table:
+        out = np.zeros(1 << 16, bool)
+        out[np.asarray(table.column("place"))] = True
+        return pa.table([table.column("part").slice(0, 1), pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+    segments = sums.groupBy("part").applyInArrow(run, "part long, bits binary").toArrow()  # at most 2048 rows of 8 KB
+    table = np.zeros((1 << bits - 16, 1 << 13), np.uint8)
+    for k, raw in zip(segments.column("part").to_pylist(), segments.column("bits").to_pylist()):
+        table[k] = np.frombuffer(raw, np.uint8)
+    return table.ravel()
 
 
 def _rows(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -185,19 +227,19 @@ def _packed(counts: DataFrame, budget: int) -> np.ndarray:
     return np.unique(np.asarray(ordered.select("hash", "f").mapInArrow(run, "hash long").toArrow().column("hash")).view(U))
 
 
-def _counts_below(rows: DataFrame, partition: Partition, level: int) -> DataFrame:
+def _counts_below(rows: DataFrame, partition: Partition, level: int, often: np.ndarray) -> DataFrame:
     """(hash, f) of the prefixes of ``level + 1`` words below the long ones of the level before."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in pieces(batches, limit=4 << 20):
             lexicon = Lexicon()
-            suffixes = followed(*numbered(batch, data, offsets, lexicon), level + 1)
+            suffixes = followed(*numbered(batch, data, offsets, lexicon, often), level + 1)
             above, here = list(prefix_hashes(suffixes, lexicon.hashes()))[-2:]
             keys, n = np.unique(here[_within(partition.long[level - 1], above)], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["hash", "f"])
     return rows.mapInArrow(run, "hash long, f long").groupBy("hash").agg(F.sum("f").alias("f"))
 
 
-def plan_groups(rows: DataFrame, words: DataFrame, depth: int, budget: int) -> Partition:
+def plan_groups(rows: DataFrame, words: DataFrame, often: np.ndarray, depth: int, budget: int) -> Partition:
     """Vertical partitioning of all suffixes of ``rows``; ``words`` are their counted words."""
     out, counts = Partition(), words.select("hash", "f")
     for level in range(depth):
@@ -207,7 +249,7 @@ def plan_groups(rows: DataFrame, words: DataFrame, depth: int, budget: int) -> P
         out.long.append(np.sort(long))
         if not len(long):
             break
-        counts = stage(_counts_below(rows, out, level + 1), "prefix-counts")
+        counts = stage(_counts_below(rows, out, level + 1, often), "prefix-counts")
     return out
 
 
@@ -215,10 +257,17 @@ def combine(suffixes: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarr
     """Distinct suffixes in order, and how often each occurs."""
     if not suffixes.shape[1]:
         return suffixes, np.zeros(0, np.int64)
-    bits = [max(1, int(c.max()).bit_length()) for c in suffixes]
+    # Each column by the ranks of its own numbers, in as few bits as they need.
+    ranked, numbers = [], []
+    for column in suffixes:
+        used = np.zeros(int(column.max()) + 1, bool)
+        used[column] = True
+        ranked.append((np.cumsum(used) - 1)[column])
+        numbers.append(np.flatnonzero(used))
+    bits = [max(1, (len(x) - 1).bit_length()) for x in numbers]
     if sum(bits) <= 64:
         key = np.zeros(suffixes.shape[1], U)
-        for column, b in zip(suffixes, bits):
+        for column, b in zip(ranked, bits):
             key = key << U(b) | column.astype(U)
         if n is None:
             key.sort()
@@ -228,7 +277,7 @@ def combine(suffixes: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarr
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         out, rest = np.zeros((len(bits), len(new)), np.int64), key[new]
         for d in range(len(bits) - 1, -1, -1):
-            out[d] = rest & U((1 << bits[d]) - 1)
+            out[d] = numbers[d][(rest & U((1 << bits[d]) - 1)).astype(np.int64)]
             rest = rest >> U(bits[d])
         count = len(key)
     else:
@@ -263,7 +312,7 @@ def unpack(payload: bytes, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     return number[columns], n.astype(np.int64)
 
 
-def _send(partition: Partition, depth: int, flush: int):
+def _send(partition: Partition, often: np.ndarray, depth: int, flush: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, held, size = Lexicon(), [], 0
 
@@ -278,7 +327,7 @@ def _send(partition: Partition, depth: int, flush: int):
             return pa.RecordBatch.from_arrays([pa.array(group[cuts[:-1]]), pa.array(sent, pa.binary())], names=["group", "payload"])
 
         for rows, data, offsets in pieces(batches, limit=4 << 20):
-            suffixes = followed(*numbered(rows, data, offsets, lexicon), depth)
+            suffixes = followed(*numbered(rows, data, offsets, lexicon, often), depth)
             if suffixes.shape[1]:
                 held.append(suffixes.astype(np.int32))
                 size += suffixes.shape[1]
@@ -290,32 +339,47 @@ def _send(partition: Partition, depth: int, flush: int):
     return run
 
 
-def _subtree(partition: Partition, least: int):
+def _nodes(payloads: list[bytes], partition: Partition, least: int) -> pa.RecordBatch:
     """Nodes of two words or more of one group's part of the tree."""
-    def run(table: pa.Table) -> pa.Table:
-        lexicon = Lexicon()
-        parts = [unpack(p.as_py(), lexicon) for p in table.column("payload")]
-        suffixes, n = combine(np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[1] for p in parts]))
-        del parts
-        _, shared = partition.route(suffixes, lexicon.hashes()) if any(map(len, partition.long)) else (None, np.zeros(len(n), np.int64))
-        entries = [b"", *lexicon.number]
-        found: list[tuple[str, str, int, int]] = []
-        new = np.zeros(len(n), bool)
-        new[:1] = True
-        for d, column in enumerate(suffixes):
-            new[1:] |= column[1:] != column[:-1]
-            begin = np.flatnonzero(new)
-            total = np.add.reduceat(n, begin)
-            # A node whose leaves lie in several groups is summed up later.
-            keep = (column[begin] > 0) & ((total >= least) | (shared[begin] > d))
-            if d == 0:
-                continue
-            for at, f in zip(begin[keep].tolist(), total[keep].tolist()):
-                lang, first = entries[suffixes[0, at]].rsplit(b"\t", 1)
-                rest = [entries[i].rsplit(b"\t", 1)[1] for i in suffixes[1:d + 1, at].tolist()]
-                found.append((lang.decode(), b" ".join([first, *rest]).decode(), d + 1, f))
-        columns = list(zip(*found)) if found else [()] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["lang", "phrase", "m", "f"])
+    lexicon = Lexicon()
+    parts = [unpack(p, lexicon) for p in payloads]
+    suffixes, n = combine(np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[1] for p in parts]))
+    del parts
+    _, shared = partition.route(suffixes, lexicon.hashes()) if any(map(len, partition.long)) else (None, np.zeros(len(n), np.int64))
+    entries = [b"", *lexicon.number]
+    found: list[tuple[str, str, int, int]] = []
+    new = np.zeros(len(n), bool)
+    new[:1] = True
+    for d, column in enumerate(suffixes):
+        new[1:] |= column[1:] != column[:-1]
+        begin = np.flatnonzero(new)
+        total = np.add.reduceat(n, begin)
+        # A node whose leaves lie in several groups is summed up later.
+        keep = (column[begin] > 0) & ((total >= least) | (shared[begin] > d))
+        if d == 0:
+            continue
+        for at, f in zip(begin[keep].tolist(), total[keep].tolist()):
+            lang, first = entries[suffixes[0, at]].rsplit(b"\t", 1)
+            rest = [entries[i].rsplit(b"\t", 1)[1] for i in suffixes[1:d + 1, at].tolist()]
+            found.append((lang.decode(), b" ".join([first, *rest]).decode(), d + 1, f))
+    columns = list(zip(*found)) if found else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()))],
+                                      names=["lang", "phrase", "m", "f"])
+
+
+def _subtrees(partition: Partition, least: int):
+    """One group after the other, from payloads in order of their group."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, group = [], None
+        for batch in batches:
+            for g, payload in zip(batch.column("group").to_pylist(), batch.column("payload")):
+                if g != group and held:
+                    yield _nodes(held, partition, least)
+                    held = []
+                group = g
+                held.append(payload.as_py())
+        if held:
+            yield _nodes(held, partition, least)
     return run
 
 
@@ -324,9 +388,12 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """(lang, phrase, m, f): phrases of 2 to ``depth`` words that occur at least ``least`` times in a language."""
     rows = _rows(docs, text_col, lang_col)
     words = stage(word_counts(docs, text_col, lang_col), "words") if words is None else words
-    partition = plan_groups(rows, words, depth, budget)
-    sent = rows.mapInArrow(_send(partition, depth, flush), "group long, payload binary")
-    nodes = sent.groupBy("group").applyInArrow(_subtree(partition, least), NODES)
+    often = often_table(words, least)
+    partition = plan_groups(rows, words, often, depth, budget)
+    sent = rows.mapInArrow(_send(partition, often, depth, flush), "group long, payload binary")
+    # Groups are alike in size and dealt out by number, not by hash.
+    dealt = sent.repartitionById(parts := shuffle_partitions(docs.sparkSession), F.expr(f"CAST(group % {parts} AS INT)"))
+    nodes = dealt.sortWithinPartitions("group").mapInArrow(_subtrees(partition, least), NODES)
     if any(map(len, partition.long)):
         nodes = nodes.groupBy("lang", "phrase", "m").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
     return nodes

@@ -73,7 +73,8 @@ def test_parts_hold_their_budget(spark):
     rows, budget = texts(4), 60
     df = frame(spark, rows)
     words = collocations.word_counts(df)
-    partition = collocations.plan_groups(df.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang")), words, 4, budget)
+    often = collocations.often_table(words, 1)
+    partition = collocations.plan_groups(df.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang")), words, often, 4, budget)
     assert len(partition.last) == 4 and all(len(x) for x in partition.long[:3])
     f, _ = grams(rows, 4)
     lexicon = collocations.Lexicon()
@@ -87,15 +88,31 @@ def test_parts_hold_their_budget(spark):
     assert all(n <= 2 * budget + most[g] for g, n in size.items()) and set(shared.tolist()) == {0, 1, 2, 3}
 
 
+def test_rare_words_end_a_suffix(spark):
+    rows = [("a b c. a b. a b", "en")] * 10 + [("a rare b", "de"), (None, None)]
+    words = collocations.word_counts(frame(spark, rows))
+    bits = collocations.often_table(words, 20)
+    lexicon = collocations.Lexicon()
+    data = b"a b c a rare b"
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"]})
+    number, piece = collocations.numbered(batch, np.frombuffer(data, np.uint8), np.array([0, len(data)]), lexicon, bits)
+    assert list(lexicon.number) == [b"en\ta", b"en\tb"] and number.tolist() == [1, 2, 1, 2]
+    assert piece[0] == piece[1] and len(set(piece.tolist())) == 3
+
+
 def test_wide_numbers_and_empty(spark):
     """Suffixes whose numbers do not fit 64 bits are combined like others; an empty table gives nothing."""
     rng = np.random.default_rng(1)
-    suffixes = rng.integers(1, 4, (4, 500)) * 100_000
-    n = rng.integers(1, 5, 500)
+    suffixes = rng.integers(1, 90_000, (4, 300_000))
+    suffixes[:, 150_000:] = suffixes[:, :150_000]  # 17 bits a column
+    n = rng.integers(1, 5, 300_000)
     want = Counter()
     for s, k in zip(map(tuple, suffixes.T), n.tolist()):
         want[s] += k
     out, total = collocations.combine(suffixes, n)
     assert list(map(tuple, out.T)) == sorted(want) and dict(zip(map(tuple, out.T), total.tolist())) == want
-    assert collocations.combine(suffixes)[1].sum() == 500
+    assert collocations.combine(suffixes)[1].sum() == 300_000
+    out, total = collocations.combine(suffixes[:, :500] % 3 + 1)
+    assert list(map(tuple, out.T)) == sorted(set(map(tuple, (suffixes[:, :500] % 3 + 1).T))) and total.sum() == 500
     assert collocations.collocations(frame(spark, texts(1)).limit(0)).count() == 0
