@@ -1,14 +1,17 @@
 """Exact mask algebra on slab rows.
 
 A slab is ``[x0, x1) x [y0, y1)``; the slabs of one mask do not overlap. Area, bounds, crop,
-translation and overlap work on slabs of any width. Union splits x at the breakpoints that
-really occur, so work follows the number of slabs and not the number of pixel columns.
+translation and overlap work on slabs of any width. Unions and combinations are swept in blocks of
+columns, so work follows the number of slabs and not the number of pixel columns.
 """
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..functions import planes
+from .batches import gather_columns, matrix, per_batch
+
 OVERLAP_BLOCK = 128
 
 
@@ -33,17 +36,17 @@ def mask_stats(slabs: DataFrame, *keys: str) -> DataFrame:
 def mask_union(slabs: DataFrame, *keys: str) -> DataFrame:
     """Pixel OR of all slabs sharing ``keys``, as non-overlapping slabs.
 
-    Two bounds keep a hot key safe. The breakpoint array of a key has at most width + 1 entries.
-    ``max(y1)`` per start row is combined before the shuffle, so a window partition (one strip of
-    one key) has at most height + 1 rows, whatever the number of parents.
+    Every block of columns of a key is a plane of its own: its slabs are gathered, swept in Arrow batches, and give
+    as many rows as the union has pieces.
     """
-    cuts = (slabs.groupBy(*keys).agg(F.array_sort(F.expr("array_union(collect_set(x0), collect_set(x1))")).alias("c"))
-            .select(*keys, F.expr("zip_with(c, slice(c, 2, size(c)), (a, b) -> struct(a AS x0, b AS x1))").alias("_strips")))
-    strips = (slabs.join(cuts, list(keys))
-              .select(*keys, "y0", "y1", F.explode(F.expr(
-                  "filter(_strips, s -> s.x1 IS NOT NULL AND s.x0 >= x0 AND s.x1 <= x1)")).alias("s"))
-              .select(*keys, "s.x0", "s.x1", "y0", "y1"))
-    return _merge_runs(strips, [*keys, "x0", "x1"])
+    def work(owner, flat, table):
+        made = planes.sweep(owner, matrix(flat))
+        return (made.x0, made.x1, made.y0, made.y1), made.plane
+
+    return per_batch(gather_columns(slabs.select(*keys, "x0", "x1", "y0", "y1"), list(keys)), "slabs", list(keys), PIECES, work)
+
+
+PIECES = "x0 bigint, x1 bigint, y0 bigint, y1 bigint"
 
 
 def _merge_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,27 +60,19 @@ def _merge_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 # Which pixels a combination keeps, from how many slabs of either side cover them.
-COMBINE = {"or": "_l > 0 OR _r > 0", "and": "_l > 0 AND _r > 0", "xor": "(_l > 0) <> (_r > 0)", "minus": "_l > 0 AND _r = 0"}
+COMBINE = {"or": lambda n, m: (n > 0) | (m > 0), "and": lambda n, m: (n > 0) & (m > 0), "xor": lambda n, m: (n > 0) != (m > 0), "minus": lambda n, m: (n > 0) & (m == 0)}
 
 
 def mask_combine(left: DataFrame, right: DataFrame, how: str, *keys: str) -> DataFrame:
-    """Pixels of ``left`` how ``right`` per key, as non-overlapping slabs; slabs of one side may overlap.
+    """Pixels of ``left`` how ``right`` per key, as non-overlapping slabs; slabs of one side may overlap."""
+    keep = COMBINE[how]
 
-    Strips between the x breakpoints of a key; inside a strip the starts and ends of both sides are summed
-    up by y before the shuffle, so a window has at most one row per pixel row of the image.
-    """
-    both = left.select(*keys, "x0", "x1", "y0", "y1", F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(
-        right.select(*keys, "x0", "x1", "y0", "y1", F.lit(0).alias("_l"), F.lit(1).alias("_r")))
-    cuts = (both.groupBy(*keys).agg(F.array_sort(F.expr("array_union(collect_set(x0), collect_set(x1))")).alias("c"))
-            .select(*keys, F.expr("zip_with(c, slice(c, 2, size(c)), (a, b) -> struct(a AS x0, b AS x1))").alias("_strips")))
-    strips = both.join(cuts, list(keys)).select(
-        *keys, "y0", "y1", "_l", "_r", F.explode(F.expr("filter(_strips, s -> s.x1 IS NOT NULL AND s.x0 >= x0 AND s.x1 <= x1)")).alias("s"))
-    strip = [*keys, "x0", "x1"]
-    edges = strips.select(*keys, "s.x0", "s.x1", F.expr("inline(array(struct(y0 AS y, _l AS _l, _r AS _r), struct(y1 AS y, -_l AS _l, -_r AS _r)))"))
-    down = Window.partitionBy(*strip).orderBy("y")
-    level = (edges.groupBy(*strip, "y").agg(F.sum("_l").alias("dl"), F.sum("_r").alias("dr"))
-             .select(*strip, F.col("y").alias("y0"), F.lead("y").over(down).alias("y1"), F.sum("dl").over(down).alias("_l"), F.sum("dr").over(down).alias("_r")))
-    return _merge_runs(level.filter(f"y1 IS NOT NULL AND ({COMBINE[how]})").select(*strip, "y0", "y1"), strip)
+    def work(owner, flat, table):
+        made = planes.sweep(owner, matrix(flat, 4), side=np.asarray(flat.field(4), np.int64), keep=keep)
+        return (made.x0, made.x1, made.y0, made.y1), made.plane
+
+    both = left.select(*keys, "x0", "x1", "y0", "y1", F.lit(0).alias("_side")).unionByName(right.select(*keys, "x0", "x1", "y0", "y1", F.lit(1).alias("_side")))
+    return per_batch(gather_columns(both, list(keys), "_side"), "slabs", list(keys), PIECES, work)
 
 
 def merge_columns(columns: DataFrame, *keys: str) -> DataFrame:

@@ -7,69 +7,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import raster, shapes
+from .batches import POINTS, SLABS, gather, matrix, per_batch, point_lists, spread
 from .masks import loss_expr, mask_stats
 
-_SLABS = "array<struct<x0: bigint, x1: bigint, y0: bigint, y1: bigint>>"
-POINTS = "array<struct<x: double, y: double>>"
-SLICE = 200_000  # slabs (or vertices) worked on at once; a single mask is never cut
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
-def gather(slabs: DataFrame, *keys: str) -> DataFrame:
-    """One row per mask with its slabs as an array.
-
-    The explicit count keeps the per-mask work that follows spread over all tasks: its cost is in
-    computing, which the byte sizes that AQE coalesces by do not show.
-    """
-    return spread(slabs, *keys).groupBy(*keys).agg(F.collect_list(F.struct("x0", "x1", "y0", "y1")).cast(_SLABS).alias("slabs"))
-
-
-def per_batch(df: DataFrame, lists: str, keys: list[str], made: str, work) -> DataFrame:
-    """``keys`` of ``df`` and the columns ``made``, by ``work`` on slices of bounded size.
-
-    ``work(owner, fields, table)`` gets the flattened structs of the array column ``lists`` as one matrix with
-    the row each belongs to, and the slice; it returns the arrays of ``made`` and, where that is not one row for
-    each row of the slice, the row each result belongs to.
-    """
-    fields = T.StructType([*[df.schema[k] for k in keys], *T.StructType.fromDDL(made).fields])
-    kinds = T.StructType.fromDDL(made)
-
-    def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_type
-        for batch in batches:
-            whole = pa.Table.from_batches([batch])
-            sizes = np.asarray(whole.column(lists).combine_chunks().value_lengths().fill_null(0), np.int64)
-            filled = np.concatenate([[0], np.cumsum(sizes)])
-            start = 0
-            while start < len(sizes):
-                stop = max(start + 1, int(np.searchsorted(filled, filled[start] + SLICE, "right")) - 1)
-                table = whole.slice(start, stop - start)
-                flat = table.column(lists).combine_chunks().flatten()
-                values = np.stack([np.asarray(flat.field(i)) for i in range(flat.type.num_fields)], axis=1)
-                arrays, *rows = work(np.repeat(np.arange(stop - start), sizes[start:stop]), values, table)
-                own = table.select(keys) if not rows else table.select(keys).take(pa.array(rows[0]))
-                for field, array in zip(kinds.fields, arrays):
-                    kind = to_arrow_type(field.dataType)
-                    own = own.append_column(field.name, array.cast(kind) if isinstance(array, pa.Array) else pa.array(array, kind))
-                yield from own.to_batches()
-                start = stop
-
-    return df.mapInArrow(run, fields)
-
-
-def point_lists(owner: np.ndarray, points: np.ndarray, count: int, null: np.ndarray | None = None) -> pa.Array:
-    """Vertices, sorted by owner, as one list per owner; null where ``null`` says so."""
-    offsets = np.searchsorted(owner, np.arange(count + 1)).astype(np.int32)
-    each = pa.StructArray.from_arrays([pa.array(points[:, 0].astype(float)), pa.array(points[:, 1].astype(float))], names=["x", "y"])
-    return pa.ListArray.from_arrays(pa.array(offsets), each, mask=None if null is None else pa.array(null))
-
-
 def _column(table: pa.Table, name: str) -> np.ndarray:
     return np.asarray(table.column(name), np.int64)
 
@@ -79,7 +22,7 @@ def topology(slabs: DataFrame, *keys: str) -> DataFrame:
     masks = gather(slabs, *keys)
     one = masks.filter("size(slabs) = 1").selectExpr(*keys, "1L AS components", "0L AS holes")
     more = per_batch(masks.filter("size(slabs) > 1"), "slabs", list(keys), "components bigint, holes bigint",
-                     lambda owner, matrix, table: (shapes.topology(owner, matrix, len(table)),))
+                     lambda owner, flat, table: (shapes.topology(owner, matrix(flat), len(table)),))
     return one.unionByName(more)
 
 
@@ -101,32 +44,32 @@ def _by(owner: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
 
 
 def _convert(allow_lossy: bool):
-    def work(owner, matrix, table):
-        count, width, height = len(table), _column(table, "width"), _column(table, "height")
-        area = _by(owner, (matrix[:, 1] - matrix[:, 0]) * (matrix[:, 3] - matrix[:, 2]), count)
+    def work(owner, flat, table):
+        slabs, count, width, height = matrix(flat), len(table), _column(table, "width"), _column(table, "height")
+        area = _by(owner, (slabs[:, 1] - slabs[:, 0]) * (slabs[:, 3] - slabs[:, 2]), count)
         # A single slab is its own rectangle, and the raster rule gives back exactly its pixels.
         single = (np.bincount(owner, minlength=count) == 1)[owner]
-        x0, x1, y0, y1 = matrix[single].T
+        x0, x1, y0, y1 = slabs[single].T
         corners = np.stack([x0, y0, x1, y0, x1, y1, x0, y1], axis=1).reshape(-1, 2).astype(float)
-        square, owner, matrix = owner[single], owner[~single], matrix[~single]
-        components, holes = shapes.topology(owner, matrix, count)
+        square, owner, slabs = owner[single], owner[~single], slabs[~single]
+        components, holes = shapes.topology(owner, slabs, count)
         components[square] = 1
         method = np.where(components > 1, 2, np.where(holes > 0, 1, 0))
         refused = (method > 0) & (not allow_lossy)
         # Rings of single components, their holes filled.
         traced = (components == 1) & ~refused
-        part, rows = owner[traced[owner]], matrix[traced[owner]]
+        part, rows = owner[traced[owner]], slabs[traced[owner]]
         ring, points = part, np.zeros((0, 2), np.int64)
         if len(part):
             hole_owner, hole_rows = shapes.holes(part, rows)
             ring, points = shapes.outlines(np.concatenate([part, hole_owner]), np.concatenate([rows, hole_rows]))
-        hulls = [(k, raster.convex_hull(raster.corners(matrix[owner == k]))) for k in np.flatnonzero((components > 1) & ~refused).tolist()]
+        hulls = [(k, raster.convex_hull(raster.corners(slabs[owner == k]))) for k in np.flatnonzero((components > 1) & ~refused).tolist()]
         ring = np.concatenate([ring, *[np.full(len(h), k) for k, h in hulls]])
         points = np.concatenate([points.astype(float), *[h for _, h in hulls]])
         order = np.argsort(ring, kind="stable")
         ring, points = ring[order], points[order]
         made_owner, made = shapes.polygon_intervals(ring, points, height, width)
-        own_owner, own = shapes.slabs_to_intervals(owner, matrix, height)
+        own_owner, own = shapes.slabs_to_intervals(owner, slabs, height)
         shared = shapes.shared_length(own_owner, own, made_owner, made, count, int((width * height).max()))
         converted = _by(made_owner, made[:, 1] - made[:, 0], count)
         shared[square] = converted[square] = area[square]
@@ -146,7 +89,7 @@ def _with_loss(flat: DataFrame, allow_lossy: bool) -> DataFrame:
 
 def convert_masks(masks: DataFrame, keys: list[str], allow_lossy: bool = False) -> DataFrame:
     """:func:`to_polygon` for masks that are gathered already: ``keys`` (with width and height) and the array ``slabs``."""
-    return _with_loss(per_batch(masks.withColumn("slabs", F.col("slabs").cast(_SLABS)), "slabs", keys, _CONVERTED, _convert(allow_lossy)), allow_lossy)
+    return _with_loss(per_batch(masks.withColumn("slabs", F.col("slabs").cast(SLABS)), "slabs", keys, _CONVERTED, _convert(allow_lossy)), allow_lossy)
 
 
 def to_polygon(slabs: DataFrame, *keys: str, allow_lossy: bool = False) -> DataFrame:
@@ -169,9 +112,9 @@ def rasterize(polygons: DataFrame, *keys: str) -> DataFrame:
     """Column slabs of polygons (points, width, height) by the COCO rule; an empty raster gives no row."""
     source = spread(polygons.select(*keys, "width", "height", F.col("points").cast(POINTS).alias("points")), *keys)
 
-    def work(owner, points, table):
+    def work(owner, flat, table):
         height = _column(table, "height")
-        rows, slabs = shapes.intervals_to_slabs(*shapes.polygon_intervals(owner, points, height, _column(table, "width")), height)
+        rows, slabs = shapes.intervals_to_slabs(*shapes.polygon_intervals(owner, matrix(flat), height, _column(table, "width")), height)
         return slabs.T, rows
 
     return per_batch(source, "points", [f.name for f in source.schema.fields if f.name != "points"], "x0 bigint, x1 bigint, y0 bigint, y1 bigint", work)
@@ -204,9 +147,9 @@ def component_polygons(slabs: DataFrame, *keys: str) -> DataFrame:
              AS array<struct<x: double, y: double>>) AS points"""
     one = masks.filter("size(slabs) = 1").selectExpr(*keys, "slabs[0] AS s").selectExpr(*keys, "0L AS part", box, "1L AS components", "0L AS holes")
 
-    def work(owner, matrix, table):
-        components, holes = shapes.topology(owner, matrix, len(table))
-        mask, part, rows = shapes.components(owner, matrix)
+    def work(owner, flat, table):
+        components, holes = shapes.topology(owner, matrix(flat), len(table))
+        mask, part, rows = shapes.components(owner, matrix(flat))
         first = np.concatenate([[0], np.cumsum(components)])[:-1]
         number = first[mask] + part  # components of the slice, numbered through
         hole_number, hole_rows = shapes.holes(number, rows)

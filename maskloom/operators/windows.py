@@ -5,10 +5,15 @@ numbered by the offset of their sorted partition.
 """
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions import planes
 from ..session import cut_lineage
-from .masks import rle_intervals
+from .batches import gather_columns, matrix, per_batch
+from .masks import PIECES, rle_intervals
 
 
 def dense_ids(df: DataFrame, order: list, out: str = "id", base: int = 1) -> DataFrame:
@@ -142,30 +147,28 @@ def anchor_point(rles: DataFrame, *keys: str) -> DataFrame:
     return best.selectExpr(*keys, "((b._s + b._e - 1) div 2) div height AS x", "((b._s + b._e - 1) div 2) % height AS y")
 
 
-def paint(slabs: DataFrame, policy: str = "first") -> DataFrame:
-    """Resolve overlapping objects onto one plane by ``ord``; returns visible column runs.
+def paint(slabs: DataFrame, policy: str = "first", exact_cover: bool = False) -> DataFrame:
+    """Resolve overlapping objects onto one plane by ``ord``; returns the visible pieces.
 
-    ``slabs`` has image_id, x0..y1, ord (unique per object) and any payload in a struct ``obj``.
-    Per (image, x strip) only the extreme object per elementary y interval survives. Runs are cut
-    at the breakpoints of their strip, whose number is bounded by the image height, and reduced by
-    a partial aggregate before any shuffle, so a crowded strip does not pile up in one task.
+    ``slabs`` has image_id, x0..y1, ord (unique per object) and any payload in a struct ``obj``. Blocks of columns are
+    planes of their own and swept in Arrow batches: the pieces follow what is visible, however many objects lie
+    on each other. ``covering`` is 1, or 2 where several objects meet; with ``exact_cover`` it counts them, and pieces
+    are cut where the count changes.
     """
     if policy not in ("first", "last"):
         raise ValueError("policy must be first or last; use plane_conflicts for the error policy")
-    xs = (slabs.groupBy("image_id").agg(F.array_sort(F.expr("array_union(collect_set(x0), collect_set(x1))")).alias("c"))
-          .select("image_id", F.expr("zip_with(c, slice(c, 2, size(c)), (a, b) -> struct(a AS lo, b AS hi))").alias("_xs")))
-    strips = (slabs.join(xs, "image_id")
-              .withColumn("s", F.explode(F.expr("filter(_xs, s -> s.hi IS NOT NULL AND s.lo >= x0 AND s.hi <= x1)")))
-              .selectExpr("image_id", "s.lo AS x0", "s.hi AS x1", "y0", "y1", "ord", "obj"))
-    ys = (strips.groupBy("image_id", "x0", "x1").agg(F.array_sort(F.expr("array_union(collect_set(y0), collect_set(y1))")).alias("c"))
-          .select("image_id", "x0", "x1", F.expr("zip_with(c, slice(c, 2, size(c)), (a, b) -> struct(a AS lo, b AS hi))").alias("_ys")))
-    cells = (strips.join(ys, ["image_id", "x0", "x1"])
-             .withColumn("s", F.explode(F.expr("filter(_ys, s -> s.hi IS NOT NULL AND s.lo >= y0 AND s.hi <= y1)")))
-             .selectExpr("image_id", "x0", "x1", "s.lo AS y0", "s.hi AS y1", "ord", "obj"))
-    pick = F.min if policy == "first" else F.max
-    return (cells.groupBy("image_id", "x0", "x1", "y0", "y1")
-            .agg(pick(F.struct("ord", "obj")).alias("w"), F.count("*").alias("covering"))
-            .selectExpr("image_id", "x0", "x1", "y0", "y1", "w.ord AS ord", "w.obj AS obj", "covering"))
+    kinds = {c: slabs.schema[c].dataType.simpleString() for c in ("ord", "obj")}
+
+    def work(owner, flat, table):
+        order = pc.array_sort_indices(flat.field(4), order="ascending" if policy == "first" else "descending")
+        rank = np.empty(len(owner), np.int64)
+        rank[np.asarray(order)] = np.arange(len(owner))
+        made = planes.sweep(owner, matrix(flat, 4), rank, most=1 << 60 if exact_cover else 2)
+        front = order.take(pa.array(made.front))
+        return (made.x0, made.x1, made.y0, made.y1, flat.field(4).take(front), flat.field(5).take(front), made.cover), made.plane
+
+    return per_batch(gather_columns(slabs, ["image_id"], "ord", "obj"), "slabs", ["image_id"],
+                     f"{PIECES}, ord {kinds['ord']}, obj {kinds['obj']}, covering bigint", work)
 
 
 def plane_conflicts(painted: DataFrame) -> DataFrame:

@@ -270,6 +270,24 @@ def nms_01(v):
     return N.box_nms(nms_boxes(v))
 
 
+# Forty planes hold the boxes of all images: hundreds of rivals per class, more than fold in a row.
+CROWDED = """
+SELECT annotation_id AS id, CAST(image_id % 40 AS BIGINT) AS image_id, model_class_index, score, annotation_id AS ordinal, x0, y0, x1, y1 FROM {annotations}"""
+CROWDED_ROWS = BOX_ROWS.replace("CAST(image_id AS STRING)", "CAST(image_id % 40 AS STRING)")
+CROWDED_EDGES = BOX_EDGES.replace("a.image_id = b.image_id", "a.image_id % 40 = b.image_id % 40")
+FATE = """
+SELECT a.annotation_id AS id, coalesce(v.kept, true) AS kept, CASE WHEN NOT v.kept THEN (
+    SELECT arg_min(e.better, struct_pack(s := -k.score, i := e.better)) FROM e JOIN v kv ON kv.id = e.better AND kv.kept JOIN {annotations} k ON k.annotation_id = e.better
+    WHERE e.worse = a.annotation_id) END AS kept_id
+FROM {annotations} a LEFT JOIN v ON v.id = a.annotation_id"""
+
+
+@query("nms_01_crowded", greedy_sql(CROWDED_ROWS, CROWDED_EDGES) + FATE)
+def nms_01_crowded(v):
+    """Crowded planes: cells, thinning and the conflict graph in rounds."""
+    return N.box_nms(v.sql(CROWDED), max_local=50)
+
+
 @query("agg_10", greedy_sql(BOX_ROWS, BOX_EDGES) + """
 SELECT a.image_id, count(*) AS input_count, count(*) FILTER (WHERE coalesce(v.kept, true)) AS kept_count, count(*) FILTER (WHERE NOT v.kept) AS suppressed_count
 FROM {annotations} a LEFT JOIN v ON v.id = a.annotation_id GROUP BY a.image_id""")
@@ -291,6 +309,15 @@ def nms_02(v):
     return N.mask_nms(rows, slabs(v).selectExpr("annotation_id AS id", "x0", "x1", "y0", "y1"))
 
 
+@query("nms_02_crowded", greedy_sql(MASK_ROWS.replace("CAST(image_id AS STRING)", "CAST(image_id % 40 AS STRING)"),
+                                    MASK_EDGES.replace("a.image_id = b.image_id", "a.image_id % 40 = b.image_id % 40")) + """
+SELECT a.annotation_id AS id, coalesce(v.kept, true) AS kept FROM {annotations} a LEFT JOIN v ON v.id = a.annotation_id""")
+def nms_02_crowded(v):
+    """Masks of many images on forty planes, through the conflict graph."""
+    rows = v.annotations.withColumn("key", N.class_key()).selectExpr("annotation_id AS id", "image_id % 40 AS image_id", "key", "score", "annotation_id AS ordinal")
+    return N.mask_nms(rows, slabs(v).selectExpr("annotation_id AS id", "x0", "x1", "y0", "y1"), max_local=20)
+
+
 @query("nms_03", "SELECT image_id, layer_id, signature, min(annotation_id) AS proposal_id, count(*) AS origins FROM {candidates} GROUP BY 1, 2, 3")
 def nms_03(v):
     return N.collapse_identical(v.candidates)[0]

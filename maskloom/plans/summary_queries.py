@@ -331,7 +331,7 @@ def set_06(v):
 def covered_depth(v):
     """Pixels counted above once per image, from the painter's cover counts."""
     from .mask_queries import paint_slabs
-    painted = W.paint(paint_slabs(v), "first")
+    painted = W.paint(paint_slabs(v), "first", exact_cover=True)
     extra = painted.groupBy("image_id").agg(F.sum(F.expr("(covering - 1) * (x1 - x0) * (y1 - y0)")).alias("extra"))
     accepted = v.annotations.groupBy("image_id").agg(F.sum(F.expr("CASE WHEN status = 'accepted' THEN area ELSE 0 END")).alias("accepted_area"))
     return extra.join(accepted, "image_id")
