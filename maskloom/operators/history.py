@@ -1,34 +1,40 @@
-"""Undo and redo over an edit log.
+"""Undo and redo over an edit log, and the rows that a history position selects.
 
-The undone entries of an image are always the top of its history: undo steps down, redo steps
-up, and a new edit drops what was undone. Two integers (depth, open redo steps) are the whole
-state, so a long history can be walked in bounded pieces: an image with more than ``chunk_rows``
-events is cut into chunks, and round k walks the k-th chunk of every image from the state that
-round k - 1 left. What lies on the stack follows from plain aggregation.
+The undone entries of an image are always the top of its history: undo steps down, redo steps up, and a new edit
+drops what was undone. Depth and open redo steps are the whole state of the positions.
+
+A long history is walked in pieces at once. A piece begins with an edit, so all that it needs from before is the
+depth D, and what it does to any D has a small form: final depth = base + D - |{p in P : p < D}|. An undo that
+meets the floor of the lowest start makes the smallest point that is not in P a member (starts p and p + 1 meet), a
+redo takes the smallest open member out, an edit locks the members. These forms are composed along the pieces of
+an image (one look-up a piece), and then every piece is walked from its own start.
+
+Restoring looks at content: a step that would bring back a row of an archived class is refused. There the state
+of an image is its stack of changes; images are walked side by side, an image by one task.
 """
 from __future__ import annotations
 
-from functools import reduce
+import heapq
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import cut_lineage
+from .curation import Outcome
 from .windows import rank_within
 
 _TRACE = "image_id BIGINT, seq BIGINT, action STRING, depth BIGINT, redo BIGINT, applied BOOLEAN"
 
 
 def _walk(batches):
-    """Walk rows ordered by (image_id, seq); the state carries over batch borders."""
+    """Walk rows ordered by (image_id, piece, seq); the state carries over batch borders."""
     current, depth, redo = None, 0, 0
     for batch in batches:
         n = len(batch)
         depths, redos, applied = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, bool)
-        columns = zip(batch["image_id"], batch["action"], batch["depth_in"], batch["redo_in"])
-        for i, (image, action, depth_in, redo_in) in enumerate(columns):
-            if image != current:
-                current, depth, redo = image, int(depth_in), int(redo_in)
+        for i, (image, piece, action, start) in enumerate(zip(batch["image_id"], batch["piece"], batch["action"], batch["start"])):
+            if (image, piece) != current:
+                current, depth, redo = (image, piece), int(start), 0
             if action == "edit":
                 depth, redo, applied[i] = depth + 1, 0, True
             elif action == "undo" and depth:
@@ -41,35 +47,81 @@ def _walk(batches):
         yield out
 
 
+def piece_form(actions) -> tuple[int, np.ndarray]:
+    """(base, sorted P) of a piece: what it makes of any depth before it."""
+    base, free = 0, 0          # depth of the lowest start, and how many of its steps are undone
+    members: set[int] = set()
+    opened: list[int] = []     # members of the present run, a heap
+    gaps: list[int] = []       # points below ``fresh`` that are no members, a heap
+    fresh = 0
+    for action in actions:
+        if action == "edit":
+            base, free, opened = base + 1, 0, []
+        elif action == "undo":
+            if base:
+                base, free = base - 1, free + 1
+                continue
+            if gaps:
+                point = heapq.heappop(gaps)
+            else:
+                point, fresh = fresh, fresh + 1
+            members.add(point)
+            heapq.heappush(opened, point)
+        elif action == "redo":
+            if free:
+                base, free = base + 1, free - 1
+            elif opened:
+                point = heapq.heappop(opened)
+                members.discard(point)
+                heapq.heappush(gaps, point)
+    return base, np.array(sorted(members), np.int64)
+
+
+def _forms(rows: pd.DataFrame) -> pd.DataFrame:
+    base, points = piece_form(rows.sort_values("seq")["action"])
+    return pd.DataFrame({"image_id": [rows["image_id"].iloc[0]], "piece": [rows["piece"].iloc[0]], "base": [base], "points": [points]})
+
+
+def _starts(forms: pd.DataFrame) -> pd.DataFrame:
+    forms, depth, out = forms.sort_values("piece"), 0, []
+    for base, points in zip(forms["base"], forms["points"]):
+        out.append(depth)
+        depth = base + depth - int(np.searchsorted(points, depth, "left"))
+    return pd.DataFrame({"image_id": forms["image_id"], "piece": forms["piece"], "start": out})
+
+
+def _in_pieces(log: DataFrame, rows: int) -> DataFrame:
+    """The log with ``piece`` and ``start``: pieces of about ``rows`` actions that begin with an edit, and the depth before each."""
+    blocks = rank_within(log, ["image_id"], ["seq"]).withColumn("block", F.expr(f"(rank - 1) div {rows}")).drop("rank")
+    before = Window.partitionBy("image_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.min(F.when(F.col("action") == "edit", F.col("seq")))
+    held = blocks.groupBy("image_id", "block").agg(first.alias("first_edit"))
+    held = held.withColumn("earlier", F.max(F.when(F.col("first_edit").isNotNull(), F.col("block"))).over(before))
+    # Rows ahead of a block's first edit belong to the last earlier piece.
+    cut = blocks.join(held, ["image_id", "block"]).withColumn("piece", F.expr("CASE WHEN seq >= first_edit THEN block ELSE coalesce(earlier, 0L) END"))
+    cut = cut.select("image_id", "seq", "action", "piece")
+    forms = cut.groupBy("image_id", "piece").applyInPandas(_forms, "image_id BIGINT, piece BIGINT, base BIGINT, points ARRAY<BIGINT>")
+    starts = forms.groupBy("image_id").applyInPandas(_starts, "image_id BIGINT, piece BIGINT, start BIGINT")
+    return cut.join(starts, ["image_id", "piece"])
+
+
 def trace_history(edit_log: DataFrame, chunk_rows: int = 1_000_000) -> DataFrame:
     """State after every action: image_id, seq, action, depth, redo, applied."""
-    log = edit_log.select("image_id", "seq", "action")
+    log = edit_log.select(F.col("image_id").cast("bigint").alias("image_id"), F.col("seq").cast("bigint").alias("seq"), "action")
     longest = log.groupBy("image_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    chunks = max(1, -(-longest // chunk_rows))
-    if chunks > 1:
-        log = cut_lineage(rank_within(log, ["image_id"], ["seq"])
-                          .withColumn("chunk", F.expr(f"(rank - 1) div {chunk_rows}")).drop("rank"))
-    parts, state = [], None
-    for k in range(chunks):
-        rows = log.filter(F.col("chunk") == k).drop("chunk") if chunks > 1 else log
-        if state is None:
-            rows = rows.withColumns({"depth_in": F.lit(0), "redo_in": F.lit(0)})
-        else:
-            rows = rows.join(state, "image_id", "left").na.fill(0, ["depth_in", "redo_in"])
-        walked = rows.repartition("image_id").sortWithinPartitions("image_id", "seq").mapInPandas(_walk, _TRACE)
-        if chunks > 1:
-            walked = cut_lineage(walked)
-            state = walked.groupBy("image_id").agg(F.max_by(F.struct("depth", "redo"), "seq").alias("s")).selectExpr(
-                "image_id", "s.depth AS depth_in", "s.redo AS redo_in")
-        parts.append(walked)
-    return reduce(DataFrame.unionByName, parts)
+    rows = _in_pieces(log, chunk_rows) if longest > chunk_rows else log.withColumns({"piece": F.lit(0).cast("bigint"), "start": F.lit(0).cast("bigint")})
+    return rows.repartition("image_id", "piece").sortWithinPartitions("image_id", "piece", "seq").mapInPandas(_walk, _TRACE)
 
 
-def fold_history(edit_log: DataFrame, chunk_rows: int = 1_000_000) -> DataFrame:
-    """Per image: final depth, open redo steps, the edit on top, and actions that had no effect.
+def stack_entries(trace: DataFrame) -> DataFrame:
+    """(image_id, depth, seq): the edits that lie on each image's stack in the end, the latest that reached their depth."""
+    last = trace.groupBy("image_id").agg(F.max_by("depth", "seq").alias("_final"))
+    tops = trace.filter("action = 'edit' AND applied").groupBy("image_id", "depth").agg(F.max("seq").alias("seq"))
+    return tops.join(last, "image_id").filter("depth <= _final").drop("_final")
 
-    The entry at a stack position is the latest edit that reached that depth.
-    """
+
+def fold_history(edit_log: DataFrame, chunk_rows: int = 1_000_000) -> DataFrame:
+    """Per image: final depth, open redo steps, the edit on top, and actions that had no effect."""
     trace = trace_history(edit_log, chunk_rows)
     last = trace.groupBy("image_id").agg(
         F.max_by(F.struct("depth", "redo"), "seq").alias("s"),
@@ -78,3 +130,99 @@ def fold_history(edit_log: DataFrame, chunk_rows: int = 1_000_000) -> DataFrame:
     tops = trace.filter("action = 'edit'").groupBy("image_id", "depth").agg(F.max("seq").alias("top_seq"))
     return (last.selectExpr("image_id", "s.depth AS depth", "s.redo AS redo", "edits", "ignored")
             .join(tops, ["image_id", "depth"], "left"))
+
+
+_GUARDED = "image_id BIGINT, seq BIGINT, action STRING, depth BIGINT, redo BIGINT, applied BOOLEAN, refusal STRING"
+
+
+def _guarded(batches):
+    """Walk rows ordered by (image_id, seq) with their changes; a step to a state with obsolete rows is refused."""
+    current = None
+    for batch in batches:
+        out = []
+        for image, seq, action, names, obsolete in zip(batch["image_id"], batch["seq"], batch["action"], batch["names"], batch["obsolete"]):
+            if image != current:
+                current, bad, done, undone = image, set(), [], []
+            changes = [] if names is None else list(zip(names, obsolete))
+            if action == "base":
+                bad = {name for name, flag in changes if flag}
+                continue
+            applied, refusal = False, None
+            if action == "edit":
+                done.append(([(name, name in bad) for name, _ in changes], changes))
+                _put(bad, changes)
+                undone, applied = [], True
+            elif action in ("undo", "redo"):
+                source, target = (done, undone) if action == "undo" else (undone, done)
+                if not source:
+                    refusal = f"nothing_to_{action}"
+                else:
+                    back, forth = source[-1]
+                    step, reverse = (back, forth) if action == "undo" else (forth, back)
+                    _put(bad, step)
+                    if bad:
+                        _put(bad, reverse)
+                        refusal = "archived_class"
+                    else:
+                        target.append(source.pop())
+                        applied = True
+            out.append((image, seq, action, len(done), len(undone), applied, refusal))
+        yield pd.DataFrame(out, columns=["image_id", "seq", "action", "depth", "redo", "applied", "refusal"])
+
+
+def _put(bad: set, changes) -> None:
+    for name, flag in changes:
+        (bad.add if flag else bad.discard)(name)
+
+
+def trace_changes(edit_log: DataFrame, changes: DataFrame, annotations: DataFrame, classes: DataFrame) -> DataFrame:
+    """:func:`trace_history` with content: also ``refusal`` (nothing_to_undo, nothing_to_redo, archived_class).
+
+    ``changes``: image_id, seq, annotation_id, deleted, class_id of every row an edit makes, changes or deletes;
+    ``annotations``: the rows before the log.
+    """
+    active = classes.filter("NOT archived").select("class_id", F.lit(True).alias("_active"))
+    flag = F.expr("class_id IS NOT NULL AND _active IS NULL")
+    lists = [F.collect_list("annotation_id").alias("names"), F.collect_list("flag").alias("obsolete")]
+    made = (changes.join(active, "class_id", "left").select("image_id", "seq", "annotation_id", (flag & ~F.col("deleted")).alias("flag"))
+            .groupBy("image_id", "seq").agg(*lists))
+    base = (annotations.join(active, "class_id", "left").filter(flag).select("image_id", "annotation_id", F.lit(True).alias("flag"))
+            .groupBy("image_id").agg(*lists).withColumns({"seq": F.lit(-(1 << 62)), "action": F.lit("base")}))
+    log = edit_log.select("image_id", "seq", "action").join(made, ["image_id", "seq"], "left").unionByName(base.join(edit_log.select("image_id").distinct(), "image_id", "left_semi"))
+    log = log.withColumn("image_id", F.col("image_id").cast("bigint"))
+    return log.repartition("image_id").sortWithinPartitions("image_id", "seq").mapInPandas(_guarded, _GUARDED)
+
+
+def restore_history(images: DataFrame, annotations: DataFrame, edit_log: DataFrame, changes: DataFrame, classes: DataFrame, upto: int | None = None) -> Outcome:
+    """Images and annotations as the log leaves them, or as they were after the action ``upto``.
+
+    A version of a row holds from the depth of its edit to the next version's on the same stack; the position at the
+    end selects the last one below it, or the row before the log. Every applied action bumps the image's revision
+    and reopens it. A step of undo or redo gives all rows of its image the new revision, an edit the rows it changed.
+    ``changes`` carries the columns of ``annotations`` (without revision) beside seq and deleted.
+    ``conflicts``: refused actions; ``log``: the trace.
+    """
+    if upto is not None:
+        edit_log = edit_log.filter(F.col("seq") <= upto)
+    trace = trace_changes(edit_log, changes, annotations, classes)
+    stack = stack_entries(trace)
+    done = trace.filter("applied AND action IN ('edit', 'undo', 'redo')")
+    # The number of applied actions up to an edit; a history is ordered inside its image.
+    order = Window.partitionBy("image_id").orderBy("seq")
+    steps = done.withColumn("step", F.row_number().over(order)).select("image_id", "seq", "action", "step")
+    ends = steps.groupBy("image_id").agg(F.max("step").alias("_steps"), F.max(F.when(F.col("action") != "edit", F.col("step"))).alias("_restored"))
+    columns = [c for c in annotations.columns if c != "revision"]
+    placed = changes.join(stack.select("image_id", "seq", "depth"), ["image_id", "seq"]).join(steps.select("image_id", "seq", "step"), ["image_id", "seq"])
+    latest = (placed.groupBy("image_id", "annotation_id").agg(F.max_by(F.struct("deleted", "step", *[c for c in columns if c not in ("image_id", "annotation_id")]), "depth").alias("v"))
+              .select("image_id", "annotation_id", "v.*"))
+    untouched = annotations.join(latest.select("annotation_id"), "annotation_id", "left_anti").withColumn("step", F.lit(0))
+    first = images.select("image_id", F.col("revision").alias("_first"))
+    edited = latest.filter("NOT deleted").drop("deleted").join(first, "image_id").withColumn("revision", F.col("_first")).drop("_first")
+    rows = untouched.select(*columns, "revision", "step").unionByName(edited.select(*columns, "revision", "step")).join(ends, "image_id", "left").join(first, "image_id")
+    rows = rows.withColumn("revision", F.expr("""CASE WHEN _restored IS NULL AND step = 0 THEN revision
+        ELSE CASE WHEN greatest(coalesce(_restored, 0), step) = 0 THEN revision ELSE _first + greatest(coalesce(_restored, 0), step) END END"""))
+    after = images.join(ends, "image_id", "left").withColumns({
+        "complete": F.expr("complete AND _steps IS NULL"), "review_actor": F.expr("CASE WHEN _steps IS NULL THEN review_actor END"),
+        "revision": F.expr("revision + coalesce(_steps, 0)")}).drop("_steps", "_restored")
+    refused = trace.filter("refusal IS NOT NULL").select("image_id", "seq", F.col("refusal").alias("reason"))
+    return Outcome(annotations=rows.select(*annotations.columns), images=after, conflicts=refused, log=trace)

@@ -261,13 +261,80 @@ def cur_11(v):
     return out.proposals.select("proposal_id", "status")
 
 
-@query("hist_01")
+# A stack machine over the actions of each image: entries done and undone as lists of edits, one action a step.
+def _stack_sql(ok):
+    return f"""
+WITH RECURSIVE l AS (SELECT image_id, seq, action, row_number() OVER (PARTITION BY image_id ORDER BY seq) AS k FROM {{edit_log}}),
+w AS (SELECT image_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS action, CAST([] AS BIGINT[]) AS done, CAST([] AS BIGINT[]) AS undone, false AS applied
+      FROM (SELECT DISTINCT image_id FROM {{edit_log}}) q
+  UNION ALL SELECT image_id, k, seq, action,
+    CASE WHEN NOT applied THEN done WHEN action = 'undo' THEN done[:-2] WHEN action = 'redo' THEN list_append(done, undone[-1]) ELSE list_append(done, seq) END,
+    CASE WHEN NOT applied THEN undone WHEN action = 'undo' THEN list_append(undone, done[-1]) WHEN action = 'redo' THEN undone[:-2] ELSE CAST([] AS BIGINT[]) END, applied
+  FROM (SELECT w.image_id, l.k, l.seq, l.action, w.done, w.undone, CASE l.action WHEN 'edit' THEN true
+          WHEN 'undo' THEN len(w.done) > 0 AND {ok('w.done[:-2]')} WHEN 'redo' THEN len(w.undone) > 0 AND {ok('list_append(w.done, w.undone[-1])')} ELSE false END AS applied
+        FROM w JOIN l ON l.image_id = w.image_id AND l.k = w.k + 1) n)"""
+
+
+STACK = _stack_sql(lambda stack: "true")
+
+
+@query("hist_01", STACK + """
+SELECT image_id, arg_max(len(done), k) AS depth, arg_max(len(undone), k) AS redo, count(*) FILTER (WHERE action = 'edit') AS edits,
+  count(*) FILTER (WHERE action IN ('undo', 'redo') AND NOT applied) AS ignored, max_by(coalesce(done[-1], -1), k) AS top_seq FROM w GROUP BY image_id""")
 def hist_01(v):
-    """Undo / redo fold per image: depth, open redo steps and the edit now on top."""
-    return H.fold_history(v.edit_log)
+    """Undo / redo fold per image: depth, open redo steps and the edit now on top (-1 for none)."""
+    return H.fold_history(v.edit_log).withColumn("top_seq", F.coalesce("top_seq", F.lit(-1)))
 
 
-@query("win_06")
+@query("win_06", STACK + " SELECT image_id, seq, action, len(done) AS depth, len(undone) AS redo, applied FROM w WHERE k > 0")
 def win_06(v):
     """Effect of every history action: depth before and after, and whether there was anything to do."""
     return H.trace_history(v.edit_log).select("image_id", "seq", "action", "depth", "redo", "applied")
+
+
+@query("win_06_pieces", STACK + " SELECT image_id, seq, action, len(done) AS depth, len(undone) AS redo, applied FROM w WHERE k > 0")
+def win_06_pieces(v):
+    """The same with histories of more than sixteen actions cut into pieces, which are walked at once."""
+    return H.trace_history(v.edit_log, chunk_rows=16).select("image_id", "seq", "action", "depth", "redo", "applied")
+
+
+# Every edit changes one of four rows of its image: it deletes it, or gives it one of three classes, one of them archived.
+HISTORY_CHANGES = """
+SELECT image_id, seq, CAST(image_id AS STRING) || '-' || CAST(seq % 4 AS STRING) AS annotation_id, seq % 7 = 0 AS deleted,
+       CASE seq % 11 WHEN 0 THEN 'old' WHEN 1 THEN CAST(NULL AS STRING) ELSE 'c' || CAST(seq % 2 AS STRING) END AS class_id FROM {edit_log} WHERE action = 'edit'"""
+HISTORY_BASE = "SELECT image_id, CAST(image_id AS STRING) || '-0' AS annotation_id, 'c0' AS class_id, CAST(3 AS BIGINT) AS revision FROM (SELECT DISTINCT image_id FROM {edit_log}) q"
+# A stack is sound if the last entry of every row is not of the archived class.
+SOUND = _stack_sql(lambda stack: f"len(list_filter([0, 1, 2, 3], lambda r: coalesce(list_filter({stack}, lambda s: s % 4 = r)[-1] % 11 = 0 AND list_filter({stack}, lambda s: s % 4 = r)[-1] % 7 <> 0, false))) = 0")
+
+
+def _restored(v):
+    base = v.sql(HISTORY_BASE)
+    images = base.select("image_id", F.lit(True).alias("complete"), F.lit("human").alias("review_actor"), F.lit(5).cast("bigint").alias("revision"))
+    classes = v.spark.createDataFrame([("c0", False), ("c1", False), ("old", True)], "class_id STRING, archived BOOLEAN")
+    return H.restore_history(images, base, v.edit_log, v.sql(HISTORY_CHANGES), classes)
+
+
+@query("hist_01_restore", SOUND + """,
+e AS (SELECT image_id, max(k) AS k FROM w GROUP BY image_id),
+s AS (SELECT image_id, seq, k, action, row_number() OVER (PARTITION BY image_id ORDER BY k) AS step FROM w WHERE applied),
+t AS (SELECT w.image_id, w.done, coalesce((SELECT max(step) FROM s WHERE s.image_id = w.image_id), 0) AS steps, coalesce((SELECT max(step) FROM s WHERE s.image_id = w.image_id AND s.action <> 'edit'), 0) AS restored
+      FROM w JOIN e ON e.image_id = w.image_id AND e.k = w.k),
+r AS (SELECT t.*, q.r, list_filter(t.done, lambda x: x % 4 = q.r)[-1] AS last FROM t, (SELECT unnest([0, 1, 2, 3]) AS r) q),
+x AS (SELECT r.*, coalesce(s.step, 0) AS step FROM r LEFT JOIN s ON s.image_id = r.image_id AND s.seq = r.last)
+SELECT image_id, CAST(image_id AS VARCHAR) || '-' || CAST(r AS VARCHAR) AS annotation_id,
+  CASE WHEN last IS NULL THEN 'c0' ELSE CASE last % 11 WHEN 0 THEN 'old' WHEN 1 THEN NULL ELSE 'c' || CAST(last % 2 AS VARCHAR) END END AS class_id,
+  CASE WHEN greatest(restored, step) = 0 THEN 3 ELSE 5 + greatest(restored, step) END AS revision, 5 + steps AS image_revision, steps = 0 AS complete
+FROM x WHERE (last IS NULL AND r = 0) OR (last IS NOT NULL AND last % 7 <> 0)""")
+def hist_01_restore(v):
+    """Rows that the history leaves, after undo and redo steps of which those to an archived class are refused."""
+    out = _restored(v)
+    return out.annotations.join(out.images.selectExpr("image_id", "revision AS image_revision", "complete"), "image_id").select(
+        "image_id", "annotation_id", "class_id", "revision", "image_revision", "complete")
+
+
+@query("hist_01_refused", SOUND + """
+SELECT n.image_id, n.seq, CASE WHEN len(CASE n.action WHEN 'undo' THEN p.done ELSE p.undone END) = 0 THEN 'nothing_to_' || n.action ELSE 'archived_class' END AS reason
+FROM w n JOIN w p ON p.image_id = n.image_id AND p.k = n.k - 1 WHERE n.action IN ('undo', 'redo') AND NOT n.applied""")
+def hist_01_refused(v):
+    """Undo and redo steps without effect, and why."""
+    return _restored(v).conflicts.select("image_id", "seq", "reason")

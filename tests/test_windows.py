@@ -116,6 +116,40 @@ def test_history(spark, chunk):
     assert got == {i: replay(log) for i, log in logs.items()}
 
 
+def test_piece_forms():
+    """What a piece makes of every depth before it, against the plain walk."""
+    rng = random.Random(7)
+    for _ in range(300):
+        actions = ["edit"] + [rng.choice(["edit", "undo", "undo", "redo", "redo", "review"]) for _ in range(rng.randrange(0, 40))]
+        base, points = H.piece_form(actions)
+        for start in range(0, 45, 3):
+            depth, redo = start, 0
+            for a in actions:
+                if a == "edit":
+                    depth, redo = depth + 1, 0
+                elif a == "undo" and depth:
+                    depth, redo = depth - 1, redo + 1
+                elif a == "redo" and redo:
+                    depth, redo = depth + 1, redo - 1
+            assert base + start - int((points < start).sum()) == depth
+
+
+def test_restored_rows_follow_the_position(spark):
+    """Two rows, an edit of each, a deletion; undo brings rows back, a redo to an archived class is refused."""
+    images = spark.createDataFrame([(1, True, "human", 5), (2, True, "human", 9)], "image_id BIGINT, complete BOOLEAN, review_actor STRING, revision BIGINT")
+    rows = spark.createDataFrame([(1, "a", "c", 2), (1, "b", "c", 2), (2, "z", "c", 1)], "image_id BIGINT, annotation_id STRING, class_id STRING, revision BIGINT")
+    changes = spark.createDataFrame([(1, 10, "a", False, None), (1, 11, "b", True, None), (1, 12, "n", False, "gone")],
+                                    "image_id BIGINT, seq BIGINT, annotation_id STRING, deleted BOOLEAN, class_id STRING")
+    classes = spark.createDataFrame([("c", False), ("gone", True)], "class_id STRING, archived BOOLEAN")
+    log = spark.createDataFrame([(1, s, a) for s, a in ((10, "edit"), (11, "edit"), (12, "edit"), (13, "undo"), (14, "redo"), (15, "undo"))], "image_id BIGINT, seq BIGINT, action STRING")
+    out = H.restore_history(images, rows, log, changes, classes)
+    assert {(r["annotation_id"], r["class_id"], r["revision"]) for r in out.annotations.collect()} == {("a", None, 10), ("b", "c", 10), ("z", "c", 1)}
+    assert {(r["image_id"], r["complete"], r["revision"]) for r in out.images.collect()} == {(1, False, 10), (2, True, 9)}
+    assert [(r["seq"], r["reason"]) for r in out.conflicts.collect()] == [(14, "archived_class")]
+    early = H.restore_history(images, rows, log, changes, classes, upto=12)
+    assert {r["annotation_id"] for r in early.annotations.collect()} == {"a", "n", "z"}
+
+
 def test_context_crops(spark):
     base = dict(annotation_id="a", x0=490, y0=490, x1=520, y1=520)
     def crops(w, h, kind):
