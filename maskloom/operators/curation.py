@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..model import MAX_MERGE_PARENTS, MAX_SELECTION, ROLES
 from .aggregates import merge_preview
-from .masks import box_signature_text, mask_stats, mask_union
+from .masks import box_signature_text, mask_signatures, mask_stats, mask_union
 from .predicates import LIVE, is_assist
 
 ACTIONS = ("assign", "accept", "assign_accept", "assist_assign_accept", "reject", "delete")
@@ -63,11 +63,49 @@ def _conflicts(verdict: DataFrame) -> DataFrame:
     return verdict.filter("reason IS NOT NULL").select("request_id", "reason")
 
 
-def _tombstones(rows: DataFrame, reason: str) -> DataFrame:
-    """The signature a mask was generated with; a generated box has it in closed form."""
-    signature = "generation_signature" if "generation_signature" in rows.columns else box_signature_text()
-    return rows.filter("layer_id IS NOT NULL").selectExpr(
-        "image_id", "layer_id", f"{signature} AS signature", "annotation_id", f"{reason} AS reason")
+def _tombstones(rows: DataFrame, reason: str, slabs: DataFrame | None = None) -> DataFrame:
+    """The signatures under which removed generated rows must not come back.
+
+    A row's own ``generation_signature`` counts first; a box has it in closed form (x0..y1, width, height); any other
+    mask has it from its pixels, ``slabs`` (annotation_id, x0..y1, width, height). A generated mask with neither stops
+    the job: it would come back.
+    """
+    layered = rows.filter("layer_id IS NOT NULL")
+    if "generation_signature" not in rows.columns:
+        layered = layered.withColumn("generation_signature", F.lit(None).cast("string"))
+    sized = {"x0", "y0", "x1", "y1", "width", "height"} <= set(rows.columns)
+    known = layered.withColumn("_signature", F.expr(f"coalesce(generation_signature, CASE WHEN geom_type = 'box' THEN {box_signature_text()} END)")
+                               if sized else F.col("generation_signature"))
+    lacking = F.raise_error(F.concat(F.lit("a removed mask needs generation_signature or slabs: "), F.col("annotation_id"))).cast("string")
+    if slabs is not None:
+        drawn = slabs.select("annotation_id", "x0", "x1", "y0", "y1", "width", "height").join(known.filter("_signature IS NULL").select("annotation_id"), "annotation_id", "left_semi")
+        known = known.join(mask_signatures(drawn, "annotation_id", out="_drawn"), "annotation_id", "left").withColumn("_signature", F.coalesce("_signature", "_drawn"))
+    return known.select("image_id", "layer_id", F.coalesce("_signature", lacking).alias("signature"), "annotation_id", F.expr(reason).alias("reason"))
+
+
+def _replaced_slabs(slabs: DataFrame, gone: DataFrame, made: DataFrame) -> DataFrame:
+    """The slab table with the rows of ``gone`` (annotation_id) replaced by ``made``, in the columns both have."""
+    columns = [c for c in slabs.columns if c in made.columns]
+    return slabs.select(*columns).join(gone.select("annotation_id"), "annotation_id", "left_anti").unionByName(made.select(*columns))
+
+
+def _drawn_edits(edits: DataFrame, shapes: DataFrame | None, key: str):
+    """Edits with the bounds of their new pixels as nx0..ny1 and ``_area``; and the pixels, united per edit."""
+    if shapes is None:
+        return edits.withColumn("_area", F.lit(None).cast("bigint")), None
+    united = mask_union(shapes.select(key, "x0", "x1", "y0", "y1"), key)
+    bounds = mask_stats(united, key).withColumnsRenamed({"area": "_area", "bx0": "_bx0", "by0": "_by0", "bx1": "_bx1", "by1": "_by1"})
+    edits = edits.join(bounds, key, "left").withColumns({f"n{c}": F.coalesce(f"_b{c}", f"n{c}") for c in ("x0", "y0", "x1", "y1")})
+    return edits.drop("_bx0", "_by0", "_bx1", "_by1"), united
+
+
+def _new_slabs(won: DataFrame, united: DataFrame | None, key: str) -> DataFrame:
+    """Pixels of accepted geometry changes: those drawn, or the box. ``won``: key, annotation_id, image_id, nx0..ny1, _area, width, height."""
+    keep = ["annotation_id", "image_id", "width", "height"]
+    boxed = won.filter("nx0 IS NOT NULL AND _area IS NULL").selectExpr(*keep, "CAST(nx0 AS BIGINT) AS x0", "CAST(nx1 AS BIGINT) AS x1", "CAST(ny0 AS BIGINT) AS y0", "CAST(ny1 AS BIGINT) AS y1")
+    if united is None:
+        return boxed
+    return boxed.unionByName(united.join(won.filter("_area IS NOT NULL").select(key, *keep), key).select(*boxed.columns))
 
 
 def _selection_rows(requests: DataFrame, annotations: DataFrame, images: DataFrame) -> DataFrame:
@@ -87,8 +125,11 @@ _SELECTION_SUMS = {
 }
 
 
-def apply_selection(annotations: DataFrame, images: DataFrame, classes: DataFrame, requests: DataFrame) -> Outcome:
-    """assign / accept / assign_accept / assist_assign_accept / reject / delete (CUR-01)."""
+def apply_selection(annotations: DataFrame, images: DataFrame, classes: DataFrame, requests: DataFrame, slabs: DataFrame | None = None) -> Outcome:
+    """assign / accept / assign_accept / assist_assign_accept / reject / delete (CUR-01).
+
+    Removed generated masks are tombstoned by ``generation_signature``, or by their pixels in ``slabs``.
+    """
     rows = (_selection_rows(requests, annotations, images)
             .join(_active(classes, "class_id", "_wanted_ok"), "class_id", "left")
             .join(_active(classes, "_class", "_class_ok"), "_class", "left"))
@@ -115,7 +156,7 @@ def apply_selection(annotations: DataFrame, images: DataFrame, classes: DataFram
     chosen = requests.join(won.select("request_id"), "request_id", "left_semi").select(
         "annotation_id", "request_id", F.col("action").alias("_action"), F.col("class_id").alias("_to"), F.col("actor").alias("_actor"))
     edited = annotations.join(chosen, "annotation_id", "left")
-    tombs = _tombstones(edited.filter("_action IN ('delete', 'reject')"), "CASE _action WHEN 'delete' THEN 'deleted' ELSE 'rejected' END")
+    tombs = _tombstones(edited.filter("_action IN ('delete', 'reject')"), "CASE _action WHEN 'delete' THEN 'deleted' ELSE 'rejected' END", slabs)
     after = (edited.filter("NOT coalesce(_action = 'delete', false)").withColumns({
         "class_id": F.expr("CASE WHEN _action LIKE '%assign%' THEN _to ELSE class_id END"),
         "status": F.expr("""CASE WHEN _action = 'assign' THEN 'draft' WHEN _action LIKE '%accept' THEN 'accepted'
@@ -366,14 +407,24 @@ def remove_images(images: DataFrame, rounds: DataFrame, requests: DataFrame) ->
     return Outcome(images=images2, rounds=rounds2, conflicts=_conflicts(verdict))
 
 
-def edit_objects(annotations: DataFrame, images: DataFrame, classes: DataFrame, edits: DataFrame) -> Outcome:
+def _own_signature(rows: DataFrame) -> DataFrame:
+    """A redrawn row is no longer what was generated: its signature goes."""
+    if "generation_signature" not in rows.columns:
+        return rows
+    return rows.withColumn("generation_signature", F.expr("CASE WHEN nx0 IS NULL THEN generation_signature END"))
+
+
+def edit_objects(annotations: DataFrame, images: DataFrame, classes: DataFrame, edits: DataFrame, slabs: DataFrame | None = None,
+                 shapes: DataFrame | None = None) -> Outcome:
     """Single-object edits and deletes (CUR-08).
 
     ``edits``: seq, annotation_id, delete, set_class, class_id, status, nx0..ny1 (NULL keeps the
-    geometry), actor. A class or geometry change without a status becomes a draft. The first valid
+    geometry), actor. ``shapes`` (seq, x0..y1) holds the pixels of edits that draw a mask. With ``slabs`` (annotation_id,
+    image_id, x0..y1, width, height) the outcome has the slab table with edited and deleted rows replaced. A class or geometry change without a status becomes a draft. The first valid
     edit of an image stands; later ones saw an older state and conflict.
     """
     now = annotations.selectExpr("annotation_id", "image_id", "status AS _status", "class_id AS _class", "width AS _w", "height AS _h")
+    edits, united = _drawn_edits(edits, shapes, "seq")
     rows = edits.withColumnRenamed("seq", "request_id").join(now, "annotation_id", "left")
     rows = rows.withColumns({
         "_to_class": F.expr("CASE WHEN set_class THEN class_id ELSE _class END"),
@@ -385,19 +436,23 @@ def edit_objects(annotations: DataFrame, images: DataFrame, classes: DataFrame,
         ("inactive_class", "NOT delete AND _to_class IS NOT NULL AND _ok IS NULL"),
         ("class_needed", "NOT delete AND _to_status = 'accepted' AND _to_class IS NULL"),
         ("bad_geometry", "NOT delete AND nx0 IS NOT NULL AND NOT (0 <= nx0 AND nx0 < nx1 AND nx1 <= _w AND 0 <= ny0 AND ny0 < ny1 AND ny1 <= _h)")]))))
-    won = verdict.filter("reason IS NULL").selectExpr("annotation_id", "image_id", "delete AS _delete", "_to_class", "_to_status", "nx0", "ny0", "nx1", "ny1", "actor AS _actor")
-    hit = annotations.join(won.drop("image_id"), "annotation_id", "left")
+    won = verdict.filter("reason IS NULL").selectExpr("annotation_id", "image_id", "delete AS _delete", "_to_class", "_to_status", "nx0", "ny0", "nx1", "ny1", "actor AS _actor",
+                                                      "_area", "request_id AS seq", "_w AS width", "_h AS height")
+    hit = annotations.join(won.drop("image_id", "seq", "width", "height"), "annotation_id", "left")
     tombs = _tombstones(hit.filter("_delete OR nx0 IS NOT NULL OR _to_status = 'rejected'"),
-                        "CASE WHEN _delete THEN 'deleted' WHEN nx0 IS NOT NULL THEN 'geometry_replaced' ELSE 'rejected' END")
+                        "CASE WHEN _delete THEN 'deleted' WHEN nx0 IS NOT NULL THEN 'geometry_replaced' ELSE 'rejected' END", slabs)
     after = hit.filter("NOT coalesce(_delete, false)").withColumns({
         "class_id": F.expr("CASE WHEN _actor IS NULL THEN class_id ELSE _to_class END"), "status": F.expr("coalesce(_to_status, status)"),
         "x0": F.expr("coalesce(nx0, x0)"), "y0": F.expr("coalesce(ny0, y0)"), "x1": F.expr("coalesce(nx1, x1)"), "y1": F.expr("coalesce(ny1, y1)"),
         "manually_edited": F.expr("manually_edited OR nx0 IS NOT NULL"),
         "review_actor": F.expr("CASE WHEN _actor IS NULL THEN review_actor WHEN _to_status = 'accepted' THEN _actor END"),
         "revision": F.expr("revision + CASE WHEN _actor IS NULL THEN 0 ELSE 1 END")})
-    after = after.withColumn("area", F.expr("CASE WHEN nx0 IS NULL THEN area ELSE (x1 - x0) * (y1 - y0) END")).drop(
-        "_delete", "_to_class", "_to_status", "nx0", "ny0", "nx1", "ny1", "_actor")
-    return Outcome(after, _reopen(images, won), _conflicts(verdict), tombstones=tombs)
+    if shapes is not None:
+        after = after.withColumn("geom_type", F.expr("CASE WHEN _area IS NULL THEN geom_type ELSE 'mask' END"))
+    after = _own_signature(after.withColumn("area", F.expr("CASE WHEN nx0 IS NULL THEN area ELSE coalesce(_area, (x1 - x0) * (y1 - y0)) END"))).drop(
+        "_delete", "_to_class", "_to_status", "nx0", "ny0", "nx1", "ny1", "_actor", "_area")
+    pixels = None if slabs is None else _replaced_slabs(slabs, won.filter("_delete OR nx0 IS NOT NULL"), _new_slabs(won.filter("NOT _delete"), united, "seq"))
+    return Outcome(after, _reopen(images, won), _conflicts(verdict), tombstones=tombs, slabs=pixels)
 
 
 def round_actions(rounds: DataFrame, images: DataFrame, requests: DataFrame) -> Outcome:
@@ -434,15 +489,20 @@ def replace_layer(annotations: DataFrame, replacements: DataFrame) -> Outcome:
 
 
 def review_repairs(annotations: DataFrame, images: DataFrame, classes: DataFrame, proposals: DataFrame,
-                   matched: DataFrame, decisions: DataFrame) -> Outcome:
+                   matched: DataFrame, decisions: DataFrame, slabs: DataFrame | None = None, shapes: DataFrame | None = None) -> Outcome:
     """Decide pending repair suggestions (CUR-11).
 
+    ``shapes`` (proposal_id, x0..y1) holds the pixels of suggestions that are masks; with ``slabs`` the outcome has the
+    slab table in which an accepted repair's pixels stand for its target's.
+
     ``proposals``: proposal_id, annotation_id, revision, image_id, status, nx0..ny1 (NULL = none).
     ``matched``: proposal_id, annotation_id, revision. ``decisions``: request_id, proposal_id,
     decision (accept / retain / exclude), attest, actor. A stale suggestion can only be retained,
     which dismisses it.
     """
     now = annotations.selectExpr("annotation_id", "revision AS _rev", "status AS _status", "class_id AS _class")
+    given = proposals
+    proposals, united = _drawn_edits(proposals, shapes, "proposal_id")
     stale_match = (matched.join(now, "annotation_id", "left").groupBy("proposal_id").agg(
         F.max(F.expr("_rev IS NULL OR _rev <> revision OR _status NOT IN ('draft', 'proposal')")).alias("_stale_match")))
     rows = (decisions.join(proposals.withColumnRenamed("status", "_pstatus"), "proposal_id", "left").join(now, "annotation_id", "left")
@@ -456,27 +516,34 @@ def review_repairs(annotations: DataFrame, images: DataFrame, classes: DataFrame
         ("stale", "_stale AND decision <> 'retain'"), ("no_replacement", "decision = 'accept' AND nx0 IS NULL")]))))
     won = verdict.filter("reason IS NULL")
     accepted = won.filter("decision = 'accept' AND NOT _stale")
-    target = accepted.selectExpr("annotation_id", "nx0", "ny0", "nx1", "ny1", "coalesce(_assigned, false) AS _assigned", "actor AS _actor")
+    target = accepted.selectExpr("annotation_id", "nx0", "ny0", "nx1", "ny1", "_area", "coalesce(_assigned, false) AS _assigned", "actor AS _actor")
     partner = (matched.select("proposal_id", "annotation_id").join(accepted.selectExpr("proposal_id", "annotation_id AS _into"), "proposal_id")
                .groupBy("annotation_id").agg(F.min("_into").alias("_into")))
     if "superseded_by" not in annotations.columns:
         annotations = annotations.withColumn("superseded_by", F.lit(None).cast("string"))
     hit = annotations.join(target, "annotation_id", "left").join(partner, "annotation_id", "left")
     tombs = _tombstones(hit.filter("_actor IS NOT NULL OR _into IS NOT NULL"),
-                        "CASE WHEN _actor IS NOT NULL THEN 'repair_accept' ELSE 'repair_merge_accept' END")
+                        "CASE WHEN _actor IS NOT NULL THEN 'repair_accept' ELSE 'repair_merge_accept' END", slabs)
     after = hit.withColumns({
         "status": F.expr("CASE WHEN _actor IS NOT NULL THEN CASE WHEN _assigned THEN 'accepted' ELSE 'draft' END WHEN _into IS NOT NULL THEN 'superseded' ELSE status END"),
         "review_actor": F.expr("CASE WHEN _actor IS NOT NULL THEN CASE WHEN _assigned THEN _actor END ELSE review_actor END"),
         "revision": F.expr("revision + CASE WHEN _actor IS NULL AND _into IS NULL THEN 0 ELSE 1 END"),
         "superseded_by": F.coalesce("_into", "superseded_by"), "manually_edited": F.expr("manually_edited OR _actor IS NOT NULL"),
         "x0": F.expr("coalesce(nx0, x0)"), "y0": F.expr("coalesce(ny0, y0)"), "x1": F.expr("coalesce(nx1, x1)"), "y1": F.expr("coalesce(ny1, y1)")})
-    after = after.withColumn("area", F.expr("CASE WHEN nx0 IS NULL THEN area ELSE (x1 - x0) * (y1 - y0) END")).drop(
-        "nx0", "ny0", "nx1", "ny1", "_assigned", "_actor", "_into")
+    if shapes is not None:
+        after = after.withColumn("geom_type", F.expr("CASE WHEN _area IS NULL THEN geom_type ELSE 'mask' END"))
+    after = _own_signature(after.withColumn("area", F.expr("CASE WHEN nx0 IS NULL THEN area ELSE coalesce(_area, (x1 - x0) * (y1 - y0)) END"))).drop(
+        "nx0", "ny0", "nx1", "ny1", "_assigned", "_actor", "_into", "_area")
+    pixels = None
+    if slabs is not None:
+        sized = accepted.select("proposal_id", "annotation_id", "image_id", "nx0", "ny0", "nx1", "ny1", "_area").join(
+            slabs.select("annotation_id", "width", "height").distinct(), "annotation_id")
+        pixels = _replaced_slabs(slabs, accepted, _new_slabs(sized, united, "proposal_id"))
     touched = won.selectExpr("image_id", "decision = 'accept' AND NOT _stale AS _reopen", "decision = 'exclude' AS _exclude")
     images2 = images.join(touched, "image_id", "left").withColumns({
         "complete": F.expr("complete AND NOT coalesce(_reopen, false)"), "review_actor": F.expr("CASE WHEN coalesce(_reopen, false) THEN NULL ELSE review_actor END"),
         "training_excluded": F.expr("training_excluded OR coalesce(_exclude, false)"),
         "revision": F.expr("revision + CASE WHEN _reopen IS NULL THEN 0 ELSE 1 END")}).drop("_reopen", "_exclude")
     fate = won.selectExpr("proposal_id", "CASE WHEN _stale THEN 'dismissed_stale' WHEN decision = 'accept' THEN 'accepted' WHEN decision = 'retain' THEN 'retained' ELSE 'excluded' END AS _fate")
-    proposals2 = proposals.join(fate, "proposal_id", "left").withColumn("status", F.coalesce("_fate", "status")).drop("_fate")
-    return Outcome(after, images2, _conflicts(verdict), tombstones=tombs, proposals=proposals2)
+    proposals2 = given.join(fate, "proposal_id", "left").withColumn("status", F.coalesce("_fate", "status")).drop("_fate")
+    return Outcome(after, images2, _conflicts(verdict), tombstones=tombs, proposals=proposals2, slabs=pixels)

@@ -3,11 +3,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import curation as C, history as H
-from .mask_queries import slabs
+from ..operators import curation as C, history as H, joins as J, masks as M
+from .mask_queries import SHAPE_RLE, slabs
 from .registry import query
 from .review_queries import ACTIVE_CLASSES
 
+
+def sized_slabs(v):
+    return slabs(v, "width", "height")
+
+
 ASSIST = """(geom_type = 'mask' AND source_kind IN ('sam2', 'sam3') AND (coalesce(operation, '') = 'sam_assist' OR (operation IS NULL AND layer_id IS NULL)))"""
 
 VERDICT = f"""
@@ -30,7 +35,7 @@ SELECT a.annotation_id, CASE WHEN d.action LIKE '%assign%' THEN d.class_id ELSE
 FROM {{annotations}} a LEFT JOIN (SELECT q.annotation_id, q.action, q.class_id, q.actor FROM {{decisions}} q JOIN ({VERDICT}) w ON w.request_id = q.request_id WHERE w.reason IS NULL) d
   ON d.annotation_id = a.annotation_id WHERE coalesce(d.action, '') <> 'delete'""")
 def cur_01(v):
-    out = C.apply_selection(v.annotations, v.images, v.classes, v.decisions)
+    out = C.apply_selection(v.annotations, v.images, v.classes, v.decisions, sized_slabs(v))
     return out.annotations.select("annotation_id", "class_id", "status", "revision", "review_actor")
 
 
@@ -44,10 +49,29 @@ SELECT i.image_id, i.complete AND w.image_id IS NULL AS complete, CASE WHEN w.im
        i.revision + CASE WHEN w.image_id IS NULL THEN 0 ELSE 1 END AS revision
 FROM {{images}} i LEFT JOIN (SELECT image_id FROM ({VERDICT}) z WHERE reason IS NULL) w ON w.image_id = i.image_id""")
 def cur_01_images(v):
-    out = C.apply_selection(v.annotations, v.images, v.classes, v.decisions)
+    out = C.apply_selection(v.annotations, v.images, v.classes, v.decisions, sized_slabs(v))
     return out.images.select("image_id", "complete", "review_actor", "revision")
 
 
+# Every third generated mask of some shape is deleted; then all are generated again, without stored signatures.
+REGENERATED = """
+SELECT image_id AS request_id, image_id, annotation_id, CAST(NULL AS BIGINT) AS expected_revision, 'delete' AS action, CAST(NULL AS STRING) AS class_id, true AS confirm, 'human' AS actor
+FROM {annotations} WHERE layer_id IS NOT NULL AND p_key % 3 = 0 AND status <> 'superseded'"""
+
+
+@query("cur_01_regenerated", f"""
+WITH d AS (SELECT r.annotation_id FROM ({REGENERATED}) r JOIN {{images}} i ON i.image_id = r.image_id WHERE NOT i.removed),
+g AS (SELECT a.annotation_id, a.image_id, a.layer_id, array_to_string(r.counts, ',') AS counts FROM {{annotations}} a JOIN ({SHAPE_RLE}) r ON r.annotation_id = a.annotation_id WHERE a.layer_id IS NOT NULL)
+SELECT g.annotation_id, NOT EXISTS (SELECT 1 FROM d JOIN g t ON t.annotation_id = d.annotation_id WHERE t.image_id = g.image_id AND t.layer_id = g.layer_id AND t.counts = g.counts) AS kept FROM g""")
+def cur_01_regenerated(v):
+    """Deleted masks of any shape stay away: their tombstones come from their pixels."""
+    rows = v.annotations.withColumn("geom_type", F.lit("mask"))
+    tombs = C.apply_selection(rows, v.images, v.classes, v.sql(REGENERATED), v.shapes).tombstones
+    made = M.mask_signatures(v.shapes, "annotation_id").join(rows.filter("layer_id IS NOT NULL").select("annotation_id", "image_id", "layer_id"), "annotation_id")
+    kept = J.drop_tombstoned(made, tombs)[0].select("annotation_id", F.lit(True).alias("kept"))
+    return made.select("annotation_id").join(kept, "annotation_id", "left").select("annotation_id", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
 MERGES = """
 SELECT image_id AS request_id, image_id, annotation_id, revision AS expected_revision, image_id % 3 = 0 AS class_given,
        CASE WHEN image_id % 6 = 0 THEN 'Brand#2' END AS class_id, image_id % 4 = 0 AS accept, image_id % 11 <> 0 AS confirm, 'human' AS actor
@@ -211,10 +235,30 @@ SELECT a.annotation_id, CASE WHEN w.seq IS NULL THEN a.class_id ELSE w.to_class
        CASE WHEN w.nx0 IS NULL THEN a.area ELSE (w.nx1 - w.nx0) * (w.ny1 - w.ny0) END AS area, a.revision + CASE WHEN w.seq IS NULL THEN 0 ELSE 1 END AS revision
 FROM {{annotations}} a LEFT JOIN w ON w.annotation_id = a.annotation_id WHERE NOT coalesce(w."delete", false)""")
 def cur_08(v):
-    out = C.edit_objects(v.annotations, v.images, v.classes, v.sql(EDITS))
+    out = C.edit_objects(v.annotations, v.images, v.classes, v.sql(EDITS), sized_slabs(v))
     return out.annotations.select("annotation_id", "class_id", "status", "x1", "area", "revision")
 
 
+DRAWN = """
+SELECT annotation_id AS seq, annotation_id, image_id % 10 = 0 AS delete, false AS set_class, CAST(NULL AS STRING) AS class_id, CAST(NULL AS STRING) AS status,
+       CAST(NULL AS BIGINT) AS nx0, CAST(NULL AS BIGINT) AS ny0, CAST(NULL AS BIGINT) AS nx1, CAST(NULL AS BIGINT) AS ny1, 'human' AS actor FROM {annotations} WHERE p_key % 4 = 0 AND status <> 'accepted'"""
+
+
+@query("cur_08_masks", f"""
+WITH b AS (SELECT s.annotation_id, min(s.x0) AS x0, max(s.x1) AS x1, min(s.y0) AS y0, max(s.y1) AS y1, CAST(sum((s.x1 - s.x0) * (s.y1 - s.y0)) AS BIGINT) AS area FROM {{shapes}} s GROUP BY s.annotation_id),
+e AS (SELECT e.*, a.image_id, CASE WHEN a.status = 'superseded' THEN 'superseded' WHEN NOT "delete" AND a.class_id IS NOT NULL AND a.class_id NOT IN {ACTIVE_CLASSES} THEN 'inactive_class'
+        WHEN NOT "delete" AND NOT (b.x1 <= a.width AND b.y1 <= a.height) THEN 'bad_geometry' END AS reason
+      FROM ({DRAWN}) e JOIN {{annotations}} a ON a.annotation_id = e.annotation_id JOIN b ON b.annotation_id = e.annotation_id),
+w AS (SELECT * FROM e WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY seq) = 1)
+SELECT a.annotation_id, CASE WHEN w.seq IS NULL THEN a.area ELSE b.area END AS area, CASE WHEN w.seq IS NULL THEN a.area ELSE b.area END AS pixels, CASE WHEN w.seq IS NULL THEN a.y1 ELSE b.y1 END AS y1,
+  CASE WHEN w.seq IS NULL THEN a.y1 ELSE b.y1 END AS drawn_y1 FROM {{annotations}} a JOIN b ON b.annotation_id = a.annotation_id LEFT JOIN w ON w.annotation_id = a.annotation_id WHERE NOT coalesce(w."delete", false)""")
+def cur_08_masks(v):
+    """Edits that draw masks: rows and slabs change together."""
+    out = C.edit_objects(v.annotations, v.images, v.classes, v.sql(DRAWN), sized_slabs(v), v.shapes.withColumn("seq", F.col("annotation_id")))
+    drawn = M.mask_stats(out.slabs, "annotation_id").selectExpr("annotation_id", "area AS pixels", "by1 AS drawn_y1")
+    return out.annotations.select("annotation_id", "area", "y1").join(drawn, "annotation_id")
+
+
 @query("cur_09", """
 WITH s AS (SELECT round_number, max(r.status) AS status, count(*) FILTER (WHERE NOT i.complete) AS open FROM {rounds} r JOIN {images} i ON i.image_id = r.image_id GROUP BY 1)
 SELECT round_number AS request_id, CASE WHEN round_number % 2 = 0 THEN CASE WHEN status <> 'planned' THEN 'already_started' ELSE 'another_in_progress' END
@@ -257,7 +301,7 @@ SELECT p.proposal_id, CASE WHEN w.proposal_id IS NULL THEN 'pending' WHEN w.stal
 FROM ({REPAIRS}) p LEFT JOIN w ON w.proposal_id = p.proposal_id""")
 def cur_11(v):
     matched = v.spark.sql(MATCHED.replace("arg_min(revision, annotation_id)", "min_by(revision, annotation_id)"), annotations=v.annotations)
-    out = C.review_repairs(v.annotations, v.images, v.classes, v.sql(REPAIRS), matched, v.sql(REPAIR_DECISIONS))
+    out = C.review_repairs(v.annotations, v.images, v.classes, v.sql(REPAIRS), matched, v.sql(REPAIR_DECISIONS), sized_slabs(v))
     return out.proposals.select("proposal_id", "status")
 
 

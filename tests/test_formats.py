@@ -264,8 +264,8 @@ def test_stream_batches_and_replay(spark, tmp_path):
 
 
 def test_first_request_of_an_image_wins(spark):
-    cols = "annotation_id STRING, image_id BIGINT, class_id STRING, status STRING, revision BIGINT, review_actor STRING, geom_type STRING, source_kind STRING, operation STRING, layer_id BIGINT, x0 BIGINT, y0 BIGINT, x1 BIGINT, y1 BIGINT"
-    ann = spark.createDataFrame([("a", 1, "c1", "draft", 4, None, "mask", "manual", None, None, 0, 0, 2, 2), ("b", 1, "c1", "draft", 4, None, "mask", "manual", None, 3, 0, 0, 3, 3)], cols)
+    cols = "annotation_id STRING, image_id BIGINT, class_id STRING, status STRING, revision BIGINT, review_actor STRING, geom_type STRING, source_kind STRING, operation STRING, layer_id BIGINT, x0 BIGINT, y0 BIGINT, x1 BIGINT, y1 BIGINT, generation_signature STRING"
+    ann = spark.createDataFrame([("a", 1, "c1", "draft", 4, None, "mask", "manual", None, None, 0, 0, 2, 2, None), ("b", 1, "c1", "draft", 4, None, "mask", "manual", None, 3, 0, 0, 3, 3, "made")], cols)
     img = spark.createDataFrame([(1, False, True, "human", 2)], "image_id BIGINT, removed BOOLEAN, complete BOOLEAN, review_actor STRING, revision BIGINT")
     cls = spark.createDataFrame([("c1", False)], "class_id STRING, archived BOOLEAN")
     req = spark.createDataFrame([(1, 1, "a", 3, "accept", None, True, "human"), (2, 1, "a", 4, "accept", None, True, "human"), (3, 1, "b", 4, "delete", None, True, "human")],
@@ -275,4 +275,11 @@ def test_first_request_of_an_image_wins(spark):
     assert {r["annotation_id"]: (r["status"], r["revision"]) for r in out.annotations.collect()} == {"a": ("accepted", 5), "b": ("draft", 4)}
     assert not out.images.first()["complete"] and out.tombstones.count() == 0
     only = C.apply_selection(ann, img, cls, req.filter("request_id = 3"))
-    assert [r["reason"] for r in only.tombstones.collect()] == ["deleted"] and only.annotations.count() == 1
+    assert [(r["reason"], r["signature"]) for r in only.tombstones.collect()] == [("deleted", "made")] and only.annotations.count() == 1
+    # Without a stored signature the pixels decide, never the bounds; without pixels the job stops.
+    bare = ann.drop("generation_signature")
+    drawn = spark.createDataFrame([("b", 0, 1, 0, 3, 9, 8), ("b", 1, 3, 2, 3, 9, 8)], "annotation_id STRING, x0 BIGINT, x1 BIGINT, y0 BIGINT, y1 BIGINT, width BIGINT, height BIGINT")
+    made = C.apply_selection(bare, img, cls, req.filter("request_id = 3"), drawn).tombstones.first()["signature"]
+    assert made == M.mask_signatures(drawn, "annotation_id").first()["signature"] != M.mask_signatures(drawn.limit(1).withColumn("x1", F.lit(3).cast("bigint")), "annotation_id").first()["signature"]
+    with pytest.raises(Exception, match="needs generation_signature or slabs"):
+        C.apply_selection(bare, img, cls, req.filter("request_id = 3")).tombstones.collect()
