@@ -145,6 +145,12 @@ def plan_hash_expr(tiling: Tiling, padded: bool = False, sha256: str | None = No
     return f"sha2({head}{tail}, 256)"
 
 
+def refusal(max_tiles: int = MAX_TILES) -> str:
+    """Why an image with its ``tile_count`` has no plan, or NULL."""
+    sized = f"coalesce(width > 0 AND height > 0 AND CAST(width AS BIGINT) * height <= {MAX_PIXELS}L, false)"
+    return f"CASE WHEN NOT {sized} THEN 'bad_dimensions' WHEN NOT coalesce(tile_count <= {max_tiles}, false) THEN 'too_many_tiles' END"
+
+
 def plan_tiles(images: DataFrame, tiling: Tiling = DEFAULT, padded: bool = False,
                sha256: str | None = None, max_tiles: int = MAX_TILES):
     """Row-major edge-aligned tiles of every image.
@@ -153,11 +159,8 @@ def plan_tiles(images: DataFrame, tiling: Tiling = DEFAULT, padded: bool = False
     is out of range goes to ``rejects`` before anything is expanded.
     """
     counted = tile_count(images, tiling)
-    sized = f"width > 0 AND height > 0 AND CAST(width AS BIGINT) * height <= {MAX_PIXELS}L"
-    fits = f"coalesce({sized} AND tile_count <= {max_tiles}, false)"
-    rejects = counted.filter(f"NOT {fits}").select(
-        "image_id", "tile_count",
-        F.expr(f"CASE WHEN coalesce({sized}, false) THEN 'too_many_tiles' ELSE 'bad_dimensions' END").alias("reason"))
+    fits = f"({refusal(max_tiles)}) IS NULL"
+    rejects = counted.filter(f"NOT {fits}").select("image_id", "tile_count", F.expr(refusal(max_tiles)).alias("reason"))
     if tiling.mode == "whole":
         x0 = y0 = "0L"
         x1, y1 = "CAST(width AS BIGINT)", "CAST(height AS BIGINT)"

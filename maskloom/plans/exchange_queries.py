@@ -129,11 +129,11 @@ def vec_04(v):
     return V.to_box(shaped_slabs(v), "annotation_id").select("annotation_id", "area", "box_area", "added_pixels", "lossy")
 
 
-@query("mask_09_polygons", f"""
-SELECT annotation_id, CAST((x1 - x0) * (y1 - y0) AS BIGINT) AS area FROM {{annotations}} WHERE p_key % 5 = 0""")
+@query("mask_09_polygons", "SELECT annotation_id, CAST((x1 - x0) * (y1 - y0) AS BIGINT) AS area FROM {annotations}")
 def mask_09_polygons(v):
-    """Rectangular polygons through the general polygon raster."""
-    made = V.rasterize(v.sql(SPARK_POLYGONS).filter("p_key % 5 = 0"), "annotation_id")
+    """The rectangle of every annotation through the general polygon raster."""
+    corners = ", ".join(f"named_struct('x', CAST({x} AS DOUBLE), 'y', CAST({y} AS DOUBLE))" for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")))
+    made = V.rasterize(v.annotations.withColumn("points", F.expr(f"array({corners})")), "annotation_id")
     return M.mask_stats(made, "annotation_id").select("annotation_id", "area")
 
 

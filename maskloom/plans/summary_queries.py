@@ -36,20 +36,23 @@ def agg_01(v):
 
 
 @query("agg_02", f"""
-WITH s AS ({summary_sql('labeled')})
-SELECT 'coco' AS format, 'warning' AS level, code FROM (
-   SELECT 'includes_drafts' AS code UNION ALL SELECT 'images_not_included'
-   UNION ALL SELECT 'objects_without_class_omitted' FROM s WHERE metric = 'excluded' AND key = 'unassigned_or_archived_class_objects' AND value > 0
-   UNION ALL SELECT 'no_validation_images' FROM s WHERE metric = 'split_count' AND key = 'val' AND value = 0
-   UNION ALL SELECT 'groups_span_splits' FROM s WHERE metric = 'leaking_groups' AND value > 0) w
-UNION ALL SELECT 'yolo_seg', 'error', 'boxes_are_not_segmentation' FROM s WHERE metric = 'box_count' AND value > 0
-UNION ALL SELECT 'voc', 'error', 'box_conversion_needs_consent'""")
+WITH s AS ({summary_sql('labeled')}),
+n AS (SELECT coalesce(sum(value) FILTER (WHERE metric = 'image_count'), 0) AS images, coalesce(sum(value) FILTER (WHERE metric = 'annotation_count'), 0) AS annotations,
+        coalesce(sum(value) FILTER (WHERE metric = 'box_count'), 0) AS boxes, coalesce(sum(value) FILTER (WHERE metric = 'split_count' AND key = 'val'), 0) AS val, count(*) FILTER (WHERE metric = 'class_count') AS classes,
+        coalesce(sum(value) FILTER (WHERE metric = 'leaking_groups'), 0) AS leaks, coalesce(sum(value) FILTER (WHERE metric = 'excluded' AND key = 'unassigned_or_archived_class_objects'), 0) AS unassigned FROM s),
+f AS (SELECT unnest(['coco', 'yolo_seg', 'yolo_box', 'voc', 'labelme', 'png']) AS format)
+SELECT format, level, code FROM (
+  SELECT format, 'error' AS level, 'no_active_class' AS code, classes = 0 AS holds FROM f, n UNION ALL SELECT format, 'error', 'no_eligible_image', images = 0 FROM f, n
+  UNION ALL SELECT format, 'error', 'boxes_are_not_segmentation', format = 'yolo_seg' AND boxes > 0 FROM f, n
+  UNION ALL SELECT format, 'error', 'box_conversion_needs_consent', format = 'voc' OR (format = 'yolo_box' AND annotations > boxes) FROM f, n
+  UNION ALL SELECT format, 'error', 'semantic_plane_needs_consent', format = 'png' FROM f, n UNION ALL SELECT format, 'warning', 'includes_drafts', true FROM f, n
+  UNION ALL SELECT format, 'warning', 'objects_without_class_omitted', unassigned > 0 FROM f, n UNION ALL SELECT format, 'warning', 'images_not_included', true FROM f, n
+  UNION ALL SELECT format, 'warning', 'no_validation_images', val = 0 FROM f, n UNION ALL SELECT format, 'warning', 'groups_span_splits', leaks > 0 FROM f, n
+  UNION ALL SELECT format, 'warning', 'polygon_conversion_checked_on_write', format IN ('yolo_seg', 'labelme') FROM f, n) q WHERE holds""")
 def agg_02(v):
-    summary = A.export_summary(v.images, v.annotations, v.classes, "labeled").cache()
-    tag = lambda df, fmt: df.select(F.lit(fmt).alias("format"), "level", "code")
-    return (tag(A.export_gates(summary, "coco", "labeled"), "coco")
-            .unionByName(tag(A.export_gates(summary, "yolo_seg", "labeled").filter("level = 'error'"), "yolo_seg"))
-            .unionByName(tag(A.export_gates(summary, "voc", "labeled").filter("level = 'error'"), "voc")))
+    """All gates of all six formats from one summary, label planes in their semantic form."""
+    summary = A.export_summary(v.images, v.annotations, v.classes, "labeled")
+    return A.all_gates(summary, "labeled", plane_variant="semantic").select("format", "level", "code")
 
 
 FRAGMENTS = f"""
