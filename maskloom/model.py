@@ -1,6 +1,8 @@
 """Table names, fixed value sets and limits of the mask-annotation data model."""
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import types as T
 
 # The vocabulary of the data model.
@@ -20,23 +22,38 @@ MAX_PROPOSALS = 5_000
 MAX_PROPOSALS_LIMIT = 20_000
 MAX_PLANE_VALUE = 65_535
 
-# Seam repair policy, names and numbers.
-REPAIR_POLICY = {
-    "crop_sizes": (512, 1024, 1536),
-    "context_margin": 32,
-    "max_attempts": 3,
-    "single_model_attempts": 1,
-    "target_coverage_min": 0.90,
-    "fragment_coverage_min": 0.90,
-    "fragment_target_fraction_min": 0.03,
-    "area_ratio_min": 0.8,
-    "area_ratio_max": 3.0,
-    "predicted_iou_min": 0.80,
-    "stability_min": 0.88,
-    "neighbour_coverage_max": 0.10,
-    "duplicate_iou_min": 0.95,
-    "duplicate_area_ratio_max": 1.10,
-}
+# The numbers of seam repair, by where they are used.
+class RepairCrops(NamedTuple):
+    """Sides tried around a seam object, the context left on each side, and how many crops a detector's object or any other gets."""
+    sides: tuple[int, ...] = (512, 1024, 1536)
+    margin: int = 32
+    detector: int = 3
+    other: int = 1
+
+
+class RepairGates(NamedTuple):
+    """What a replacement must keep of its target, how its area may change, the quality it needs, and what it may cover of neighbours."""
+    keeps: float = 0.90
+    shrinks: float = 0.8
+    grows: float = 3.0
+    quality: float = 0.80
+    stability: float = 0.88
+    intrudes: float = 0.10
+
+
+class RepairPartners(NamedTuple):
+    """How much of a neighbour a replacement must cover to absorb it, and the least share of the target it must be."""
+    covered: float = 0.90
+    share: float = 0.03
+
+
+class RepairAgreement(NamedTuple):
+    """When candidates count as the same."""
+    iou: float = 0.95
+    ratio: float = 1.10
+
+
+CROPS, GATES, PARTNERS, AGREEMENT = RepairCrops(), RepairGates(), RepairPartners(), RepairAgreement()
 
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 

@@ -383,8 +383,8 @@ SELECT t.annotation_id, h.tile_idx, c.k AS class_index, CASE WHEN t.role = 'vali
 FROM ({TRAINING_ROWS}) t JOIN ({HITS % TRAINING_SQL}) h ON h.annotation_id = t.annotation_id JOIN {LABEL_CLASS} c ON c.class_id = t.class_id WHERE t.class_ok AND t.geom_type <> 'box'""")
 def snk_09_labels(v):
     rows = P.training_rows(v.images, v.annotations, v.classes, round_members(v))
-    out = TR.compile_labels(rows, slabs(v), v.images, v.classes)
-    return out.select("annotation_id", "tile_idx", "class_index", "split", F.col("original_area").alias("area"), "clipped")
+    out = TR.tile_fragments(rows, slabs(v), v.images, v.classes)
+    return out.select("annotation_id", "tile_idx", "class_index", "split", "area", "clipped")
 
 
 def _scratch(v, name):
@@ -472,7 +472,11 @@ def str_01(v):
     return v.spark.read.option("recursiveFileLookup", "true").parquet(f"{out}/proposals").select("image_id", "layer_id", "signature")
 
 
-@query("str_02")
+@query("str_02", """
+WITH RECURSIVE l AS (SELECT CAST(user_id AS BIGINT) AS image_id, event_id AS seq, event_id % 4 AS expected, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM {events}),
+w AS (SELECT image_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, false AS applied, CAST(0 AS BIGINT) AS revision FROM (SELECT DISTINCT image_id FROM l) q
+  UNION ALL SELECT l.image_id, l.k, l.seq, l.expected = w.revision, w.revision + CAST(l.expected = w.revision AS BIGINT) FROM w JOIN l ON l.image_id = w.image_id AND l.k = w.k + 1)
+SELECT image_id, seq, applied, revision FROM w WHERE k > 0""")
 def str_02(v):
     """Optimistic edits: an edit applies only against the revision it expects."""
     edits = _stream(v, "events").selectExpr("CAST(user_id AS BIGINT) AS image_id", "event_id AS seq", "event_id % 4 AS expected_revision")

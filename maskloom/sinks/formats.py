@@ -20,6 +20,7 @@ from ..operators.predicates import export_split
 from ..operators.vectors import component_polygons, to_polygon
 from ..operators.windows import class_index, dense_ids, paint, plane_conflicts
 from ..session import cut_lineage
+from .publish import publish
 
 
 class ExportBlocked(ValueError):
@@ -136,11 +137,8 @@ def label_collisions(rows: DataFrame) -> DataFrame:
     return yolo_collisions(boxed)
 
 
-def write_yolo(images: DataFrame, annotations: DataFrame, classes: DataFrame, slabs: DataFrame, path: str, kind: str = "seg", allow_lossy: bool = False) -> None:
-    """labels/split=.../image_id=.../part files, split lists and class map; negatives get an empty line.
-
-    An image with very many objects spreads over several part files: its lines never meet in one task.
-    """
+def _yolo_lines(images: DataFrame, annotations: DataFrame, classes: DataFrame, slabs: DataFrame, kind: str, allow_lossy: bool):
+    """Returns (lines, splits, class map): split, image_id, annotation_id and line of every object; blocked if any cannot be written."""
     if kind == "seg":
         rows, failures = yolo_seg_rows(images, annotations, classes, slabs, allow_lossy)
         rows = rows.withColumn("line", F.expr("concat_ws(' ', class_index, array_join(transform(coords, c -> CAST(c AS STRING)), ' '))"))
@@ -150,14 +148,36 @@ def write_yolo(images: DataFrame, annotations: DataFrame, classes: DataFrame, sl
         rows = yolo_box_rows(images, annotations, classes).withColumn("line", F.expr("concat_ws(' ', class_index, cx, cy, w, h)"))
         failures = rows.filter("lossy" if not allow_lossy else "false").selectExpr("image_id", "annotation_id", "'needs_allow_lossy' AS reason")
     _block(failures, "YOLO export")
-    splits = images.select("image_id", F.expr(export_split()).alias("split"))
+    names = class_index(classes, 0).orderBy("class_index").collect()  # a vocabulary of at most 65 535 names
+    body = json.dumps({"schema_version": 1, "classes": [{"index": r["class_index"], "class_id": r["class_id"], "name": r["name"]} for r in names]}, ensure_ascii=False)
+    return (rows.select("split", "image_id", "annotation_id", "line"), images.select("image_id", F.expr(export_split()).alias("split")),
+            images.sparkSession.createDataFrame([(body,)], "value STRING").coalesce(1))
+
+
+def write_yolo(images: DataFrame, annotations: DataFrame, classes: DataFrame, slabs: DataFrame, path: str, kind: str = "seg", allow_lossy: bool = False) -> None:
+    """labels/split=.../image_id=.../part files, split lists and class map; negatives get an empty line.
+
+    An image with very many objects spreads over several part files: its lines never meet in one task. One folder
+    per image suits small sets; :func:`write_yolo_packed` writes as many files as tasks.
+    """
+    rows, splits, names = _yolo_lines(images, annotations, classes, slabs, kind, allow_lossy)
     empty = splits.join(rows.select("image_id"), "image_id", "left_anti").select("split", "image_id", F.lit("").alias("line"))
     lines = rows.select("split", "image_id", "line").unionByName(empty)
     lines.write.mode("errorifexists").partitionBy("split", "image_id").text(f"{path}/labels")
     splits.selectExpr("split", "concat('./images/', image_id, '.png') AS file").write.mode("errorifexists").partitionBy("split").text(f"{path}/splits")
-    names = class_index(classes, 0).orderBy("class_index").collect()  # a vocabulary of at most 65 535 names
-    body = json.dumps({"schema_version": 1, "classes": [{"index": r["class_index"], "class_id": r["class_id"], "name": r["name"]} for r in names]}, ensure_ascii=False)
-    images.sparkSession.createDataFrame([(body,)], "value STRING").coalesce(1).write.mode("errorifexists").text(f"{path}/class_map")
+    names.write.mode("errorifexists").text(f"{path}/class_map")
+
+
+def write_yolo_packed(images: DataFrame, annotations: DataFrame, classes: DataFrame, slabs: DataFrame, path: str, kind: str = "seg",
+                      allow_lossy: bool = False, files: int | None = None) -> None:
+    """The same labels as rows (split, file, text), packed by image ranges into ``files`` files (one per shuffle task),
+    split lists and class map; published together or not at all. A negative's text is empty."""
+    rows, splits, names = _yolo_lines(images, annotations, classes, slabs, kind, allow_lossy)
+    texts = rows.groupBy("image_id").agg(F.expr("concat(array_join(transform(array_sort(collect_list(struct(annotation_id, line))), r -> r.line), '\n'), '\n')").alias("text"))
+    count = files or int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    labels = (splits.join(texts, "image_id", "left").repartitionByRange(count, "image_id")
+              .selectExpr("split", "concat('labels/', split, '/', image_id, '.txt') AS file", "image_id", "coalesce(text, '') AS text"))
+    publish({"labels": labels, "splits": splits.selectExpr("split", "concat('./images/', image_id, '.png') AS file"), "class_map": names}, path, "json")
 
 
 # ---- VOC --------------------------------------------------------------------------------------

@@ -14,9 +14,9 @@ STATE_CONF = {"spark.sql.streaming.stateStore.providerClass":
               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-def read_events(spark: SparkSession, path: str, schema, streaming: bool = False, pattern: str = "*.parquet") -> DataFrame:
-    """The append-only action log, as a batch or as a stream of its files."""
-    reader = spark.readStream if streaming else spark.read
+def read_events(spark: SparkSession, path: str, schema, streaming: bool = False, pattern: str = "*.parquet", files_per_batch: int = 256) -> DataFrame:
+    """The append-only action log, as a batch or as a stream of its files, some per micro-batch."""
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch) if streaming else spark.read
     return reader.schema(schema).option("pathGlobFilter", pattern).parquet(path)
 
 
@@ -26,31 +26,41 @@ def _run(stream: DataFrame, sink, checkpoint: str, mode: str = "append") -> None
     query.awaitTermination()
 
 
+def _new_masks(key, batches, state: GroupState):
+    """Candidates of one mask of a layer: each is an origin once, the first of all is the proposal."""
+    seen = set(state.get[0]) if state.exists else set()
+    known = bool(seen)
+    rows = pd.concat(list(batches), ignore_index=True)
+    rows["_mark"] = rows["tile_idx"].astype(str) + ":" + rows["candidate"].astype(str)
+    rows = rows[~rows["_mark"].isin(seen)].sort_values(["annotation_id", "_mark"]).drop_duplicates("_mark")
+    if len(rows):
+        state.update((sorted(seen | set(rows["_mark"])),))
+    rows["proposed"] = [not known and i == 0 for i in range(len(rows))]
+    yield rows.drop(columns="_mark").assign(image_id=key[0], layer_id=key[1], signature=key[2])
+
+
 def ingest_tile_results(results: DataFrame, tombstones: DataFrame, out: str, checkpoint: str) -> None:
     """Append new proposals of a stream of candidates (STR-01).
 
-    ``results``: image_id, layer_id, tile_idx, candidate, annotation_id, signature. A candidate seen
-    before is dropped by state; tombstoned masks and masks that an earlier batch stored are not
-    proposed again, but their origins are recorded.
+    ``results``: image_id, layer_id, tile_idx, candidate, annotation_id, signature. Tombstoned masks go first. The state
+    of a mask is the list of its candidates so far (one per tile that shows it): a candidate seen before is dropped,
+    and a mask seen before gets origins but no second proposal. What earlier batches wrote is never read.
     """
-    spark = results.sparkSession
     key = ["image_id", "layer_id", "signature"]
-    fresh = results.dropDuplicates(["image_id", "layer_id", "tile_idx", "candidate"])
-    schema = results.select(*key, "annotation_id").schema
+    fields = {f.name: f.dataType.simpleString() for f in results.schema.fields}
+    order = ["image_id", "layer_id", "signature", "tile_idx", "candidate", "annotation_id"]
+    live = results.select(*order).join(tombstones.select(*key).distinct(), key, "left_anti")
+    judged = live.groupBy(*key).applyInPandasWithState(
+        _new_masks, ", ".join([*(f"{c} {fields[c]}" for c in ("tile_idx", "candidate", "annotation_id")), "proposed boolean", *(f"{c} {fields[c]}" for c in key)]),
+        "seen array<string>", "append", GroupStateTimeout.NoTimeout)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        kept = batch.join(tombstones, key, "left_anti")
-        stored = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{out}/proposals") if batch_id else spark.createDataFrame([], schema)
-        # A replayed batch must not see its own earlier output.
-        if batch_id:
-            stored = stored.filter(~F.col("_metadata.file_path").contains(f"/batch={batch_id}/"))
-        new = kept.groupBy(*key).agg(F.min("annotation_id").alias("annotation_id")).join(stored.select(*key), key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{out}/proposals/batch={batch_id}")
-        kept.write.mode("overwrite").parquet(f"{out}/origins/batch={batch_id}")
+        batch.filter("proposed").select(*key, "annotation_id").write.mode("overwrite").parquet(f"{out}/proposals/batch={batch_id}")
+        batch.select(*order).write.mode("overwrite").parquet(f"{out}/origins/batch={batch_id}")
         batch.unpersist()
 
-    _run(fresh, sink, checkpoint)
+    _run(judged, sink, checkpoint)
 
 
 def _apply_edits(key, batches, state: GroupState):
