@@ -252,10 +252,36 @@ class Encoder:
             self.index(group)
         return [np.frombuffer(b"".join([self.known[w] for w in words]), "<i4") for words in split]
 
-    def decode(self, ids: np.ndarray) -> str:
-        raw, n = self.m.raw, len(self.m.raw)
-        text = b"".join([raw[i] if 0 <= i < n else b"\xef\xbf\xbd" for i in ids.tolist()]).decode("utf-8", "replace")
-        return text[1:] if self.m.prefix and text.startswith(" ") else text
+
+class Decoder:
+    """Bytes of all pieces in one table; texts are gathered from it."""
+
+    def __init__(self, model: PieceModel):
+        raw = [*model.raw, b"\xef\xbf\xbd"]  # the last entry stands for ids that are not in the model
+        self.blob = np.frombuffer(b"".join(raw), np.uint8)
+        self.length = np.array([len(r) for r in raw], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.part = np.array([r.decode("utf-8", "ignore").encode() != r for r in raw])  # no text of its own
+        self.prefix = model.prefix
+
+    def texts(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """Text of each list of ids."""
+        known = np.where((ids >= 0) & (ids < len(self.length) - 1), ids, len(self.length) - 1)
+        length = self.length[known]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        data = self.blob[np.repeat(self.start[known] - ends[:-1], length) + np.arange(ends[-1])]
+        cut = ends[offsets]
+        if self.part[known].any():
+            whole = data.tobytes()
+            texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+            return pa.array([t[1:] if self.prefix and t.startswith(" ") else t for t in texts], pa.string())
+        if self.prefix and len(data):
+            opened = np.flatnonzero((cut[:-1] < cut[1:]) & (data[np.minimum(cut[:-1], len(data) - 1)] == 0x20))
+            data = np.delete(data, cut[opened])
+            gone = np.zeros(len(cut), np.int64)
+            gone[opened + 1] = 1
+            cut = cut - np.cumsum(gone)
+        return pa.Array.from_buffers(pa.string(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def _groups(texts: list[str | None], limit: int = 4 << 20) -> Iterator[slice]:
@@ -269,42 +295,72 @@ def _groups(texts: list[str | None], limit: int = 4 << 20) -> Iterator[slice]:
         yield slice(at, len(texts))
 
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text", out: str = "piece_ids") -> DataFrame:
-    """All columns of ``docs`` and ``out``, an array of ids. Columns travel as they are; their names may be any."""
-    model = load_model(model_path)
-    cols = docs.columns
-    schema = ", ".join([*(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(cols)), "ids array<int>"])
+def _mapped(rows: DataFrame, work, more: dict[str, str]) -> DataFrame:
+    """All columns of ``rows`` and the columns ``more`` (name, type) that ``work`` adds. Columns travel by number; their names may be any."""
+    cols = rows.columns
+    named = {f"m{i}": kind for i, kind in enumerate(more.values())}
+    schema = ", ".join([*(f"c{i} {rows.schema[c].dataType.simpleString()}" for i, c in enumerate(cols)), *(f"{m} {kind}" for m, kind in named.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model)
-        for batch in batches:
-            texts = batch.column(cols.index(text_col)).to_pylist()
-            for part in _groups(texts):
-                ids = encoder.encode([t or "" for t in texts[part]])
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-                rows = batch.slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*rows.schema.names, "ids"])
+        for part, arrays in work(batches):
+            yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *named])
+
+    done = rows.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)]).mapInArrow(run, schema)
+    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)], *[F.col(m).alias(c) for m, c in zip(named, more)])
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], model: PieceModel, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, ids, offsets) of slices of bounded size."""
+    encoder = Encoder(model)
+    for batch in batches:
+        texts = batch.column(column).to_pylist()
+        for part in _groups(texts):
+            ids = encoder.encode([t or "" for t in texts[part]])
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+            yield batch.slice(part.start, part.stop - part.start), np.concatenate(ids) if ids else np.zeros(0, np.int32), offsets
+
 
-    done = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)]).mapInArrow(run, schema)
-    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)], F.col("ids").alias(out))
+def _id_lists(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
+
+
+def encode(docs: DataFrame, model_path: str, text_col: str = "text", out: str = "piece_ids") -> DataFrame:
+    """All columns of ``docs`` and ``out``, an array of ids."""
+    model, column = load_model(model_path), docs.columns.index(text_col)
+
+    def work(batches):
+        for rows, ids, offsets in _encoded(batches, model, column):
+            yield rows, [_id_lists(ids, offsets)]
+
+    return _mapped(docs, work, {out: "array<int>"})
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "piece_ids", out: str = "decoded") -> DataFrame:
     """All columns of ``rows`` and ``out``, the text of the ids."""
-    model = load_model(model_path)
-    cols = rows.columns
-    schema = ", ".join([*(f"c{i} {rows.schema[c].dataType.simpleString()}" for i, c in enumerate(cols)), "text string"])
+    model, place = load_model(model_path), rows.columns.index(ids_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model)
+    def work(batches):
+        decoder = Decoder(model)
         for batch in batches:
-            column = batch.column(cols.index(ids_col))
-            values, offsets = np.asarray(column.values), np.asarray(column.offsets)
             for lo in range(0, batch.num_rows, 500):
-                hi = min(lo + 500, batch.num_rows)
-                texts = [encoder.decode(values[offsets[i]:offsets[i + 1]]) if column[i].is_valid else "" for i in range(lo, hi)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
+                part = batch.slice(lo, min(500, batch.num_rows - lo))
+                column = part.column(place)
+                sizes = np.asarray(column.value_lengths().fill_null(0), np.int64)
+                yield part, [decoder.texts(np.asarray(column.flatten()), np.concatenate([[0], np.cumsum(sizes)]))]
 
-    done = rows.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)]).mapInArrow(run, schema)
-    return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)], F.col("text").alias(out))
+    return _mapped(rows, work, {out: "string"})
+
+
+def encode_and_decode(docs: DataFrame, model_path: str, text_col: str = "text", ids_out: str = "piece_ids", out: str = "decoded") -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass: one Python worker holds both tables, and texts travel once."""
+    model, column = load_model(model_path), docs.columns.index(text_col)
+
+    def work(batches):
+        decoder = Decoder(model)
+        for rows, ids, offsets in _encoded(batches, model, column):
+            for lo in range(0, rows.num_rows, 500):
+                hi = min(lo + 500, rows.num_rows)
+                own, cut = ids[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
+                yield rows.slice(lo, hi - lo), [_id_lists(own, cut), decoder.texts(own, cut)]
+
+    return _mapped(docs, work, {ids_out: "array<int>", out: "string"})

@@ -130,8 +130,7 @@ def op1_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    back = pieces.decode(coded, model)
+    back = pieces.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
     return back.select("doc_id", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), F.sha2("decoded", 256).alias("decoded_sha256"),
                        F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False)).alias("exact"))
 
