@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import shuffle_partitions, stage, text_or_empty
+from .common import scratch, shuffle_partitions, text_or_empty
 
 RUN = 128
 BLOCK = 1 << 18
@@ -50,7 +50,8 @@ class WordTokenizer:
         import regex
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Texts that hold an added token go to the library whole: it cuts at such tokens before it splits words.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.words = regex.compile(pattern)
         self.kind = id_type(self.tokenizer.get_vocab_size())
         vocabulary = self.tokenizer.get_vocab()
@@ -79,7 +80,10 @@ class WordTokenizer:
         if len(self.known) > KEEP:
             self.known.clear()
         known = self.known
-        split = [self.words.findall(t) for t in texts]
+        marked = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        whole = self.tokenizer.encode_batch_fast([texts[i] for i in marked], add_special_tokens=False) if marked else []
+        apart = {i: np.array(e.ids, self.kind).tobytes() for i, e in zip(marked, whole)}
+        split = [[] if i in apart else self.words.findall(t) for i, t in enumerate(texts)]
         fresh = list({w for words in split for w in words if w not in known})
         plain = [w for w in fresh if w[0] == " " and w[1:].isalpha()]
         other = [w for w in fresh if not (w[0] == " " and w[1:].isalpha())]
@@ -87,7 +91,7 @@ class WordTokenizer:
             if not self._together(plain[at:at + 2000]):
                 other += plain[at:at + 2000]
         self._learn(other, [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)])
-        return [b"".join([known[w] for w in words]) for words in split]
+        return [apart.get(i) if i in apart else b"".join([known[w] for w in words]) for i, words in enumerate(split)]
 
 
 def id_type(size: int) -> str:
@@ -96,11 +100,13 @@ def id_type(size: int) -> str:
 
 
 def token_ids(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
-    """(doc_id, ids): ids of every text as little-endian integers of ``id_type``, the end id last."""
+    """(kind, doc_id, ids). Kind 0: ids of every text as little-endian integers of ``id_type``, the end id last.
+    Kind 1: one row per task, the number of its ids by id, as 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.of(path, pattern)
         end = np.array([end_id], tokenizer.kind).tobytes()
+        total = np.zeros(max(len(tokenizer.opens), end_id + 1), np.int64)
         for batch in batches:
             texts, at = batch.column("text").to_pylist(), 0
             while at < len(texts):
@@ -109,10 +115,26 @@ def token_ids(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                     size += len(texts[to]) + 1
                     to += 1
                 ids = [x + end for x in tokenizer.encode(texts[at:to])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                total += np.bincount(np.frombuffer(b"".join(ids), tokenizer.kind), minlength=len(total))
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(to - at, np.int32)), batch.column("doc_id").slice(at, to - at), pa.array(ids, pa.binary())],
+                                                 names=["kind", "doc_id", "ids"])
                 at = to
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())],
+                                         names=["kind", "doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "kind int, doc_id long, ids binary")
+
+
+def _summed(totals: DataFrame) -> DataFrame:
+    """(id, n) from the rows of kind 1."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.column(0):
+                n = np.frombuffer(row.as_py(), "<i8")
+                met = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(n[met])], names=["id", "n"])
+
+    return totals.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def id_counts(ids: DataFrame, kind: str = "<u4") -> DataFrame:
@@ -213,10 +235,10 @@ def unpack(payload: bytes, runs: bytes, total: int, ids: np.ndarray, lengths: np
     return out.T.ravel()[:total]
 
 
-def write_ids(ids: DataFrame, path: str, limit: int = 16, kind: str = "<u4") -> None:
-    """Write (doc_id, ids) as a file set in ascending doc_id order; ``kind`` is the type of the ids."""
+def write_ids(ids: DataFrame, path: str, limit: int = 16, kind: str = "<u4", counted: DataFrame | None = None) -> None:
+    """Write (doc_id, ids) as a file set in ascending doc_id order; ``kind`` is the type of the ids, ``counted`` (id, n) their counts."""
     spark = ids.sparkSession
-    counts = id_counts(ids, kind).toArrow()  # one row per id of the vocabulary
+    counts = (id_counts(ids, kind) if counted is None else counted).toArrow()  # one row per id of the vocabulary
     symbols, n = np.asarray(counts.column("id")), np.asarray(counts.column("n"))
     limit = max(limit, int(np.ceil(np.log2(max(2, len(symbols))))) + 1)
     if limit > 25:
@@ -285,5 +307,8 @@ def read_ids(spark: SparkSession, path: str, digest_only: bool = False) -> DataF
 
 
 def encode_and_write(docs: DataFrame, path: str, tokenizer: str, pattern: str, **columns) -> None:
-    kind = WordTokenizer.of(tokenizer, pattern).kind
-    write_ids(stage(token_ids(docs, tokenizer, pattern, **columns), "token-ids"), path, kind=kind)
+    """Ids are made and counted in one pass, kept in the shared folder, then written with the code of their counts."""
+    made = scratch(docs.sparkSession, "token-ids")
+    token_ids(docs, tokenizer, pattern, **columns).write.partitionBy("kind").option("compression", "zstd").parquet(made)
+    read = docs.sparkSession.read.schema("doc_id long, ids binary, kind int").parquet(made)
+    write_ids(read.filter("kind = 0").select("doc_id", "ids"), path, kind=WordTokenizer.of(tokenizer, pattern).kind, counted=_summed(read.filter("kind = 1")))
