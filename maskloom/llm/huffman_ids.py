@@ -50,7 +50,8 @@ class WordTokenizer:
         import regex
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        # Texts that hold an added token go to the library whole: it cuts at such tokens before it splits words.
+        self.tokenizer.encode_special_tokens = True  # words hold no added token, so the search for them is left out
+        self.path, self.library = path, None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.words = regex.compile(pattern)
         self.kind = id_type(self.tokenizer.get_vocab_size())
@@ -76,13 +77,19 @@ class WordTokenizer:
             at = end
         return True
 
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        """Texts that hold an added token: the library cuts at such tokens before it splits words."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+            self.library = Tokenizer.from_file(self.path)
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > KEEP:
             self.known.clear()
         known = self.known
-        marked = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
-        whole = self.tokenizer.encode_batch_fast([texts[i] for i in marked], add_special_tokens=False) if marked else []
-        apart = {i: np.array(e.ids, self.kind).tobytes() for i, e in zip(marked, whole)}
+        marked = sorted({i for a in self.added for i, t in enumerate(texts) if a in t})
+        apart = dict(zip(marked, self._whole([texts[i] for i in marked]))) if marked else {}
         split = [[] if i in apart else self.words.findall(t) for i, t in enumerate(texts)]
         fresh = list({w for words in split for w in words if w not in known})
         plain = [w for w in fresh if w[0] == " " and w[1:].isalpha()]
@@ -91,7 +98,7 @@ class WordTokenizer:
             if not self._together(plain[at:at + 2000]):
                 other += plain[at:at + 2000]
         self._learn(other, [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)])
-        return [apart.get(i) if i in apart else b"".join([known[w] for w in words]) for i, words in enumerate(split)]
+        return [apart[i] if i in apart else b"".join([known[w] for w in words]) for i, words in enumerate(split)]
 
 
 def id_type(size: int) -> str:
