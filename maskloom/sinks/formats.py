@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import shapes
+from ..model import MAX_PLANE_VALUE
 from ..operators.masks import loss_expr, mask_stats, slabs_to_rle
 from ..operators.predicates import export_split
 from ..operators.vectors import component_polygons, to_polygon
@@ -257,11 +258,12 @@ def write_labelme(images: DataFrame, annotations: DataFrame, classes: DataFrame,
 
 # ---- label planes -----------------------------------------------------------------------------
 
-def label_plane(annotations: DataFrame, classes: DataFrame, slabs: DataFrame, variant: str = "semantic", conflict: str = "error"):
+def label_plane(annotations: DataFrame, classes: DataFrame, slabs: DataFrame, variant: str = "semantic", conflict: str = "error", allow_lossy: bool = False):
     """Returns (runs, losses). Variants: semantic (class value from 1), instance_id, per_instance (255).
 
     ``error`` refuses overlapping objects. Losses list hidden pixels, and classes whose instances a
-    semantic plane merges. Pixels of another object with the same value count as visible.
+    semantic plane merges, which needs ``allow_lossy``. Pixels of another object with the same value count as visible.
+    An object without pixels and a value beyond the plane's largest block the export.
     """
     if variant == "per_instance":
         runs = slabs.join(annotations.select("annotation_id", "class_id"), "annotation_id").withColumn("value", F.lit(255).cast("bigint"))
@@ -275,6 +277,12 @@ def label_plane(annotations: DataFrame, classes: DataFrame, slabs: DataFrame, va
         valued = rank_within(base, ["image_id"], ["annotation_id"], "value")
     else:
         raise ValueError("variant must be semantic, instance_id or per_instance")
+    merged = valued.groupBy("image_id", "class_id").agg(F.count("*").alias("n"), F.min("annotation_id").alias("annotation_id")).filter("n > 1")
+    failures = (valued.join(slabs.select("annotation_id"), "annotation_id", "left_anti").select("image_id", "annotation_id", F.lit("no_foreground").alias("reason"))
+                .unionByName(valued.filter(F.col("value") > MAX_PLANE_VALUE).select("image_id", "annotation_id", F.lit("value_beyond_plane").alias("reason"))))
+    if variant == "semantic" and not allow_lossy:
+        failures = failures.unionByName(merged.select("image_id", "annotation_id", F.lit("merging_instances_needs_consent").alias("reason")))
+    _block(failures, "plane export")
     rows = slabs.join(valued.select("annotation_id", "value"), "annotation_id").withColumn("ord", F.col("annotation_id")).withColumn("obj", F.struct("annotation_id", "value"))
     painted = paint(rows, "first" if conflict == "error" else conflict)
     if conflict == "error":
@@ -289,7 +297,6 @@ def label_plane(annotations: DataFrame, classes: DataFrame, slabs: DataFrame, va
     hidden = (area.join(visible.withColumnRenamed("o_id", "annotation_id"), "annotation_id", "left")
               .selectExpr("annotation_id", "area - coalesce(visible, 0) AS removed_pixels", "'hidden_by_overlap' AS reason").filter("removed_pixels > 0"))
     if variant == "semantic":
-        merged = valued.groupBy("image_id", "class_id").agg(F.count("*").alias("n"), F.min("annotation_id").alias("annotation_id")).filter("n > 1")
         hidden = hidden.unionByName(merged.selectExpr("annotation_id", "CAST(0 AS BIGINT) AS removed_pixels", "concat('instances_merged:', n) AS reason"))
     return runs, hidden
 

@@ -259,7 +259,13 @@ def test_plane_policies(spark, scene):
     for policy, hidden in (("first", "o1"), ("last", "o0")):
         _, losses = O.label_plane(rows, scene["classes"], slabs, "instance_id", policy)
         assert [(r["annotation_id"], r["removed_pixels"]) for r in losses.collect()] == [(hidden, 153)]
-    _, losses = O.label_plane(rows, scene["classes"], slabs, "semantic", "last")
+    with pytest.raises(O.ExportBlocked) as caught:  # two instances of a class in one value
+        O.label_plane(rows, scene["classes"], slabs, "semantic", "last")
+    assert [r["reason"] for r in caught.value.failures.collect()] == ["merging_instances_needs_consent"]
+    with pytest.raises(O.ExportBlocked) as caught:
+        O.label_plane(rows, scene["classes"], slabs.filter("annotation_id = 'o0'"), "instance_id", "last")
+    assert [(r["annotation_id"], r["reason"]) for r in caught.value.failures.collect()] == [("o1", "no_foreground")]
+    _, losses = O.label_plane(rows, scene["classes"], slabs, "semantic", "last", allow_lossy=True)
     assert [r["reason"] for r in losses.collect()] == ["instances_merged:2"]
 
 
