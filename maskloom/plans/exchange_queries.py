@@ -147,6 +147,37 @@ def mask_09_every_polygon(v):
 
 # ---- sources ----------------------------------------------------------------------------------
 
+
+def _hex(value, n, little=False):
+    big = f"lpad(hex(CAST({value} AS BIGINT)), {2 * n}, '0')"
+    return f"concat({', '.join(f'substring({big}, {2 * i + 1}, 2)' for i in reversed(range(n)))})" if little else big
+
+
+TURN = "CAST(1 + image_id % 8 AS INT)"
+_DIRECTORY = f"'0112', '0003', '00000001', {_hex(TURN, 2)}, '000000000000'"
+# Headers of files with the sizes of the images, one kind after another; every sixth is no picture.
+HEADERS = f"""SELECT image_id, concat('/in/', image_id, CASE WHEN image_id % 6 < 5 OR image_id % 4 = 1 THEN '.png' ELSE '.txt' END) AS path, unhex(CASE image_id % 6
+  WHEN 0 THEN concat('89504E470D0A1A0A0000000D49484452', {_hex('width', 4)}, {_hex('height', 4)}, CASE WHEN image_id % 4 = 2 THEN '10' ELSE '08' END, '0200000000000000', '0000000049454E44AE426082')
+  WHEN 1 THEN concat('FFD8FFE1002245786966', '0000', '4D4D002A000000080001', {_DIRECTORY}, 'FFC0001108', {_hex('height', 2)}, {_hex('width', 2)}, repeat('03', 10), 'FFDA0002',
+    CASE WHEN image_id % 5 = 0 THEN '00' ELSE 'FFD9' END)
+  WHEN 2 THEN concat('424D', repeat('00', 8), '3600000028000000', {_hex('width', 4, True)}, {_hex('CASE WHEN image_id % 4 = 2 THEN 4294967296 - height ELSE height END', 4, True)}, repeat('00', 40))
+  WHEN 3 THEN concat('524946461600000057454250565038580A000000', CASE WHEN image_id % 4 = 3 THEN '02' ELSE '00' END, '000000', {_hex('width - 1', 3, True)}, {_hex('height - 1', 3, True)})
+  WHEN 4 THEN concat('49492A00080000000300', '0001040001000000', {_hex('width', 4, True)}, '0101040001000000', {_hex('height', 4, True)}, '1201030001000000', {_hex(TURN, 2, True)}, '0000', '00000000')
+  ELSE hex('no picture') END) AS content FROM {{images}}"""
+
+
+@query("src_01", """
+SELECT image_id, CASE image_id % 6 WHEN 0 THEN 'PNG' WHEN 1 THEN 'JPEG' WHEN 2 THEN 'BMP' WHEN 3 THEN 'WEBP' WHEN 4 THEN 'TIFF' END AS source_format,
+  CAST(CASE WHEN image_id % 6 = 5 THEN NULL WHEN image_id % 6 IN (1, 4) AND image_id % 8 >= 4 THEN height ELSE width END AS INTEGER) AS width,
+  CAST(CASE WHEN image_id % 6 = 5 THEN NULL WHEN image_id % 6 IN (1, 4) AND image_id % 8 >= 4 THEN width ELSE height END AS INTEGER) AS height,
+  CAST(CASE WHEN image_id % 6 IN (1, 4) THEN 1 + image_id % 8 ELSE 1 END AS INTEGER) AS orientation,
+  CASE WHEN image_id % 6 = 0 AND image_id % 4 = 2 THEN 'high_bit_depth' WHEN image_id % 6 = 1 AND image_id % 5 = 0 THEN 'undecodable' WHEN image_id % 6 = 3 AND image_id % 4 = 3 THEN 'several_pictures'
+    WHEN image_id % 6 = 5 AND image_id % 4 = 1 THEN 'undecodable' WHEN image_id % 6 = 5 THEN 'unsupported_format' END AS reason FROM {images}""")
+def src_01(v):
+    files = v.sql(HEADERS).selectExpr("path", "CAST(length(content) AS BIGINT) AS length", "content")
+    return IM.judge_files(files).selectExpr("CAST(regexp_extract(path, '([0-9]+)', 1) AS BIGINT) AS image_id", "source_format", "width", "height", "orientation", "reason")
+
+
 KNOWN_FILES = "SELECT sha256, doc_id % 2 = 0 AS removed FROM {files} WHERE doc_id % 5 = 0"
 
 

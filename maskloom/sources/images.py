@@ -4,31 +4,46 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.headers import image_header
 from ..model import MAX_FILE_BYTES, MAX_PIXELS
 
-# Fixed value: file types the JVM image reader decodes.
-READABLE = r"(?i).*\.(png|jpe?g|bmp|gif)$"
+# Fixed value: endings of the image files a manifest takes.
+READABLE = r"(?i).*\.(png|jpe?g|mpo|bmp|webp|tiff?)$"
 PIXELS = "image_id STRING, width INT, height INT, channels INT, data BINARY"
 
 
+def judge_files(files: DataFrame) -> DataFrame:
+    """``files`` (path, length, content) with sha256, size as seen after the EXIF turn, stored size and ``reason`` to reject.
+
+    Sizes come from headers, nothing is decoded. A file without a known signature is undecodable if its name ends
+    like an image and unsupported otherwise; several pictures in a file and more than 8 bits a sample are refused.
+    """
+    # A generator keeps the optimizer from repeating the walk in every column and filter that reads its result.
+    read = files.select("path", "length", F.sha2("content", 256).alias("sha256"), F.expr(f"explode_outer(array({image_header('content')})) AS h"))
+    turned = "h.turn BETWEEN 5 AND 8"
+    return read.selectExpr(
+        "path", "length", "sha256", f"CAST(CASE WHEN {turned} THEN h.height ELSE h.width END AS INT) AS width",
+        f"CAST(CASE WHEN {turned} THEN h.width ELSE h.height END AS INT) AS height", "h.format AS source_format",
+        "CAST(h.width AS INT) AS source_width", "CAST(h.height AS INT) AS source_height", "CAST(coalesce(h.turn, 1) AS INT) AS orientation",
+        f"""CASE WHEN length > {MAX_FILE_BYTES} THEN 'file_too_large' WHEN h IS NULL AND NOT path RLIKE '{READABLE}' THEN 'unsupported_format'
+        WHEN coalesce(h.width, 0) <= 0 OR coalesce(h.height, 0) <= 0 OR NOT coalesce(h.whole, false) THEN 'undecodable'
+        WHEN h.frames THEN 'several_pictures' WHEN h.bits > 8 THEN 'high_bit_depth'
+        WHEN h.width * h.height > {MAX_PIXELS} THEN 'too_many_pixels' END AS reason""")
+
+
 def image_manifest(spark: SparkSession, path: str, role: str = "pool"):
     """Returns (images, rejects) for a directory of image files.
 
-    Identity is the SHA-256 of the bytes. Dimensions come from the JVM image reader, which drops
-    what it cannot decode; those files and oversized ones are rejected with a reason.
+    Identity is the SHA-256 of the bytes. Files beyond the size limit are rejected by their length and never read;
+    empty files are not listed by Spark's reader and appear in neither table.
     """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-             .select("path", "length", F.when(F.col("length") <= MAX_FILE_BYTES, F.sha2("content", 256)).alias("sha256")))
-    decoded = (spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path)
-               .select(F.regexp_replace("image.origin", "^file:/+", "file:/").alias("path"), "image.width", "image.height"))
-    known = files.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")).join(decoded, "path", "left")
-    judged = known.withColumn("reason", F.expr(f"""CASE WHEN length > {MAX_FILE_BYTES} THEN 'file_too_large'
-        WHEN NOT path RLIKE '{READABLE}' THEN 'unsupported_format' WHEN width IS NULL OR width <= 0 THEN 'undecodable'
-        WHEN CAST(width AS BIGINT) * height > {MAX_PIXELS} THEN 'too_many_pixels' END"""))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
+    judged = judge_files(files.filter(F.col("length") <= MAX_FILE_BYTES))
+    large = files.filter(F.col("length") > MAX_FILE_BYTES).select("path", F.lit("file_too_large").alias("reason"))
     images = judged.filter("reason IS NULL").selectExpr(
-        "path", "regexp_extract(path, '([^/]*)$', 1) AS name", "sha256", "width", "height", f"'{role}' AS role",
-        "sha256 AS group_id", "false AS complete", "false AS removed", "CAST(0 AS BIGINT) AS revision")
-    return images, judged.filter("reason IS NOT NULL").select("path", "reason")
+        "path", "regexp_extract(path, '([^/]*)$', 1) AS name", "sha256", "width", "height", "source_format", "source_width", "source_height", "orientation",
+        f"'{role}' AS role", "sha256 AS group_id", "false AS complete", "false AS removed", "CAST(0 AS BIGINT) AS revision")
+    return images, judged.filter("reason IS NOT NULL").select("path", "reason").unionByName(large)
 
 
 def dedup_by_hash(new: DataFrame, existing: DataFrame):

@@ -214,6 +214,58 @@ def test_images_and_planes(spark, tmp_path):
     assert [r["reason"] for r in I.read_planes(columns, mapping.filter("value <> 2"))[2].collect()] == ["unmapped_value"]
 
 
+def tags(order, *entries):
+    """A directory of (code, type, value) at the head of a file."""
+    body = struct.pack(order + "H", len(entries))
+    for code, kind, value in entries:
+        body += struct.pack(order + "HHI", code, kind, 1) + (struct.pack(order + "HH", value, 0) if kind == 3 else struct.pack(order + "I", value))
+    return (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8) + body + struct.pack(order + "I", 0)
+
+
+def segment(marker, body):
+    return b"\xff" + bytes([marker]) + struct.pack(">H", len(body) + 2) + body
+
+
+def test_image_headers(spark, tmp_path):
+    frame = segment(0xC2, struct.pack(">BHHB", 8, 40, 70, 3) + bytes(9))
+    scan = segment(0xDA, bytes(10)) + b"\1\2\xff\0\xff\xd9"
+    thumb = b"\xff\xd8" + segment(0xC0, struct.pack(">BHHB", 8, 5, 6, 3) + bytes(9)) + b"\xff\xd9"
+    riff = lambda body: b"RIFF" + struct.pack("<I", len(body) + 4) + b"WEBP" + body
+    chunk = lambda kind, data: kind + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
+    turned = tags("<", (274, 3, 6))
+    picture = lambda depth, *more: (b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d)) for k, d in (
+        (b"IHDR", struct.pack(">IIBBBBB", 70, 40, depth, 2, 0, 0, 0)), *more, (b"IDAT", b"eXIf"), (b"IEND", b""))))
+    files = {
+        # The frame lies behind 40 segments of full length, and the thumbnail of the EXIF block is not taken for it.
+        "far.jpg": b"\xff\xd8" + segment(0xE1, b"Exif\0\0" + tags(">", (271, 4, 99), (274, 3, 8)) + thumb) + b"\xff" + segment(0xFE, bytes(65_000)) * 40 + frame + scan,
+        "plain.jpg": b"\xff\xd8" + segment(0xE0, b"JFIF\0") + frame + scan,
+        "cut.jpg": b"\xff\xd8" + segment(0xE1, b"Exif\0\0" + turned + thumb) + frame + scan[:-2],
+        "nothing.jpg": b"\xff\xd8" + scan, "short.jpg": b"\xff\xd8\xff\xc0\0", "lying.jpg": b"\xff\xd8\xff\xe1\xff\xff",
+        "turn.png": picture(8, (b"eXIf", turned)), "deep.png": picture(16), "moving.png": picture(8, (b"acTL", bytes(8))), "cut.png": picture(8)[:-4],
+        "old.bmp": b"BM" + bytes(8) + struct.pack("<IIHHHH", 26, 12, 70, 40, 1, 24) + bytes(8),
+        "top.bmp": b"BM" + bytes(8) + struct.pack("<IIiiHH", 54, 40, 70, -40, 1, 24) + bytes(40),
+        "lossy.webp": riff(chunk(b"VP8 ", b"\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 70 | 1 << 14, 40) + bytes(3))),
+        "lossless.webp": riff(chunk(b"VP8L", b"\x2f" + struct.pack("<I", 69 | 39 << 14) + bytes(8))),
+        "turn.webp": riff(chunk(b"VP8X", b"\x08\0\0\0\x45\0\0\x27\0\0") + chunk(b"VP8 ", bytes(11)) + chunk(b"EXIF", b"Exif\0\0" + turned)),
+        "moving.webp": riff(chunk(b"VP8X", b"\x02\0\0\0\x45\0\0\x27\0\0")),
+        "little.tif": tags("<", (256, 3, 70), (257, 4, 40), (258, 3, 8), (274, 3, 5)), "big.tif": tags(">", (256, 4, 70), (257, 3, 40)),
+        "deep.tif": tags(">", (256, 4, 70), (257, 3, 40), (258, 3, 16)), "pages.tif": tags("<", (256, 3, 70), (257, 4, 40))[:-4] + b"\x08\0\0\0",
+        "none.tif": b"II*\0\xff\xff\xff\xff", "blank.png": b"\n", "anim.gif": b"GIF89a" + bytes(20), "huge.tif": tags("<", (256, 4, 70_000), (257, 4, 40_000)),
+    }
+    for name, body in files.items():
+        (tmp_path / name).write_bytes(body)
+    with open(tmp_path / "large.png", "wb") as f:
+        f.truncate((1 << 31) + 10)
+    images, rejects = IM.image_manifest(spark, str(tmp_path))
+    assert {r["name"]: (r["width"], r["height"], r["orientation"]) for r in images.collect()} == {
+        "far.jpg": (40, 70, 8), "plain.jpg": (70, 40, 1), "turn.png": (40, 70, 6), "old.bmp": (70, 40, 1), "top.bmp": (70, 40, 1), "lossy.webp": (70, 40, 1),
+        "lossless.webp": (70, 40, 1), "turn.webp": (40, 70, 6), "little.tif": (40, 70, 5), "big.tif": (70, 40, 1)}
+    assert {r["path"].rsplit("/", 1)[1]: r["reason"] for r in rejects.collect()} == {
+        "cut.jpg": "undecodable", "nothing.jpg": "undecodable", "short.jpg": "undecodable", "lying.jpg": "undecodable", "deep.png": "high_bit_depth",
+        "moving.png": "several_pictures", "cut.png": "undecodable", "moving.webp": "several_pictures", "deep.tif": "high_bit_depth", "pages.tif": "several_pictures",
+        "none.tif": "undecodable", "blank.png": "undecodable", "anim.gif": "unsupported_format", "huge.tif": "too_many_pixels", "large.png": "file_too_large"}
+
+
 def test_packed_yolo(spark, scene, tmp_path):
     """Packed labels read back like the folder form, in few files; text files with a line per object."""
     one, many = str(tmp_path / "packed"), str(tmp_path / "folders")
