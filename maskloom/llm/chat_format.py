@@ -2,7 +2,8 @@ r"""Chat formatting by a finite-state machine over roles, from a declarative tem
 
 A template names the control strings, the roles whose texts carry loss and the transitions of the
 machine. ``format_chats`` returns one row per conversation: the verdict of the machine, the
-segments with their loss flags, and the formatted string, which is the segments joined.
+segments with the loss flags that the machine emits as it enters a turn, and the formatted string,
+which is the segments joined.
 ``read_chats`` parses formatted strings back. Both use built-in SQL functions only.
 
 Control strings inside texts and roles are replaced by two-character escapes. Every backslash is
@@ -11,7 +12,8 @@ escaped first, so an escape never arises from text, and an escaped text holds no
 Defined cases: null texts are empty; a null role has its own escape and reads back as null; rows
 are ordered by turn (null turns last), ties by role, then text; repeated rows are separate turns;
 a null id is one conversation; a conversation that breaks the turn order is still formatted, with
-``valid`` false and the place of the first offending turn; an empty table gives no rows. Rows of one
+``valid`` false and the place of the first offending turn (such a turn leaves the state as it is and
+emits the flag of its role); an empty table gives no rows. Rows of one
 conversation meet in one row, as the formatted conversation itself is one string. Only the four
 named columns are read.
 """
@@ -56,32 +58,35 @@ def format_chats(rows: DataFrame, template: ChatTemplate = ChatTemplate(), id_co
     turn = F.struct(F.col("turn").isNull().alias("late"), F.col("turn").alias("turn"), F.col("role").cast("string").alias("role"),
                     F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     chats = rows.groupBy(F.col(id_col).alias("id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    moves = F.create_map(*[F.lit(x) for pair in template.transitions.items() for x in pair])
+    # A move leads to a state and emits a flag: whether the state it enters carries loss.
+    moves = F.create_map(*[x for pair, to in template.transitions.items()
+                           for x in (F.lit(pair), F.struct(F.lit(to).alias("state"), F.lit("1" if to in template.loss_roles else "0").alias("flag")))])
 
-    def step(state: Column, turn: Column) -> Column:
-        to = moves[F.concat(state["state"], F.lit(" "), F.coalesce(turn["role"], F.lit("")))]
-        bad = state["bad"].isNull() & to.isNull()
-        return F.struct(F.coalesce(to, state["state"]).alias("state"), (state["at"] + 1).alias("at"),
-                        F.when(bad, state["at"]).otherwise(state["bad"]).alias("bad"))
+    def step(now: Column, turn: Column) -> Column:
+        move = moves[F.concat(now["state"], F.lit(" "), F.coalesce(turn["role"], F.lit("")))]
+        stray = F.when(turn["role"].isin(*template.loss_roles), "1").otherwise("0")
+        return F.struct(F.coalesce(move["state"], now["state"]).alias("state"), F.concat(now["flags"], F.coalesce(move["flag"], stray)).alias("flags"),
+                        F.when(now["bad"].isNull() & move.isNull(), F.length(now["flags"])).otherwise(now["bad"]).alias("bad"))
 
-    begin = F.struct(F.lit(template.start).alias("state"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("bad"))
+    begin = F.struct(F.lit(template.start).alias("state"), F.lit("").alias("flags"), F.lit(None).cast("int").alias("bad"))
 
-    def segments(turn: Column) -> Column:
+    def segments(turn: Column, at: Column) -> Column:
         role = F.coalesce(template.escape(turn["role"]), F.lit(NULL_ROLE))
-        loss = F.coalesce(turn["role"].isin(*template.loss_roles), F.lit(False))
+        loss = F.substr(F.col("ended.flags"), at + 1, F.lit(1)) == "1"
         part = lambda text, flag: F.struct(text.alias("text"), flag.alias("loss"))
         return F.array(part(F.concat(F.lit(template.head), role, F.lit(template.role_end)), F.lit(False)),
                        part(template.escape(turn["text"]), loss), part(F.lit(template.turn_end), F.lit(False)))
 
-    ended = F.aggregate("turns", begin, step)
-    return (chats.select("id", F.size("turns").cast("long").alias("n_turns"), ended["bad"].alias("bad_turn"),
-                         F.flatten(F.transform("turns", segments)).alias("segments"))
+    # A generator, so that the machine runs once and not again for every turn that asks for its flag.
+    run = chats.select("id", "turns", F.explode(F.array(F.aggregate("turns", begin, step))).alias("ended"))
+    return (run.select("id", F.size("turns").cast("long").alias("n_turns"), F.col("ended.bad").alias("bad_turn"),
+                       F.flatten(F.transform("turns", segments)).alias("segments"))
             .select(F.col("id").alias(id_col), "n_turns", F.col("bad_turn").isNull().alias("valid"), "bad_turn", "segments",
                     F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted")))
 
 
 def read_chats(chats: DataFrame, template: ChatTemplate = ChatTemplate(), id_col: str = "conv_id") -> DataFrame:
-    """Parse ``formatted`` and the loss mask back: id, turns (role, text), loss_text."""
+    """Parse ``formatted`` and the loss mask back: id, turns (role, text), loss_text; the machine's verdict is passed on."""
     pieces = F.split("formatted", "\\Q" + template.turn_end + "\\E")
     pieces = F.slice(pieces, 1, F.size(pieces) - 1)
 
@@ -93,4 +98,4 @@ def read_chats(chats: DataFrame, template: ChatTemplate = ChatTemplate(), id_col
                         template.unescape(F.substr(body, cut + len(template.role_end))).alias("text"))
 
     loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: template.unescape(s["text"])), "")
-    return chats.select(id_col, F.transform(pieces, parse).alias("turns"), loss.alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return chats.select(id_col, F.transform(pieces, parse).alias("turns"), loss.alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"), "valid", "bad_turn")

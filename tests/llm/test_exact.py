@@ -289,6 +289,18 @@ def test_chat_format(spark):
     assert chat_format.format_chats(table.limit(0)).count() == 0
 
 
+def test_chat_machine_emits_the_flags(spark):
+    template = chat_format.ChatTemplate(transitions={"start assistant": "greeting", "greeting user": "user", "start user": "user", "user assistant": "assistant", "assistant user": "user"})
+    rows = [(1, 0, "assistant", "hello"), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (2, 0, "user", "q"), (2, 1, "user", "again"), (2, 2, "assistant", "b"), (2, 3, "assistant", "c")]
+    rows += [(3, t, ("user", "assistant")[t % 2], str(t)) for t in range(4000)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    read = {r.conv_id: r for r in chat_format.read_chats(chat_format.format_chats(table, template), template).collect()}
+    assert [(read[c].valid, read[c].bad_turn) for c in (1, 2, 3)] == [(True, None), (False, 1), (True, None)]
+    assert (read[1].loss_text, read[2].loss_text) == ("a", "bc") and read[3].loss_text == "".join(str(t) for t in range(1, 4000, 2))
+    only = chat_format.format_chats(table, template).select("segments")
+    assert "aggregate(" in only._jdf.queryExecution().optimizedPlan().toString() and sum(s.loss for r in only.collect() for s in r.segments) == 2003
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(int(i), (rng.normal(size=8) * rng.choice([0.1, 1, 4])).tolist()) for i in range(400)] + [(500 + i, [1.0] * 8) for i in range(120)]
