@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import polygons
 from ..operators import curation as CU, masks as M, nms as N, predicates as P, predict as PR, tiling as TL, training as TR, vectors as V, windows as W
 from ..session import cut_lineage, ensure_checkpoint_dir
-from ..sinks import formats as O, snapshots as SN
+from ..sinks import formats as O, publish as PB, snapshots as SN
 from ..sources import formats as I, images as IM
 from ..streaming import jobs as ST
 from .mask_queries import _painted_sql, slabs
@@ -423,6 +423,20 @@ def _scratch(v, name):
     return f"{ensure_checkpoint_dir(v.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@query("snk_01_files", f"""
+SELECT image_id, class_id, geom_type, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CASE WHEN geom_type = 'mask' THEN area END AS pixels
+FROM ({IMPORTED}) o""")
+def snk_01_files(v):
+    """A COCO export with its manifest is published at once, and its text read back through the pointer."""
+    images, rows = exported(v)
+    path = _scratch(v, "bundle")
+    losses = rows.limit(0).selectExpr("annotation_id", "false AS lossy", "'' AS reason")
+    O.write_bundle(images, rows, v.classes, slabs(v), path, ("coco",), manifest=O.export_manifest(images, rows, v.classes, losses))
+    got = I.read_coco(v.spark, PB.published_folder(v.spark, path, "coco"), images, v.classes, sharded=True)
+    pixels = M.mask_stats(got.slabs, "annotation_id").selectExpr("annotation_id", "area AS pixels")
+    return got.annotations.join(pixels, "annotation_id", "left").select("image_id", "class_id", "geom_type", "x0", "y0", "x1", "y1", "pixels")
+
+
 @query("src_10", f"""
 SELECT t.annotation_id, t.revision, 'copy' AS project_id FROM ({TRAINING_ROWS}) t WHERE t.class_ok""")
 def src_10(v):

@@ -21,7 +21,7 @@ from ..operators.predicates import export_split
 from ..operators.vectors import component_polygons, to_polygon
 from ..operators.windows import class_index, dense_ids, paint, plane_conflicts
 from ..session import cut_lineage
-from .publish import publish
+from .publish import publish, publish_parts
 
 
 class ExportBlocked(ValueError):
@@ -319,3 +319,26 @@ def export_manifest(images: DataFrame, annotations: DataFrame, classes: DataFram
 def write_manifest(parts: dict[str, DataFrame], path: str) -> None:
     for name, df in parts.items():
         df.write.mode("errorifexists").json(f"{path}/{name}")
+
+
+def write_bundle(images: DataFrame, annotations: DataFrame, classes: DataFrame, slabs: DataFrame, path: str,
+                 formats: tuple[str, ...] = ("coco",), allow_lossy: bool = False, manifest: dict[str, DataFrame] | None = None) -> None:
+    """An export in any of coco, yolo_seg, yolo_box, voc and labelme, with its manifest if given: all of it is published or nothing.
+
+    A format that cannot hold the objects, or a task that fails in the last part, leaves no reader anything to see.
+    Parts are found by ``publish.published_folder`` and read by the readers of their format.
+    """
+    writers = {
+        "coco": lambda folder: write_coco(images, annotations, classes, slabs, folder),
+        "yolo_seg": lambda folder: write_yolo_packed(images, annotations, classes, slabs, folder, "seg", allow_lossy),
+        "yolo_box": lambda folder: write_yolo_packed(images, annotations, classes, slabs, folder, "box", allow_lossy),
+        "voc": lambda folder: write_voc(images, annotations, classes, folder, allow_lossy),
+        "labelme": lambda folder: write_labelme(images, annotations, classes, slabs, folder, allow_lossy),
+    }
+    unknown = sorted(set(formats) - set(writers))
+    if unknown:
+        raise ValueError(f"no writer for {', '.join(unknown)}")
+    parts = {name: writers[name] for name in formats}
+    if manifest is not None:
+        parts["manifest"] = lambda folder: write_manifest(manifest, folder)
+    publish_parts(images.sparkSession, parts, path)

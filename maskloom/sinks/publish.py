@@ -6,6 +6,7 @@ pointer: a job that fails midway leaves nothing that they see, and a second publ
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,13 +17,20 @@ def publish(tables: dict[str, DataFrame], path: str, form: str = "parquet") -> N
     """Write ``tables`` and then the pointer ``path/current``; refused where something is published already."""
     if not tables:
         raise ValueError("nothing to publish")
-    spark = next(iter(tables.values())).sparkSession
+    save = lambda df: lambda folder: df.write.format(form).mode("errorifexists").save(folder)
+    publish_parts(next(iter(tables.values())).sparkSession, {name: save(df) for name, df in tables.items()}, path)
+
+
+def publish_parts(spark: SparkSession, parts: dict[str, Callable[[str], None]], path: str) -> None:
+    """The same for writers of whole folders: each gets the folder it is to fill, and all become visible at once."""
+    if not parts:
+        raise ValueError("nothing to publish")
     if _pointer(spark, path) is not None:
         raise ValueError(f"{path} is published already")
     folder = f"attempt-{uuid.uuid4().hex}"
-    for name, df in tables.items():
-        df.write.format(form).mode("errorifexists").save(f"{path}/{folder}/{name}")
-    spark.createDataFrame([(folder, list(tables))], _POINTER).coalesce(1).write.mode("errorifexists").json(f"{path}/current")
+    for name, write in parts.items():
+        write(f"{path}/{folder}/{name}")
+    spark.createDataFrame([(folder, list(parts))], _POINTER).coalesce(1).write.mode("errorifexists").json(f"{path}/current")
 
 
 def _pointer(spark: SparkSession, path: str):
@@ -34,12 +42,17 @@ def _pointer(spark: SparkSession, path: str):
     return spark.read.schema(_POINTER).json(f"{path}/current").first()
 
 
-def published(spark: SparkSession, path: str, name: str, schema=None, form: str = "parquet") -> DataFrame:
-    """One table of what is published at ``path``."""
+def published_folder(spark: SparkSession, path: str, name: str) -> str:
+    """Where one table or part of what is published at ``path`` lies."""
     pointer = _pointer(spark, path)
     if pointer is None:
         raise ValueError(f"nothing is published at {path}")
     if name not in pointer["tables"]:
         raise ValueError(f"{path} has no table {name}")
+    return f"{path}/{pointer['folder']}/{name}"
+
+
+def published(spark: SparkSession, path: str, name: str, schema=None, form: str = "parquet") -> DataFrame:
+    """One table of what is published at ``path``."""
     reader = spark.read.format(form) if schema is None else spark.read.format(form).schema(schema)
-    return reader.load(f"{path}/{pointer['folder']}/{name}")
+    return reader.load(published_folder(spark, path, name))

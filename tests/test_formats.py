@@ -296,6 +296,30 @@ def test_publication_is_all_or_nothing(spark, tmp_path):
         P.published(spark, path, "c")
 
 
+def test_bundle_is_all_or_nothing(spark, scene, tmp_path):
+    path = str(tmp_path / "bundle")
+    given = (scene["images"], scene["annotations"], scene["classes"], scene["slabs"])
+    losses = spark.createDataFrame([("a", True, "box_of_a_mask")], "annotation_id STRING, lossy BOOLEAN, reason STRING")
+    with pytest.raises(O.ExportBlocked):  # COCO is whole when VOC refuses the masks
+        O.write_bundle(*given, path, ("coco", "voc"))
+    with pytest.raises(ValueError, match="nothing is published"):
+        P.published_folder(spark, path, "coco")
+    with pytest.raises(ValueError, match="no writer for tiff"):
+        O.write_bundle(*given, path, ("coco", "tiff"))
+    manifest = {"loss_report": losses, "broken": losses.selectExpr("CASE WHEN lossy THEN raise_error('lost') ELSE '' END AS x")}
+    with pytest.raises(Exception, match="lost"):
+        O.write_bundle(*given, path, ("coco",), manifest=manifest)
+    O.write_bundle(*given, path, ("coco", "yolo_box", "voc", "labelme"), True, {"loss_report": losses})
+    folder = lambda name: P.published_folder(spark, path, name)
+    reads = [I.read_coco(spark, folder("coco"), *given[:1], given[2], sharded=True), I.read_yolo_packed(spark, folder("yolo_box"), given[0], given[2], "box"),
+             I.read_voc(spark, folder("voc"), given[0], given[2]), I.read_labelme(spark, folder("labelme"), given[0], given[2], lines=True)]
+    for read in reads:
+        assert sorted(r["image_id"] for r in read.annotations.collect()) == [1, 1, 2, 3] and read.rejects.count() == 0
+    assert spark.read.json(folder("manifest") + "/loss_report").first()["reason"] == "box_of_a_mask"
+    with pytest.raises(ValueError, match="published already"):
+        O.write_bundle(*given, path, ("coco",))
+
+
 def test_dedup(spark):
     new = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "2"), ("d", "3")], "path STRING, sha256 STRING")
     known = spark.createDataFrame([("2", False), ("3", True)], "sha256 STRING, removed BOOLEAN")
