@@ -106,7 +106,7 @@ def op4_line_runs_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity.score(docs.select("doc_id", "text"), toxicity.learn(docs, labels))
-    return scored.select("doc_id", (toxicity.fold_of("doc_id") == 2).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(toxicity.fold_of("doc_id") == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 @query("""

@@ -16,6 +16,7 @@ rows (those of least hash). Everything else reads all rows and whole texts.
 Defined cases: a null or empty text has no hits and gets the score of no evidence; repeated rows are
 scored alike; labels that are null are no labels; without any label, or without both classes, the
 lexicon is empty and every score is 0; an empty table gives no rows. A label never enters a score.
+Labelled rows alike in text and label count once, under their smallest id, which decides their fold.
 """
 from __future__ import annotations
 
@@ -171,7 +172,7 @@ def fold_of(id_col: str):
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
     marks = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty().alias("text"))
-    return texts.join(broadcast_if_small(marks, 1_000_000), "id").withColumn("fold", F.crc32(F.col("id").cast("string").cast("binary")) % 4).filter("fold <> 2")
+    return texts.join(broadcast_if_small(marks, 1_000_000), "id").filter(fold_of("id") != 2)
 
 
 def count_terms(rows: DataFrame, terms: int, support: int = 4) -> dict[str, float]:
@@ -214,7 +215,9 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) ->
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", terms: int = 2000, sample: int = 20_000) -> Model:
-    rows = stage(_labelled(docs, labels, id_col).dropDuplicates(["text", "toxic"]), "labelled")
+    # Of rows alike in text and label the smallest id stays, so that folds and with them the fit are those of the data.
+    alike = _labelled(docs, labels, id_col).groupBy("text", "toxic").agg(F.min("id").alias("id"))
+    rows = stage(alike.select("id", "text", "toxic", fold_of("id").alias("fold")), "labelled")
     first = count_terms(rows.filter("fold < 2"), terms)
     picked = rows.filter("fold = 3").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)  # ids only, at most `sample`
     chosen = rows.filter("fold = 3").join(F.broadcast(picked), "id", "left_semi")

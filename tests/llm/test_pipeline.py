@@ -54,6 +54,15 @@ def test_held_out_accuracy(spark):
     assert rows and right >= 0.9 * len(rows) and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_toxicity_fold_of_repeated_texts(spark):
+    """A text said under many ids is learned under the smallest, in whatever order its rows come."""
+    texts = ["you utter scumbag go away", "a quiet day at the lake", "such a scumbag again", "tea and bread for two"] * 40
+    rows = [(i, texts[i] + f" {i % 12 // 4}") for i in range(len(texts))]
+    labels = spark.createDataFrame([(i, int("scumbag" in t)) for i, t in rows], "doc_id long, toxic int")
+    models = [toxicity.learn(spark.createDataFrame(order, "doc_id long, text string").repartition(parts), labels) for order, parts in ((rows, 2), (rows[::-1], 7))]
+    assert models[0] == models[1]
+
+
 def test_toxicity_defined_cases(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "idiot"), (1, None)], "doc_id long, text string").withColumn("toxic", F.lit(5)).withColumn("score0", F.lit(1))
     none = spark.createDataFrame([], "doc_id long, toxic int")
